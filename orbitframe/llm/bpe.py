@@ -7,15 +7,17 @@ library's regex never walks more than about ``PIECE_CHARS`` characters at once.
 from __future__ import annotations
 
 import base64
-import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orbitframe.llm import text as T
+
 PIECE_CHARS = 20_000
 #: A match of the pattern starts at a blank between a non-space and a letter or digit: nothing before it looks past it.
 _SAFE = regex.compile(r"(?<=\S) (?=[\p{L}\p{N}])")
@@ -72,9 +74,9 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = [encode(x or "", rank_file, pattern) for x in part.column("_text").to_pylist()]
+            for i, j, _, _ in T.slices(batch.column("_text")):
+                part = batch.slice(i, j - i)
+                ids = [np.array(encode(x.as_py() or "", rank_file, pattern), np.int32) for x in part.column("_text")]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(ids, pa.list_(pa.int32()))], [*part.schema.names[:-1], "ids"])
 
     return picked.mapInArrow(run, schema)
@@ -87,8 +89,10 @@ def decode_documents(encoded: DataFrame, rank_file: str, pattern: str, id_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(rank_file, pattern)
         for batch in batches:
-            rows = [enc.decode_bytes(x or []) for x in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.binary())], [*batch.schema.names, "raw"])
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
+                rows = [enc.decode_bytes(x.as_py() or []) for x in part.column("ids")]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rows, pa.binary())], [*part.schema.names, "raw"])
 
     return picked.mapInArrow(run, f"{picked.schema.simpleString()[7:-1]},raw:binary")
 
@@ -98,7 +102,3 @@ def bpe_digest(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     decoded = decode_documents(encode_documents(docs, rank_file, pattern), rank_file, pattern)
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"), F.sha2("raw", 256).alias("decoded_sha256"))
 
-
-def digest(ids: list[int]) -> str:
-    """Lowercase hex SHA-256 of decimal ids joined by commas."""
-    return hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()

@@ -5,7 +5,8 @@
    sketches' registers is the sketch of the union, and registers of similar sets collide.
 2. Texts with equal sets collapse to one representative, so groups of exact copies stop mattering.
 3. Representatives that share a band of four registers are candidates: first each with two leaders of its band,
-   then, for bands whose members are not yet all in one component, members of different components.
+   then, for bands whose members are not yet all in one component, members of different components, less those
+   that the counts of their rare shingles rule out.
    At similarity 0.75 a pair misses all 40 bands with probability below 3e-7.
 4. The joint likelihood of two sketches drops candidates that are clearly too far apart; the rest are confirmed
    on the full sets, and components follow the confirmed links.
@@ -24,8 +25,10 @@ from orbitframe.llm import text as T
 from orbitframe.llm.components import connected_components
 from orbitframe.llm.storage import Workspace
 
-BANDS, ROWS, BASE = 40, 4, 1.1
+#: A base near 1 leaves about ten bits in a register, so unrelated sets of one size hardly ever share a band.
+BANDS, ROWS, BASE = 40, 4, 1.005
 REGISTERS = BANDS * ROWS
+RARE = 20
 _SEEDS = np.random.default_rng(11).integers(1, 2**32, (REGISTERS, 2), dtype=np.uint32) | np.uint32(1)
 
 
@@ -56,7 +59,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int = 5) -> tuple[np.n
 
 
 def registers(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """SetSketch registers of each non-empty set, as uint8 rows."""
+    """SetSketch registers of each non-empty set, as uint16 rows."""
     at = first[:-1]
     low, high = hashes.astype(np.uint32), (hashes >> np.uint64(32)).astype(np.uint32)
     least = np.empty((len(at), REGISTERS), np.uint32)
@@ -67,7 +70,7 @@ def registers(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
         np.add(value, other, out=value)
         least[:, k] = np.minimum.reduceat(value, at)
     x = -np.log1p(-(least + 0.5) / 2**32)
-    return np.clip(np.floor(1 - np.log(x) / np.log(BASE)), 0, 255).astype(np.uint8)
+    return np.clip(np.floor(1 - np.log(x) / np.log(BASE)), 0, 65535).astype(np.uint16)
 
 
 def sketch_documents(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -100,8 +103,8 @@ def bands(reps: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                rows = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint8).reshape(-1, BANDS, ROWS)
-                keys = T.mix(np.ascontiguousarray(rows).view(np.uint32)[:, :, 0].astype(np.uint64) | (np.arange(BANDS, dtype=np.uint64) << np.uint64(32)))
+                rows = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint16).reshape(-1, BANDS, ROWS)
+                keys = T.mix(T.mix(np.ascontiguousarray(rows).view(np.uint64)[:, :, 0]) + np.arange(BANDS, dtype=np.uint64))
                 ids = np.repeat(part.column("id").to_numpy(), BANDS)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(ids)], ["band", "id"])
 
@@ -138,7 +141,7 @@ def plausible(pairs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(x).to_pylist()), np.uint8).reshape(-1, REGISTERS) for x in ("sa", "sb"))
+                a, b = (np.frombuffer(b"".join(batch.column(x).to_pylist()), np.uint16).reshape(-1, REGISTERS) for x in ("sa", "sb"))
                 ok = likely(a, b, batch.column("na").to_numpy(), batch.column("nb").to_numpy(), similarity)
                 yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(ok)), batch.column("b").filter(pa.array(ok))], ["a", "b"])
 
@@ -168,27 +171,59 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
 
 
 def leader_pairs(keyed: DataFrame, work: Workspace) -> DataFrame:
-    """Each member of a band with the band's smallest and largest id. Leaders are a table, so that a skewed band's join can be split."""
-    leaders = work.save(keyed.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high"), "leaders")
-    met = keyed.join(leaders, "band")
-    pairs = met.select(F.explode(F.array(F.struct(F.col("low").alias("x"), F.col("id").alias("y")), F.struct(F.col("id").alias("x"), F.col("high").alias("y")))).alias("p"))
-    return pairs.select(F.col("p.x").alias("a"), F.col("p.y").alias("b")).where("a < b").distinct()
+    """Each member of a band with the band's smallest id and with its hub, the member that meets most others over all bands.
 
-
-def crossing_pairs(keyed: DataFrame, labels: DataFrame, tested: DataFrame, work: Workspace) -> DataFrame:
-    """Untested pairs that share a band but not a component.
-
-    In each band the members of its largest component are one side; all other members meet them and each other.
-    Nothing is emitted within a component, however large.
+    Band sizes and leaders are tables, so that the joins of a skewed band can be split.
+    """
+    sizes = work.save(keyed.groupBy("band").agg(F.count("*").alias("size"), F.min("id").alias("low")).where("size > 1"), "sizes")
+    shared = work.save(keyed.join(sizes.select("band", "size"), "band"), "shared")
+    central = work.save(shared.groupBy("id").agg(F.sum("size").alias("meets")), "central")
+    hubs = work.save(shared.join(central, "id").groupBy("band").agg(F.max(F.struct("meets", -F.col("id"))).alias("m")).select("band", (-F.col("m.col2")).alias("hub")), "hubs")
+    met = shared.join(sizes.select("band", "low"), "band").join(hubs, "band")
+    pairs = met.select(F.explode(F.array(*(F.struct(F.least(x, "id").alias("a"), F.greatest(x, "id").alias("b")) for x in ("low", "hub")))).alias("p"))
+    return pairs.select("p.a", "p.b").where("a < b").distinct()
+
+
+def crossing_pairs(keyed: DataFrame, labels: DataFrame, tested: DataFrame, reps: DataFrame, texts: DataFrame, size: int, percent: int, work: Workspace) -> DataFrame:
+    """Untested pairs that share a band but not a component and whose shingles don't rule a link out.
+
+    Let a shingle be rare if at most ``RARE`` of the texts in question have it. A pair that shares a rare shingle
+    comes from the short list of that shingle. Any other pair shares at most the smaller number of shingles that are
+    not rare, which excludes nearly all texts at the fringe of a large group. For the rest, members of a band's
+    largest component are one side and all other members meet them and each other; nothing is emitted within a
+    component, however large.
     """
     held = keyed.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     sizes = held.groupBy("band", "label").count()
     mixed = work.save(sizes.groupBy("band").agg(F.count("*").alias("k"), F.max_by("label", "count").alias("main")).where("k > 1").select("band", "main"), "mixed")
-    members = held.join(mixed, "band")
-    others = members.where("label <> main").select("band", F.col("id").alias("x"), F.col("label").alias("lx"))
-    met = others.join(members.select("band", "id", "label"), "band").where("lx <> label")
-    pairs = met.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
-    return pairs.join(tested, ["a", "b"], "left_anti")
+    members = work.save(held.join(mixed, "band"), "members")
+    asked = work.save(members.select("id", "label").distinct(), "asked")
+    rows = work.save(shingle_rows(texts.join(asked, "id"), size), "shingles")
+    rare = work.save(rows.groupBy("shingle").count().where(F.col("count") <= RARE), "rare")
+    lists = work.save(rows.join(rare, "shingle"), "rare_lists")
+    few = lists.where("count > 1").select("shingle", "id", "label")
+    other = few.select("shingle", F.col("id").alias("x"), F.col("label").alias("lx"))
+    through_rare = few.join(other, "shingle").where("id < x and label <> lx").select(F.col("id").alias("a"), F.col("x").alias("b"))
+    common = reps.select("id", "n").join(lists.groupBy("id").agg(F.count("*").alias("k")), "id", "left").select("id", "n", (F.col("n") - F.coalesce("k", F.lit(0))).alias("common"))
+    able = work.save(members.join(common.where(100 * F.col("common") >= percent * F.col("n")), "id"), "able")
+    others = able.where("label <> main").select("band", F.col("id").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("common").alias("cx"))
+    most = F.least("common", "cx")
+    met = others.join(able, "band").where((F.col("lx") != F.col("label")) & (100 * most >= percent * (F.col("n") + F.col("nx") - most)))
+    through_bands = met.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"))
+    return through_rare.union(through_bands).distinct().join(tested, ["a", "b"], "left_anti")
+
+
+def shingle_rows(texts: DataFrame, size: int) -> DataFrame:
+    """(shingle, id, label): a row for each shingle of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, data, offsets in T.slices(batch.column("_text"), 1 << 18):
+                h, first = shingles(data, offsets, size)
+                rows = pa.array(np.repeat(np.arange(i, j), np.diff(first)))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column("id").take(rows), batch.column("label").take(rows)], ["shingle", "id", "label"])
+
+    return texts.select("id", "label", "_text").mapInArrow(run, "shingle long, id long, label long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
@@ -209,7 +244,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = work.save(confirmed(pairs, texts, size, percent), "links")
     labels = connected_components(links, work, "first")
     # bands whose members are not all in one component yet
-    more = work.save(plausible(crossing_pairs(keyed, labels, pairs, work), reps, percent / 100), "more_pairs")
+    more = work.save(plausible(crossing_pairs(keyed, labels, pairs, reps, texts, size, percent, work), reps, percent / 100), "more_pairs")
     if more.take(1):
         more_links = work.save(confirmed(more, texts, size, percent), "more_links")
         labels = connected_components(links.union(more_links), work, "second")

@@ -7,11 +7,13 @@ key: equal strings have equal keys, and neighbouring strings mostly share one, s
 
 1. Documents are dealt into chunks of a few MB by a hash of their id. Every chunk sends its distinct keys, packed by
    key range; each range answers which keys occur in two documents or more.
-2. Chunks send the bytes of the runs with such keys to the key's range. A range sorts the suffixes of its runs (cut
-   at ``min_len``), and previous and next smaller document ids in that order give each suffix its longest previous
-   factor; strings whose factor reaches ``min_len`` are later copies. Keys of very many runs are dealt by the hash
-   of each string instead, so no range grows with one frequent passage.
-3. Chunks take the answers back and cut the bytes out.
+2. Chunks send a hash of each run with such a key and the least id that has it; each range answers whose id is the
+   least of all. Equal runs under larger ids are later copies as a whole.
+3. Chunks send the bytes of the runs that they have first to the key's range. A range sorts the suffixes of its runs
+   (cut at ``min_len``), and previous and next smaller document ids in that order give each suffix its longest
+   previous factor; strings whose factor reaches ``min_len`` are later copies. Keys of very many runs are dealt by
+   the hash of each string instead, so no range grows with one frequent passage.
+4. Chunks take the answers back and cut the bytes out.
 
 A chunk sends each key and each run once, however many copies it holds, so hot passages cost a row a chunk.
 """
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 
 from orbitframe.llm import text as T
 
-ANCHOR = 16
-PART_BYTES = 8 << 20
+ANCHOR = 20
+PART_BYTES = 4 << 20
 SEGMENT = 1 << 20
 BLOCK = 400_000
 HOT = 2000
@@ -142,55 +144,107 @@ def _send_keys(table: pa.Table, min_len: int, bits: int) -> pa.Table:
     chunk = table.column("_chunk")[0].as_py()
     _, data, offsets, _ = _chunk(table)
     keys, counts = np.unique(string_runs(data, offsets, min_len)[2], return_counts=True)
-    owner_many = np.minimum(counts, 255).astype(np.uint8)
-    cut = _ranges(keys, bits)
-    parts = zip(np.split(keys, cut), np.split(owner_many, cut), strict=True)
-    return _rows(chunk, [(p, _pack(k, c)) for p, (k, c) in enumerate(parts) if len(k)])
+    keys, counts = keys >> np.uint64(8), np.minimum(counts, 255).astype(np.uint8)  # 56 bits are sent as 4, 2 and 1 bytes
+    cut = _ranges(keys << np.uint64(8), bits)
+    parts = zip(np.split(keys, cut), np.split(counts, cut), strict=True)
+    return _rows(chunk, [(p, _pack(k.astype(np.uint32), (k >> np.uint64(32)).astype(np.uint16), (k >> np.uint64(48)).astype(np.uint8), c)) for p, (k, c) in enumerate(parts) if len(k)])
+
+
+def _answers(part: int, chunks: pa.Array, blobs: list[bytes]) -> pa.Table:
+    return pa.table({"part": pa.array([part] * len(blobs), pa.int64()), "chunk": chunks, "blob": pa.array(blobs, pa.binary())})
 
 
 def _answer_keys(table: pa.Table) -> pa.Table:
     """For each chunk's keys: 0 in one run only, 1 in several, 2 in very many."""
-    part = table.column("part")[0].as_py()
     table = table.sort_by("chunk")
-    sent = [_unpack(b.as_py(), np.uint64, np.uint8) for b in table.column("blob")]
-    keys, counts = np.concatenate([k for k, _ in sent]), np.concatenate([c for _, c in sent]).astype(np.int64)
+    sent = [_unpack(b.as_py(), np.uint32, np.uint16, np.uint8, np.uint8) for b in table.column("blob")]
+    low, mid, high, counts = (np.concatenate([x[k] for x in sent]) for k in range(4))
+    keys = low | (mid.astype(np.uint64) << np.uint64(32)) | (high.astype(np.uint64) << np.uint64(48))
     _, at = np.unique(keys, return_inverse=True)
     total = np.bincount(at, counts)[at]
     kind = (total > 1).astype(np.uint8) + (total >= HOT).astype(np.uint8)
-    answers = np.split(kind, np.cumsum([len(k) for k, _ in sent])[:-1])
-    return pa.table({"part": pa.array([part] * len(sent), pa.int64()), "chunk": table.column("chunk"), "blob": pa.array([a.tobytes() for a in answers], pa.binary())})
+    return _answers(table.column("part")[0].as_py(), table.column("chunk"), [a.tobytes() for a in np.split(kind, np.cumsum([len(x[0]) for x in sent])[:-1])])
+
+
+class _Runs:
+    """A chunk's runs that may repeat, each once by content and least id; strings of very frequent keys stand alone."""
+
+    def __init__(self, table: pa.Table, min_len: int, kinds: np.ndarray | None, answers: np.ndarray | None = None):
+        _, self.data, offsets, ids = _chunk(table)
+        start, count, key = string_runs(self.data, offsets, min_len)
+        if kinds is None:  # in the order of runs already
+            kind = answers
+        else:
+            kind = kinds[np.unique(key >> np.uint64(8), return_inverse=True)[1]] if len(key) else np.empty(0, np.uint8)
+        self.kind = kind
+        hot = kind == 2
+        single = _spans(start[hot], count[hot])
+        start, count, key = (np.concatenate(x) for x in ((start[kind == 1], single), (count[kind == 1], np.ones(len(single), np.int64)), (key[kind == 1], T.span_hashes(self.data, single, single + min_len))))
+        lengths, owner = count + min_len - 1, ids[np.searchsorted(offsets, start, "right") - 1]
+        content = T.span_hashes(self.data, start, start + lengths)
+        order = np.lexsort((start, owner, content))
+        self.start, self.lengths, self.key, self.owner, self.content = (x[order] for x in (start, lengths, key, owner, content))
+        self.new = np.ones(len(order), bool)
+        self.new[1:] = self.content[1:] != self.content[:-1]
+        self.group = np.cumsum(self.new) - 1
+
+
+def _blob_of(answers: pa.Table) -> bytes:
+    return b"".join(b.as_py() for b in answers.sort_by("part").column("blob"))
+
+
+def _send_contents(table: pa.Table, answers: pa.Table, min_len: int, bits: int) -> pa.Table:
+    if not table.num_rows:
+        return _rows(0, [])
+    chunk = table.column("_chunk")[0].as_py()
+    runs = _Runs(table, min_len, np.frombuffer(_blob_of(answers), np.uint8))
+    content, owner = runs.content[runs.new], runs.owner[runs.new]
+    cut = _ranges(content, bits)
+    blobs = []
+    for p, (c, o) in enumerate(zip(np.split(content, cut), np.split(owner, cut), strict=True)):
+        mine = runs.kind if p == chunk % 2**bits else runs.kind[:0]  # comes back with the answer
+        if len(c) or len(mine):
+            blobs.append((p, _pack(c, o, mine)))
+    return _rows(chunk, blobs)
+
+
+def _answer_contents(table: pa.Table) -> pa.Table:
+    """For each chunk's runs: whether the id sent is the least of all. Kinds go back as they came."""
+    table = table.sort_by("chunk")
+    sent = [_unpack(b.as_py(), np.uint64, np.int64, np.uint8) for b in table.column("blob")]
+    content, owner = (np.concatenate([x[k] for x in sent]) for k in (0, 1))
+    order = np.lexsort((owner, content))
+    new = np.ones(len(order), bool)
+    new[1:] = content[order][1:] != content[order][:-1]
+    first = np.empty(len(order), bool)
+    first[order] = owner[order] == owner[order][new][np.cumsum(new) - 1] if len(order) else new
+    parts = np.split(first.astype(np.uint8), np.cumsum([len(x[0]) for x in sent])[:-1])
+    return _answers(table.column("part")[0].as_py(), table.column("chunk"), [_pack(a, x[2]) for a, x in zip(parts, sent, strict=True)])
 
 
 def _send_runs(table: pa.Table, answers: pa.Table, min_len: int, bits: int) -> pa.Table:
     if not table.num_rows:
         return _rows(0, [])
     chunk = table.column("_chunk")[0].as_py()
-    _, data, offsets, ids = _chunk(table)
-    start, count, key = string_runs(data, offsets, min_len)
-    kind = np.frombuffer(b"".join(b.as_py() for b in answers.sort_by("part").column("blob")), np.uint8)[np.unique(key, return_inverse=True)[1]] if len(key) else np.empty(0, np.uint8)
-    hot = kind == 2
-    single = _spans(start[hot], count[hot])  # strings of hot keys stand alone, dealt by their own hash
-    start, count, key = (np.concatenate(x) for x in ((start[kind == 1], single), (count[kind == 1], np.ones(len(single), np.int64)), (key[kind == 1], T.span_hashes(data, single, single + min_len))))
-    owner = ids[np.searchsorted(offsets, start, "right") - 1]
-    content = T.span_hashes(data, start, start + count + min_len - 1)
-    order = np.lexsort((start, owner, content, key))
-    start, count, key, owner, content = (x[order] for x in (start, count, key, owner, content))
-    new = np.ones(len(key), bool)
-    new[1:] = (content[1:] != content[:-1]) | (key[1:] != key[:-1])
-    later = owner > owner[np.flatnonzero(new)][np.cumsum(new) - 1] if len(new) else new  # copies of what a smaller id has in this chunk
-    gone = _merged(start[later], start[later] + count[later] + min_len - 1, len(data))
-    start, count, key, owner = (x[~later] for x in (start, count, key, owner))
-    lengths = count + min_len - 1
+    back = [_unpack(b.as_py(), np.uint8, np.uint8) for b in answers.sort_by("part").column("blob")]
+    first, kind = (np.concatenate([np.empty(0, np.uint8), *(x[k] for x in back)]) for k in (0, 1))
+    r = _Runs(table, min_len, None, kind)
+    least = r.owner == (r.owner[r.new][r.group] if len(r.owner) else r.owner)
+    ours = least & (first[r.group] == 1) if len(r.owner) else least
+    gone = _merged(r.start[~ours], (r.start + r.lengths)[~ours])
+    order = np.flatnonzero(ours)
+    order = order[np.argsort(r.key[order], kind="stable")]
+    start, lengths, key, owner = (x[order] for x in (r.start, r.lengths, r.key, r.owner))
     cut = _ranges(key, bits)
     blobs = []
     for p, (s, n, k, o) in enumerate(zip(*(np.split(x, cut) for x in (start, lengths, key, owner)), strict=True)):
         mine = gone if p == chunk % 2**bits else gone[:0]
         if len(s) or len(mine):
-            blobs.append((p, _pack(data[_spans(s, n)], n.astype(np.int32), s, k, o, mine)))
+            blobs.append((p, _pack(r.data[_spans(s, n)], n.astype(np.int32), s, k, o, mine)))
     return _rows(chunk, blobs)
 
 
-def _merged(start: np.ndarray, end: np.ndarray, size: int) -> np.ndarray:
+def _merged(start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Spans joined where they touch, as rows (start, end)."""
     if not len(start):
         return np.empty((0, 2), np.int64)
@@ -220,7 +274,7 @@ def _answer_runs(table: pa.Table, min_len: int) -> pa.Table:
         by = np.argsort(src, kind="stable")
         for k, piece in zip(np.unique(src), np.split(by, np.flatnonzero(np.diff(src[by])) + 1), strict=False):
             gone[k].append(np.stack([b[piece], e[piece]], 1))
-    out = [_merged(*np.concatenate(x).T, 0) for x in gone]
+    out = [_merged(*np.concatenate(x).T) for x in gone]
     return pa.table({"chunk": pa.array(chunks), "blob": pa.array([x.astype(np.int64).tobytes() for x in out], pa.binary())})
 
 
@@ -288,7 +342,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sent = "part long, chunk long, blob binary"
     keys = picked.groupBy("_chunk").applyInArrow(lambda t: _send_keys(t, min_len, bits), sent)
     answers = keys.groupBy("part").applyInArrow(_answer_keys, sent)
-    runs = picked.groupBy("_chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda t, a: _send_runs(t, a, min_len, bits), sent)
+    contents = picked.groupBy("_chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda t, a: _send_contents(t, a, min_len, bits), sent)
+    firsts = contents.groupBy("part").applyInArrow(_answer_contents, sent)
+    runs = picked.groupBy("_chunk").cogroup(firsts.groupBy("chunk")).applyInArrow(lambda t, a: _send_runs(t, a, min_len, bits), sent)
     gone = runs.groupBy("part").applyInArrow(lambda t: _answer_runs(t, min_len), "chunk long, blob binary")
     names = ["_id", *keep]
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in picked.select(*names).schema)

@@ -18,6 +18,7 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 SLICE_BYTES = 1 << 20
+_STEP = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _BYTES = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 
@@ -62,7 +63,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-@lru_cache(2)
+@lru_cache(1)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(size, _BASE, np.uint64), np.full(size, pow(_BASE, -1, 2**64), np.uint64)
     up[0] = down[0] = 1
@@ -70,8 +71,20 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, equal for equal bytes wherever they stand."""
-    up, down = _powers(1 << max(21, int(len(data)).bit_length()))
+    """64-bit hashes of byte spans, equal for equal bytes wherever they stand. Works through ``data`` a MB at a time."""
+    if len(data) <= _STEP:
+        return _span_hashes(data, starts, ends)
+    out = np.empty(len(starts), np.uint64)
+    order = np.argsort(starts, kind="stable")
+    for part in np.split(order, np.searchsorted(starts[order], np.arange(_STEP, len(data), _STEP))):
+        if len(part):
+            low, high = int(starts[part[0]]), int(ends[part].max())
+            out[part] = _span_hashes(data[low:high], starts[part] - low, ends[part] - low)
+    return out
+
+
+def _span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    up, down = _powers(max(_STEP << 1, 1 << int(len(data)).bit_length()))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTES[data] * up[: len(data)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))

@@ -78,3 +78,17 @@ def test_likelihood_keeps_close_sets():
 def test_repeated_rows(docs):
     twice = docs.union(docs)
     assert neardup.near_duplicates(twice).where(F.col("doc_id") == 3).count() == 2
+
+
+def test_fringe_of_a_large_group(spark):
+    """Edited copies of one text: some link to its middle, some only to each other, some to nothing."""
+    rng = np.random.default_rng(8)
+    base = [f"b{i}" for i in range(150)]
+    rows, sibling = [(0, " ".join(base))], None
+    for d in range(1, 90):
+        w = list(sibling if sibling and d % 4 == 0 else base)
+        for at in rng.choice(150, int(rng.integers(1, 12)), replace=False):
+            w[at] = f"n{rng.integers(10**6)}"
+        sibling = w
+        rows.append((d, " ".join(w)))
+    check(spark.createDataFrame(rows, "doc_id long, text string"))
