@@ -47,6 +47,15 @@ def op8_top_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_inner_products(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from orbitframe.llm.storage import Workspace
+    from orbitframe.llm.tokenfile import token_digest
+
+    return token_digest(documents(spark, sf_dir), f"{Workspace(spark, 'tokens').root}/shards", public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orbitframe.llm.rules import weak_quality
 
