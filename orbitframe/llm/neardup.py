@@ -205,10 +205,12 @@ def crossing_pairs(keyed: DataFrame, labels: DataFrame, tested: DataFrame, reps:
     other = few.select("shingle", F.col("id").alias("x"), F.col("label").alias("lx"))
     through_rare = few.join(other, "shingle").where("id < x and label <> lx").select(F.col("id").alias("a"), F.col("x").alias("b"))
     common = reps.select("id", "n").join(lists.groupBy("id").agg(F.count("*").alias("k")), "id", "left").select("id", "n", (F.col("n") - F.coalesce("k", F.lit(0))).alias("common"))
-    able = work.save(members.join(common.where(100 * F.col("common") >= percent * F.col("n")), "id"), "able")
-    others = able.where("label <> main").select("band", F.col("id").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("common").alias("cx"))
+    common = common.where(100 * F.col("common") >= percent * F.col("n")).join(members.groupBy("id").agg(F.collect_set("band").alias("bands")), "id")  # at most BANDS each
+    able = work.save(members.join(common, "id"), "able")
+    others = able.where("label <> main").select("band", F.col("id").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("common").alias("cx"), F.col("bands").alias("bx"))
     most = F.least("common", "cx")
-    met = others.join(able, "band").where((F.col("lx") != F.col("label")) & (100 * most >= percent * (F.col("n") + F.col("nx") - most)))
+    once = F.array_min(F.array_intersect("bands", "bx")) == F.col("band")
+    met = others.join(able, "band").where((F.col("lx") != F.col("label")) & (100 * most >= percent * (F.col("n") + F.col("nx") - most)) & once)
     through_bands = met.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"))
     return through_rare.union(through_bands).distinct().join(tested, ["a", "b"], "left_anti")
 

@@ -33,6 +33,7 @@ SEGMENT = 1 << 20
 BLOCK = 400_000
 HOT = 2000
 _NO_ID = np.iinfo(np.int64).max
+_BYTE = np.uint64(1) << (np.arange(1, 8, dtype=np.uint64) * np.uint64(8))
 
 
 def string_runs(data: np.ndarray, offsets: np.ndarray, min_len: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -49,7 +50,7 @@ def string_runs(data: np.ndarray, offsets: np.ndarray, min_len: int) -> tuple[np
         start = np.flatnonzero(new & whole)
         after = np.flatnonzero(new | ~whole)
         end = np.append(after, len(at))[np.searchsorted(after, start, "right")]
-        found.append((at[start], end - start, keys[start]))
+        found.append((at[start], end - start, T.mix(keys[start])))  # mixed anew: least hashes crowd at the low end
     if not found:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
     return tuple(map(np.concatenate, zip(*found, strict=True)))
@@ -84,22 +85,25 @@ def longest_previous_factors(data: np.ndarray, at: np.ndarray, ids: np.ndarray,
     key = [padded[at + 8 * k] for k in range(words)]
     if cap % 8:
         key[-1] = key[-1] >> np.uint64(64 - 8 * (cap % 8))
-    order = np.lexsort(key[::-1])
+    order = np.argsort(key[0], kind="stable")
+    tied = np.zeros(len(at) + 1, bool)
+    tied[1:-1] = key[0][order][1:] == key[0][order][:-1]
+    some = np.flatnonzero(tied[:-1] | tied[1:])  # ranks that the first eight bytes don't settle
+    if len(some):
+        part = order[some]
+        order[some] = part[np.lexsort([k[part] for k in key[::-1]])]
     rank_ids, key = ids[order], [k[order] for k in key]
     before = _nearest_smaller(rank_ids)
     after = len(at) - 1 - _nearest_smaller(rank_ids[::-1])[::-1]
     longest = np.zeros(len(at), np.int64)
     for other, exists in ((before, before >= 0), (after, after < len(at))):
         i = np.flatnonzero(exists)
-        o = other[i]
-        common, open_ = np.zeros(len(i), np.int64), np.ones(len(i), bool)
-        for k in range(words):
+        for k in range(words):  # only where all bytes before agree
             size = min(8, cap - 8 * k)
-            differ = key[k][i] ^ key[k][o]
-            zeros = np.where(differ == 0, size, size - 1 - (np.log2(np.maximum(differ, 1).astype(np.float64)) // 8).astype(np.int64))
-            common += np.where(open_, np.clip(zeros, 0, size), 0)
-            open_ &= differ == 0
-        longest[i] = np.maximum(longest[i], common)
+            differ = key[k][i] ^ key[k][other[i]]
+            same = np.where(differ == 0, size, size - 1 - np.searchsorted(_BYTE, differ, "right"))
+            longest[i] = np.maximum(longest[i], 8 * k + same)
+            i = i[differ == 0]
     out = np.empty(len(at), np.int64)
     out[order] = longest
     return out
