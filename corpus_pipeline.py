@@ -1,8 +1,68 @@
-"""A corpus pipeline of numbered operators, stage by stage."""
+"""A corpus pipeline of numbered operators: each stage is written as Parquet and read again by the next one.
 
-STAGES = []
+Toxic documents go, one document of each near-duplicate group stays, repeated passages are cut from the texts that
+remain, sources are brought to their target weights by whole copies, and the mix is encoded to token ids.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from orbitframe.llm.bpe import decode_documents, encode_documents
+from orbitframe.llm.mixing import mix_sources
+from orbitframe.llm.neardup import near_duplicates
+from orbitframe.llm.storage import Workspace
+from orbitframe.llm.suffixdedup import remove_repeats
+from orbitframe.llm.toxicity import fit_toxicity, score_toxicity
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below one half; the network learns from the labelled ones among them."""
+    scored = score_toxicity(docs, fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return scored.where("toxicity_score < 0.5").drop("toxicity_score")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each near-duplicate group; documents without an id stay."""
+    gone = near_duplicates(docs).where("not kept").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the byte strings that one with a smaller id has; characters cut in two go whole."""
+    cut = remove_repeats(docs, keep=("lang", "source"))
+    raw = F.col("kept").cast("string")
+    text = F.when(F.is_valid_utf8(raw), raw).otherwise(F.replace(F.make_valid_utf8(raw), F.lit("�"), F.lit("")))
+    return cut.select("doc_id", text.alias("text"), "lang", "source").withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    copies = mix_sources(docs).where("copies > 0").select("doc_id", "copies")
+    met = docs.join(copies, docs.doc_id.eqNullSafe(copies.doc_id)).drop(copies.doc_id)
+    return met.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids, n_tokens and digests of the ids and of what they decode to."""
+    import public_tokenizers
+
+    how = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    decoded = decode_documents(encode_documents(docs, *how), *how)
+    joined = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return decoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined.cast("binary"), 256).alias("ids_sha256"), F.sha2("raw", 256).alias("decoded_sha256"))
+
+
+STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("suffix_dedup", cut_repeats), ("mixing", mix), ("byte_bpe", encode)]
+#: Sketches, trained networks and vocabularies have no SQL; tests/llm holds every stage against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table."""
+    work = Workspace(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        docs = work.save(stage(spark, docs, sf_dir), f"{k}-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -232,14 +232,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, n_shingles, component_id, kept): near-duplicate components of whole texts.
 
     Null, empty and wordless texts have an empty set and stay alone; equal sets (repeated rows, exact copies) are
-    linked; component_id is the smallest id reachable, and exactly that document is kept. Ids are integers; extra
-    columns are ignored; an empty table gives an empty result.
+    linked; component_id is the smallest id reachable, and exactly that document is kept. Ids are integers; rows
+    without one take no part, have no component and are kept; extra columns are ignored; an empty table gives an
+    empty result.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "neardup")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_text"))
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_text"))
     sketched = work.save(sketch_documents(docs, id_col, text_col, size), "sketches")
-    groups = sketched.where("n > 0").groupBy("set_a", "set_b", "n").agg(F.min(F.struct("id", "sketch")).alias("m"))
+    groups = sketched.where("n > 0 and id is not null").groupBy("set_a", "set_b", "n").agg(F.min(F.struct("id", "sketch")).alias("m"))
     reps = work.save(groups.select("set_a", "set_b", "n", "m.id", "m.sketch"), "representatives")
     keyed = bands(reps)
     pairs = work.save(plausible(leader_pairs(keyed, work), reps, percent / 100), "pairs")
@@ -252,5 +253,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         labels = connected_components(links.union(more_links), work, "second")
     found = reps.join(labels, "id", "left").select("set_a", "set_b", "n", F.coalesce("label", "id").alias("component_id"))
     out = sketched.join(found, ["set_a", "set_b", "n"], "left")
-    component = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

@@ -41,6 +41,13 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orbitframe.llm.quality import fit_quality, score_quality
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return score_quality(docs, fit_quality(docs)).select("doc_id", F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.5).alias("kept"))
+
+
 def op8_top_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orbitframe.llm.topk import top_inner_products
 

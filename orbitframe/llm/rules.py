@@ -110,11 +110,13 @@ def default_rules() -> dict[str, Column]:
     }
 
 
-def fit_votes(votes: np.ndarray, counts: np.ndarray, rounds: int = 50, prior: float = 20.0) -> tuple[np.ndarray, float]:
+def fit_votes(votes: np.ndarray, counts: np.ndarray, rounds: int = 50, prior: float = 20.0, false_alarm: float = 0.01) -> tuple[np.ndarray, float]:
     """(P(vote | class) as [rule, class, vote + 1], share of good) by expectation-maximisation over counted vote patterns.
 
     Starts from rules that are right four times out of five; ``prior`` pseudo-documents of that belief keep the
-    classes from swapping and make the fit defined for empty tables and for rules that never vote.
+    classes from swapping and make the fit defined for empty tables and for rules that never vote. Bad votes are for
+    clear defects, so no rule is believed to cast one on more than ``false_alarm`` of good documents; without that
+    bound a defect that no other rule sees would count as normal.
     """
     rules = votes.shape[1]
     belief = np.tile(np.array([[0.6, 0.25, 0.15], [0.1, 0.25, 0.65]]), (rules, 1, 1))
@@ -126,6 +128,9 @@ def fit_votes(votes: np.ndarray, counts: np.ndarray, rounds: int = 50, prior: fl
             table[:, 1, k] = (hit * p[:, None]).sum(0) + prior * belief[:, 1, k]
             table[:, 0, k] = (hit * (counts - p)[:, None]).sum(0) + prior * belief[:, 0, k]
         table /= table.sum(2, keepdims=True)
+        excess = np.maximum(table[:, 1, 0] - false_alarm, 0)
+        table[:, 1, 0] -= excess
+        table[:, 1, 1:] *= 1 + (excess / table[:, 1, 1:].sum(1))[:, None]
         good = (p.sum() + prior * 0.8) / (counts.sum() + prior)
     return table, float(good)
 

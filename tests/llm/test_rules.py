@@ -44,6 +44,6 @@ def test_expectation_maximisation_finds_the_better_rules():
     accuracy = [0.95, 0.9, 0.65]
     votes = np.stack([np.where(rng.random(4000) < a, truth, ~truth) * 2 - 1 for a in accuracy], 1)
     patterns, counts = np.unique(votes, axis=0, return_counts=True)
-    table, good = rules.fit_votes(patterns, counts.astype(float))
+    table, good = rules.fit_votes(patterns, counts.astype(float), false_alarm=1.0)
     assert abs(good - 0.7) < 0.08
     assert [abs(table[k, 1, 2] - a) < 0.06 for k, a in enumerate(accuracy)] == [True] * 3
