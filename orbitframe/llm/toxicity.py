@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from orbitframe.llm import text as T
 
 WINDOW, STRIDE, GRAM = 16, 8, 5
-WIDTH, HIDDEN, VOCABULARY = 6, 8, 3000
+WIDTH, HIDDEN, VOCABULARY, SUPPORT = 6, 8, 3000, 5
 _EDGE = np.array([not (c >= 0x80 or chr(c).isalnum()) for c in range(256)])
 _PLAIN = np.where(T.SPACE, 32, T.LOWER).astype(np.uint8)
 
@@ -177,7 +177,11 @@ def _informative(keys: np.ndarray, text: np.ndarray, toxic: np.ndarray, most: in
     yes, no = toxic.sum(), (~toxic).sum()
     a, b = (hits + 0.5) / (yes + 1), (seen - hits + 0.5) / (no + 1)
     gain = (hits / max(yes, 1) - (seen - hits) / max(no, 1)) ** 2 / (seen + 1)
+    gain[seen < min(SUPPORT, 1 + toxic.sum() // 8)] = -1
     top = np.argsort(-gain, kind="stable")[:most]
+    top = top[gain[top] > 0]
+    if not len(top):
+        return np.zeros(1, np.uint64), np.zeros(1, np.float32)
     top = top[np.argsort(keys[at][top])]
     return keys[at][top], (np.clip(np.log(a / b), -4, 4)[top] / 4).astype(np.float32)
 
@@ -204,6 +208,7 @@ def train(texts: list[str | None], toxic: list[int], rounds: int = 10, seed: int
     index, owner = windows(w.first, w.at)
     first = T.runs(owner)
     moments, step, rng = {}, 0, np.random.default_rng(seed)
+    rounds = max(rounds, -(-120 // max(1, len(texts) // 128)))  # few texts are gone over more often
     for r in range(rounds):
         inputs, used = net.embed(w)
         if r == 0:
