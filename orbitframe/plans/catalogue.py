@@ -1,11 +1,553 @@
-"""Queries of the trajectory operators over the synthetic tables, with SQL to hold them against."""
+"""Queries of the trajectory operators over the synthetic tables, with DuckDB SQL to hold them against.
+
+Every query takes (spark, sf_dir) and covers whole tables; numbers are rounded to six places on both sides.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from orbitframe.functions import chemistry, units
+from orbitframe.functions.vectors import Box, Vec, dihedral_atan2, lattice_angles, vec
+from orbitframe.operators import aggregates as A
+from orbitframe.operators import fitting, neighbors, timeseries, topology, transforms
+from orbitframe.operators import selection as S
+from orbitframe.plans import views as V
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+CUTOFF = 2.5
+ORTHO, TILTED = Box(*V.BOX), Box(*V.TILTED)
+
+
+def query(sql: str | None = None, tables: bool = True):
+    """Register a query under its function's name, with the SQL that follows the views."""
+
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = (V.SQL if tables else "") + sql
+        return f
 
-def queries() -> dict:
-    return {}
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in columns})
+
+
+def r(*columns: str) -> str:
+    return ", ".join(f"round({c}, 6) + 0.0 as {c}" for c in columns)
+
+
+def _weighted(spark, d):
+    return V.coords(spark, d).join(V.atoms(spark, d).select("atom_index", "mass"), "atom_index")
+
+
+def _first(spark, d):
+    return V.coords(spark, d).where("frame_index = 0").drop("frame_index")
+
+
+PROTEIN = "resname in ('ALA', 'GLY', 'SER', 'LYS', 'ASP', 'VAL')"
+IDS = " order by atom_index"
+
+
+@query(f", c as (select frame_index, sum(mass * x) / sum(mass) as cx, sum(mass * y) / sum(mass) as cy, sum(mass * z) / sum(mass) as cz from coords join atoms using (atom_index) where {PROTEIN} and name in ('N', 'CA', 'C', 'O') group by 1), g as (select frame_index, sqrt(sum(mass * ((x - cx) ** 2 + (y - cy) ** 2 + (z - cz) ** 2)) / sum(mass)) as rg, count(*) as n from coords join atoms using (atom_index) join c using (frame_index) where {PROTEIN} and name in ('N', 'CA', 'C', 'O') group by 1) select frame_index, n, {r('rg')} from g")
+def flagship_backbone_rg(spark, d):
+    held = V.coords(spark, d).join(V.atoms(spark, d).where(S.backbone()).select("atom_index", "mass"), "atom_index")
+    n = held.groupBy("frame_index").agg(F.count("*").alias("n"))
+    return rounded(A.radius_of_gyration(held).join(n, "frame_index"), "rg").select("frame_index", "n", "rg")
+
+
+# selections
+
+
+@query("select atom_index, name from atoms where name like 'C%'")
+def sel_name_glob(spark, d):
+    return V.atoms(spark, d).where(S.matches("name", "C*")).select("atom_index", "name")
+
+
+@query("select atom_index, resid from atoms where resid between 3 and 9 or resid = 20")
+def sel_resid_range(spark, d):
+    return V.atoms(spark, d).where(S.within("resid", (3, 9), 20)).select("atom_index", "resid")
+
+
+@query("select atom_index from atoms where atom_index + 1 between 10 and 40")
+def sel_bynum(spark, d):
+    return V.atoms(spark, d).where(S.within("atom_index", (10, 40), offset=1)).select("atom_index")
+
+
+@query("select atom_index from placed where abs(x) < 1.5 and z >= 0.25")
+def sel_prop_abs(spark, d):
+    return V.placed_atoms(spark, d).where(S.compare("x", "<", 1.5, absolute=True) & S.compare("z", ">=", 0.25)).select("atom_index")
+
+
+@query(f"select atom_index from atoms where {PROTEIN} and not name in ('N', 'CA', 'C', 'O')")
+def sel_protein_not_backbone(spark, d):
+    return V.atoms(spark, d).where(S.protein() & ~S.backbone()).select("atom_index")
+
+
+@query("select atom_index, resname from atoms where resname in ('HOH', 'SOL')")
+def sel_water(spark, d):
+    return V.atoms(spark, d).where(S.water()).select("atom_index", "resname")
+
+
+@query("select atom_index, resname from atoms where resname in ('ADE', 'GUA')")
+def sel_nucleic(spark, d):
+    return V.atoms(spark, d).where(S.nucleic()).select("atom_index", "resname")
+
+
+@query("select atom_index from placed where x * x + y * y + z * z < 2.25")
+def sel_point(spark, d):
+    return V.placed_atoms(spark, d).where(S.point(0.0, 0.0, 0.0, 1.5)).select("atom_index")
+
+
+@query("select atom_index from placed p where not resname in ('HOH', 'SOL') and exists (select 1 from placed q where q.resname in ('HOH', 'SOL') and (p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2 < 0.81)")
+def sel_around(spark, d):
+    return S.around(V.placed_atoms(spark, d), 0.9, S.water())
+
+
+@query("select atom_index from atoms where resname in (select resname from atoms where atom_index = 12)")
+def sel_same_resname(spark, d):
+    return S.same(V.atoms(spark, d), "resname", F.col("atom_index") == 12)
+
+
+@query("select atom_index from atoms where atom_type is null")
+def sel_same_type_nullsafe(spark, d):
+    return S.same(V.atoms(spark, d), "atom_type", F.col("atom_index") == 7)
+
+
+@query("select atom_index from placed p where exists (select 1 from placed q where q.resid = 4 and abs(p.x - q.x) <= 1e-6)")
+def sel_same_x(spark, d):
+    return S.same(V.placed_atoms(spark, d), "x", F.col("resid") == 4)
+
+
+@query("select atom_index from placed where (resid, segid) in (select (resid, segid) from placed where x > 2.0)")
+def sel_byres(spark, d):
+    return S.by_residue(V.placed_atoms(spark, d), S.compare("x", ">", 2.0))
+
+
+@query("select distinct a as atom_index from edges join atoms on b = atom_index where name = 'CA'")
+def sel_bonded(spark, d):
+    return S.bonded(V.atoms(spark, d), V.bonds(spark, d), S.matches("name", "CA"))
+
+
+@query("select atom_index from atoms where charge > 0.1")
+def sel_group(spark, d):
+    atoms = V.atoms(spark, d)
+    return S.group(atoms, {"positive": atoms.where("charge > 0.1").select("atom_index")}, "positive")
+
+
+@query("select atom_index from atoms where segid = 'S1' and resid = 30 and name = 'CA'")
+def sel_atom_triple(spark, d):
+    return V.atoms(spark, d).where(S.atom("S1", 30, "CA")).select("atom_index")
+
+
+@query("select p_partkey, p_name from part where regexp_full_match(p_name, '[a-m].* r.*')", tables=False)
+def part_name_glob(spark, d):
+    return spark.read.parquet(f"{d}/part.parquet").where(S.matches("p_name", "[a-m]* r*")).select("p_partkey", "p_name")
+
+
+# topology
+
+
+@query(", f as (select *, case when resid is distinct from lag(resid) over w or resname is distinct from lag(resname) over w or segid is distinct from lag(segid) over w then 1 else 0 end as new from atoms window w as (order by atom_index)), g as (select *, sum(new) over (order by atom_index) - 1 as residue_index from f) select cast(residue_index as bigint) as residue_index, resid, resname, segid, min(atom_index) as first_atom, count(*) as n_atoms from g group by 1, 2, 3, 4")
+def hierarchy_residues(spark, d):
+    return topology.residue_table(V.atoms(spark, d)).withColumn("residue_index", F.col("residue_index").cast("long"))
+
+
+@query("select cast(row_number() over (order by min(atom_index)) - 1 as bigint) as segment_index, segid, count(*) as n_atoms from atoms group by segid")
+def hierarchy_segments(spark, d):
+    return topology.segment_table(V.atoms(spark, d)).withColumn("segment_index", F.col("segment_index").cast("long"))
+
+
+@query("select atom_index, count(b) as degree, coalesce(string_agg(cast(b as varchar), ',' order by b), '') as partners from atoms left join edges on a = atom_index group by 1")
+def adjacency(spark, d):
+    found = topology.adjacency(V.atoms(spark, d), V.bonds(spark, d))
+    return found.select("atom_index", F.size("neighbors").cast("long").alias("degree"), F.array_join(F.col("neighbors").cast("array<string>"), ",").alias("partners"))
+
+
+@query(f", b as (select p.frame_index, atom1, atom2, sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2) as length from bonds join coords p on p.atom_index = atom1 join coords q on q.atom_index = atom2 and q.frame_index = p.frame_index) select frame_index, atom1, atom2, {r('length')} from b")
+def bond_lengths(spark, d):
+    return rounded(topology.bond_lengths(V.bonds(spark, d), V.coords(spark, d), ("frame_index",)), "length")
+
+
+_ANGLE = "acos(greatest(-1, least(1, ({0}) / (sqrt({1}) * sqrt({2})))))"
+
+
+@query(f", t as (select f.b as first, f.a as center, l.b as last from edges f join edges l on f.a = l.a and f.b < l.b), v as (select first, center, last, p.x - c.x as ax, p.y - c.y as ay, p.z - c.z as az, q.x - c.x as bx, q.y - c.y as by_, q.z - c.z as bz from t join placed p on p.atom_index = first join placed c on c.atom_index = center join placed q on q.atom_index = last), w as (select first, center, last, {_ANGLE.format('ax * bx + ay * by_ + az * bz', 'ax * ax + ay * ay + az * az', 'bx * bx + by_ * by_ + bz * bz')} as angle from v) select first, center, last, {r('angle')} from w")
+def angles(spark, d):
+    return rounded(topology.angles(V.bonds(spark, d), _first(spark, d)), "angle")
+
+
+_TORSION = """, {source}, n as (select *, ay * bz - az * by_ as px, az * bx - ax * bz as py, ax * by_ - ay * bx as pz, by_ * cz - bz * cy as qx, bz * cx - bx * cz as qy, bx * cy - by_ * cx as qz from v),
+w as (select *, acos(greatest(-1, least(1, (px * qx + py * qy + pz * qz) / (sqrt(px * px + py * py + pz * pz) * sqrt(qx * qx + qy * qy + qz * qz))))) as a, ax * qx + ay * qy + az * qz as s from n),
+u as (select *, case when s <= 0 then a else -a end as dihedral from w)"""
+_STEPS = "p2.x - p1.x as ax, p2.y - p1.y as ay, p2.z - p1.z as az, p3.x - p2.x as bx, p3.y - p2.y as by_, p3.z - p2.z as bz, p4.x - p3.x as cx, p4.y - p3.y as cy, p4.z - p3.z as cz"
+_QUADS = f"t as (select e.b as first, m.a as second, m.b as third, g.b as last from edges m join edges e on e.a = m.a and e.b <> m.b join edges g on g.a = m.b and g.b <> m.a where m.a < m.b), v as (select first, second, third, last, {_STEPS} from t join placed p1 on p1.atom_index = first join placed p2 on p2.atom_index = second join placed p3 on p3.atom_index = third join placed p4 on p4.atom_index = last where first <> last)"
+
+
+@query(_TORSION.format(source=_QUADS) + f" select first, second, third, last, {r('dihedral')} from u")
+def dihedrals_iupac(spark, d):
+    return rounded(topology.dihedrals(V.bonds(spark, d), _first(spark, d)).where("first <> last"), "dihedral")
+
+
+@query(_TORSION.format(source=_QUADS) + ", z as (select first, second, third, last, case when dihedral > 0 then pi() - dihedral else -pi() - dihedral end as torsion from u) select first, second, third, last, round(torsion, 6) + 0.0 as torsion from z where abs(abs(torsion) - pi()) > 1e-5 and abs(torsion) > 1e-5")
+def dihedrals_distances(spark, d):
+    met = topology.dihedral_quads(V.bonds(spark, d)).where("first <> last")
+    for k, key in enumerate(("first", "second", "third", "last"), 1):
+        met = met.join(_first(spark, d).select(F.col("atom_index").alias(key), *(F.col(c).alias(f"{c}{k}") for c in "xyz")), key)
+    found = met.select("first", "second", "third", "last", dihedral_atan2(*(vec(suffix=str(k)) for k in (1, 2, 3, 4))).alias("torsion"))
+    return rounded(found.where("abs(abs(torsion) - pi()) > 1e-5 and abs(torsion) > 1e-5"), "torsion")
+
+
+@query(" select atom_index, atom_index - atom_index % 5 as fragment from atoms")
+def fragments(spark, d):
+    from orbitframe.sources.checkpoints import ensure_checkpoints
+
+    ensure_checkpoints(spark)
+    return topology.fragments(V.atoms(spark, d), V.bonds(spark, d))
+
+
+# aggregations
+
+
+@query(f", g as (select frame_index, avg(x) as x, avg(y) as y, avg(z) as z from coords group by 1) select frame_index, {r('x', 'y', 'z')} from g")
+def cog(spark, d):
+    return rounded(A.center_of_geometry(V.coords(spark, d)), *"xyz")
+
+
+@query(f", g as (select frame_index, sum(mass * x) / sum(mass) as x, sum(mass * y) / sum(mass) as y, sum(mass * z) / sum(mass) as z from coords join atoms using (atom_index) group by 1) select frame_index, {r('x', 'y', 'z')} from g")
+def com(spark, d):
+    return rounded(A.center_of_mass(_weighted(spark, d)), *"xyz")
+
+
+@query("select segid, round(sum(mass), 6) + 0.0 as mass from atoms group by segid")
+def total_mass(spark, d):
+    return rounded(A.total(V.atoms(spark, d), "mass", ("segid",)), "mass")
+
+
+@query("select frame_index, min(x) as min_x, min(y) as min_y, min(z) as min_z, max(x) as max_x, max(y) as max_y, max(z) as max_z from coords group by 1")
+def bounding_box(spark, d):
+    return A.bounding_box(V.coords(spark, d))
+
+
+_RG = ", c as (select frame_index, sum({w} * x) / sum({w}) as cx, sum({w} * y) / sum({w}) as cy, sum({w} * z) / sum({w}) as cz from coords join atoms using (atom_index) group by 1), g as (select frame_index, sqrt(sum({w} * ((x - cx) ** 2 + (y - cy) ** 2 + (z - cz) ** 2)) / sum({w})) as rg from coords join atoms using (atom_index) join c using (frame_index) group by 1) select frame_index, round(rg, 6) + 0.0 as rg from g"
+
+
+@query(_RG.format(w="mass"))
+def rg_mass(spark, d):
+    return rounded(A.radius_of_gyration(_weighted(spark, d)), "rg")
+
+
+@query(_RG.format(w="1.0"))
+def rg_geometric(spark, d):
+    return rounded(A.radius_of_gyration(V.coords(spark, d), weight=None), "rg")
+
+
+_TO_FIRST = ", g as (select c.frame_index, {e} as {n} from coords c join coords f on f.atom_index = c.atom_index and f.frame_index = 0 join atoms a on a.atom_index = c.atom_index group by 1) select frame_index, round({n}, 6) + 0.0 as {n} from g"
+_D2 = "((c.x - f.x) ** 2 + (c.y - f.y) ** 2 + (c.z - f.z) ** 2)"
+
+
+@query(_TO_FIRST.format(e=f"sqrt(avg({_D2}))", n="rmsd"))
+def rmsd_to_first(spark, d):
+    return rounded(A.rmsd(V.coords(spark, d), _first(spark, d)), "rmsd")
+
+
+@query(_TO_FIRST.format(e=f"sqrt(sum(mass * {_D2}) / sum(mass))", n="rmsd"))
+def weighted_rmsd(spark, d):
+    return rounded(A.rmsd(_weighted(spark, d), _first(spark, d), weight="mass"), "rmsd")
+
+
+@query(_TO_FIRST.format(e=f"avg({_D2})", n="msd"))
+def msd_to_first(spark, d):
+    return rounded(A.mean_square_displacement(V.coords(spark, d), _first(spark, d)), "msd")
+
+
+@query(", g as (select atom_index, sqrt(var_pop(x) + var_pop(y) + var_pop(z)) as rmsf from coords group by 1) select atom_index, round(rmsf, 6) + 0.0 as rmsf from g")
+def rmsf(spark, d):
+    return rounded(A.rmsf(V.coords(spark, d)), "rmsf")
+
+
+_PAIRS = "select p.atom_index as i, q.atom_index as j, sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2) as distance from placed p join placed q on p.atom_index < q.atom_index"
+
+
+@query(f", g as ({_PAIRS} where p.atom_index < 100 and q.atom_index < 100) select i, j, {r('distance')} from g")
+def self_distance_array(spark, d):
+    few = _first(spark, d).where("atom_index < 100").withColumn("frame_index", F.lit(0))
+    return rounded(neighbors.all_distances(few, few, ("frame_index",)).where("i < j"), "distance").drop("frame_index")
+
+
+@query(f", g as ({_PAIRS}) select i, j, {r('distance')} from g where distance <= 1.0 and distance > 0.2")
+def self_capped_distance(spark, d):
+    return rounded(neighbors.self_pairs_within(_first(spark, d), 1.0, lower=0.2), "distance")
+
+
+_WATER = "('HOH', 'SOL')"
+
+
+@query(f", g as (select p.atom_index as i, q.atom_index as j, sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2) as distance from placed p, placed q where p.resname in {_WATER} and not q.resname in {_WATER}) select i, j, {r('distance')} from g where distance <= 1.2")
+def capped_distance(spark, d):
+    atoms = V.placed_atoms(spark, d)
+    return rounded(neighbors.pairs_within(atoms.where(S.water()), atoms.where(~S.water()), 1.2), "distance")
+
+
+def _near(v: str, size: float) -> str:
+    return f"({v} - {size} * round({v} / {size}))"
+
+
+_IMAGE = ", g as (select p.atom_index as i, q.atom_index as j, q.x - p.x as dx, q.y - p.y as dy, q.z - p.z as dz from placed p join placed q on p.atom_index < q.atom_index), h as (select i, j, sqrt(" + " + ".join(f"{_near(v, s)} ** 2" for v, s in zip(("dx", "dy", "dz"), (5.0, 6.0, 7.0))) + ") as distance from g)"
+
+
+@query(_IMAGE + f" select i, j, {r('distance')} from h where distance <= 1.0")
+def periodic_pairs(spark, d):
+    return rounded(neighbors.self_pairs_within(_first(spark, d), 1.0, box=ORTHO), "distance")
+
+
+def _tilted_sql() -> str:
+    v = TILTED.vectors()
+    cells = ", ".join(f"({i * v[0][0] + j * v[1][0] + k * v[2][0]!r}, {j * v[1][1] + k * v[2][1]!r}, {k * v[2][2]!r})" for i in range(-3, 4) for j in range(-3, 4) for k in range(-3, 4))
+    return f", s(sx, sy, sz) as (values {cells}), g as (select p.atom_index as i, q.atom_index as j, q.x - p.x as dx, q.y - p.y as dy, q.z - p.z as dz from placed p join placed q on p.atom_index < q.atom_index and q.atom_index < 120), h as (select i, j, sqrt(min((dx + sx) ** 2 + (dy + sy) ** 2 + (dz + sz) ** 2)) as distance from g, s group by 1, 2) select i, j, {r('distance')} from h where distance <= 1.5"
+
+
+@query(_tilted_sql())
+def tilted_pairs(spark, d):
+    return rounded(neighbors.self_pairs_within(_first(spark, d).where("atom_index < 120"), 1.5, box=TILTED), "distance")
+
+
+def _wrap_sql() -> str:
+    v = TILTED.vectors()
+    z, y = f"(z / {v[2][2]!r})", f"((y - z / {v[2][2]!r} * {v[2][1]!r}) / {v[1][1]!r})"
+    x = f"((x - {y} * {v[1][0]!r} - {z} * {v[2][0]!r}) / {v[0][0]!r})"
+    m = lambda e: f"({e} - floor({e}))"
+    return f", s as (select frame_index, atom_index, {m(x)} as a, {m(y)} as b, {m(z)} as c from coords), t as (select frame_index, atom_index, a * {v[0][0]!r} + b * {v[1][0]!r} + c * {v[2][0]!r} as x, b * {v[1][1]!r} + c * {v[2][1]!r} as y, c * {v[2][2]!r} as z from s) select frame_index, atom_index, {r('x', 'y', 'z')} from t"
+
+
+@query(_wrap_sql())
+def triclinic_wrap(spark, d):
+    return rounded(transforms.wrap(V.coords(spark, d), TILTED), *"xyz")
+
+
+@query(f", s as (select frame_index, atom_index, x - 5 * floor(x / 5) as x, y - 6 * floor(y / 6) as y, z - 7 * floor(z / 7) as z from coords) select frame_index, atom_index, {r('x', 'y', 'z')} from s")
+def wrap(spark, d):
+    return rounded(transforms.wrap(V.coords(spark, d), ORTHO), *"xyz")
+
+
+@query(f", g as (select q.atom_index, p.atom_index as center, sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2) as distance from placed p, placed q where p.resid = 2), h as (select atom_index, min(center) as center, arg_min(distance, center) as distance from g where distance <= {CUTOFF} group by 1) select atom_index, center, {r('distance')} from h")
+def neighbor_search(spark, d):
+    atoms = V.placed_atoms(spark, d)
+    return rounded(neighbors.neighbors(atoms, atoms.where("resid = 2"), CUTOFF), "distance")
+
+
+@query(f"select distinct q.resid from placed p, placed q where p.resid = 2 and sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2) <= {CUTOFF}")
+def neighbor_residues(spark, d):
+    atoms = V.placed_atoms(spark, d)
+    return neighbors.neighbor_level(atoms, atoms.where("resid = 2"), CUTOFF, "resid")
+
+
+@query(f", g as ({_PAIRS}) select i as atom1, j as atom2 from g where distance <= 0.9")
+def guess_bonds(spark, d):
+    return neighbors.guess_bonds(_first(spark, d), 0.9)
+
+
+@query(f", n as (select p.atom_index as i, q.atom_index as j from placed p join placed q on p.atom_index < q.atom_index where (p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2 <= 1.0), c as (select p.frame_index, sum(case when (p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2 <= 1.0 then 1 else 0 end) / count(*) as score from n join coords p on p.atom_index = i join coords q on q.atom_index = j and q.frame_index = p.frame_index group by 1) select frame_index, {r('score')} from c")
+def contact_score(spark, d):
+    coords = V.coords(spark, d)
+    native = neighbors.self_pairs_within(_first(spark, d), 1.0).select("i", "j")
+    return rounded(A.contact_score(native, neighbors.self_pairs_within(coords, 1.0, ("frame_index",)), ("frame_index",)), "score")
+
+
+@query(f", n as (select p.atom_index as i, q.atom_index as j, sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2) as d0 from placed p join placed q on p.atom_index < q.atom_index where (p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2 <= 1.0), c as (select p.frame_index, d0, sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2) as dd from n join coords p on p.atom_index = i join coords q on q.atom_index = j and q.frame_index = p.frame_index), f as (select frame_index, avg(1 / (1 + exp(5.0 * (dd - 1.8 * d0)))) as soft_q, avg(cast(dd <= 2.0 as int)) as hard_q, avg(cast(abs(dd - d0) <= 0.5 as int)) as radius_q from c group by 1) select frame_index, {r('soft_q', 'hard_q', 'radius_q')} from f")
+def native_fractions(spark, d):
+    coords = V.coords(spark, d)
+    native = neighbors.self_pairs_within(_first(spark, d), 1.0).select(F.col("i").alias("atom1"), F.col("j").alias("atom2"), F.col("distance").alias("reference"))
+    pairs = topology.bond_lengths(native, coords, ("frame_index",)).join(native, ["atom1", "atom2"]).withColumnRenamed("length", "distance")
+    return rounded(A.native_fractions(pairs, ("frame_index",), cutoff=2.0), "soft_q", "hard_q", "radius_q")
+
+
+@query(", g as (select cast(floor(sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2) / 0.25) as bigint) as bin from placed p, placed q where (p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2 < 4.0), b as (select unnest(range(0, 8)) as bin) select b.bin, b.bin * 0.25::double as edge, count(g.bin) as n from b left join g using (bin) group by 1, 2")
+def radial_counts(spark, d):
+    atoms = _first(spark, d)
+    return neighbors.radial_counts(atoms, atoms, 0.25, 2.0)
+
+
+@query(f", g as (select regr_slope(value, day) as slope, regr_intercept(value, day) as intercept, regr_r2(value, day) as r2 from series) select {r('slope', 'intercept', 'r2')} from g")
+def linear_regression(spark, d):
+    return rounded(A.linear_regression(V.series(spark, d), "day", "value"), "slope", "intercept", "r2")
+
+
+@query(f", g as (select exp(regr_intercept(ln(value), day)) as amplitude, -regr_slope(ln(value), day) as rate, regr_r2(ln(value), day) as r2 from series) select {r('amplitude', 'rate', 'r2')} from g")
+def exponential_decay(spark, d):
+    return rounded(A.exponential_decay(V.series(spark, d), "day", "value"), "amplitude", "rate", "r2")
+
+
+@query(f", m as (select c.frame_index, avg({_D2}) as msd from coords c join coords f on f.atom_index = c.atom_index and f.frame_index = 0 group by 1) select round(regr_slope(msd, frame_index * 0.2) / 6, 6) + 0.0 as diffusion from m")
+def diffusion(spark, d):
+    msd = A.mean_square_displacement(V.coords(spark, d), _first(spark, d)).withColumn("time", F.col("frame_index") * 0.2)
+    return rounded(A.diffusion_coefficient(msd, "time", "msd"), "diffusion")
+
+
+# fits
+
+
+@query()
+def kabsch_rmsd(spark, d):
+    return rounded(fitting.fit_to_reference(V.coords(spark, d), _first(spark, d)).select("frame_index", "rmsd"), "rmsd")
+
+
+@query()
+def fit_apply(spark, d):
+    coords, first = V.coords(spark, d), _first(spark, d)
+    moved = fitting.apply_fit(coords, fitting.fit_to_reference(coords, first))
+    return rounded(A.rmsd(moved, first), "rmsd")
+
+
+@query()
+def helix_axis(spark, d):
+    return rounded(fitting.helix_axis(V.coords(spark, d).where("atom_index < 60")), "ax", "ay", "az", "rms", "length")
+
+
+# transformations and time series
+
+
+@query(f", t as (select frame_index, atom_index, x + 1.5 as x, y - 2.25 as y, z + 0.5 as z from coords) select frame_index, atom_index, {r('x', 'y', 'z')} from t")
+def translate(spark, d):
+    return rounded(transforms.translate(V.coords(spark, d), (1.5, -2.25, 0.5)), *"xyz")
+
+
+@query(f", t as (select frame_index, atom_index, 1 - (y - 2) as x, 2 + (x - 1) as y, z from coords) select frame_index, atom_index, {r('x', 'y', 'z')} from t")
+def rotate(spark, d):
+    return rounded(transforms.rotate(V.coords(spark, d), 1.5707963267948966, (0.0, 0.0, 2.0), (1.0, 2.0, 3.0)), *"xyz")
+
+
+_STEP = ", ".join(f"coalesce(({c} - lag({c}) over w) - {s} * round(({c} - lag({c}) over w) / {s}), 0) as d{c}" for c, s in zip("xyz", (5.0, 6.0, 7.0)))
+
+
+@query(f", s as (select frame_index, atom_index, x, y, z, {_STEP} from coords window w as (partition by atom_index order by frame_index)), t as (select frame_index, atom_index, first_value(x) over w + sum(dx) over w as x, first_value(y) over w + sum(dy) over w as y, first_value(z) over w + sum(dz) over w as z from s window w as (partition by atom_index order by frame_index rows between unbounded preceding and current row)) select frame_index, atom_index, {r('x', 'y', 'z')} from t")
+def unwrap(spark, d):
+    return rounded(transforms.unwrap(V.coords(spark, d), ORTHO, ("atom_index",), "frame_index"), *"xyz")
+
+
+@query(f", c as (select frame_index, sum(mass * x) / sum(mass) as cx, sum(mass * y) / sum(mass) as cy, sum(mass * z) / sum(mass) as cz from coords join atoms using (atom_index) where {PROTEIN} group by 1), t as (select frame_index, atom_index, x - cx + 2.5 as x, y - cy + 3.0 as y, z - cz + 3.5 as z from coords join c using (frame_index)) select frame_index, atom_index, {r('x', 'y', 'z')} from t")
+def center_in_box(spark, d):
+    chosen = V.coords(spark, d).join(V.atoms(spark, d).where(S.protein()).select("atom_index", "mass"), "atom_index")
+    return rounded(transforms.center_in_box(V.coords(spark, d), chosen, ORTHO, "mass").select("frame_index", "atom_index", *"xyz"), *"xyz")
+
+
+@query(_TORSION.format(source="l as (select frame_index, atom_index, x as x1, y as y1, z as z1, lead(x, 1) over w as x2, lead(y, 1) over w as y2, lead(z, 1) over w as z2, lead(x, 2) over w as x3, lead(y, 2) over w as y3, lead(z, 2) over w as z3, lead(x, 3) over w as x4, lead(y, 3) over w as y4, lead(z, 3) over w as z4 from coords window w as (partition by frame_index order by atom_index)), v as (select frame_index, atom_index, x2 - x1 as ax, y2 - y1 as ay, z2 - z1 as az, x3 - x2 as bx, y3 - y2 as by_, z3 - z2 as bz, x4 - x3 as cx, y4 - y3 as cy, z4 - z3 as cz from l where x4 is not null)") + f" select frame_index, atom_index, {r('dihedral')} from u")
+def dihedral_series(spark, d):
+    return rounded(timeseries.dihedral_series(V.coords(spark, d)), "dihedral")
+
+
+@query(f", g as (select f.frame_index - c.frame_index as lag, avg({_D2}) as msd from coords c join coords f on f.atom_index = c.atom_index and f.frame_index >= c.frame_index group by 1) select lag, {r('msd')} from g")
+def msd_by_lag(spark, d):
+    return rounded(timeseries.msd_by_lag(V.coords(spark, d)), "msd")
+
+
+@query(f", taus as (select unnest(range(0, 6)) as tau), o as (select s.frame, s.id, tau from states s, taus where s.frame + tau <= (select max(frame) from states)), p as (select o.frame, o.tau, o.id, count(t.id) as k from o left join states t on t.id = o.id and t.frame between o.frame and o.frame + o.tau group by 1, 2, 3), q as (select frame, tau, avg(cast(k = tau + 1 as int)) as share from p group by 1, 2), g as (select tau, avg(share) as survival from q group by 1) select tau, {r('survival')} from g")
+def survival(spark, d):
+    return rounded(timeseries.survival(V.states(spark, d), 5).select(F.col("tau").cast("long").alias("tau"), "survival"), "survival")
+
+
+@query(", n as (select frame, id, lead(frame) over (partition by id order by frame) as nxt from states) select cast(unnest(range(frame, case when nxt - frame - 1 between 1 and 2 then nxt else frame + 1 end)) as integer) as frame, id from n")
+def fill_gaps(spark, d):
+    return timeseries.fill_gaps(V.states(spark, d), 2)
+
+
+@query(", f as (select distinct frame_index, 0.2::double * frame_index + 0.01::double * frame_index * frame_index as time from coords) select frame_index, round(time, 6) + 0.0 as time, round(coalesce(lead(time) over w - time, time - lag(time) over w, 0), 6) + 0.0 as dt from f window w as (order by frame_index)")
+def frame_dt(spark, d):
+    frames = spark.range(V.FRAMES).select(F.col("id").cast("int").alias("frame_index")).withColumn("time", F.lit(0.2) * F.col("frame_index") + F.lit(0.01) * F.col("frame_index") * F.col("frame_index"))
+    return rounded(timeseries.frame_dt(frames), "time", "dt")
+
+
+@query("select event_id, user_id, last_value(case when event_id % 3 = 0 then value end ignore nulls) over (partition by user_id order by event_id rows between unbounded preceding and current row) as value from events", tables=False)
+def last_known_value(spark, d):
+    sparse = spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", F.when(F.col("event_id") % 3 == 0, F.col("value")).alias("value"))
+    return timeseries.last_known(sparse, ("user_id",), "event_id", "value")
+
+
+# units, elements, boxes
+
+
+@query(f", t as (select frame_index, atom_index, x * 0.1 as x, y * 100 as y, z * 1e-10 as z from coords) select frame_index, atom_index, {r('x', 'y', 'z')} from t")
+def unit_convert(spark, d):
+    put = {c: units.convert(F.col(c), "angstrom", to) for c, to in zip("xyz", ("nm", "pm", "m"))}
+    return rounded(V.coords(spark, d).withColumns(put), *"xyz")
+
+
+@query("select atom_index, element, mass from atoms")
+def guess_mass(spark, d):
+    return V.atoms(spark, d).select("atom_index", "element", chemistry.element_mass(F.col("element")).alias("mass"))
+
+
+@query("select atom_index, substr(name, 1, 1) as element from atoms")
+def guess_element(spark, d):
+    return V.atoms(spark, d).select("atom_index", chemistry.guess_element(F.col("name"), F.col("atom_type")).alias("element"))
+
+
+@query("select 0 as box, round(210.0, 6) + 0.0 as volume union all select 1, round(5 * 6 * 7 * sqrt(1 + 2 * cos(radians(90)) * cos(radians(80)) * cos(radians(70)) - cos(radians(90)) ** 2 - cos(radians(80)) ** 2 - cos(radians(70)) ** 2), 6) + 0.0", tables=False)
+def box_volume(spark, d):
+    return rounded(spark.createDataFrame([(k, b.volume()) for k, b in enumerate((ORTHO, TILTED))], "box int, volume double"), "volume")
+
+
+@query("select 5.0::double as a, 6.0::double as b, 7.0::double as c, 90.0::double as alpha, 80.0::double as beta, 70.0::double as gamma", tables=False)
+def box_round_trip(spark, d):
+    v = [Vec(*map(F.lit, row)) for row in TILTED.vectors()]
+    names = ("a", "b", "c", "alpha", "beta", "gamma")
+    held = spark.range(1).select(lattice_angles(*v).alias("p"))
+    return rounded(held.select(*(F.col("p")[k].alias(n) for k, n in enumerate(names))), *names)
+
+
+# files
+
+
+def _round_trip(spark, d, kind: str):
+    from orbitframe.sources import structures as R
+    from orbitframe.sources.checkpoints import scratch
+
+    path = scratch(spark, kind)
+    atoms = V.placed_atoms(spark, d).where("atom_index < 9000")  # one structure a file; PDB numbers end at 99,999
+    if kind == "pdb":
+        R.write_lines(R.pdb_lines(atoms.drop("insertion_code").withColumn("resid", F.col("resid") % 9999)), path, "atom_index", tail=["END"])
+        return R.read_pdb(spark, path)
+    if kind == "gro":
+        n = atoms.count()
+        R.write_lines(R.gro_lines(atoms), path, "atom_index", head=["atoms", str(n)], tail=["5.0 6.0 7.0"])
+        return R.read_gro(spark, path)
+    if kind == "xyz":
+        few = V.coords(spark, d, 3).join(V.atoms(spark, d).select("atom_index", "name"), "atom_index")
+        R.write_lines(R.xyz_lines(few, "frames"), path, "frame_index", "n")
+        return R.read_xyz(spark, path)
+    R.write_lines(R.pqr_lines(atoms.withColumn("radius", F.lit(1.5))), path, "atom_index")
+    return R.read_pqr(spark, path)
+
+
+@query("select atom_index, name, resname, resid % 9999 as resid, chain_id, segid, element from placed")
+def roundtrip_pdb(spark, d):
+    return _round_trip(spark, d, "pdb").select("atom_index", "name", "resname", F.col("resid").cast("long").alias("resid"), "chain_id", "segid", "element")
+
+
+@query("select atom_index, name, resname, resid from placed")
+def roundtrip_gro(spark, d):
+    return _round_trip(spark, d, "gro").select("atom_index", "name", "resname", F.col("resid").cast("long").alias("resid"))
+
+
+@query("select frame_index, atom_index, name, cast(printf('%.8f', x) as double) as x, cast(printf('%.8f', y) as double) as y, cast(printf('%.8f', z) as double) as z from coords join atoms using (atom_index) where frame_index < 3")
+def roundtrip_xyz(spark, d):
+    return _round_trip(spark, d, "xyz").select("frame_index", "atom_index", "name", *"xyz")
+
+
+@query("select atom_index, name, resname, chain_id, resid, 1.5::double as radius from placed")
+def roundtrip_pqr(spark, d):
+    return _round_trip(spark, d, "pqr").select("atom_index", "name", "resname", "chain_id", F.col("resid").cast("long").alias("resid"), "radius")
