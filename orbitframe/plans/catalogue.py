@@ -283,10 +283,10 @@ def rmsf(spark, d):
 _PAIRS = "select p.atom_index as i, q.atom_index as j, sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2) as distance from placed p join placed q on p.atom_index < q.atom_index"
 
 
-@query(f", g as ({_PAIRS} where p.atom_index < 100 and q.atom_index < 100) select i, j, {r('distance')} from g")
+@query(f", g as ({_PAIRS}) select i, j, {r('distance')} from g")
 def self_distance_array(spark, d):
-    few = _first(spark, d).where("atom_index < 100").withColumn("frame_index", F.lit(0))
-    return rounded(neighbors.all_distances(few, few, ("frame_index",)).where("i < j"), "distance").drop("frame_index")
+    first = _first(spark, d).withColumn("frame_index", F.lit(0))
+    return rounded(neighbors.all_distances(first, first, ("frame_index",)).where("i < j"), "distance").drop("frame_index")
 
 
 @query(f", g as ({_PAIRS}) select i, j, {r('distance')} from g where distance <= 1.0 and distance > 0.2")
@@ -318,12 +318,12 @@ def periodic_pairs(spark, d):
 def _tilted_sql() -> str:
     v = TILTED.vectors()
     cells = ", ".join(f"({i * v[0][0] + j * v[1][0] + k * v[2][0]!r}, {j * v[1][1] + k * v[2][1]!r}, {k * v[2][2]!r})" for i in range(-3, 4) for j in range(-3, 4) for k in range(-3, 4))
-    return f", s(sx, sy, sz) as (values {cells}), g as (select p.atom_index as i, q.atom_index as j, q.x - p.x as dx, q.y - p.y as dy, q.z - p.z as dz from placed p join placed q on p.atom_index < q.atom_index and q.atom_index < 120), h as (select i, j, sqrt(min((dx + sx) ** 2 + (dy + sy) ** 2 + (dz + sz) ** 2)) as distance from g, s group by 1, 2) select i, j, {r('distance')} from h where distance <= 1.5"
+    return f", s(sx, sy, sz) as (values {cells}), g as (select p.atom_index as i, q.atom_index as j, q.x - p.x as dx, q.y - p.y as dy, q.z - p.z as dz from placed p join placed q on p.atom_index < q.atom_index), h as (select i, j, sqrt(min((dx + sx) ** 2 + (dy + sy) ** 2 + (dz + sz) ** 2)) as distance from g, s group by 1, 2) select i, j, {r('distance')} from h where distance <= 1.5"
 
 
 @query(_tilted_sql())
 def tilted_pairs(spark, d):
-    return rounded(neighbors.self_pairs_within(_first(spark, d).where("atom_index < 120"), 1.5, box=TILTED), "distance")
+    return rounded(neighbors.self_pairs_within(_first(spark, d), 1.5, box=TILTED), "distance")
 
 
 def _wrap_sql() -> str:
@@ -415,7 +415,7 @@ def fit_apply(spark, d):
 
 @query()
 def helix_axis(spark, d):
-    return rounded(fitting.helix_axis(V.coords(spark, d).where("atom_index < 60")), "ax", "ay", "az", "rms", "length")
+    return rounded(fitting.helix_axis(V.coords(spark, d).join(V.atoms(spark, d).select("atom_index", "segid"), "atom_index"), ("frame_index", "segid")), "ax", "ay", "az", "rms", "length")
 
 
 # transformations and time series
@@ -517,7 +517,7 @@ def _round_trip(spark, d, kind: str):
     from orbitframe.sources.checkpoints import scratch
 
     path = scratch(spark, kind)
-    atoms = V.placed_atoms(spark, d).where("atom_index < 9000")  # one structure a file; PDB numbers end at 99,999
+    atoms = V.placed_atoms(spark, d)
     if kind == "pdb":
         R.write_lines(R.pdb_lines(atoms.drop("insertion_code").withColumn("resid", F.col("resid") % 9999)), path, "atom_index", tail=["END"])
         return R.read_pdb(spark, path)
