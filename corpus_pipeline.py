@@ -31,17 +31,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the byte strings that one with a smaller id has; characters cut in two go whole."""
-    cut = remove_repeats(docs, keep=("lang", "source"))
+    rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    cut = remove_repeats(docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *rest).alias("rest")), keep=("rest",))
     raw = F.col("kept").cast("string")
     text = F.when(F.is_valid_utf8(raw), raw).otherwise(F.replace(F.make_valid_utf8(raw), F.lit("�"), F.lit("")))
-    return cut.select("doc_id", text.alias("text"), "lang", "source").withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    kept = cut.select("doc_id", text.alias("text"), *(F.col("rest")[c].alias(c) for c in rest))
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    copies = mix_sources(docs).where("copies > 0").select("doc_id", "copies")
-    met = docs.join(copies, docs.doc_id.eqNullSafe(copies.doc_id)).drop(copies.doc_id)
-    return met.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
+    copies = mix_sources(docs).where("copies > 0").select(F.col("doc_id").alias("_mixed"), F.col("copies").alias("_copies"))
+    met = docs.join(copies, docs.doc_id.eqNullSafe(copies["_mixed"]))
+    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

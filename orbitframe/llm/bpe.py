@@ -15,6 +15,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
 from orbitframe.llm import text as T
 
@@ -70,7 +71,7 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, id_col: str
     Other columns are dropped unless named in ``keep``, so clashing names don't matter. Map-only: no shuffle.
     """
     picked = docs.select(F.col(id_col), *keep, F.col(text_col).alias("_text"))
-    schema = f"{docs.select(id_col, *keep).schema.simpleString()[7:-1]},ids:array<int>"
+    schema = StructType([*docs.select(id_col, *keep).schema, StructField("ids", ArrayType(IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,7 +95,7 @@ def decode_documents(encoded: DataFrame, rank_file: str, pattern: str, id_col: s
                 rows = [enc.decode_bytes(x.as_py() or []) for x in part.column("ids")]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rows, pa.binary())], [*part.schema.names, "raw"])
 
-    return picked.mapInArrow(run, f"{picked.schema.simpleString()[7:-1]},raw:binary")
+    return picked.mapInArrow(run, StructType([*picked.schema, StructField("raw", BinaryType())]))
 
 
 def bpe_digest(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from orbitframe.llm import text as T
 
@@ -351,6 +352,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     runs = picked.groupBy("_chunk").cogroup(firsts.groupBy("chunk")).applyInArrow(lambda t, a: _send_runs(t, a, min_len, bits), sent)
     gone = runs.groupBy("part").applyInArrow(lambda t: _answer_runs(t, min_len), "chunk long, blob binary")
     names = ["_id", *keep]
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in picked.select(*names).schema)
-    cut = picked.groupBy("_chunk").cogroup(gone.groupBy("chunk")).applyInArrow(lambda t, a: _cut(t, a, names), schema + "n_bytes long, n_removed long, n_spans long, kept binary")
+    counts = [StructField(x, LongType()) for x in ("n_bytes", "n_removed", "n_spans")]
+    schema = StructType([*picked.select(*names).schema, *counts, StructField("kept", BinaryType())])
+    cut = picked.groupBy("_chunk").cogroup(gone.groupBy("chunk")).applyInArrow(lambda t, a: _cut(t, a, names), schema)
     return cut.withColumnRenamed("_id", id_col)

@@ -42,5 +42,15 @@ def test_every_stage_against_brute_force(spark, tmp_path):
         assert r.decoded_sha256 == hashlib.sha256((text[r.doc_id] or "").encode()).hexdigest()
 
 
+def test_stages_take_nulls_and_extra_columns(spark, docs):
+    more = docs.selectExpr("doc_id", "text", "lang", "source", "n_chars", "id as kept", "'x' as copies", "1 as n")
+    more = more.union(more.selectExpr("null", "text", "lang", "source", "n_chars", "kept", "copies", "n").where("text is null"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, more, SF)
+        if name != "byte_bpe":
+            assert out.columns == more.columns and (name != "near_duplicates" or out.where("doc_id is null").count() == 1)
+        assert out.count() > 0 and stage(spark, more.where("doc_id < 0"), SF).count() == 0
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
