@@ -64,8 +64,8 @@ def apply_fit(coords: DataFrame, fits: DataFrame, by: tuple[str, ...] = FRAME) -
     return met.withColumns(dict(zip("xyz", out))).drop("rotation", "translation")
 
 
-def helix_axis(coords: DataFrame, by: tuple[str, ...] = FRAME, order: str = "atom_index") -> DataFrame:
-    """(*by, ax, ay, az, rms, length): first principal axis pointing from the first to the last point, rms distance from it, projected length."""
+def helix_axis(coords: DataFrame, by: tuple[str, ...] = FRAME, order: str = "atom_index", toward_first: bool = False) -> DataFrame:
+    """(*by, ax, ay, az, rms, length): first principal axis pointing from the first to the last point (or back), rms distance from it, projected length."""
     means = coords.groupBy(*by).agg(*(F.avg(c).alias(f"m{c}") for c in "xyz"), F.min_by(F.struct("x", "y", "z"), order).alias("first"), F.max_by(F.struct("x", "y", "z"), order).alias("last"))
     d = {c: F.col(c) - F.col(f"m{c}") for c in "xyz"}
     sums = coords.join(means, list(by)).groupBy(*by).agg(F.count("*").alias("n"), *(F.sum(d[a] * d[b]).alias(a + b) for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")), *((F.first(f"last.{c}") - F.first(f"first.{c}")).alias(f"d{c}") for c in "xyz"))
@@ -77,7 +77,7 @@ def helix_axis(coords: DataFrame, by: tuple[str, ...] = FRAME, order: str = "ato
                 c = np.array([[r["xx"], r["xy"], r["xz"]], [r["xy"], r["yy"], r["yz"]], [r["xz"], r["yz"], r["zz"]]])
                 span = np.array([r["dx"], r["dy"], r["dz"]])
                 axis = np.linalg.eigh(c)[1][:, -1] if r["n"] > 1 else np.zeros(3)
-                axis = -axis if axis @ span < 0 else axis
+                axis = -axis if (axis @ span < 0) != toward_first else axis
                 out.append((*axis, np.sqrt(max(0.0, (np.trace(c) - axis @ c @ axis) / r["n"])), abs(axis @ span)))
             yield pd.DataFrame({**{k: rows[k] for k in by}, **dict(zip(("ax", "ay", "az", "rms", "length"), map(list, zip(*out)) if out else [[]] * 5))})
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orbitframe.functions.vectors import angle, dihedral, vec
+from orbitframe.functions.vectors import Box, Vec, angle, dihedral, vec
 
 RESIDUE = ("resid", "resname", "segid", "insertion_code")
 
@@ -60,10 +60,16 @@ def _at(places: DataFrame, key: str, suffix: str, by: tuple[str, ...]) -> DataFr
     return places.select(*by, F.col("atom_index").alias(key), *(F.col(c).alias(c + suffix) for c in "xyz"))
 
 
-def bond_lengths(bonds: DataFrame, places: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+def _step(a: str, b: str, box: Box | None) -> Vec:
+    """From one place to another, to the nearest image if there is a box."""
+    d = vec(suffix=b) - vec(suffix=a)
+    return box.nearest(d) if box else d
+
+
+def bond_lengths(bonds: DataFrame, places: DataFrame, by: tuple[str, ...] = (), box: Box | None = None) -> DataFrame:
     """(*by, atom1, atom2, length)."""
     met = _at(places, "atom1", "1", by).join(bonds.select("atom1", "atom2"), "atom1").join(_at(places, "atom2", "2", by), [*by, "atom2"])
-    return met.select(*by, "atom1", "atom2", (vec(suffix="1") - vec(suffix="2")).norm().alias("length"))
+    return met.select(*by, "atom1", "atom2", _step("1", "2", box).norm().alias("length"))
 
 
 def angle_triples(bonds: DataFrame) -> DataFrame:
@@ -73,10 +79,10 @@ def angle_triples(bonds: DataFrame) -> DataFrame:
     return left.join(right, "center").where("first < last")
 
 
-def angles(bonds: DataFrame, places: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+def angles(bonds: DataFrame, places: DataFrame, by: tuple[str, ...] = (), box: Box | None = None) -> DataFrame:
     """(*by, first, center, last, angle) in radians."""
     met = angle_triples(bonds).join(_at(places, "center", "2", by), "center").join(_at(places, "first", "1", by), [*by, "first"]).join(_at(places, "last", "3", by), [*by, "last"])
-    return met.select(*by, "first", "center", "last", angle(vec(suffix="1") - vec(suffix="2"), vec(suffix="3") - vec(suffix="2")).alias("angle"))
+    return met.select(*by, "first", "center", "last", angle(_step("2", "1", box), _step("2", "3", box)).alias("angle"))
 
 
 def dihedral_quads(bonds: DataFrame) -> DataFrame:
@@ -87,13 +93,12 @@ def dihedral_quads(bonds: DataFrame) -> DataFrame:
     return middle.join(left, "second").where("first <> third").join(right, "third").where("last <> second")
 
 
-def dihedrals(bonds: DataFrame, places: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+def dihedrals(bonds: DataFrame, places: DataFrame, by: tuple[str, ...] = (), box: Box | None = None) -> DataFrame:
     """(*by, first, second, third, last, dihedral) in radians, cis at 0."""
     met = dihedral_quads(bonds).join(_at(places, "second", "2", by), "second")
     for key, suffix in (("first", "1"), ("third", "3"), ("last", "4")):
         met = met.join(_at(places, key, suffix, by), [*by, key])
-    p = [vec(suffix=s) for s in "1234"]
-    return met.select(*by, "first", "second", "third", "last", dihedral(p[1] - p[0], p[2] - p[1], p[3] - p[2]).alias("dihedral"))
+    return met.select(*by, "first", "second", "third", "last", dihedral(*(_step(a, b, box) for a, b in ("12", "23", "34"))).alias("dihedral"))
 
 
 def fragments(atoms: DataFrame, bonds: DataFrame) -> DataFrame:

@@ -183,6 +183,11 @@ def bond_lengths(spark, d):
     return rounded(topology.bond_lengths(V.bonds(spark, d), V.coords(spark, d), ("frame_index",)), "length")
 
 
+@query(f", b as (select p.frame_index, atom1, atom2, q.x - p.x as dx, q.y - p.y as dy, q.z - p.z as dz from bonds join coords p on p.atom_index = atom1 join coords q on q.atom_index = atom2 and q.frame_index = p.frame_index), h as (select frame_index, atom1, atom2, sqrt((dx - 5.0 * round(dx / 5.0)) ** 2 + (dy - 6.0 * round(dy / 6.0)) ** 2 + (dz - 7.0 * round(dz / 7.0)) ** 2) as length from b) select frame_index, atom1, atom2, {r('length')} from h")
+def periodic_bond_lengths(spark, d):
+    return rounded(topology.bond_lengths(V.bonds(spark, d), V.coords(spark, d), ("frame_index",), ORTHO), "length")
+
+
 _ANGLE = "acos(greatest(-1, least(1, ({0}) / (sqrt({1}) * sqrt({2})))))"
 
 
@@ -529,8 +534,14 @@ def _round_trip(spark, d, kind: str):
         few = V.coords(spark, d, 3).join(V.atoms(spark, d).select("atom_index", "name"), "atom_index")
         R.write_lines(R.xyz_lines(few, "frames"), path, "frame_index", "n")
         return R.read_xyz(spark, path)
-    R.write_lines(R.pqr_lines(atoms.withColumn("radius", F.lit(1.5))), path, "atom_index")
-    return R.read_pqr(spark, path)
+    if kind == "pqr":
+        R.write_lines(R.pqr_lines(atoms.withColumn("radius", F.lit(1.5))), path, "atom_index")
+        return R.read_pqr(spark, path)
+    from orbitframe.sources import sections
+
+    lines, head, read = {"mol2": (sections.mol2_lines, ["@<TRIPOS>ATOM"], sections.read_mol2_atoms), "crd": (sections.crd_lines, ["* atoms", "*"], sections.read_crd), "inpcrd": (sections.inpcrd_lines, ["atoms", str(atoms.count())], sections.read_inpcrd), "aims": (sections.aims_lines, ["# atoms"], sections.read_aims)}[kind]
+    R.write_lines(lines(atoms), path, "n" if kind == "inpcrd" else "atom_index", head=head)
+    return read(spark, path)
 
 
 @query("select atom_index, name, resname, resid % 9999 as resid, chain_id, segid, element from placed")
@@ -551,3 +562,36 @@ def roundtrip_xyz(spark, d):
 @query("select atom_index, name, resname, chain_id, resid, 1.5::double as radius from placed")
 def roundtrip_pqr(spark, d):
     return _round_trip(spark, d, "pqr").select("atom_index", "name", "resname", "chain_id", F.col("resid").cast("long").alias("resid"), "radius")
+
+
+def _printed(digits: int) -> str:
+    return ", ".join(f"cast(printf('%.{digits}f', {c}) as double) + 0.0 as {c}" for c in "xyz")
+
+
+def _plus_zero(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.col(c) + F.lit(0.0) for c in "xyz"})
+
+
+@query(f"select atom_index, name, resname, {_printed(4)} from placed")
+def roundtrip_mol2(spark, d):
+    return _plus_zero(_round_trip(spark, d, "mol2").select("atom_index", "name", "resname", *"xyz"))
+
+
+@query(f"select atom_index, name, segid, {_printed(5)} from placed")
+def roundtrip_crd(spark, d):
+    return _plus_zero(_round_trip(spark, d, "crd").select("atom_index", "name", "segid", *"xyz"))
+
+
+@query(f"select atom_index, {_printed(7)} from placed")
+def roundtrip_inpcrd(spark, d):
+    return _plus_zero(_round_trip(spark, d, "inpcrd").select("atom_index", *"xyz"))
+
+
+@query(f"select atom_index, name, {_printed(8)} from placed")
+def roundtrip_aims(spark, d):
+    return _plus_zero(_round_trip(spark, d, "aims").select("atom_index", "name", *"xyz"))
+
+
+@query()
+def vector_of_best_fit(spark, d):
+    return rounded(fitting.helix_axis(V.coords(spark, d), toward_first=True).select("frame_index", "ax", "ay", "az"), "ax", "ay", "az")
