@@ -60,7 +60,7 @@ def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orbitframe.llm.storage import Workspace
     from orbitframe.llm.tokenfile import token_digest
 
-    return token_digest(documents(spark, sf_dir), f"{Workspace(spark, 'tokens').root}/shards", public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return token_digest(documents(spark, sf_dir), f"{Workspace(spark, 'tokens').root}/shards", public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -18,40 +19,107 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orbitframe.llm import text as T
+
 BLOCK_IDS = 1 << 18
 ROUNDS = 4
 SCHEMA = "shard int, block int, n_docs int, n_ids long, keys binary, id_counts binary, symbol_counts binary, wide boolean, first_rule int, rules binary, lengths binary, symbols binary"
-#: Later letters may be classed differently by the two regex engines: texts with them go to the tokenizer whole.
-_UNUSUAL = regex.compile(r"[^\x00-ԯ -⁯]")
-CACHE_PIECES = 400_000
+#: In other texts (and with the separators 1C-1F) bytes don't show a letter's class: they go to the tokenizer whole.
+_OTHER = regex.compile(r"[^\x00-\x1B\x20-\x7FÀ-ÖØ-öø-ɏ]")
+CACHE_PIECES = 1_200_000
+_SPACE, _LETTER, _DIGIT, _SIGN = range(4)
+_CLASS = np.full(256, _SIGN, np.uint8)
+_CLASS[[0x20, *range(0x09, 0x0E)]] = _SPACE
+_CLASS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = _LETTER
+_CLASS[48:58] = _DIGIT
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the matches of the byte-level split pattern start in texts of ASCII and Latin letters.
+
+    Runs of letters, digits or signs take one blank before them along; a run of white space before them leaves its
+    last character by itself; 's 't 're 've 'm 'll 'd stand alone where the quote starts a match.
+    """
+    n, kind = len(data), _CLASS[data]
+    edge = np.zeros(n + 1, bool)
+    edge[offsets] = True
+    start = edge[:-1].copy()
+    start[1:] |= kind[1:] != kind[:-1]
+    low = np.flatnonzero(start)
+    high = np.append(low[1:], n)
+    space = (kind[low] == _SPACE) & ~edge[high]  # more follows in the text
+    last = high[space] - 1
+    start[last] = True
+    start[last[data[last] == 0x20] + 1] = False
+    quote = low[(kind[low] == _SIGN) & (high - low == 1) & (data[low] == 39) & start[low] & ~edge[high]]
+    quote = quote[kind[quote + 1] == _LETTER]
+    one, two = data[quote + 1], np.where(edge[np.minimum(quote + 2, n)], 0, data[np.minimum(quote + 2, n - 1)])
+    short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+    long = ((two == 101) & np.isin(one, (114, 118))) | ((one == 108) & (two == 108))
+    start[quote[short | long] + 1] = False
+    for at in (quote[short] + 2, quote[long] + 3):
+        start[at[at < n]] = True
+    return np.flatnonzero(start)
 
 
 class Encoder:
-    """Whole texts to ids by the tokenizers library, asked once for each distinct match of the split pattern."""
+    """Whole texts to ids by the tokenizers library, asked once for each distinct match of its split pattern."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.pattern, self.cache = regex.compile(pattern), {}
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known, self.flat, self.bounds = {}, np.empty(0, np.uint32), np.zeros(1, np.int64)
+
+    def _learn(self, keys: list[int], texts: list[str]) -> None:
+        """Bounds and ids of new pieces go behind those known; both arrays keep room to grow."""
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        at = len(self.known)
+        stop = self.bounds[at] + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+        if at + len(keys) >= len(self.bounds):
+            self.bounds = np.append(self.bounds, np.zeros(at + len(keys), np.int64))
+        self.bounds[at + 1 : at + 1 + len(keys)] = stop
+        if stop[-1] > len(self.flat):
+            self.flat = np.append(self.flat, np.empty(stop[-1], np.uint32))
+        self.flat[self.bounds[at] : stop[-1]] = np.fromiter(chain.from_iterable(found), np.uint32, stop[-1] - self.bounds[at])
+        self.known.update(zip(keys, range(at, at + len(keys))))
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        whole = [bool(_UNUSUAL.search(t)) for t in texts]
-        pieces = [[] if w else self.pattern.findall(t) for t, w in zip(texts, whole, strict=True)]
-        new = list({p for some in pieces for p in some} - self.cache.keys())
-        if len(self.cache) + len(new) > CACHE_PIECES:
-            self.cache.clear()
-            new = list({p for some in pieces for p in some})
-        for piece, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.cache[piece] = np.array(found.ids, np.uint32).tobytes()
-        get = self.cache.__getitem__
-        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) if w else np.frombuffer(b"".join(map(get, p)), np.uint32) for t, w, p in zip(texts, whole, pieces, strict=True)]
+        plain = [not _OTHER.search(t) for t in texts]
+        out = [None if p else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) for t, p in zip(texts, plain, strict=True)]
+        data, offsets = T.raw(pa.array([t for t, p in zip(texts, plain, strict=True) if p], pa.string()))
+        if len(offsets) < 2:
+            return out
+        starts = pieces(data, offsets)
+        ends = np.append(starts[1:], len(data))
+        coded = pa.array(T.span_hashes(data, starts, ends)).dictionary_encode()
+        at, keys = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        if len(self.known) + len(keys) > CACHE_PIECES:
+            self._clear()
+        row = np.fromiter(map(self.known.get, keys, repeat(-1)), np.int64, len(keys))
+        new = np.flatnonzero(row < 0)
+        if len(new):
+            sample = np.empty(len(keys), np.int64)
+            sample[at] = np.arange(len(at))
+            raw, sample = data.tobytes(), sample[new]
+            row[new] = np.arange(len(self.known), len(self.known) + len(new))
+            self._learn([keys[k] for k in new.tolist()], [raw[a:b].decode() for a, b in zip(starts[sample].tolist(), ends[sample].tolist(), strict=True)])
+        begin = self.bounds[row][at]
+        count = self.bounds[row + 1][at] - begin
+        stop = np.cumsum(count)
+        ids = self.flat[np.arange(stop[-1] if len(stop) else 0) + np.repeat(begin - (stop - count), count)]
+        cut = np.append(0, stop)[np.searchsorted(starts, offsets)]
+        rest = iter(np.split(ids, cut[1:-1]))
+        return [next(rest) if x is None else x for x in out]
 
 
 @lru_cache(2)
-def encoder(path: str, pattern: str) -> Encoder:
-    return Encoder(path, pattern)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def repair(ids: np.ndarray, starts: np.ndarray, first_rule: int, rounds: int = ROUNDS, least: int = 8, most: int = 65_536) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -144,7 +212,7 @@ def read_document(row: dict, k: int) -> np.ndarray:
     return expand(symbols[ends[k - 1] if k else 0 : ends[k]], np.frombuffer(row["rules"], np.uint32).reshape(-1, 2), row["first_rule"])
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, vocabulary: int = 50_257, shards: int | None = None) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, vocabulary: int = 50_257, shards: int | None = None) -> None:
     """Write the ids of every whole text, ``end_id`` after each, in ascending order of ids (null first), a file a shard.
 
     Null and empty texts hold the end id alone; repeated rows are written each, equal ids in order of their texts;
@@ -158,14 +226,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, pattern: str, id_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        from orbitframe.llm import text as T
-
-        enc, end = encoder(tokenizer, pattern), np.array([end_id], np.uint32)
+        enc, end = encoder(tokenizer), np.array([end_id], np.uint32)
         shard, block, held = TaskContext.get().partitionId(), 0, []
         rows = lambda part: pa.RecordBatch.from_pylist([pack_block(shard, block, [k for k, _ in part], [x for _, x in part], vocabulary)], schema=arrow)
         size = 0
         for batch in batches:
-            for i, j, _, _ in T.slices(batch.column("_text"), 1 << 19):
+            for i, j, _, _ in T.slices(batch.column("_text")):
                 texts = [x or "" for x in batch.column("_text").slice(i, j - i).to_pylist()]
                 for key, ids in zip(batch.column("key").slice(i, j - i).to_pylist(), enc.ids(texts), strict=True):
                     held.append((key, np.concatenate([ids, end])))
@@ -208,7 +274,7 @@ def read_tokens(spark, path: str) -> DataFrame:
     return work.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
-def token_digest(docs: DataFrame, path: str, tokenizer: str, pattern: str) -> DataFrame:
+def token_digest(docs: DataFrame, path: str, tokenizer: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, read back from the files."""
-    write_tokens(docs, path, tokenizer, pattern)
+    write_tokens(docs, path, tokenizer)
     return read_tokens(docs.sparkSession, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

@@ -5,6 +5,7 @@ import hypothesis.strategies as st
 import numpy as np
 import public_tokenizers as P
 import pytest
+import regex
 
 from orbitframe.llm import tokenfile as K
 
@@ -25,7 +26,7 @@ def brute(rows):
 
 
 def check(df, path):
-    got = [tuple(r) for r in K.token_digest(df, str(path), FILE, P.PATTERN).collect()]
+    got = [tuple(r) for r in K.token_digest(df, str(path), FILE).collect()]
     assert sorted(got, key=lambda r: r[1]) == brute([(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()])
 
 
@@ -41,10 +42,22 @@ def test_small_table_in_many_blocks(small, tmp_path, monkeypatch):
 
 @pytest.mark.parametrize("text", ["a  b\n\n c <|endoftext|> 's 12", "中文 字符 😀", "é" * 50 + "\t x", "‘quoted’ — dash…", "   lead and trail   "])
 def test_pieces_equal_whole_text(text):
-    enc = K.encoder(FILE, P.PATTERN)
+    enc = K.encoder(FILE)
     assert enc.ids([text])[0].tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@hypothesis.settings(max_examples=400, deadline=None)
+@hypothesis.given(st.lists(st.text(alphabet=st.sampled_from("aZs tréveldmÿĀ  \n\t'''''9 0!.x\x00\x0b¿²—"), max_size=40), min_size=1, max_size=5))
+def test_pieces_are_those_of_the_library(texts):
+    enc = K.encoder(FILE)
+    assert [x.tolist() for x in enc.ids(texts)] == [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    plain = [t for t in texts if t and not K._OTHER.search(t)]
+    for t in plain:
+        data = np.frombuffer(t.encode(), np.uint8)
+        found = [m.start() for m in regex.finditer(P.PATTERN, t)]
+        assert K.pieces(data, np.array([0, len(data)])).tolist() == [len(t[:k].encode()) for k in found]
+
+
 @hypothesis.settings(max_examples=80, deadline=None)
 @hypothesis.given(st.lists(st.lists(st.integers(0, 5), min_size=1, max_size=60), min_size=1, max_size=8))
 def test_round_trip_and_random_access(docs):
