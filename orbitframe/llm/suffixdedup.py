@@ -29,7 +29,7 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 from orbitframe.llm import text as T
 
 ANCHOR = 20
-PART_BYTES = 4 << 20
+PART_BYTES = 4 << 20  # of a chunk and of a range; 320 MB for 100 TB
 SEGMENT = 1 << 20
 BLOCK = 400_000
 HOT = 2000
@@ -341,7 +341,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     id, the text and ``keep`` are dropped first, so clashing names don't matter.
     """
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    parts = max(1, -(-size // PART_BYTES))
+    part_bytes = max(PART_BYTES, int((1024 * size) ** 0.5))  # keeps what a chunk sends to a range near a KB at any size
+    parts = max(1, -(-size // part_bytes))
     bits = max(6, int(parts - 1).bit_length()) if size > SEGMENT else 2
     picked = docs.select(F.pmod(F.xxhash64(id_col), F.lit(max(parts, 4))).alias("_chunk"), F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), *keep)
     sent = "part long, chunk long, blob binary"
