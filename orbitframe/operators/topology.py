@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbitframe.functions.vectors import Box, Vec, angle, dihedral, vec
+from orbitframe.operators.numbering import numbered
+from orbitframe.sources.checkpoints import ensure_checkpoints
 
 RESIDUE = ("resid", "resname", "segid", "insertion_code")
 
@@ -23,8 +25,7 @@ def residues(atoms: DataFrame, by: tuple[str, ...] = ("segid",)) -> DataFrame:
     gap = F.col("atom_index") != F.lag("atom_index").over(order) + 1
     start = F.when(F.coalesce(change | gap, F.lit(True)), F.col("atom_index"))
     held = atoms.withColumn("residue_start", F.max(start).over(order))
-    first = held.select("residue_start").distinct().withColumn("residue_index", F.row_number().over(Window.orderBy("residue_start")) - 1)
-    return held.join(first, "residue_start")
+    return held.join(numbered(held.select("residue_start").distinct(), "residue_start", "residue_index"), "residue_start")
 
 
 def residue_table(atoms: DataFrame) -> DataFrame:
@@ -107,6 +108,7 @@ def fragments(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     Each round takes the smallest label around and then that label's label, so rounds follow the logarithm of a
     chain's length; checkpoints cut the lineage.
     """
+    ensure_checkpoints(atoms.sparkSession)
     known = atoms.select(F.col("atom_index").alias("k"))
     e = edges(bonds).join(known, F.col("a") == F.col("k"), "left_semi").join(known, F.col("b") == F.col("k"), "left_semi")
     e = e.checkpoint()

@@ -219,9 +219,6 @@ def dihedrals_distances(spark, d):
 
 @query(" select atom_index, atom_index - atom_index % 5 as fragment from atoms")
 def fragments(spark, d):
-    from orbitframe.sources.checkpoints import ensure_checkpoints
-
-    ensure_checkpoints(spark)
     return topology.fragments(V.atoms(spark, d), V.bonds(spark, d))
 
 

@@ -93,6 +93,20 @@ def test_topology(spark):
     assert {r.fragment for r in topology.fragments(path, chain).collect()} == {0}
 
 
+def test_numbers_follow_the_order(spark):
+    from orbitframe.operators.numbering import numbered
+
+    df = spark.range(5000).select((F.col("id") * 7 % 5000 * 3).alias("o"))
+    assert [r.k for r in numbered(df, "o", "k").orderBy("o").collect()] == list(range(5000))
+    assert numbered(df.limit(0), "o", "k").count() == 0
+
+
+def test_residues_of_interleaved_segments(spark):
+    rows = [(0, 1, "ALA", "A"), (1, 1, "ALA", "B"), (2, 1, "ALA", "A"), (3, 2, "ALA", "A"), (4, 2, "ALA", "A")]
+    atoms = spark.createDataFrame([(*r, None) for r in rows], "atom_index long, resid int, resname string, segid string, insertion_code string")
+    assert {r.atom_index: r.residue_index for r in topology.residues(atoms).collect()} == {0: 0, 1: 1, 2: 2, 3: 3, 4: 3}
+
+
 def test_fit_recovers_a_rotation(spark):
     points = frame(spark, [(0, 0, 0), (1, 0, 0), (0, 2, 0), (0, 0, 3), (1, 1, 1)])
     turned = transforms.translate(transforms.rotate(points, 0.7, (1, 2, 3)), (4, 5, 6))
