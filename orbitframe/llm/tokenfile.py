@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +22,12 @@ from pyspark.sql import functions as F
 from orbitframe.llm import text as T
 
 BLOCK_IDS = 1 << 18
+SLICE_BYTES = 1 << 21
 ROUNDS = 4
 SCHEMA = "shard int, block int, n_docs int, n_ids long, keys binary, id_counts binary, symbol_counts binary, wide boolean, first_rule int, rules binary, lengths binary, symbols binary"
 #: In other texts (and with the separators 1C-1F) bytes don't show a letter's class: they go to the tokenizer whole.
 _OTHER = regex.compile(r"[^\x00-\x1B\x20-\x7FÀ-ÖØ-öø-ɏ]")
-CACHE_PIECES = 1_200_000
+CACHE_PIECES = 1_500_000
 _SPACE, _LETTER, _DIGIT, _SIGN = range(4)
 _CLASS = np.full(256, _SIGN, np.uint8)
 _CLASS[[0x20, *range(0x09, 0x0E)]] = _SPACE
@@ -70,23 +71,60 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.length = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, np.int64)
+        for token, number in self.tokenizer.get_vocab().items():
+            self.length[number] = len(token)  # a character of a token is a byte
         self._clear()
 
     def _clear(self) -> None:
-        self.known, self.flat, self.bounds = {}, np.empty(0, np.uint32), np.zeros(1, np.int64)
-
-    def _learn(self, keys: list[int], texts: list[str]) -> None:
+        self.known, self.rows = np.empty(0, np.uint64), np.empty(0, np.int32)  # sorted hashes of pieces, and their rows in bounds
+        self.flat, self.bounds = np.empty(0, np.uint32), np.zeros(1, np.int32)
+
+    def _encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of pieces one after another, number of ids of each).
+
+        Pieces of a blank and what follows it are sent as one text, which splits into them again: ids are told apart
+        by their lengths in bytes. All others are sent by themselves.
+        """
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        joined = [t[0] == 0x20 and len(t) > 1 and t[1] not in b" \t\n\x0b\x0c\r" for t in texts]
+        together, alone = np.flatnonzero(joined), np.flatnonzero(np.logical_not(joined))
+        ids = np.array(self.tokenizer.encode_batch_fast([b"".join(texts[k] for k in together.tolist()).decode()], add_special_tokens=False)[0].ids, np.uint32)
+        last = np.searchsorted(np.cumsum(self.length[ids]), np.cumsum(size[together]))
+        count = np.empty(len(texts), np.int64)
+        count[together] = np.diff(last, prepend=-1)
+        found = [x.ids for x in self.tokenizer.encode_batch_fast([texts[k].decode() for k in alone.tolist()], add_special_tokens=False)]
+        count[alone] = list(map(len, found))
+        order = np.concatenate([np.repeat(together, count[together]), np.repeat(alone, count[alone])])
+        both = np.concatenate([ids, np.fromiter(chain.from_iterable(found), np.uint32)])
+        return both[np.argsort(order, kind="stable")], count
+
+    def _learn(self, texts: list[bytes]) -> None:
         """Bounds and ids of new pieces go behind those known; both arrays keep room to grow."""
-        found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        at = len(self.known)
-        stop = self.bounds[at] + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
-        if at + len(keys) >= len(self.bounds):
-            self.bounds = np.append(self.bounds, np.zeros(at + len(keys), np.int64))
-        self.bounds[at + 1 : at + 1 + len(keys)] = stop
-        if stop[-1] > len(self.flat):
-            self.flat = np.append(self.flat, np.empty(stop[-1], np.uint32))
-        self.flat[self.bounds[at] : stop[-1]] = np.fromiter(chain.from_iterable(found), np.uint32, stop[-1] - self.bounds[at])
-        self.known.update(zip(keys, range(at, at + len(keys))))
+        ids, count = self._encode(texts)
+        at, used = len(self.known), self.bounds[len(self.known)]
+        if at + len(texts) >= len(self.bounds):
+            self.bounds = np.append(self.bounds, np.zeros(max(len(texts), at // 2), np.int32))
+        self.bounds[at + 1 : at + 1 + len(texts)] = used + np.cumsum(count)
+        if used + len(ids) > len(self.flat):
+            self.flat = np.append(self.flat, np.empty(max(len(ids), used // 2), np.uint32))
+        self.flat[used : used + len(ids)] = ids
+
+    def _rows(self, hashes: np.ndarray, texts) -> np.ndarray:
+        """Rows of distinct pieces; ``texts`` gives the bytes of those that are new."""
+        order = np.argsort(hashes)
+        place = np.searchsorted(self.known, hashes[order])
+        hit = place < len(self.known)
+        hit[hit] = self.known[place[hit]] == hashes[order][hit]
+        row = np.empty(len(hashes), np.int32)
+        row[order[hit]] = self.rows[place[hit]]
+        new = order[~hit]
+        if len(new):
+            self._learn(texts(new))
+            row[new] = len(self.known) + np.arange(len(new), dtype=np.int32)
+            self.known = np.insert(self.known, place[~hit], hashes[new])
+            self.rows = np.insert(self.rows, place[~hit], row[new])
+        return row
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         plain = [not _OTHER.search(t) for t in texts]
@@ -97,21 +135,17 @@ class Encoder:
         starts = pieces(data, offsets)
         ends = np.append(starts[1:], len(data))
         coded = pa.array(T.span_hashes(data, starts, ends)).dictionary_encode()
-        at, keys = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        if len(self.known) + len(keys) > CACHE_PIECES:
+        at, hashes = coded.indices.to_numpy(), coded.dictionary.to_numpy()
+        if len(self.known) + len(hashes) > CACHE_PIECES:
             self._clear()
-        row = np.fromiter(map(self.known.get, keys, repeat(-1)), np.int64, len(keys))
-        new = np.flatnonzero(row < 0)
-        if len(new):
-            sample = np.empty(len(keys), np.int64)
-            sample[at] = np.arange(len(at))
-            raw, sample = data.tobytes(), sample[new]
-            row[new] = np.arange(len(self.known), len(self.known) + len(new))
-            self._learn([keys[k] for k in new.tolist()], [raw[a:b].decode() for a, b in zip(starts[sample].tolist(), ends[sample].tolist(), strict=True)])
+        sample = np.empty(len(hashes), np.int32)
+        sample[at] = np.arange(len(at), dtype=np.int32)
+        raw = data.tobytes()
+        row = self._rows(hashes, lambda new: [raw[a:b] for a, b in zip(starts[sample[new]].tolist(), ends[sample[new]].tolist(), strict=True)])
         begin = self.bounds[row][at]
         count = self.bounds[row + 1][at] - begin
-        stop = np.cumsum(count)
-        ids = self.flat[np.arange(stop[-1] if len(stop) else 0) + np.repeat(begin - (stop - count), count)]
+        stop = np.cumsum(count, dtype=np.int32)
+        ids = self.flat[np.arange(stop[-1] if len(stop) else 0, dtype=np.int32) + np.repeat(begin - (stop - count), count)]
         cut = np.append(0, stop)[np.searchsorted(starts, offsets)]
         rest = iter(np.split(ids, cut[1:-1]))
         return [next(rest) if x is None else x for x in out]
@@ -134,8 +168,8 @@ def repair(ids: np.ndarray, starts: np.ndarray, first_rule: int, rounds: int = R
         if len(symbols) < 2 or len(rules) and first_rule + sum(map(len, rules)) >= most:
             break
         left, right = symbols[:-1], symbols[1:]
-        place = ((left * np.uint32(0x9E3779B1)) ^ (right * np.uint32(0x85EBCA6B))) >> np.uint32(12)
-        maybe = np.flatnonzero((np.bincount(place, minlength=1 << 20)[place] >= least) & ~head[1:])
+        place = ((left * np.uint32(0x9E3779B1)) ^ (right * np.uint32(0x85EBCA6B))) >> np.uint32(14)
+        maybe = np.flatnonzero((np.bincount(place, minlength=1 << 18)[place] >= least) & ~head[1:])
         pair = (left[maybe].astype(np.uint64) << np.uint64(32)) | right[maybe]
         kinds, at, count = np.unique(pair, return_inverse=True, return_counts=True)
         good = np.flatnonzero(count >= least)
@@ -231,7 +265,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
         rows = lambda part: pa.RecordBatch.from_pylist([pack_block(shard, block, [k for k, _ in part], [x for _, x in part], vocabulary)], schema=arrow)
         size = 0
         for batch in batches:
-            for i, j, _, _ in T.slices(batch.column("_text")):
+            for i, j, _, _ in T.slices(batch.column("_text"), SLICE_BYTES):
                 texts = [x or "" for x in batch.column("_text").slice(i, j - i).to_pylist()]
                 for key, ids in zip(batch.column("key").slice(i, j - i).to_pylist(), enc.ids(texts), strict=True):
                     held.append((key, np.concatenate([ids, end])))
