@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orbitframe.functions.vectors import vec
+from orbitframe.operators.topology import bond_lengths
 
 FRAME = ("frame_index",)
 
@@ -71,13 +72,13 @@ def native_fractions(pairs: DataFrame, by: tuple[str, ...], beta: float = 5.0, s
     return pairs.groupBy(*by).agg(F.avg(1 / (1 + F.exp(beta * (d - scale * d0)))).alias("soft_q"), share(d <= cutoff).alias("hard_q"), share(F.abs(d - d0) <= radius).alias("radius_q"))
 
 
-def contact_score(native: DataFrame, current: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """Share of native contacts (i, j) that current frames (*by, i, j) still have; frames without any score 0."""
-    n = native.count()
-    if not n:
-        return current.sparkSession.createDataFrame([], current.select(*by, F.lit(0.0).alias("score")).schema)
-    kept = current.join(native, ["i", "j"], "left_semi").groupBy(*by).agg((F.count("*") / F.lit(n)).alias("score"))
-    return current.select(*by).distinct().join(kept, list(by), "left").select(*by, F.coalesce("score", F.lit(0.0)).alias("score"))
+def contact_score(native: DataFrame, coords: DataFrame, cutoff: float, by: tuple[str, ...] = FRAME) -> DataFrame:
+    """Share of native contacts (i, j) that each frame still has at most ``cutoff`` apart; no row without native contacts.
+
+    Only native pairs are measured, so the work follows their number, not that of all neighbours.
+    """
+    pairs = native.select(F.col("i").alias("atom1"), F.col("j").alias("atom2"))
+    return bond_lengths(pairs, coords, by).groupBy(*by).agg(F.avg((F.col("length") <= cutoff).cast("double")).alias("score"))
 
 
 def linear_regression(rows: DataFrame, x: str, y: str, by: tuple[str, ...] = ()) -> DataFrame:

@@ -367,7 +367,7 @@ def guess_bonds(spark, d):
 def contact_score(spark, d):
     coords = V.coords(spark, d)
     native = neighbors.self_pairs_within(_first(spark, d), 1.0).select("i", "j")
-    return rounded(A.contact_score(native, neighbors.self_pairs_within(coords, 1.0, ("frame_index",)), ("frame_index",)), "score")
+    return rounded(A.contact_score(native, coords, 1.0), "score")
 
 
 @query(f", n as (select p.atom_index as i, q.atom_index as j, sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2) as d0 from placed p join placed q on p.atom_index < q.atom_index where (p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2 <= 1.0), c as (select p.frame_index, d0, sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2) as dd from n join coords p on p.atom_index = i join coords q on q.atom_index = j and q.frame_index = p.frame_index), f as (select frame_index, avg(1 / (1 + exp(5.0 * (dd - 1.8 * d0)))) as soft_q, avg(cast(dd <= 2.0 as int)) as hard_q, avg(cast(abs(dd - d0) <= 0.5 as int)) as radius_q from c group by 1) select frame_index, {r('soft_q', 'hard_q', 'radius_q')} from f")
