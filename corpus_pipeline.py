@@ -66,5 +66,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = Workspace(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES[:-1]):
-        docs = work.save(stage(spark, docs, sf_dir), f"{k}-{name}")
+        docs = work.save(stage(spark, docs, sf_dir), name)
+        if k:
+            work.drop(STAGES[k - 1][0])  # the next table no longer needs it
     return STAGES[-1][1](spark, docs, sf_dir)

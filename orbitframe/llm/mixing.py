@@ -115,6 +115,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     so_far = F.sum("k").over(Window.partitionBy("sid", "size").orderBy("cell"))
     share = lambda k: F.floor(k * more / F.col("n"))
     quota = work.save(counted.select("sid", "size", "cell", base.alias("base"), (share(so_far) - share(so_far - F.col("k"))).alias("quota")), "quota")
+    work.drop("sizes", "cells", "numbered", "rounded")
     place = F.row_number().over(Window.partitionBy("sid", "size", "cell").orderBy(F.xxhash64("doc_id"), "doc_id"))
     out = dealt.join(quota, ["sid", "size", "cell"]).withColumn("copies", F.col("base") + (place <= F.col("quota")).cast("long"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")

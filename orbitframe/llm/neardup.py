@@ -251,6 +251,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if more.take(1):
         more_links = work.save(confirmed(more, texts, size, percent), "more_links")
         labels = connected_components(links.union(more_links), work, "second")
+    work.drop("sizes", "shared", "central", "hubs", "pairs", "links", "mixed", "members", "asked", "shingles", "rare", "rare_lists", "able", "more_pairs", "more_links")
     found = reps.join(labels, "id", "left").select("set_a", "set_b", "n", F.coalesce("label", "id").alias("component_id"))
     out = sketched.join(found, ["set_a", "set_b", "n"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))

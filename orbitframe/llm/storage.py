@@ -21,7 +21,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Workspace:
-    """Names and removes the intermediate tables of one operator call."""
+    """Names and removes the intermediate tables of one operator call.
+
+    Operators drop what their result no longer reads; the few tables it does read stay until their folder is removed.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -33,6 +36,7 @@ class Workspace:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
+        """Remove tables; names that were never saved are passed over."""
         jvm = self.spark._jvm
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")

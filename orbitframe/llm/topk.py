@@ -133,6 +133,7 @@ def top_inner_products(vectors: DataFrame, id_col: str = "vec_id", vector_col: s
                 yield pa.RecordBatch.from_arrays([pa.array([int(q_ids[0])]), pa.array([ids], pa.binary()), pa.array([data], pa.binary()), pa.array([bound.tobytes()], pa.binary())], ["block", "ids", "data", "bound"])
 
     bounded = work.save(queries.select("ids", "data").mapInArrow(bounds, "block long, ids binary, data binary, bound binary"), "bounded")
+    work.drop("queries")
     n_blocks, n_queries = blocks.count(), bounded.count()
     number = Window.orderBy("block")  # a row a block
     names = lambda df, name: df.select("block").distinct().withColumn(name, F.row_number().over(number) - 1)
