@@ -33,9 +33,9 @@ def survival(states: DataFrame, tau_max: int, step: int = 1) -> DataFrame:
     w = Window.partitionBy("id").orderBy("frame")
     runs = states.select("frame", "id").distinct().withColumn("run", F.col("frame") - F.row_number().over(w))
     stay = runs.withColumn("left", F.max("frame").over(Window.partitionBy("id", "run")) - F.col("frame"))
-    last = states.agg(F.max("frame").alias("last"))  # one row
-    origins = stay.where(F.col("frame") % step == 0).crossJoin(F.broadcast(last))
-    taus = origins.withColumn("tau", F.explode(F.sequence(F.lit(0), F.least(F.lit(tau_max), (F.col("last") - F.col("frame")).cast("int")))))
+    last = states.agg(F.max("frame")).first()[0] or 0
+    origins = stay.where(F.col("frame") % step == 0)
+    taus = origins.withColumn("tau", F.explode(F.sequence(F.lit(0), F.least(F.lit(tau_max), (F.lit(last) - F.col("frame")).cast("int")))))
     shares = taus.groupBy("frame", "tau").agg(F.avg((F.col("left") >= F.col("tau")).cast("double")).alias("share"))
     return shares.groupBy("tau").agg(F.avg("share").alias("survival"))
 
