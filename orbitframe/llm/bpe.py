@@ -70,10 +70,12 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, id_col: str
     Null and empty texts give an empty array; repeated rows are encoded each; an empty table gives an empty table.
     Other columns are dropped unless named in ``keep``, so clashing names don't matter. Map-only: no shuffle.
     """
+    T.small_batches(docs)
     picked = docs.select(F.col(id_col), *keep, F.col(text_col).alias("_text"))
     schema = StructType([*docs.select(id_col, *keep).schema, StructField("ids", ArrayType(IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        T.release_memory()
         for batch in batches:
             for i, j, _, _ in T.slices(batch.column("_text")):
                 part = batch.slice(i, j - i)
@@ -85,9 +87,11 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, id_col: str
 
 def decode_documents(encoded: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id, ids, raw binary): the bytes of each id joined, also where an id is a part of a character; null ids count as none."""
+    T.small_batches(encoded)
     picked = encoded.select(F.col(id_col), F.col(ids_col).alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        T.release_memory()
         enc = encoding(rank_file, pattern)
         for batch in batches:
             for at in range(0, batch.num_rows, 100):

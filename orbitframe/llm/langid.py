@@ -95,11 +95,13 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
     Null texts and texts without letters get ``und`` and score 0, as do all texts if nothing was learned; columns of
     those two names are replaced; repeated rows score alike; an empty table gives an empty result. Map-only.
     """
+    T.small_batches(docs)
     docs = docs.drop("lang_pred", "lang_score")
     names, weights = model
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # DIM + 1 rows by language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        T.release_memory()
         for batch in batches:
             column = batch.column(text_col)
             for i, j, x in _batches(column):

@@ -78,6 +78,7 @@ def sketch_documents(docs: DataFrame, id_col: str, text_col: str, size: int) ->
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        T.release_memory()
         for batch in batches:
             for i, j, data, offsets in T.slices(batch.column("_text")):
                 h, first = shingles(data, offsets, size)
@@ -100,6 +101,7 @@ def bands(reps: DataFrame) -> DataFrame:
     """(band, id): a row for each representative and band, keyed by a hash of the band's registers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        T.release_memory()
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
@@ -139,6 +141,7 @@ def plausible(pairs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame
     both = pairs.join(side("a"), "a").join(side("b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        T.release_memory()
         for batch in batches:
             if batch.num_rows:
                 a, b = (np.frombuffer(b"".join(batch.column(x).to_pylist()), np.uint16).reshape(-1, REGISTERS) for x in ("sa", "sb"))
@@ -159,6 +162,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
             yield from np.split(h, first[1:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        T.release_memory()
         for batch in batches:
             ok = []
             for x, y in zip(sets(batch.column("ta")), sets(batch.column("tb")), strict=True):
@@ -219,6 +223,7 @@ def shingle_rows(texts: DataFrame, size: int) -> DataFrame:
     """(shingle, id, label): a row for each shingle of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        T.release_memory()
         for batch in batches:
             for i, j, data, offsets in T.slices(batch.column("_text"), 1 << 18):
                 h, first = shingles(data, offsets, size)
@@ -237,6 +242,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty result.
     """
     spark = docs.sparkSession
+    T.small_batches(docs)
     work = Workspace(spark, "neardup")
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_text"))
     sketched = work.save(sketch_documents(docs, id_col, text_col, size), "sketches")

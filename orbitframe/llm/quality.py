@@ -106,10 +106,12 @@ def score_quality(docs: DataFrame, weights: np.ndarray, text_col: str = "text")
     Null and empty texts score as texts without words; repeated rows score alike; a column of that name is replaced;
     an empty table gives an empty result. Map-only; the weights have a fixed size.
     """
+    T.small_batches(docs)
     docs = docs.drop("quality_score")
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        T.release_memory()
         for batch in batches:
             for i, j, data, offsets in T.slices(batch.column(text_col)):
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, pa.array(score(shared.value, data, offsets), pa.float64())], [*batch.schema.names, "quality_score"])

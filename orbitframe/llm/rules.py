@@ -84,9 +84,11 @@ def features(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
 
 def rule_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, the counts of ``FEATURES``) of every whole text; null and empty texts count zero everywhere. Map-only."""
+    T.small_batches(docs)
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        T.release_memory()
         for batch in batches:
             for i, j, data, offsets in T.slices(batch.column("_text")):
                 found = features(data, offsets)

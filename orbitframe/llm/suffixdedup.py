@@ -131,6 +131,7 @@ def _spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def _chunk(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
     """A chunk's rows in a fixed order, with bytes, offsets and ids (null ids last)."""
+    T.release_memory()
     table = table.sort_by([("_id", "ascending"), ("_text", "ascending")]).combine_chunks()
     data, offsets = T.raw(table.column("_text").combine_chunks() if table.num_rows else pa.array([], pa.string()))
     return table, data[offsets[0] : offsets[-1]], offsets - offsets[0], table.column("_id").fill_null(_NO_ID).to_numpy()
@@ -340,6 +341,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     others; rows come out as often as they come in; an empty table gives an empty result. Columns other than the
     id, the text and ``keep`` are dropped first, so clashing names don't matter.
     """
+    T.small_batches(docs)
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     part_bytes = max(PART_BYTES, int((1024 * size) ** 0.5))  # keeps what a chunk sends to a range near a KB at any size
     parts = max(1, -(-size // part_bytes))

@@ -6,23 +6,40 @@ the slice (or the longest single text), never the partition.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 SLICE_BYTES = 1 << 20
+BATCH_ROWS = 1000
 _STEP = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _BYTES = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 
 
+def small_batches(df: DataFrame) -> None:
+    """Cut this session's Arrow batches to ``BATCH_ROWS`` rows, as rows hold whole texts; a smaller setting stays."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+
+
+def release_memory() -> None:
+    """Give memory that this worker process no longer uses back to the system: workers go on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+        trim(0)
+
+
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column; null counts as empty."""
     column = column.cast(pa.large_binary())

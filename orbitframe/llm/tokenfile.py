@@ -253,11 +253,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
     an empty table gives a folder without rows. Ids must be integers; other columns are ignored.
     """
     spark = docs.sparkSession
+    T.small_batches(docs)
     picked = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("_text"))
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = picked.repartitionByRange(shards, "key").sortWithinPartitions("key", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        T.release_memory()
         from pyspark import TaskContext
 
         enc, end = encoder(tokenizer), np.array([end_id], np.uint32)
@@ -296,6 +298,7 @@ def read_tokens(spark, path: str) -> DataFrame:
     work = blocks.join(placed, ["shard", "block"]).select("begin", "keys", "id_counts", "wide", "first_rule", "rules", "symbols")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        T.release_memory()
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {name: batch.column(name)[k].as_py() for name in batch.schema.names}

@@ -276,10 +276,12 @@ def score_toxicity(docs: DataFrame, net: Network, id_col: str = "doc_id", text_c
     Null, empty and wordless texts score as one empty window, that is by the network's prior; repeated rows score
     alike; an empty table gives an empty result. A column already named toxicity_score is replaced. Map-only.
     """
+    T.small_batches(docs)
     docs = docs.drop("toxicity_score")
     model = docs.sparkSession.sparkContext.broadcast(net)  # under 1 MB, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        T.release_memory()
         for batch in batches:
             for i, j, data, offsets in T.slices(batch.column(text_col), 1 << 19):
                 score = model.value.score(Words(data, offsets))
