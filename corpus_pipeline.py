@@ -40,9 +40,10 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    copies = mix_sources(docs).where("copies > 0").select(F.col("doc_id").alias("_mixed"), F.col("copies").alias("_copies"))
-    met = docs.join(copies, docs.doc_id.eqNullSafe(copies["_mixed"]))
+    """Each row as often as the mix takes it; rows are numbered first, since ids may be null or repeated."""
+    rows = Workspace(spark, "mix").save(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    copies = mix_sources(rows, keep=("_row",)).where("copies > 0").select("_row", F.col("copies").alias("_copies"))
+    met = rows.join(copies, "_row")
     return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(docs.columns)
 
 

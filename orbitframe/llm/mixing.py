@@ -83,17 +83,17 @@ def round_cells(cells: pd.DataFrame, cap: float) -> pd.DataFrame:
     return cells.assign(copies=copies)[["sid", "size", "n", "copies"]]
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, total: float = 1.5, cap: int = 2) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, copies): how many whole copies of each document the mix takes.
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, total: float = 1.5, cap: int = 2, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, *keep, size, source_size, target, taken, copies): how many whole copies of each document the mix takes.
 
     Null and empty texts have size 0 and stay with one empty copy; a null source is a source of its own, the last
-    in order; repeated rows count each; sources without words have target 0; an empty table gives an empty result.
+    in order; repeated rows count each, ties among them falling by ``keep``; sources without words have target 0; an empty table gives an empty result.
     Sources are held on the driver (a row a source, as the weights are); documents never are.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "mixing")
     size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
-    sized = work.save(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size")), "sizes")
+    sized = work.save(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), *keep), "sizes")
     cells = work.save(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "cells")
     sources = cells.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("words"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("size") * F.col("size")).alias("square")).collect()
     sources = sorted(sources, key=lambda r: (r.source is None, r.source or ""))
@@ -116,6 +116,6 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     share = lambda k: F.floor(k * more / F.col("n"))
     quota = work.save(counted.select("sid", "size", "cell", base.alias("base"), (share(so_far) - share(so_far - F.col("k"))).alias("quota")), "quota")
     work.drop("sizes", "cells", "numbered", "rounded")
-    place = F.row_number().over(Window.partitionBy("sid", "size", "cell").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    place = F.row_number().over(Window.partitionBy("sid", "size", "cell").orderBy(F.xxhash64("doc_id"), "doc_id", *keep))
     out = dealt.join(quota, ["sid", "size", "cell"]).withColumn("copies", F.col("base") + (place <= F.col("quota")).cast("long"))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    return out.select("doc_id", *keep, "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")

@@ -1,4 +1,5 @@
 import hashlib
+from collections import Counter
 
 import corpus_pipeline
 import public_tokenizers as P
@@ -54,3 +55,15 @@ def test_stages_take_nulls_and_extra_columns(spark, docs):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_mix_takes_rows_without_or_with_repeated_ids_once_each(spark):
+    """Many rows share a null id or one id; each still comes at most twice, and sources meet their targets."""
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k, f"t{k} b c d", "en", "ab"[k % 2], 9) for k in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.mix(spark, df, SF)
+    found = Counter((r.doc_id, r.text, r.source) for r in out.collect())
+    assert out.columns == df.columns and set(found) <= {(d, t, s) for d, t, _, s, _ in rows} and max(found.values()) <= 2
+    want = mixing.targets({"a": 240, "b": 240})
+    for s in "ab":
+        assert abs(4 * sum(n for (*_, x), n in found.items() if x == s) - want[s]) <= 4
