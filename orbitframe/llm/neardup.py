@@ -188,27 +188,32 @@ def leader_pairs(keyed: DataFrame, work: Workspace) -> DataFrame:
     return pairs.select("p.a", "p.b").where("a < b").distinct()
 
 
-def crossing_pairs(keyed: DataFrame, labels: DataFrame, tested: DataFrame, reps: DataFrame, texts: DataFrame, size: int, percent: int, work: Workspace) -> DataFrame:
+def crossing_pairs(keyed: DataFrame, labels: DataFrame, tested: DataFrame, reps: DataFrame, texts: DataFrame, repeated: DataFrame, size: int, percent: int, work: Workspace) -> DataFrame:
     """Untested pairs that share a band but not a component and whose shingles don't rule a link out.
 
     Let a shingle be rare if at most ``RARE`` of the texts in question have it. A pair that shares a rare shingle
     comes from the short list of that shingle. Any other pair shares at most the smaller number of shingles that are
     not rare, which excludes nearly all texts at the fringe of a large group. For the rest, members of a band's
     largest component are one side and all other members meet them and each other; nothing is emitted within a
-    component, however large.
+    component, however large. Texts of one id, listed in ``repeated``, count as one text with all their shingles.
     """
     held = keyed.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     sizes = held.groupBy("band", "label").count()
     mixed = work.save(sizes.groupBy("band").agg(F.count("*").alias("k"), F.max_by("label", "count").alias("main")).where("k > 1").select("band", "main"), "mixed")
     members = work.save(held.join(mixed, "band"), "members")
-    asked = work.save(members.select("id", "label").distinct(), "asked")
+    asked = members.select("id", "label").distinct().join(repeated.select("id", F.lit(True).alias("many")), "id", "left")
+    asked = work.save(asked.withColumn("many", F.coalesce("many", F.lit(False))), "asked")
     rows = work.save(shingle_rows(texts.join(asked, "id"), size), "shingles")
+    joint = work.save(rows.where("many").distinct(), "joint_shingles")
+    rows = rows.where("not many").union(joint)
     rare = work.save(rows.groupBy("shingle").count().where(F.col("count") <= RARE), "rare")
     lists = work.save(rows.join(rare, "shingle"), "rare_lists")
     few = lists.where("count > 1").select("shingle", "id", "label")
     other = few.select("shingle", F.col("id").alias("x"), F.col("label").alias("lx"))
     through_rare = few.join(other, "shingle").where("id < x and label <> lx").select(F.col("id").alias("a"), F.col("x").alias("b"))
-    common = reps.select("id", "n").join(lists.groupBy("id").agg(F.count("*").alias("k")), "id", "left").select("id", "n", (F.col("n") - F.coalesce("k", F.lit(0))).alias("common"))
+    total = F.coalesce("all", "n")  # of all texts of the id
+    common = reps.select("id", "n").join(lists.groupBy("id").agg(F.count("*").alias("k")), "id", "left").join(joint.groupBy("id").agg(F.count("*").alias("all")), "id", "left")
+    common = common.select("id", "n", F.least("n", total - F.coalesce("k", F.lit(0))).alias("common"))
     common = common.where(100 * F.col("common") >= percent * F.col("n")).join(members.groupBy("id").agg(F.collect_set("band").alias("bands")), "id")  # at most BANDS each
     able = work.save(members.join(common, "id"), "able")
     others = able.where("label <> main").select("band", F.col("id").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("common").alias("cx"), F.col("bands").alias("bx"))
@@ -220,7 +225,7 @@ def crossing_pairs(keyed: DataFrame, labels: DataFrame, tested: DataFrame, reps:
 
 
 def shingle_rows(texts: DataFrame, size: int) -> DataFrame:
-    """(shingle, id, label): a row for each shingle of each text."""
+    """(shingle, id, label, many): a row for each shingle of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         T.release_memory()
@@ -228,9 +233,9 @@ def shingle_rows(texts: DataFrame, size: int) -> DataFrame:
             for i, j, data, offsets in T.slices(batch.column("_text"), 1 << 18):
                 h, first = shingles(data, offsets, size)
                 rows = pa.array(np.repeat(np.arange(i, j), np.diff(first)))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column("id").take(rows), batch.column("label").take(rows)], ["shingle", "id", "label"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column("id").take(rows), batch.column("label").take(rows), batch.column("many").take(rows)], ["shingle", "id", "label", "many"])
 
-    return texts.select("id", "label", "_text").mapInArrow(run, "shingle long, id long, label long")
+    return texts.select("id", "label", "many", "_text").mapInArrow(run, "shingle long, id long, label long, many boolean")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
@@ -253,11 +258,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = work.save(confirmed(pairs, texts, size, percent), "links")
     labels = connected_components(links, work, "first")
     # bands whose members are not all in one component yet
-    more = work.save(plausible(crossing_pairs(keyed, labels, pairs, reps, texts, size, percent, work), reps, percent / 100), "more_pairs")
+    repeated = sketched.where("id is not null").groupBy("id").count().where("count > 1")
+    more = work.save(plausible(crossing_pairs(keyed, labels, pairs, reps, texts, repeated, size, percent, work), reps, percent / 100), "more_pairs")
     if more.take(1):
         more_links = work.save(confirmed(more, texts, size, percent), "more_links")
         labels = connected_components(links.union(more_links), work, "second")
-    work.drop("sizes", "shared", "central", "hubs", "pairs", "links", "mixed", "members", "asked", "shingles", "rare", "rare_lists", "able", "more_pairs", "more_links")
+    work.drop("sizes", "shared", "central", "hubs", "pairs", "links", "mixed", "members", "asked", "shingles", "joint_shingles", "rare", "rare_lists", "able", "more_pairs", "more_links")
     found = reps.join(labels, "id", "left").select("set_a", "set_b", "n", F.coalesce("label", "id").alias("component_id"))
     out = sketched.join(found, ["set_a", "set_b", "n"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))

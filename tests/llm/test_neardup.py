@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from orbitframe.llm import neardup
+from orbitframe.llm.storage import Workspace
 
 
 def shingle_set(text):
@@ -92,3 +93,31 @@ def test_fringe_of_a_large_group(spark):
         sibling = w
         rows.append((d, " ".join(w)))
     check(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
+def test_repeated_rows_keep_the_bound_on_common_shingles(spark, monkeypatch):
+    """Two texts share 88 common shingles of 100; one comes twice, or under one id with another text."""
+    monkeypatch.setattr(neardup, "RARE", 5)
+    base = [f"b{i}" for i in range(104)]
+    x, y = (base[:-n] + [f"{s}{i}" for i in range(n)] for s, n in (("x", 10), ("y", 12)))
+    rows = [(1, x), (1, x), (2, y)] + [(10 + k, base[:-14] + [f"f{k}_{i}" for i in range(200)]) for k in range(12)]
+    for more in ([], [(1, [f"z{i}" for i in range(80)])]):
+        df = spark.createDataFrame([(d, " ".join(w)) for d, w in rows + more], "id long, _text string")
+        reps = spark.createDataFrame([(d, len(shingle_set(" ".join(w)))) for d, w in rows[1:] + more], "id long, n long").persist()
+        keyed = reps.select(F.lit(5).cast("long").alias("band"), "id").distinct()
+        none = spark.createDataFrame([], "id long, label long"), spark.createDataFrame([], "a long, b long")
+        repeated = df.groupBy("id").count().where("count > 1")
+        got = neardup.crossing_pairs(keyed, *none, reps, df, repeated, 5, 75, Workspace(spark, "test"))
+        assert (1, 2) in {(r.a, r.b) for r in got.collect()}
+
+
+def test_large_group_of_repeated_rows(spark):
+    rng = np.random.default_rng(9)
+    base = [f"b{i}" for i in range(150)]
+    texts = []
+    for _ in range(70):
+        w = list(base)
+        for at in rng.choice(150, int(rng.integers(1, 9)), replace=False):
+            w[at] = f"n{rng.integers(10**6)}"
+        texts.append(" ".join(w))
+    check(spark.createDataFrame([(d % 70, texts[d % 70]) for d in range(140 + 30)], "doc_id long, text string"))
