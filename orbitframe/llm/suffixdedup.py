@@ -5,7 +5,8 @@ A byte goes if a string of ``min_len`` bytes that covers it also starts in a doc
 Only strings with a chance of repeating are sorted. The least hash among a string's ``ANCHOR``-byte grams is its
 key: equal strings have equal keys, and neighbouring strings mostly share one, so a text falls into runs of strings.
 
-1. Documents are dealt into chunks of a few MB by a hash of their id. Every chunk sends its distinct keys, packed by
+1. Documents are dealt into chunks of a few MB by a hash of their id and text; rows that repeat both in bulk go once
+   and their result is spread over them at the end. Every chunk sends its distinct keys, packed by
    key range; each range answers which keys occur in two documents or more.
 2. Chunks send a hash of each run with such a key and the least id that has it; each range answers whose id is the
    least of all. Equal runs under larger ids are later copies as a whole.
@@ -33,6 +34,7 @@ PART_BYTES = 4 << 20  # of a chunk and of a range; 320 MB for 100 TB
 SEGMENT = 1 << 20
 BLOCK = 400_000
 HOT = 2000
+ROW_BYTES = 100  # that a row takes besides its text
 _NO_ID = np.iinfo(np.int64).max
 _BYTE = np.uint64(1) << (np.arange(1, 8, dtype=np.uint64) * np.uint64(8))
 
@@ -338,7 +340,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(doc_id, *keep, n_bytes, n_removed, n_spans, kept binary): every whole text without later copies.
 
     Null texts count as empty; rows with equal ids never remove each other; a null id counts as larger than all
-    others; rows come out as often as they come in; an empty table gives an empty result. Columns other than the
+    others, ids being compared by value, so rows of one id may lie in any chunk; rows come out as often as they come in; an empty table gives an empty result. Columns other than the
     id, the text and ``keep`` are dropped first, so clashing names don't matter.
     """
     T.small_batches(docs)
@@ -346,7 +348,27 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     part_bytes = max(PART_BYTES, int((1024 * size) ** 0.5))  # keeps what a chunk sends to a range near a KB at any size
     parts = max(1, -(-size // part_bytes))
     bits = max(6, int(parts - 1).bit_length()) if size > SEGMENT else 2
-    picked = docs.select(F.pmod(F.xxhash64(id_col), F.lit(max(parts, 4))).alias("_chunk"), F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), *keep)
+    rows = docs.select(F.xxhash64(id_col, text_col).alias("_row"), F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), *keep)
+    weight = F.sum(F.coalesce(F.octet_length("_text"), F.lit(0)) + ROW_BYTES)
+    bulk = rows.groupBy("_row").agg(F.count("*").alias("_n"), F.ceil(weight / (part_bytes / 8)).alias("_parts")).where("_n > 1 and _parts > 1").drop("_n")
+    if not bulk.take(1):
+        return _dealt(rows, parts, bits, min_len, list(keep)).withColumnRenamed("_id", id_col)
+    met = rows.join(bulk, "_row")
+    once = met.groupBy("_row", "_id", "_text").agg(F.first("_parts").alias("_parts"))
+    single = rows.join(bulk, "_row", "left_anti")
+    both = single.withColumn("_parts", F.lit(0).cast("long")).unionByName(once, allowMissingColumns=True)
+    cut = _dealt(both, parts, bits, min_len, ["_row", "_parts", *keep])
+    counts = ["n_bytes", "n_removed", "n_spans", "kept"]
+    shares = cut.where("_parts > 0").select("_row", "_id", *counts, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("_part"))
+    repeats = met.select("_row", F.col("_id").alias("_own"), *keep, F.pmod(F.monotonically_increasing_id(), "_parts").alias("_part"))
+    spread = repeats.join(shares.withColumnsRenamed({"_row": "_r", "_part": "_p"}), (F.col("_row") == F.col("_r")) & (F.col("_part") == F.col("_p")) & F.col("_own").eqNullSafe(F.col("_id")))
+    out = ["_id", *keep, *counts]
+    return cut.where("_parts = 0").select(out).union(spread.select(out)).withColumnRenamed("_id", id_col)
+
+
+def _dealt(rows: DataFrame, parts: int, bits: int, min_len: int, names: list[str]) -> DataFrame:
+    """(_id, *names, n_bytes, n_removed, n_spans, kept) of rows (_row, _id, _text, *names), dealt into chunks by ``_row``."""
+    picked = rows.select(F.pmod("_row", F.lit(max(parts, 4))).alias("_chunk"), "_id", "_text", *names)
     sent = "part long, chunk long, blob binary"
     keys = picked.groupBy("_chunk").applyInArrow(lambda t: _send_keys(t, min_len, bits), sent)
     answers = keys.groupBy("part").applyInArrow(_answer_keys, sent)
@@ -354,8 +376,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     firsts = contents.groupBy("part").applyInArrow(_answer_contents, sent)
     runs = picked.groupBy("_chunk").cogroup(firsts.groupBy("chunk")).applyInArrow(lambda t, a: _send_runs(t, a, min_len, bits), sent)
     gone = runs.groupBy("part").applyInArrow(lambda t: _answer_runs(t, min_len), "chunk long, blob binary")
-    names = ["_id", *keep]
+    names = ["_id", *names]
     counts = [StructField(x, LongType()) for x in ("n_bytes", "n_removed", "n_spans")]
     schema = StructType([*picked.select(*names).schema, *counts, StructField("kept", BinaryType())])
-    cut = picked.groupBy("_chunk").cogroup(gone.groupBy("chunk")).applyInArrow(lambda t, a: _cut(t, a, names), schema)
-    return cut.withColumnRenamed("_id", id_col)
+    return picked.groupBy("_chunk").cogroup(gone.groupBy("chunk")).applyInArrow(lambda t, a: _cut(t, a, names), schema)

@@ -100,7 +100,7 @@ def test_repeated_rows_keep_the_bound_on_common_shingles(spark, monkeypatch):
     monkeypatch.setattr(neardup, "RARE", 5)
     base = [f"b{i}" for i in range(104)]
     x, y = (base[:-n] + [f"{s}{i}" for i in range(n)] for s, n in (("x", 10), ("y", 12)))
-    rows = [(1, x), (1, x), (2, y)] + [(10 + k, base[:-14] + [f"f{k}_{i}" for i in range(200)]) for k in range(12)]
+    rows = [(1, x), (1, x), (2, y)] + [(10 + k, base[:-12] + [f"f{k}_{i}" for i in range(200)]) for k in range(12)]
     for more in ([], [(1, [f"z{i}" for i in range(80)])]):
         df = spark.createDataFrame([(d, " ".join(w)) for d, w in rows + more], "id long, _text string")
         reps = spark.createDataFrame([(d, len(shingle_set(" ".join(w)))) for d, w in rows[1:] + more], "id long, n long").persist()

@@ -43,6 +43,29 @@ def test_small_table(small):
     check(small)
 
 
+def test_no_key_fills_a_chunk(spark, monkeypatch):
+    """Rows without an id, rows of one id, and equal rows in bulk: chunks stay small and results are the same."""
+    monkeypatch.setattr(S, "PART_BYTES", 4000)
+    rng = np.random.default_rng(7)
+    shared = "".join(map(chr, rng.integers(97, 123, 80)))
+    rows = [((None, 7)[k % 2], f"{k} " + "".join(map(chr, rng.integers(97, 123, 60))) + shared) for k in range(120)]
+    rows += [(None, "")] * 200 + [(9, "x " + shared)] * 90 + [(3, shared + " y")]
+    df = spark.createDataFrame([(d, t, k) for k, (d, t) in enumerate(rows)], "doc_id long, text string, k long")
+    sizes, dealt = [], S._dealt
+
+    def seen(picked, parts, *rest):
+        sizes.extend(r["count"] for r in picked.groupBy(F.pmod("_row", F.lit(max(parts, 4)))).count().collect())
+        return dealt(picked, parts, *rest)
+
+    monkeypatch.setattr(S, "_dealt", seen)
+    got = sorted((r.k, r.doc_id, r.n_bytes, r.n_removed, bytes(r.kept)) for r in S.remove_repeats(df, keep=("k",)).collect())
+    last = 10**9  # a null id counts as larger than all others
+    want = brute([(last if d is None else d, t.encode()) for d, t in rows])
+    assert len(got) == len(rows) and max(sizes) < 40
+    assert sorted((last if d is None else d, n, r, t) for _, d, n, r, t in got) == [(d, n, r, t) for d, n, r, _, t in want]
+    assert all((d, n) == (rows[k][0], len(rows[k][1])) for k, d, n, *_ in got)
+
+
 @pytest.mark.parametrize("hot", [2, 2000])
 def test_hot_passages(spark, monkeypatch, hot):
     monkeypatch.setattr(S, "HOT", hot)
