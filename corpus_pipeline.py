@@ -32,9 +32,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the byte strings that one with a smaller id has; characters cut in two go whole."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    cut = remove_repeats(docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *rest).alias("rest")), keep=("rest",))
+    cut = remove_repeats(docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *rest).alias("rest")), keep=("rest",), characters=True)
     raw = F.col("kept").cast("string")
-    text = F.when(F.is_valid_utf8(raw), raw).otherwise(F.replace(F.make_valid_utf8(raw), F.lit("�"), F.lit("")))
+    text = F.when(F.is_valid_utf8(raw), raw).otherwise(F.make_valid_utf8(raw))  # bytes that were invalid before
     kept = cut.select("doc_id", text.alias("text"), *(F.col("rest")[c].alias(c) for c in rest))
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 

@@ -316,13 +316,18 @@ def _repeated(data: np.ndarray, at: np.ndarray, lengths: np.ndarray, owner: np.n
     return np.concatenate([whole, run[first]]), np.concatenate([np.zeros(len(whole), np.int64), place[first]]), np.concatenate([lengths[whole], place[last] + min_len])
 
 
-def _cut(table: pa.Table, answers: pa.Table, names: list[str]) -> pa.Table:
+def _cut(table: pa.Table, answers: pa.Table, names: list[str], characters: bool) -> pa.Table:
     table, data, offsets, _ = _chunk(table)
     gone = np.frombuffer(b"".join(b.as_py() for b in answers.column("blob")), np.int64).reshape(-1, 2)
     edge = np.zeros(len(data) + 1, np.int32)
     np.add.at(edge, gone[:, 0], 1)
     np.add.at(edge, gone[:, 1], -1)
     out = np.cumsum(edge)[:-1] > 0
+    if characters and len(data):  # a character goes if any of its bytes goes
+        start = (data & 0xC0) != 0x80
+        start[offsets[:-1][offsets[:-1] < len(data)]] = True
+        at = np.flatnonzero(start)
+        out = np.repeat(np.logical_or.reduceat(out, at), np.diff(np.append(at, len(data))))
     begins = out.copy()
     begins[1:] &= ~out[:-1]
     inner = offsets[:-1][offsets[:-1] < len(data)]
@@ -336,12 +341,13 @@ def _cut(table: pa.Table, answers: pa.Table, names: list[str]) -> pa.Table:
     return pa.table([*(table.column(x) for x in names), pa.array(np.diff(offsets)), pa.array(removed), pa.array(spans), raw], [*names, "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = 50, keep: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = 50, keep: tuple[str, ...] = (), characters: bool = False) -> DataFrame:
     """(doc_id, *keep, n_bytes, n_removed, n_spans, kept binary): every whole text without later copies.
 
     Null texts count as empty; rows with equal ids never remove each other; a null id counts as larger than all
     others, ids being compared by value, so rows of one id may lie in any chunk; rows come out as often as they come in; an empty table gives an empty result. Columns other than the
-    id, the text and ``keep`` are dropped first, so clashing names don't matter.
+    id, the text and ``keep`` are dropped first, so clashing names don't matter. With ``characters``, spans are widened
+    to whole UTF-8 characters.
     """
     T.small_batches(docs)
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
@@ -352,12 +358,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     weight = F.sum(F.coalesce(F.octet_length("_text"), F.lit(0)) + ROW_BYTES)
     bulk = rows.groupBy("_row").agg(F.count("*").alias("_n"), F.ceil(weight / (part_bytes / 8)).alias("_parts")).where("_n > 1 and _parts > 1").drop("_n")
     if not bulk.take(1):
-        return _dealt(rows, parts, bits, min_len, list(keep)).withColumnRenamed("_id", id_col)
+        return _dealt(rows, parts, bits, min_len, characters, list(keep)).withColumnRenamed("_id", id_col)
     met = rows.join(bulk, "_row")
     once = met.groupBy("_row", "_id", "_text").agg(F.first("_parts").alias("_parts"))
     single = rows.join(bulk, "_row", "left_anti")
     both = single.withColumn("_parts", F.lit(0).cast("long")).unionByName(once, allowMissingColumns=True)
-    cut = _dealt(both, parts, bits, min_len, ["_row", "_parts", *keep])
+    cut = _dealt(both, parts, bits, min_len, characters, ["_row", "_parts", *keep])
     counts = ["n_bytes", "n_removed", "n_spans", "kept"]
     shares = cut.where("_parts > 0").select("_row", "_id", *counts, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("_part"))
     repeats = met.select("_row", F.col("_id").alias("_own"), *keep, F.pmod(F.monotonically_increasing_id(), "_parts").alias("_part"))
@@ -366,7 +372,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return cut.where("_parts = 0").select(out).union(spread.select(out)).withColumnRenamed("_id", id_col)
 
 
-def _dealt(rows: DataFrame, parts: int, bits: int, min_len: int, names: list[str]) -> DataFrame:
+def _dealt(rows: DataFrame, parts: int, bits: int, min_len: int, characters: bool, names: list[str]) -> DataFrame:
     """(_id, *names, n_bytes, n_removed, n_spans, kept) of rows (_row, _id, _text, *names), dealt into chunks by ``_row``."""
     picked = rows.select(F.pmod("_row", F.lit(max(parts, 4))).alias("_chunk"), "_id", "_text", *names)
     sent = "part long, chunk long, blob binary"
@@ -379,4 +385,4 @@ def _dealt(rows: DataFrame, parts: int, bits: int, min_len: int, names: list[str
     names = ["_id", *names]
     counts = [StructField(x, LongType()) for x in ("n_bytes", "n_removed", "n_spans")]
     schema = StructType([*picked.select(*names).schema, *counts, StructField("kept", BinaryType())])
-    return picked.groupBy("_chunk").cogroup(gone.groupBy("chunk")).applyInArrow(lambda t, a: _cut(t, a, names), schema)
+    return picked.groupBy("_chunk").cogroup(gone.groupBy("chunk")).applyInArrow(lambda t, a: _cut(t, a, names, characters), schema)

@@ -67,3 +67,12 @@ def test_mix_takes_rows_without_or_with_repeated_ids_once_each(spark):
     want = mixing.targets({"a": 240, "b": 240})
     for s in "ab":
         assert abs(4 * sum(n for (*_, x), n in found.items() if x == s) - want[s]) <= 4
+
+
+def test_cut_repeats_keeps_replacement_characters_of_the_text(spark):
+    """Passages end in letters with one lead byte, so cuts split them; the text has U+FFFD of its own."""
+    passage = "".join(chr(97 + (k * k) % 26) for k in range(70))
+    rows = [(1, passage + "\u00e9 a"), (2, "own \ufffd " + passage + "\u00e8 tail \ufffd"), (3, "\u00e8\ufffd")]
+    df = spark.createDataFrame([(d, t, "en", "a", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.cut_repeats(spark, df, SF).collect()}
+    assert got == {1: (rows[0][1], 73), 2: ("own \ufffd  tail \ufffd", 13), 3: ("\u00e8\ufffd", 2)}
