@@ -64,23 +64,24 @@ def encode(text: str, rank_file: str, pattern: str, piece_chars: int = PIECE_CHA
     return ids
 
 
-def encode_documents(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, *keep, ids array<int>): token ids of every whole text.
+def encode_documents(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), decoded: bool = False) -> DataFrame:
+    """(id, *keep, ids array<int>): token ids of every whole text; with ``decoded``, also ``raw``, the bytes that the ids decode to.
 
     Null and empty texts give an empty array; repeated rows are encoded each; an empty table gives an empty table.
     Other columns are dropped unless named in ``keep``, so clashing names don't matter. Map-only: no shuffle.
     """
     T.small_batches(docs)
     picked = docs.select(F.col(id_col), *keep, F.col(text_col).alias("_text"))
-    schema = StructType([*docs.select(id_col, *keep).schema, StructField("ids", ArrayType(IntegerType()))])
+    schema = StructType([*docs.select(id_col, *keep).schema, StructField("ids", ArrayType(IntegerType())), *[StructField("raw", BinaryType())] * decoded])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         T.release_memory()
         for batch in batches:
             for i, j, _, _ in T.slices(batch.column("_text")):
                 part = batch.slice(i, j - i)
-                ids = [np.array(encode(x.as_py() or "", rank_file, pattern), np.int32) for x in part.column("_text")]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(ids, pa.list_(pa.int32()))], [*part.schema.names[:-1], "ids"])
+                ids = [encode(x.as_py() or "", rank_file, pattern) for x in part.column("_text")]
+                more = [pa.array([encoding(rank_file, pattern).decode_bytes(x) for x in ids], pa.binary())] if decoded else []
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([np.array(x, np.int32) for x in ids], pa.list_(pa.int32())), *more], schema.names)
 
     return picked.mapInArrow(run, schema)
 
@@ -103,7 +104,7 @@ def decode_documents(encoded: DataFrame, rank_file: str, pattern: str, id_col: s
 
 
 def bpe_digest(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document, from the two operators above."""
-    decoded = decode_documents(encode_documents(docs, rank_file, pattern), rank_file, pattern)
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document, encoded and decoded in one pass."""
+    decoded = encode_documents(docs, rank_file, pattern, decoded=True)
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"), F.sha2("raw", 256).alias("decoded_sha256"))
 

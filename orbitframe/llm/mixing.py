@@ -11,14 +11,14 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbitframe.llm.storage import Workspace
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
-CELL = 64
+_UNIT = 1024.0
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS, total: float = 1.5, cap: float = 2.0) -> dict[str | None, float]:
@@ -37,6 +37,11 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS,
     return found
 
 
+def _sum(x: Column) -> Column:
+    """A sum in whole units, the same in whatever order its terms arrive."""
+    return F.sum(F.round(x * _UNIT).cast("decimal(38, 0)"))
+
+
 def multipliers(cells: DataFrame, wanted: dict[int, float], scale: dict[int, float], cap: float, rounds: int = 40, within: float = 1e-6) -> dict[int, float]:
     """Newton's method on the convex dual of all sources at once, kept inside a bracket by bisection.
 
@@ -50,8 +55,9 @@ def multipliers(cells: DataFrame, wanted: dict[int, float], scale: dict[int, flo
         now = spark.createDataFrame([(s, at[s] / scale[s]) for s in sorted(open_)], "sid int, l double")
         rate = F.least(F.lit(cap), F.exp(F.least(F.col("l") * F.col("size"), F.lit(50.0))))
         words = F.col("n") * F.col("size")
-        sums = cells.join(F.broadcast(now), "sid").groupBy("sid").agg(F.sum(words * rate).alias("taken"), F.sum(F.when(rate < cap, words * F.col("size") * rate).otherwise(0.0)).alias("slope")).collect()
+        sums = cells.join(F.broadcast(now), "sid").groupBy("sid").agg(_sum(words * rate).alias("taken"), _sum(F.when(rate < cap, words * F.col("size") * rate).otherwise(0.0)).alias("slope")).collect()
         for s, taken, slope in sums:
+            taken, slope = float(taken) / _UNIT, float(slope) / _UNIT
             gap = wanted[s] - taken
             if abs(gap) <= within * wanted[s]:
                 open_.discard(s)
@@ -93,13 +99,14 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     work = Workspace(spark, "mixing")
     size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
-    sized = work.save(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), *keep), "sizes")
-    cells = work.save(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "cells")
+    row = F.xxhash64(id_col, text_col)  # rows of one id, or without one, are told apart by their texts
+    sized = work.save(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), row.alias("_row_hash"), *keep), "sizes")
+    cells = work.keep(sized.groupBy("source", "size").agg(F.count("*").alias("n")))
     sources = cells.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("words"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("size") * F.col("size")).alias("square")).collect()
     sources = sorted(sources, key=lambda r: (r.source is None, r.source or ""))
     want = targets({r.source: r.words for r in sources}, weights, total, cap)
     known = spark.createDataFrame([(k, r.source, r.words, float(want[r.source])) for k, r in enumerate(sources)], "sid int, source string, source_size long, target double")
-    cells = work.save(cells.join(F.broadcast(known), cells.source.eqNullSafe(known.source)).select("sid", "size", "n"), "numbered")
+    cells = work.keep(cells.join(F.broadcast(known), cells.source.eqNullSafe(known.source)).select("sid", "size", "n"))
     free = {k: want[r.source] for k, r in enumerate(sources) if 0 < want[r.source] < cap * r.words * (1 - 1e-9)}
     found = multipliers(cells, free, {k: r.square / r.words for k, r in enumerate(sources) if r.words}, cap)
     rates = spark.createDataFrame([(k, found.get(k), float(cap if want[r.source] else 0)) for k, r in enumerate(sources)], "sid int, l double, fixed double")
@@ -107,15 +114,16 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rated = cells.join(F.broadcast(rates), "sid").select("sid", "size", "n", rate.alias("rate"))
     # a group holds a row for each size in a source: at most the square root of twice its words
     rounded = work.save(rated.groupBy("sid").applyInPandas(lambda rows: round_cells(rows, cap), "sid int, size long, n long, copies long"), "rounded")
-    cell = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / CELL))
+    work.free()
+    # both the cells of a size and the rows of a cell grow with the root of n
+    cell = F.pmod("_row_hash", F.ceil(F.sqrt(F.col("n").cast("double"))).cast("long"))
     numbered = sized.join(F.broadcast(known), sized.source.eqNullSafe(known.source)).drop("source")
-    dealt = work.save(numbered.join(rounded, ["sid", "size"]).withColumn("cell", cell), "dealt")
+    dealt = numbered.join(rounded, ["sid", "size"]).withColumn("cell", cell)
     base, more = F.floor(F.col("copies") / F.col("n")), F.col("copies") % F.col("n")
     counted = dealt.groupBy("sid", "size", "cell").agg(F.count("*").alias("k"), F.first("n").alias("n"), F.first("copies").alias("copies"))
     so_far = F.sum("k").over(Window.partitionBy("sid", "size").orderBy("cell"))
     share = lambda k: F.floor(k * more / F.col("n"))
-    quota = work.save(counted.select("sid", "size", "cell", base.alias("base"), (share(so_far) - share(so_far - F.col("k"))).alias("quota")), "quota")
-    work.drop("sizes", "cells", "numbered", "rounded")
-    place = F.row_number().over(Window.partitionBy("sid", "size", "cell").orderBy(F.xxhash64("doc_id"), "doc_id", *keep))
+    quota = counted.select("sid", "size", "cell", base.alias("base"), (share(so_far) - share(so_far - F.col("k"))).alias("quota"))
+    place = F.row_number().over(Window.partitionBy("sid", "size", "cell").orderBy("_row_hash", "doc_id", *keep))
     out = dealt.join(quota, ["sid", "size", "cell"]).withColumn("copies", F.col("base") + (place <= F.col("quota")).cast("long"))
     return out.select("doc_id", *keep, "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")

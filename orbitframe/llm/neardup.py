@@ -3,17 +3,19 @@
 1. Every text becomes a set of hashed five-word shingles. Its sketch holds one register per hash function: the
    smallest exponential variable over the set, truncated to the exponent of base ``BASE``. The maximum of two
    sketches' registers is the sketch of the union, and registers of similar sets collide.
-2. Texts with equal sets collapse to one representative, so groups of exact copies stop mattering.
+2. Texts with equal sets, told by a cryptographic digest of the sets' words, collapse to one representative, so groups
+   of exact copies stop mattering.
 3. Representatives that share a band of four registers are candidates: first each with two leaders of its band,
    then, for bands whose members are not yet all in one component, members of different components, less those
    that the counts of their rare shingles rule out.
    At similarity 0.75 a pair misses all 40 bands with probability below 3e-7.
 4. The joint likelihood of two sketches drops candidates that are clearly too far apart; the rest are confirmed
-   on the full sets, and components follow the confirmed links.
+   on the full sets of words, compared as bytes, and components follow the confirmed links.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,33 +31,54 @@ from orbitframe.llm.storage import Workspace
 BANDS, ROWS, BASE = 40, 4, 1.005
 REGISTERS = BANDS * ROWS
 RARE = 20
+_PART = 1 << 16
 _SEEDS = np.random.default_rng(11).integers(1, 2**32, (REGISTERS, 2), dtype=np.uint32) | np.uint32(1)
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, first): distinct shingle hashes, sorted within each text, and where each text's begin.
+class Shingles:
+    """The distinct shingles of some whole texts; a text of fewer than ``size`` words has its whole sequence as one.
 
-    A text of fewer than ``size`` words has its whole sequence as one shingle; a text without words has none.
+    ``code``: numbers equal exactly where the words are, within these texts; ``hashes``: equal for equal words
+    anywhere. Both are sorted by hash within each text; ``first``: where each text's begin.
     """
-    data = T.LOWER[data]
-    starts, ends, first = T.words(data, offsets)
-    h = T.span_hashes(data, starts, ends)
-    n, count = len(h), np.diff(first)
-    owner = np.repeat(np.arange(len(count)), count)
-    left = first[1:][owner] - np.arange(n)  # words from here to the end of the text
-    take = np.minimum(left, size)
-    acc = np.zeros(n, np.uint64)
-    for k in range(min(size, n)):
-        part = h[k:] * np.uint64(pow(T._BASE, k + 1, 2**64))
-        acc[: n - k] += np.where(take[: n - k] > k, part, np.uint64(0))
-    use = (left >= size) | ((count[owner] < size) & (np.arange(n) == first[:-1][owner]))
-    acc, owner = T.mix(acc[use] + take[use].astype(np.uint64)), owner[use]
-    order = np.lexsort((acc, owner))
-    acc, owner = acc[order], owner[order]
-    new = np.ones(len(acc), bool)
-    new[1:] = (acc[1:] != acc[:-1]) | (owner[1:] != owner[:-1])
-    acc, owner = acc[new], owner[new]
-    return acc, np.searchsorted(owner, np.arange(len(count) + 1))
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, size: int = 5):
+        self.data, self.size = T.LOWER[data], size
+        self.starts, self.ends, first = T.words(self.data, offsets)
+        n, count = len(self.starts), np.diff(first)
+        owner = np.repeat(np.arange(len(count)), count)
+        take = np.minimum(first[1:][owner] - np.arange(n), size)  # words from here on that belong to the shingle
+        use = np.flatnonzero((take == size) | ((count[owner] < size) & (np.arange(n) == first[:-1][owner])))
+        word, hashed = T.codes(self.data, self.starts, self.ends), T.span_hashes(self.data, self.starts, self.ends)
+        code, hashes = word[use], T.mix(hashed[use])
+        for k in range(1, size):
+            at, more = np.minimum(use + k, n - 1), take[use] > k
+            code = T.joined(code, np.where(more, word[at], n))
+            hashes = T.mix(hashes + np.where(more, hashed[at], np.uint64(0)) + np.uint64(k))
+        owner = owner[use]
+        order = np.lexsort((code, hashes, owner))
+        code, owner = code[order], owner[order]
+        new = np.ones(len(code), bool)
+        new[1:] = (code[1:] != code[:-1]) | (owner[1:] != owner[:-1])
+        self.code, self.hashes, self.word, self.take = code[new], hashes[order][new], use[order][new], take[use][order][new]
+        self.first = np.searchsorted(owner[new], np.arange(len(count) + 1))
+
+    def digests(self) -> list[bytes | None]:
+        """Of each text's set: a cryptographic digest of its shingles' words in their order, which follows the set alone."""
+        length = self.ends - self.starts + 1  # a word and a blank
+        at = np.cumsum(length) - length
+        words = np.full(int(length.sum()), 32, np.uint8)
+        words[T.places(at, length - 1)] = self.data[T.places(self.starts, length - 1)]
+        edge = np.append(at, len(words))
+        begin, end = edge[self.word], edge[self.word + self.take]
+        out: list[bytes | None] = []
+        for a, b in zip(self.first[:-1].tolist(), self.first[1:].tolist(), strict=True):
+            digest = hashlib.blake2b(digest_size=16)
+            for i in range(a, b, _PART):
+                j = min(i + _PART, b)
+                digest.update(words[T.places(begin[i:j], end[i:j] - begin[i:j])].tobytes())
+            out.append(digest.digest() if b > a else None)
+        return out
 
 
 def registers(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -74,27 +97,23 @@ def registers(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def sketch_documents(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(id, n, set_a, set_b, sketch): set size, a 128-bit fingerprint of the set, and its registers (null if empty). Map-only."""
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"))
+    """(id, n, digest, sketch): set size, a 128-bit cryptographic digest of the set, and its registers (null if empty). Map-only."""
+    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         T.release_memory()
         for batch in batches:
             for i, j, data, offsets in T.slices(batch.column("_text")):
-                h, first = shingles(data, offsets, size)
-                n = np.diff(first)
+                found = Shingles(data, offsets, size)
+                n = np.diff(found.first)
                 some = np.flatnonzero(n)
-                prints = np.zeros((2, j - i), np.uint64)
                 sketch = [None] * (j - i)
                 if len(some):
-                    at = np.append(first[some], len(h))
-                    for k in (0, 1):
-                        prints[k, some] = np.add.reduceat(T.mix(h ^ np.uint64(0xA5A5 + 77 * k)), at[:-1])
-                    for row, r in zip(some, registers(h, at), strict=True):
+                    for row, r in zip(some, registers(found.hashes, np.append(found.first[some], len(found.hashes))), strict=True):
                         sketch[row] = r.tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), pa.array(n), *(pa.array(p.view(np.int64)) for p in prints), pa.array(sketch, pa.binary())], ["id", "n", "set_a", "set_b", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), pa.array(n), pa.array(found.digests(), pa.binary()), pa.array(sketch, pa.binary())], ["id", "n", "digest", "sketch"])
 
-    return picked.mapInArrow(run, "id long, n long, set_a long, set_b long, sketch binary")
+    return picked.mapInArrow(run, "id long, n long, digest binary, sketch binary")
 
 
 def bands(reps: DataFrame) -> DataFrame:
@@ -156,19 +175,23 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
     texts = docs.select("id", "_text")
     both = pairs.join(texts.withColumnRenamed("id", "a").withColumnRenamed("_text", "ta"), "a").join(texts.withColumnRenamed("id", "b").withColumnRenamed("_text", "tb"), "b")
 
-    def sets(column: pa.Array) -> Iterator[np.ndarray]:
-        for _, _, data, offsets in T.slices(column):
-            h, first = shingles(data, offsets, size)
-            yield from np.split(h, first[1:-1])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         T.release_memory()
         for batch in batches:
-            ok = []
-            for x, y in zip(sets(batch.column("ta")), sets(batch.column("tb")), strict=True):
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * shared >= percent * (len(x) + len(y) - shared))
-            keep = pa.array(ok, pa.bool_())
+            ok = [np.empty(0, bool)]
+            (one, at), (two, to) = T.raw(batch.column("ta")), T.raw(batch.column("tb"))
+            ends = np.cumsum(np.diff(at) + np.diff(to))
+            for part in np.split(np.arange(len(ends)), np.flatnonzero(np.diff(ends // T.SLICE_BYTES)) + 1):
+                if len(part):  # both sides' texts, numbered together
+                    i, j = part[0], part[-1] + 1
+                    offsets = np.concatenate([at[i : j + 1] - at[i], to[i + 1 : j + 1] - to[i] + at[j] - at[i]])
+                    found = Shingles(np.concatenate([one[at[i] : at[j]], two[to[i] : to[j]]]), offsets, size)
+                    n = np.diff(found.first)
+                    pair = np.repeat(np.tile(np.arange(len(part)), 2), n)
+                    both = np.sort((pair.astype(np.uint64) << np.uint64(32)) | found.code.astype(np.uint64))
+                    shared = np.bincount((both[1:][both[1:] == both[:-1]] >> np.uint64(32)).astype(np.int64), minlength=len(part))
+                    ok.append(100 * shared >= percent * (n[: len(part)] + n[len(part) :] - shared))
+            keep = pa.array(np.concatenate(ok))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
     return both.mapInArrow(run, "a long, b long")
@@ -179,10 +202,10 @@ def leader_pairs(keyed: DataFrame, work: Workspace) -> DataFrame:
 
     Band sizes and leaders are tables, so that the joins of a skewed band can be split.
     """
-    sizes = work.save(keyed.groupBy("band").agg(F.count("*").alias("size"), F.min("id").alias("low")).where("size > 1"), "sizes")
-    shared = work.save(keyed.join(sizes.select("band", "size"), "band"), "shared")
-    central = work.save(shared.groupBy("id").agg(F.sum("size").alias("meets")), "central")
-    hubs = work.save(shared.join(central, "id").groupBy("band").agg(F.max(F.struct("meets", -F.col("id"))).alias("m")).select("band", (-F.col("m.col2")).alias("hub")), "hubs")
+    sizes = work.keep(keyed.groupBy("band").agg(F.count("*").alias("size"), F.min("id").alias("low")).where("size > 1"))
+    shared = work.keep(keyed.join(sizes.select("band", "size"), "band"))
+    central = work.keep(shared.groupBy("id").agg(F.sum("size").alias("meets")))
+    hubs = work.keep(shared.join(central, "id").groupBy("band").agg(F.max(F.struct("meets", -F.col("id"))).alias("m")).select("band", (-F.col("m.col2")).alias("hub")))
     met = shared.join(sizes.select("band", "low"), "band").join(hubs, "band")
     pairs = met.select(F.explode(F.array(*(F.struct(F.least(x, "id").alias("a"), F.greatest(x, "id").alias("b")) for x in ("low", "hub")))).alias("p"))
     return pairs.select("p.a", "p.b").where("a < b").distinct()
@@ -199,15 +222,15 @@ def crossing_pairs(keyed: DataFrame, labels: DataFrame, tested: DataFrame, reps:
     """
     held = keyed.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     sizes = held.groupBy("band", "label").count()
-    mixed = work.save(sizes.groupBy("band").agg(F.count("*").alias("k"), F.max_by("label", "count").alias("main")).where("k > 1").select("band", "main"), "mixed")
-    members = work.save(held.join(mixed, "band"), "members")
+    mixed = work.keep(sizes.groupBy("band").agg(F.count("*").alias("k"), F.max_by("label", "count").alias("main")).where("k > 1").select("band", "main"))
+    members = work.keep(held.join(mixed, "band"))
     asked = members.select("id", "label").distinct().join(repeated.select("id", F.lit(True).alias("many")), "id", "left")
-    asked = work.save(asked.withColumn("many", F.coalesce("many", F.lit(False))), "asked")
-    rows = work.save(shingle_rows(texts.join(asked, "id"), size), "shingles")
-    joint = work.save(rows.where("many").distinct(), "joint_shingles")
+    asked = work.keep(asked.withColumn("many", F.coalesce("many", F.lit(False))))
+    rows = work.keep(shingle_rows(texts.join(asked, "id"), size))
+    joint = work.keep(rows.where("many").distinct())
     rows = rows.where("not many").union(joint)
-    rare = work.save(rows.groupBy("shingle").count().where(F.col("count") <= RARE), "rare")
-    lists = work.save(rows.join(rare, "shingle"), "rare_lists")
+    rare = work.keep(rows.groupBy("shingle").count().where(F.col("count") <= RARE))
+    lists = work.keep(rows.join(rare, "shingle"))
     few = lists.where("count > 1").select("shingle", "id", "label")
     other = few.select("shingle", F.col("id").alias("x"), F.col("label").alias("lx"))
     through_rare = few.join(other, "shingle").where("id < x and label <> lx").select(F.col("id").alias("a"), F.col("x").alias("b"))
@@ -215,7 +238,7 @@ def crossing_pairs(keyed: DataFrame, labels: DataFrame, tested: DataFrame, reps:
     common = reps.select("id", "n").join(lists.groupBy("id").agg(F.count("*").alias("k")), "id", "left").join(joint.groupBy("id").agg(F.count("*").alias("all")), "id", "left")
     common = common.select("id", "n", F.least("n", total - F.coalesce("k", F.lit(0))).alias("common"))
     common = common.where(100 * F.col("common") >= percent * F.col("n")).join(members.groupBy("id").agg(F.collect_set("band").alias("bands")), "id")  # at most BANDS each
-    able = work.save(members.join(common, "id"), "able")
+    able = work.keep(members.join(common, "id"))
     others = able.where("label <> main").select("band", F.col("id").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("common").alias("cx"), F.col("bands").alias("bx"))
     most = F.least("common", "cx")
     once = F.array_min(F.array_intersect("bands", "bx")) == F.col("band")
@@ -231,9 +254,9 @@ def shingle_rows(texts: DataFrame, size: int) -> DataFrame:
         T.release_memory()
         for batch in batches:
             for i, j, data, offsets in T.slices(batch.column("_text"), 1 << 18):
-                h, first = shingles(data, offsets, size)
-                rows = pa.array(np.repeat(np.arange(i, j), np.diff(first)))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column("id").take(rows), batch.column("label").take(rows), batch.column("many").take(rows)], ["shingle", "id", "label", "many"])
+                found = Shingles(data, offsets, size)
+                rows = pa.array(np.repeat(np.arange(i, j), np.diff(found.first)))
+                yield pa.RecordBatch.from_arrays([pa.array(found.hashes.view(np.int64)), batch.column("id").take(rows), batch.column("label").take(rows), batch.column("many").take(rows)], ["shingle", "id", "label", "many"])
 
     return texts.select("id", "label", "many", "_text").mapInArrow(run, "shingle long, id long, label long, many boolean")
 
@@ -251,20 +274,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     work = Workspace(spark, "neardup")
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_text"))
     sketched = work.save(sketch_documents(docs, id_col, text_col, size), "sketches")
-    groups = sketched.where("n > 0 and id is not null").groupBy("set_a", "set_b", "n").agg(F.min(F.struct("id", "sketch")).alias("m"))
-    reps = work.save(groups.select("set_a", "set_b", "n", "m.id", "m.sketch"), "representatives")
+    groups = sketched.where("n > 0 and id is not null").groupBy("digest", "n").agg(F.min(F.struct("id", "sketch")).alias("m"))
+    reps = work.save(groups.select("digest", "n", "m.id", "m.sketch"), "representatives")
     keyed = bands(reps)
-    pairs = work.save(plausible(leader_pairs(keyed, work), reps, percent / 100), "pairs")
-    links = work.save(confirmed(pairs, texts, size, percent), "links")
+    pairs = work.keep(plausible(leader_pairs(keyed, work), reps, percent / 100))
+    links = work.keep(confirmed(pairs, texts, size, percent))
     labels = connected_components(links, work, "first")
     # bands whose members are not all in one component yet
     repeated = sketched.where("id is not null").groupBy("id").count().where("count > 1")
-    more = work.save(plausible(crossing_pairs(keyed, labels, pairs, reps, texts, repeated, size, percent, work), reps, percent / 100), "more_pairs")
+    more = work.keep(plausible(crossing_pairs(keyed, labels, pairs, reps, texts, repeated, size, percent, work), reps, percent / 100))
     if more.take(1):
-        more_links = work.save(confirmed(more, texts, size, percent), "more_links")
+        more_links = work.keep(confirmed(more, texts, size, percent))
         labels = connected_components(links.union(more_links), work, "second")
-    work.drop("sizes", "shared", "central", "hubs", "pairs", "links", "mixed", "members", "asked", "shingles", "joint_shingles", "rare", "rare_lists", "able", "more_pairs", "more_links")
-    found = reps.join(labels, "id", "left").select("set_a", "set_b", "n", F.coalesce("label", "id").alias("component_id"))
-    out = sketched.join(found, ["set_a", "set_b", "n"], "left")
+        work.drop("first")
+    work.free()
+    found = reps.join(labels, "id", "left").select("digest", "n", F.coalesce("label", "id").alias("component_id"))
+    out = sketched.join(found, ["digest", "n"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

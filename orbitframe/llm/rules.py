@@ -64,18 +64,16 @@ def features(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     worded = np.searchsorted(starts, line_start) < np.searchsorted(starts, line_end)
     out["n_lines"] = np.bincount(owner[worded], minlength=n)
     line_start, line_end, owner = line_start[worded], line_end[worded], owner[worded]
-    _, later = _later_copies(T.span_hashes(data, line_start, line_end), owner)
+    _, later = _later_copies(T.codes(data, line_start, line_end), owner)
     out["n_dup_lines"] = np.bincount(owner[later], minlength=n)
-    # words inside 8-word windows that a text has twice or more
-    h, word_owner = T.span_hashes(data, starts, ends), np.repeat(np.arange(n), count)
-    repeated = np.zeros(len(h) + 1, np.int64)
-    if len(h) >= WINDOW:
-        grams = h[: len(h) - WINDOW + 1].copy()
-        for k in range(1, WINDOW):
-            grams = grams * np.uint64(T._BASE) + h[k : len(h) - WINDOW + 1 + k]
-        whole = word_owner[: len(grams)] == word_owner[WINDOW - 1 :]
-        at = np.flatnonzero(whole)
-        many, _ = _later_copies(T.mix(grams[at]), word_owner[at])
+    # words inside 8-word windows that a text has twice or more; numbers are equal only for equal words
+    grams, word_owner = T.codes(data, starts, ends), np.repeat(np.arange(n), count)
+    repeated = np.zeros(len(grams) + 1, np.int64)
+    if len(grams) >= WINDOW:
+        for step in (1, 2, 4):  # numbers of runs of 2, 4, then 8 words
+            grams = T.joined(grams[:-step], grams[step:])
+        at = np.flatnonzero(word_owner[: len(grams)] == word_owner[WINDOW - 1 :])
+        many, _ = _later_copies(grams[at], word_owner[at])
         np.add.at(repeated, at[many], 1)
         np.add.at(repeated, at[many] + WINDOW, -1)
     out["n_repeat_words"] = np.bincount(word_owner[np.cumsum(repeated)[:-1] > 0], minlength=n)

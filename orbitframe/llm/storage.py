@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -21,22 +22,33 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Workspace:
-    """Names and removes the intermediate tables of one operator call.
+    """The intermediate tables of one operator call.
 
-    Operators drop what their result no longer reads; the few tables it does read stay until their folder is removed.
+    Tables that a lazy result reads, and rounds that would make plans grow, are written (``save``). Tables that are
+    read a few times within the call are kept on the executors' disks (``keep``) and given up at its end (``free``):
+    no files to list, name and commit, and what a lost executor held is computed again.
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.spark, self.root, self.kept = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", []
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df as Parquet and read it back with its schema."""
+    def save(self, df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+        """Write df as Parquet, in at most ``files`` files, and read it back with its schema."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        (df.coalesce(files) if files else df).write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def keep(self, df: DataFrame) -> DataFrame:
+        """df, computed once for several uses."""
+        self.kept.append(df.persist(StorageLevel.DISK_ONLY))
+        return self.kept[-1]
+
+    def free(self) -> None:
+        while self.kept:
+            self.kept.pop().unpersist()
+
     def drop(self, *names: str) -> None:
-        """Remove tables; names that were never saved are passed over."""
+        """Remove written tables; names that were never saved are passed over."""
         jvm = self.spark._jvm
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")

@@ -8,7 +8,7 @@ key: equal strings have equal keys, and neighbouring strings mostly share one, s
 1. Documents are dealt into chunks of a few MB by a hash of their id and text; rows that repeat both in bulk go once
    and their result is spread over them at the end. Every chunk sends its distinct keys, packed by
    key range; each range answers which keys occur in two documents or more.
-2. Chunks send a hash of each run with such a key and the least id that has it; each range answers whose id is the
+2. Chunks send a cryptographic digest of each run with such a key and the least id that has it; each range answers whose id is the
    least of all. Equal runs under larger ids are later copies as a whole.
 3. Chunks send the bytes of the runs that they have first to the key's range. A range sorts the suffixes of its runs
    (cut at ``min_len``), and previous and next smaller document ids in that order give each suffix its longest
@@ -21,6 +21,8 @@ A chunk sends each key and each run once, however many copies it holds, so hot p
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,9 +32,9 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 from orbitframe.llm import text as T
 
 ANCHOR = 20
-PART_BYTES = 4 << 20  # of a chunk and of a range; 320 MB for 100 TB
+PART_BYTES, MOST_BYTES = 4 << 20, 32 << 20  # of a chunk and of a range, which grow with the root of the input up to the second
 SEGMENT = 1 << 20
-BLOCK = 400_000
+BLOCK = 200_000
 HOT = 2000
 ROW_BYTES = 100  # that a row takes besides its text
 _NO_ID = np.iinfo(np.int64).max
@@ -125,12 +127,6 @@ def _unpack(blob: bytes, *kinds: type) -> list[np.ndarray]:
     return out
 
 
-def _spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Indices of all spans, one after another."""
-    ends = np.cumsum(lengths)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
-
-
 def _chunk(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
     """A chunk's rows in a fixed order, with bytes, offsets and ids (null ids last)."""
     T.release_memory()
@@ -152,7 +148,7 @@ def _send_keys(table: pa.Table, min_len: int, bits: int) -> pa.Table:
     chunk = table.column("_chunk")[0].as_py()
     _, data, offsets, _ = _chunk(table)
     keys, counts = np.unique(string_runs(data, offsets, min_len)[2], return_counts=True)
-    keys, counts = keys >> np.uint64(8), np.minimum(counts, 255).astype(np.uint8)  # 56 bits are sent as 4, 2 and 1 bytes
+    keys, counts = keys >> np.uint64(8), np.minimum(counts, HOT).astype(np.uint16)  # 56 bits are sent as 4, 2 and 1 bytes
     cut = _ranges(keys << np.uint64(8), bits)
     parts = zip(np.split(keys, cut), np.split(counts, cut), strict=True)
     return _rows(chunk, [(p, _pack(k.astype(np.uint32), (k >> np.uint64(32)).astype(np.uint16), (k >> np.uint64(48)).astype(np.uint8), c)) for p, (k, c) in enumerate(parts) if len(k)])
@@ -165,7 +161,7 @@ def _answers(part: int, chunks: pa.Array, blobs: list[bytes]) -> pa.Table:
 def _answer_keys(table: pa.Table) -> pa.Table:
     """For each chunk's keys: 0 in one run only, 1 in several, 2 in very many."""
     table = table.sort_by("chunk")
-    sent = [_unpack(b.as_py(), np.uint32, np.uint16, np.uint8, np.uint8) for b in table.column("blob")]
+    sent = [_unpack(b.as_py(), np.uint32, np.uint16, np.uint8, np.uint16) for b in table.column("blob")]
     low, mid, high, counts = (np.concatenate([x[k] for x in sent]) for k in range(4))
     keys = low | (mid.astype(np.uint64) << np.uint64(32)) | (high.astype(np.uint64) << np.uint64(48))
     _, at = np.unique(keys, return_inverse=True)
@@ -174,6 +170,13 @@ def _answer_keys(table: pa.Table) -> pa.Table:
     return _answers(table.column("part")[0].as_py(), table.column("chunk"), [a.tobytes() for a in np.split(kind, np.cumsum([len(x[0]) for x in sent])[:-1])])
 
 
+def _digests(data: np.ndarray, start: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Two rows of 64 bits: a cryptographic digest of each run's bytes, so that equal digests mean equal runs."""
+    raw = memoryview(data)
+    found = b"".join([hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), (start + lengths).tolist(), strict=True)])
+    return np.ascontiguousarray(np.frombuffer(found, np.uint64).reshape(-1, 2).T)
+
+
 class _Runs:
     """A chunk's runs that may repeat, each once by content and least id; strings of very frequent keys stand alone."""
 
@@ -186,14 +189,15 @@ class _Runs:
             kind = kinds[np.unique(key >> np.uint64(8), return_inverse=True)[1]] if len(key) else np.empty(0, np.uint8)
         self.kind = kind
         hot = kind == 2
-        single = _spans(start[hot], count[hot])
+        single = T.places(start[hot], count[hot])
         start, count, key = (np.concatenate(x) for x in ((start[kind == 1], single), (count[kind == 1], np.ones(len(single), np.int64)), (key[kind == 1], T.span_hashes(self.data, single, single + min_len))))
         lengths, owner = count + min_len - 1, ids[np.searchsorted(offsets, start, "right") - 1]
-        content = T.span_hashes(self.data, start, start + lengths)
-        order = np.lexsort((start, owner, content))
-        self.start, self.lengths, self.key, self.owner, self.content = (x[order] for x in (start, lengths, key, owner, content))
+        content = _digests(self.data, start, lengths)
+        order = np.lexsort((start, owner, content[1], content[0]))
+        self.start, self.lengths, self.key, self.owner = (x[order] for x in (start, lengths, key, owner))
+        self.content = content[:, order]
         self.new = np.ones(len(order), bool)
-        self.new[1:] = self.content[1:] != self.content[:-1]
+        self.new[1:] = (self.content[:, 1:] != self.content[:, :-1]).any(0)
         self.group = np.cumsum(self.new) - 1
 
 
@@ -206,28 +210,28 @@ def _send_contents(table: pa.Table, answers: pa.Table, min_len: int, bits: int)
         return _rows(0, [])
     chunk = table.column("_chunk")[0].as_py()
     runs = _Runs(table, min_len, np.frombuffer(_blob_of(answers), np.uint8))
-    content, owner = runs.content[runs.new], runs.owner[runs.new]
-    cut = _ranges(content, bits)
+    high, low, owner = *runs.content[:, runs.new], runs.owner[runs.new]
+    cut = _ranges(high, bits)
     blobs = []
-    for p, (c, o) in enumerate(zip(np.split(content, cut), np.split(owner, cut), strict=True)):
+    for p, (h, c, o) in enumerate(zip(*(np.split(x, cut) for x in (high, low, owner)), strict=True)):
         mine = runs.kind if p == chunk % 2**bits else runs.kind[:0]  # comes back with the answer
         if len(c) or len(mine):
-            blobs.append((p, _pack(c, o, mine)))
+            blobs.append((p, _pack(h, c, o, mine)))
     return _rows(chunk, blobs)
 
 
 def _answer_contents(table: pa.Table) -> pa.Table:
     """For each chunk's runs: whether the id sent is the least of all. Kinds go back as they came."""
     table = table.sort_by("chunk")
-    sent = [_unpack(b.as_py(), np.uint64, np.int64, np.uint8) for b in table.column("blob")]
-    content, owner = (np.concatenate([x[k] for x in sent]) for k in (0, 1))
-    order = np.lexsort((owner, content))
+    sent = [_unpack(b.as_py(), np.uint64, np.uint64, np.int64, np.uint8) for b in table.column("blob")]
+    high, low, owner = (np.concatenate([x[k] for x in sent]) for k in range(3))
+    order = np.lexsort((owner, low, high))
     new = np.ones(len(order), bool)
-    new[1:] = content[order][1:] != content[order][:-1]
+    new[1:] = (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])
     first = np.empty(len(order), bool)
     first[order] = owner[order] == owner[order][new][np.cumsum(new) - 1] if len(order) else new
     parts = np.split(first.astype(np.uint8), np.cumsum([len(x[0]) for x in sent])[:-1])
-    return _answers(table.column("part")[0].as_py(), table.column("chunk"), [_pack(a, x[2]) for a, x in zip(parts, sent, strict=True)])
+    return _answers(table.column("part")[0].as_py(), table.column("chunk"), [_pack(a, x[3]) for a, x in zip(parts, sent, strict=True)])
 
 
 def _send_runs(table: pa.Table, answers: pa.Table, min_len: int, bits: int) -> pa.Table:
@@ -248,17 +252,17 @@ def _send_runs(table: pa.Table, answers: pa.Table, min_len: int, bits: int) -> p
     for p, (s, n, k, o) in enumerate(zip(*(np.split(x, cut) for x in (start, lengths, key, owner)), strict=True)):
         mine = gone if p == chunk % 2**bits else gone[:0]
         if len(s) or len(mine):
-            blobs.append((p, _pack(r.data[_spans(s, n)], n.astype(np.int32), s, k, o, mine)))
+            blobs.append((p, _pack(r.data[T.places(s, n)], n.astype(np.int32), s, k, o, mine)))
     return _rows(chunk, blobs)
 
 
 def _merged(start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Spans joined where they touch, as rows (start, end)."""
+    """Spans joined where they overlap, as rows (start, end); spans of neighbouring texts only touch."""
     if not len(start):
         return np.empty((0, 2), np.int64)
     order = np.argsort(start)
     start, end = start[order], np.maximum.accumulate(end[order])
-    new = np.append(True, start[1:] > end[:-1])
+    new = np.append(True, start[1:] >= end[:-1])
     return np.stack([start[new], np.append(end[:-1][new[1:]], end[-1])], 1)
 
 
@@ -290,10 +294,10 @@ def _repeated(data: np.ndarray, at: np.ndarray, lengths: np.ndarray, owner: np.n
     """(run, begin, end) of the parts of runs that later copies make up; equal runs are sorted once."""
     low, high = int(at.min()), int((at + lengths).max())
     if high - low > 4 * int(lengths.sum()):  # take the block's own bytes
-        data, at = data[_spans(at, lengths)], np.cumsum(lengths) - lengths
+        data, at = data[T.places(at, lengths)], np.cumsum(lengths) - lengths
     else:
         data, at = data[low:high], at - low
-    content = T.span_hashes(data, at, at + lengths)
+    content = T.codes(data, at, at + lengths)
     order = np.lexsort((owner, content))
     new = np.ones(len(order), bool)
     new[1:] = content[order][1:] != content[order][:-1]
@@ -302,13 +306,13 @@ def _repeated(data: np.ndarray, at: np.ndarray, lengths: np.ndarray, owner: np.n
     whole = np.flatnonzero(owner > owner[head])
     reps = order[new]
     strings = lengths - min_len + 1
-    factor = longest_previous_factors(data, _spans(at[reps], strings[reps]), np.repeat(owner[reps], strings[reps]), min_len)
+    factor = longest_previous_factors(data, T.places(at[reps], strings[reps]), np.repeat(owner[reps], strings[reps]), min_len)
     base = np.empty(len(order), np.int64)
     base[reps] = np.cumsum(strings[reps]) - strings[reps]
     rest = np.flatnonzero(owner == owner[head])
-    copied = factor[_spans(base[head[rest]], strings[rest])] >= min_len
+    copied = factor[T.places(base[head[rest]], strings[rest])] >= min_len
     run = np.repeat(rest, strings[rest])
-    place = _spans(np.zeros(len(rest), np.int64), strings[rest])
+    place = T.places(np.zeros(len(rest), np.int64), strings[rest])
     edge = np.ones(len(run) + 1, bool)
     edge[1:-1] = (copied[1:] != copied[:-1]) | (run[1:] != run[:-1])
     first = np.flatnonzero(edge[:-1] & copied)
@@ -317,28 +321,31 @@ def _repeated(data: np.ndarray, at: np.ndarray, lengths: np.ndarray, owner: np.n
 
 
 def _cut(table: pa.Table, answers: pa.Table, names: list[str], characters: bool) -> pa.Table:
+    """Each row's counts and kept bytes from the spans that go; besides the bytes, memory follows the spans."""
     table, data, offsets, _ = _chunk(table)
     gone = np.frombuffer(b"".join(b.as_py() for b in answers.column("blob")), np.int64).reshape(-1, 2)
-    edge = np.zeros(len(data) + 1, np.int32)
-    np.add.at(edge, gone[:, 0], 1)
-    np.add.at(edge, gone[:, 1], -1)
-    out = np.cumsum(edge)[:-1] > 0
-    if characters and len(data):  # a character goes if any of its bytes goes
-        start = (data & 0xC0) != 0x80
-        start[offsets[:-1][offsets[:-1] < len(data)]] = True
-        at = np.flatnonzero(start)
-        out = np.repeat(np.logical_or.reduceat(out, at), np.diff(np.append(at, len(data))))
-    begins = out.copy()
-    begins[1:] &= ~out[:-1]
-    inner = offsets[:-1][offsets[:-1] < len(data)]
-    begins[inner] = out[inner]
-    sums = np.zeros((2, len(data) + 1), np.int64)
-    np.cumsum(out, out=sums[0, 1:])
-    np.cumsum(begins, out=sums[1, 1:])
-    removed, spans = np.diff(sums[0, offsets]), np.diff(sums[1, offsets])
-    kept = offsets - sums[0, offsets]
-    raw = pa.Array.from_buffers(pa.binary(), table.num_rows, [None, pa.py_buffer(kept.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data[~out]))])
-    return pa.table([*(table.column(x) for x in names), pa.array(np.diff(offsets)), pa.array(removed), pa.array(spans), raw], [*names, "n_bytes", "n_removed", "n_spans", "kept"])
+    owner = np.searchsorted(offsets, gone[:, 0], "right") - 1  # spans never cross a text's end
+    if characters and len(gone):  # a character goes if any of its bytes goes
+        gone, low, high = gone.copy(), offsets[owner], offsets[owner + 1]
+        inside = np.append((data & 0xC0) == 0x80, False)  # not the first byte of a character
+        while (back := inside[gone[:, 0]] & (gone[:, 0] > low)).any():
+            gone[:, 0] -= back
+        while (on := inside[gone[:, 1]] & (gone[:, 1] < high)).any():
+            gone[:, 1] += on
+    order = np.lexsort((gone[:, 0], owner))
+    start, owner = gone[order, 0], owner[order]
+    end = np.maximum.accumulate(gone[order, 1])
+    new = np.append(True, (start[1:] > end[:-1]) | (owner[1:] != owner[:-1])) if len(start) else np.empty(0, bool)
+    start, owner, end = start[new], owner[new], end[np.append(np.flatnonzero(new)[1:], len(new)) - 1] if len(new) else end
+    spans = np.bincount(owner, minlength=table.num_rows)
+    removed = np.zeros(table.num_rows, np.int64)
+    np.add.at(removed, owner, end - start)
+    size = np.diff(offsets)
+    edges = np.concatenate([[0], np.stack([start, end], 1).reshape(-1), [len(data)]])
+    keep = np.repeat(np.arange(len(edges) - 1) % 2 == 0, np.diff(edges))
+    kept = np.append(0, np.cumsum(size - removed))
+    raw = pa.Array.from_buffers(pa.large_binary(), table.num_rows, [None, pa.py_buffer(kept), pa.py_buffer(data[keep])]).cast(pa.binary())
+    return pa.table([*(table.column(x) for x in names), pa.array(size), pa.array(removed), pa.array(spans), raw], [*names, "n_bytes", "n_removed", "n_spans", "kept"])
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = 50, keep: tuple[str, ...] = (), characters: bool = False) -> DataFrame:
@@ -351,7 +358,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     T.small_batches(docs)
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    part_bytes = max(PART_BYTES, int((1024 * size) ** 0.5))  # keeps what a chunk sends to a range near a KB at any size
+    part_bytes = max(PART_BYTES, min(MOST_BYTES, int((1024 * size) ** 0.5)))  # keeps what a chunk sends to a range near a KB up to 1 TB
     parts = max(1, -(-size // part_bytes))
     bits = max(6, int(parts - 1).bit_length()) if size > SEGMENT else 2
     rows = docs.select(F.xxhash64(id_col, text_col).alias("_row"), F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), *keep)

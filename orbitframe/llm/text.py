@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +22,7 @@ SLICE_BYTES = 1 << 20
 BATCH_ROWS = 1000
 _STEP = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _BYTES = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 
 
@@ -80,35 +80,79 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-@lru_cache(1)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(size, _BASE, np.uint64), np.full(size, pow(_BASE, -1, 2**64), np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+def _lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as an integer, zeros following the end; nothing is copied but the bytes."""
+    return np.ndarray(len(data) + 1, "<u8", np.append(data, np.zeros(8, np.uint8)), strides=(1,))
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, equal for equal bytes wherever they stand. Works through ``data`` a MB at a time."""
-    if len(data) <= _STEP:
-        return _span_hashes(data, starts, ends)
-    out = np.empty(len(starts), np.uint64)
-    order = np.argsort(starts, kind="stable")
-    for part in np.split(order, np.searchsorted(starts[order], np.arange(_STEP, len(data), _STEP))):
+def places(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Indices of all spans, one after another."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
+
+
+def _further(lanes: np.ndarray, starts: np.ndarray, ends: np.ndarray, long: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(spans, first lane of each, number of each lane in its span, lanes) after the first eight bytes, some spans at a time."""
+    count = (ends[long] - starts[long] - 1) // 8
+    for part in np.split(np.arange(len(long)), np.flatnonzero(np.diff(np.cumsum(count) // _STEP)) + 1):
         if len(part):
-            low, high = int(starts[part[0]]), int(ends[part].max())
-            out[part] = _span_hashes(data[low:high], starts[part] - low, ends[part] - low)
+            rows, n = long[part], count[part]
+            begin = np.cumsum(n) - n
+            number = np.arange(n.sum()) - np.repeat(begin - 1, n)
+            at = np.repeat(starts[rows], n) + 8 * number
+            yield rows, begin, number, lanes[at] & _MASK[np.minimum(np.repeat(ends[rows], n) - at, 8)]
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of byte spans, equal for equal bytes wherever they stand.
+
+    Every eight bytes are mixed with their place before they are added up, so no two spans of one length collide for
+    the way they are built. Hashes choose candidates and features; where equality decides a result, use ``codes``.
+    """
+    lanes, size = _lanes(data), ends - starts
+    start = np.uint64(pow(_BASE, seed + 2, 2**64))
+    out = mix((lanes[starts] & _MASK[np.minimum(size, 8)]) + start)
+    for rows, begin, number, lane in _further(lanes, starts, ends, np.flatnonzero(size > 8)):
+        out[rows] += np.add.reduceat(mix(lane + number.astype(np.uint64) * np.uint64(_BASE) + start), begin)
+    return mix(out ^ (size.astype(np.uint64) * np.uint64(_BASE)))
+
+
+def same_spans(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the bytes from ``a`` and from ``b`` on agree for ``size`` bytes, pair by pair."""
+    lanes, mask = _lanes(data), _MASK[np.minimum(size, 8)]
+    out = (lanes[a] & mask) == (lanes[b] & mask)
+    for rows, begin, number, lane in _further(lanes, a, a + size, np.flatnonzero(out & (size > 8))):
+        n = np.diff(np.append(begin, len(number)))
+        other = np.repeat(b[rows], n) + 8 * number
+        out[rows] = np.logical_and.reduceat((lanes[other] & _MASK[np.minimum(np.repeat((b + size)[rows], n) - other, 8)]) == lane, begin)
     return out
 
 
-def _span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    up, down = _powers(max(_STEP << 1, 1 << int(len(data)).bit_length()))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTES[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+def codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Numbers from 0 on of byte spans, equal exactly where the bytes are: every span is compared with the first of its hash."""
+    at = dense(span_hashes(data, starts, ends))
+    first = np.zeros(int(at.max()) + 1 if len(at) else 0, np.int64)
+    first[at[::-1]] = np.arange(len(at) - 1, -1, -1)
+    head, size = first[at], ends - starts
+    if ((size[head] == size) & same_spans(data, starts[head], starts, np.minimum(size, size[head]))).all():
+        return at
+    known: dict[bytes, int] = {}  # two texts of one hash
+    raw = data.tobytes()
+    return np.array([known.setdefault(raw[a:b], len(known)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
+
+
+def dense(values: np.ndarray) -> np.ndarray:
+    """Numbers from 0 on, equal where the values are."""
+    return pa.array(values).dictionary_encode().indices.to_numpy().astype(np.int64)
+
+
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Numbers of pairs of numbers below 2 ** 32, equal exactly where both parts are."""
+    return dense((a.astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64))
 
 
 def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of every run of ``size`` bytes, by doubling; empty if there is none."""
+    """Hashes of every run of ``size`` bytes, by doubling; empty if there is none. They choose keys and features, not results."""
     if len(data) < size:
         return np.empty(0, np.uint64)
     part, width, out, done = _BYTES[data], 1, None, 0

@@ -76,3 +76,17 @@ def test_cut_repeats_keeps_replacement_characters_of_the_text(spark):
     df = spark.createDataFrame([(d, t, "en", "a", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.cut_repeats(spark, df, SF).collect()}
     assert got == {1: (rows[0][1], 73), 2: ("own \ufffd  tail \ufffd", 13), 3: ("\u00e8\ufffd", 2)}
+
+
+def test_near_duplicates_go_by_rows(spark):
+    """Texts of one id don't go for each other, equal rows leave one, and columns may have any names."""
+    words = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(1, words), (1, other), (2, words + " tail"), (3, other), (None, words), (None, "alone one two three four five"), (None, None), (4, "same one two three four five"), (4, "same one two three four five"), (None, ""), (5, "once more")]
+    df = spark.createDataFrame([(d, t, "en", "a", 1, 2, 3, 4) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, _mixed long, _copies long, _copy long")
+    got = corpus_pipeline.drop_near_duplicates(spark, df, SF)
+    assert got.columns == df.columns
+    found = Counter((r.doc_id, r.text) for r in got.collect())
+    assert found == Counter([(2, words + " tail"), (3, other), (None, "alone one two three four five"), (None, None), (4, "same one two three four five"), (None, ""), (5, "once more")])
+    mixed = corpus_pipeline.mix(spark, df, SF)
+    assert mixed.columns == df.columns and set(map(tuple, mixed.collect())) <= set(map(tuple, df.collect()))
