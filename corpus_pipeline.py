@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitframe.llm.bpe import decode_documents, encode_documents
+from orbitframe.llm.bpe import encode_documents
 from orbitframe.llm.mixing import mix_sources
 from orbitframe.llm.neardup import near_duplicates
 from orbitframe.llm.storage import Workspace
@@ -24,9 +24,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group; documents without an id stay."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One document of each near-duplicate group, that with the smallest id.
+
+    Documents without words stay. Rows count by themselves: those that share an id, or have none, are numbered behind
+    all ids (below 2 ** 62), so equal rows leave one and different texts of one id don't go for each other.
+    """
+    number = F.monotonically_increasing_id()
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("key"))
+    shared = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").cast("long").alias("key"), F.lit(True).alias("shared"))
+    if shared.take(1):
+        met = rows.join(shared, rows.key.eqNullSafe(shared.key), "left").select("doc", F.when(F.col("shared"), number + 2**62).otherwise(rows.key).alias("key"))
+        rows = Workspace(spark, "rows").save(met, "keyed")
+    gone = near_duplicates(rows.select("key", "doc.text"), id_col="key").where("not kept").select(F.col("doc_id").alias("key"))
+    return rows.join(gone, "key", "left_anti").select("doc.*")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,11 +50,10 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mix takes it; rows are numbered first, since ids may be null or repeated."""
-    rows = Workspace(spark, "mix").save(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    copies = mix_sources(rows, keep=("_row",)).where("copies > 0").select("_row", F.col("copies").alias("_copies"))
-    met = rows.join(copies, "_row")
-    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(docs.columns)
+    """Each row as often as the mix takes it; rows are numbered in a written table first, since ids may be null or repeated."""
+    rows = Workspace(spark, "mix").save(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row")), "rows")
+    copies = mix_sources(rows.select("row", "doc.doc_id", "doc.text", "doc.source"), keep=("row",)).where("copies > 0").select("row", "copies")
+    return rows.join(copies, "row").select(F.explode(F.array_repeat("doc", F.col("copies").cast("int"))).alias("doc")).select("doc.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +61,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     how = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    decoded = decode_documents(encode_documents(docs, *how), *how)
+    decoded = encode_documents(docs, *how, decoded=True)
     joined = F.array_join(F.col("ids").cast("array<string>"), ",")
     return decoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined.cast("binary"), 256).alias("ids_sha256"), F.sha2("raw", 256).alias("decoded_sha256"))
 
