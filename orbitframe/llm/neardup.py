@@ -200,13 +200,13 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
 def leader_pairs(keyed: DataFrame, work: Workspace) -> DataFrame:
     """Each member of a band with the band's smallest id and with its hub, the member that meets most others over all bands.
 
-    Band sizes and leaders are tables, so that the joins of a skewed band can be split.
+    Band sizes and leaders are joined, so that a skewed band can be split.
     """
-    sizes = work.keep(keyed.groupBy("band").agg(F.count("*").alias("size"), F.min("id").alias("low")).where("size > 1"))
-    shared = work.keep(keyed.join(sizes.select("band", "size"), "band"))
-    central = work.keep(shared.groupBy("id").agg(F.sum("size").alias("meets")))
-    hubs = work.keep(shared.join(central, "id").groupBy("band").agg(F.max(F.struct("meets", -F.col("id"))).alias("m")).select("band", (-F.col("m.col2")).alias("hub")))
-    met = shared.join(sizes.select("band", "low"), "band").join(hubs, "band")
+    sizes = keyed.groupBy("band").agg(F.count("*").alias("size"), F.min("id").alias("low")).where("size > 1")
+    shared = work.save(keyed.join(sizes, "band"), "shared")
+    central = shared.groupBy("id").agg(F.sum("size").alias("meets"))
+    hubs = shared.join(central, "id").groupBy("band").agg(F.max(F.struct("meets", -F.col("id"))).alias("m")).select("band", (-F.col("m.col2")).alias("hub"))
+    met = shared.join(hubs, "band")
     pairs = met.select(F.explode(F.array(*(F.struct(F.least(x, "id").alias("a"), F.greatest(x, "id").alias("b")) for x in ("low", "hub")))).alias("p"))
     return pairs.select("p.a", "p.b").where("a < b").distinct()
 
@@ -222,15 +222,15 @@ def crossing_pairs(keyed: DataFrame, labels: DataFrame, tested: DataFrame, reps:
     """
     held = keyed.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     sizes = held.groupBy("band", "label").count()
-    mixed = work.keep(sizes.groupBy("band").agg(F.count("*").alias("k"), F.max_by("label", "count").alias("main")).where("k > 1").select("band", "main"))
-    members = work.keep(held.join(mixed, "band"))
+    mixed = sizes.groupBy("band").agg(F.count("*").alias("k"), F.max_by("label", "count").alias("main")).where("k > 1").select("band", "main")
+    members = work.save(held.join(mixed, "band"), "members")
     asked = members.select("id", "label").distinct().join(repeated.select("id", F.lit(True).alias("many")), "id", "left")
-    asked = work.keep(asked.withColumn("many", F.coalesce("many", F.lit(False))))
-    rows = work.keep(shingle_rows(texts.join(asked, "id"), size))
-    joint = work.keep(rows.where("many").distinct())
+    asked = asked.withColumn("many", F.coalesce("many", F.lit(False)))
+    rows = work.save(shingle_rows(texts.join(asked, "id"), size), "shingles")
+    joint = rows.where("many").distinct()
     rows = rows.where("not many").union(joint)
-    rare = work.keep(rows.groupBy("shingle").count().where(F.col("count") <= RARE))
-    lists = work.keep(rows.join(rare, "shingle"))
+    rare = rows.groupBy("shingle").count().where(F.col("count") <= RARE)
+    lists = work.save(rows.join(rare, "shingle"), "rare_lists")
     few = lists.where("count > 1").select("shingle", "id", "label")
     other = few.select("shingle", F.col("id").alias("x"), F.col("label").alias("lx"))
     through_rare = few.join(other, "shingle").where("id < x and label <> lx").select(F.col("id").alias("a"), F.col("x").alias("b"))
@@ -238,7 +238,7 @@ def crossing_pairs(keyed: DataFrame, labels: DataFrame, tested: DataFrame, reps:
     common = reps.select("id", "n").join(lists.groupBy("id").agg(F.count("*").alias("k")), "id", "left").join(joint.groupBy("id").agg(F.count("*").alias("all")), "id", "left")
     common = common.select("id", "n", F.least("n", total - F.coalesce("k", F.lit(0))).alias("common"))
     common = common.where(100 * F.col("common") >= percent * F.col("n")).join(members.groupBy("id").agg(F.collect_set("band").alias("bands")), "id")  # at most BANDS each
-    able = work.keep(members.join(common, "id"))
+    able = work.save(members.join(common, "id"), "able")
     others = able.where("label <> main").select("band", F.col("id").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("common").alias("cx"), F.col("bands").alias("bx"))
     most = F.least("common", "cx")
     once = F.array_min(F.array_intersect("bands", "bx")) == F.col("band")
@@ -277,17 +277,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = sketched.where("n > 0 and id is not null").groupBy("digest", "n").agg(F.min(F.struct("id", "sketch")).alias("m"))
     reps = work.save(groups.select("digest", "n", "m.id", "m.sketch"), "representatives")
     keyed = bands(reps)
-    pairs = work.keep(plausible(leader_pairs(keyed, work), reps, percent / 100))
-    links = work.keep(confirmed(pairs, texts, size, percent))
+    pairs = work.save(plausible(leader_pairs(keyed, work), reps, percent / 100).hint("rebalance"), "pairs")
+    links = work.save(confirmed(pairs, texts, size, percent).hint("rebalance"), "links")
     labels = connected_components(links, work, "first")
     # bands whose members are not all in one component yet
     repeated = sketched.where("id is not null").groupBy("id").count().where("count > 1")
-    more = work.keep(plausible(crossing_pairs(keyed, labels, pairs, reps, texts, repeated, size, percent, work), reps, percent / 100))
+    more = work.save(plausible(crossing_pairs(keyed, labels, pairs, reps, texts, repeated, size, percent, work), reps, percent / 100).hint("rebalance"), "more_pairs")
     if more.take(1):
-        more_links = work.keep(confirmed(more, texts, size, percent))
+        more_links = work.save(confirmed(more, texts, size, percent).hint("rebalance"), "more_links")
         labels = connected_components(links.union(more_links), work, "second")
         work.drop("first")
-    work.free()
+    work.drop("shared", "pairs", "links", "members", "shingles", "rare_lists", "able", "more_pairs", "more_links")
     found = reps.join(labels, "id", "left").select("digest", "n", F.coalesce("label", "id").alias("component_id"))
     out = sketched.join(found, ["digest", "n"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))

@@ -24,9 +24,9 @@ def shared_dir(spark: SparkSession) -> str:
 class Workspace:
     """The intermediate tables of one operator call.
 
-    Tables that a lazy result reads, and rounds that would make plans grow, are written (``save``). Tables that are
-    read a few times within the call are kept on the executors' disks (``keep``) and given up at its end (``free``):
-    no files to list, name and commit, and what a lost executor held is computed again.
+    Tables that a lazy result reads, or that would make plans grow from step to step, are written (``save``) and
+    removed by the operator (``drop``) when its result no longer reads them. Small tables that a loop of jobs reads
+    are kept on the executors' disks (``keep``) until its end (``free``); what a lost executor held is computed again.
     """
 
     def __init__(self, spark: SparkSession, name: str):
