@@ -1,10 +1,12 @@
 """Operator 8: exact top-k inner products over vectors sorted by length.
 
-Components become floor(scale * x). Vectors are dealt into blocks of falling length; all are rotated into the
-eigenvectors of their second moments, so the first coordinates carry most of a product. The block of the longest
-vectors gives each query a lower bound for its k-th score. A block is skipped if its longest vector cannot reach
-the bound (Cauchy-Schwarz); in other blocks partial sums over the first coordinates plus the product of the
-residual lengths rule out most vectors, and the rest are scored exactly in integers.
+Components become floor(scale * x). Vectors are packed into blocks of falling length and rotated into the eigenvectors
+of their second moments, so the first coordinates carry most of a product. The block of the longest vectors gives
+each query a lower bound for its k-th score; bound and length of a query say how long a vector must be to matter
+(Cauchy-Schwarz). Queries are put in order of that need and broadcast some megabytes at a time; the vectors stay where
+they are, and only blocks long enough for some query of the piece are read. In a block, partial sums over the first
+coordinates plus the product of the residual lengths rule out most vectors; the rest are scored exactly in integers
+and raise the bounds for the blocks that follow.
 """
 
 from __future__ import annotations
@@ -13,78 +15,129 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbitframe.llm.storage import Workspace
 
-BLOCK, QUERY_BLOCK, HEAD = 4096, 1024, 16
-_BLOCK_SCHEMA = "block long, ids binary, data binary, longest double"
+BLOCK, QUERY_BLOCK, HEAD = 4096, 256, 16
+PIECE_BYTES = 8 << 20  # of queries that are broadcast at once
+_FOUND = "query_row long, query_id long, vec_row long, vec_id long, score long"
 
 
 def _best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
     """Places of the k best by (score falling, id rising) for each query."""
-    order = np.lexsort((ids, -score, query))
+    order = np.lexsort((ids, ~score, query))
     query = query[order]
     rank = np.arange(len(order)) - np.searchsorted(query, query)
     return order[rank < k]
 
 
-def search_block(q_ids: np.ndarray, q: np.ndarray, bound: np.ndarray, v_ids: np.ndarray, v: np.ndarray, basis: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, vector id, score) of up to k best of one block for each query, none below the query's bound."""
-    q_len, v_len = np.sqrt((q * q).sum(1)), np.sqrt((v * v).sum(1))
-    able = np.flatnonzero(q_len * v_len.max() * (1 + 1e-9) + 1e-6 >= bound)
-    if not len(able):
-        return q_ids[:0], v_ids[:0], q_ids[:0]
-    qr, vr = q[able] @ basis, v @ basis
-    rest = lambda x: np.sqrt((x[:, HEAD:] ** 2).sum(1))
-    most = qr[:, :HEAD] @ vr[:, :HEAD].T + np.outer(rest(qr), rest(vr))
-    slack = 1e-9 * np.outer(q_len[able], v_len) + 1e-6
-    i, j = np.nonzero((most + slack >= bound[able][:, None]) & (q_ids[able][:, None] != v_ids))
-    score = np.empty(len(i), np.int64)
-    for at in range(0, len(i), 1 << 16):
-        part = slice(at, at + (1 << 16))
-        score[part] = np.rint(np.einsum("nd,nd->n", q[able[i[part]]], v[j[part]])).astype(np.int64)
-    good = score >= bound[able[i]]
-    i, j, score = i[good], j[good], score[good]
-    top = _best(i, v_ids[j], score, k)
-    return q_ids[able[i[top]]], v_ids[j[top]], score[top]
-
-
-def _pack(rows: DataFrame, size: int, dim: int) -> DataFrame:
-    """Blocks of up to ``size`` vectors in the order and partitions of ``rows`` (vec_id, v)."""
+def exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows of integers; those beyond 64 bits stop at the largest or smallest of 64 bits."""
+    if np.abs(a.astype(float)).max(initial=0) * np.abs(b.astype(float)).max(initial=0) * a.shape[1] < 2.0**62:
+        return np.einsum("nd,nd->n", a, b)
+    exact = (a.astype(object) * b.astype(object)).sum(1)
+    return np.array([min(max(int(x), -(2**63)), 2**63 - 1) for x in exact], np.int64)
+
+
+class Side:
+    """Vectors with their lengths, their leading coordinates after rotation, and the lengths of the rest."""
+
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, v: np.ndarray, basis: np.ndarray):
+        self.rows, self.ids, self.v = rows, ids, v
+        turned = v.astype(float) @ basis
+        self.head, self.rest = turned[:, :HEAD].copy(), np.sqrt((turned[:, HEAD:] ** 2).sum(1))
+        self.length = np.sqrt((turned**2).sum(1))
+
+
+def search_block(q: Side, bound: np.ndarray, v: Side, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of query, place of vector, score) of up to k best of one block for each query, none below the query's bound."""
+    found = [(np.empty(0, np.int64),) * 3]
+    longest = v.length.max(initial=0) * (1 + 1e-9) + 1e-6
+    for low in range(0, len(q.rows), QUERY_BLOCK):
+        some = low + np.flatnonzero(q.length[low : low + QUERY_BLOCK] * longest + 1e-6 >= bound[low : low + QUERY_BLOCK])
+        if not len(some):
+            continue
+        most = q.head[some] @ v.head.T
+        most += np.outer(q.rest[some], v.rest)
+        most += np.outer(1e-9 * q.length[some], v.length) + 1e-6
+        i, j = np.nonzero(most >= bound[some][:, None])
+        own = q.rows[some[i]] != v.rows[j]
+        i, j = some[i[own]], j[own]
+        score = np.concatenate([np.empty(0, np.int64), *(exact_products(q.v[i[at : at + (1 << 14)]], v.v[j[at : at + (1 << 14)]]) for at in range(0, len(i), 1 << 14))])
+        good = score >= bound[i]
+        i, j, score = i[good], j[good], score[good]
+        top = _best(i, v.ids[j], score, k)
+        found.append((i[top], j[top], score[top]))
+    return tuple(map(np.concatenate, zip(*found, strict=True)))
+
+
+class Best:
+    """The k best found so far for each query of a piece, and the bounds that follow."""
+
+    def __init__(self, bound: np.ndarray, k: int):
+        self.bound, self.k = bound.copy(), k
+        self.query, self.row, self.id, self.score = (np.empty(0, np.int64) for _ in range(4))
+
+    def add(self, query: np.ndarray, row: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        self.query, self.row, self.id, self.score = (np.concatenate(x) for x in ((self.query, query), (self.row, row), (self.id, ids), (self.score, score)))
+        top = _best(self.query, self.id, self.score, self.k)
+        self.query, self.row, self.id, self.score = self.query[top], self.row[top], self.id[top], self.score[top]
+        full = np.flatnonzero(np.bincount(self.query, minlength=len(self.bound)) == self.k)
+        last = self.score[np.searchsorted(self.query, full, "right") - 1]
+        self.bound[full] = np.maximum(self.bound[full], _below(last))
+
+
+def _below(score: np.ndarray) -> np.ndarray:
+    """A float that is no larger."""
+    x = score.astype(float)
+    return x - np.abs(x) * 2.0**-50
+
+
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    out = np.zeros((len(column), dim), np.int64)
+    size = np.diff(column.offsets.to_numpy())
+    out[np.repeat(np.arange(len(column)), size), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)] = column.flatten().to_numpy(zero_copy_only=False)
+    return out
+
+
+def _pack(rows: DataFrame, dim: int) -> DataFrame:
+    """(block, ids, data, longest): blocks of up to ``BLOCK`` vectors in the order and partitions of ``rows`` (vec_id, v)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 24
         for batch in batches:
-            for at in range(0, batch.num_rows, size):
-                part = batch.slice(at, size)
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
                 v = _matrix(part.column("v"), dim)
-                ids = part.column("vec_id").to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array([int(ids[0])]), pa.array([ids.tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary()), pa.array([float(np.sqrt((v * v).sum(1).max()))])], ["block", "ids", "data", "longest"])
+                longest = float(np.sqrt((v.astype(float) ** 2).sum(1).max())) * (1 + 1e-9) + 1e-6
+                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([part.column("vec_id").to_numpy().tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary()), pa.array([longest])], ["block", "ids", "data", "longest"])
+                number += 1
 
-    return rows.select("vec_id", "v").mapInArrow(run, _BLOCK_SCHEMA)
+    return rows.select("vec_id", "v").mapInArrow(run, "block long, ids binary, data binary, longest double")
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    out = np.zeros((len(column), dim))
-    size = np.diff(column.offsets.to_numpy())
-    out[np.repeat(np.arange(len(column)), size), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)] = column.flatten().to_numpy(zero_copy_only=False)
-    return out
+def _unpack(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row numbers, ids, vectors) of packed blocks."""
+    for batch in batches:
+        for block, ids, data in zip(*(batch.column(c) for c in ("block", "ids", "data")), strict=True):
+            ids = np.frombuffer(ids.as_py(), np.int64)
+            yield block.as_py() * BLOCK + np.arange(len(ids)), ids, np.frombuffer(data.as_py(), np.int64).reshape(-1, dim)
 
 
-def moments(rows: DataFrame, dim: int) -> np.ndarray:
+def moments(blocks: DataFrame, dim: int) -> np.ndarray:
     """The sum of outer products: one dim x dim matrix a partition, added up by Spark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((dim, dim))
-        for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                v = _matrix(batch.column("v").slice(at, BLOCK), dim)
-                total += v.T @ v
+        for _, _, v in _unpack(batches, dim):
+            total += v.T.astype(float) @ v.astype(float)
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(dim), dim)), pa.array(np.tile(np.arange(dim), dim)), pa.array(total.reshape(-1))], ["i", "j", "x"])
 
     out = np.zeros((dim, dim))
-    for i, j, x in rows.select("v").mapInArrow(run, "i long, j long, x double").groupBy("i", "j").agg(F.sum("x")).collect():
+    for i, j, x in blocks.select("block", "ids", "data").mapInArrow(run, "i long, j long, x double").groupBy("i", "j").agg(F.sum("x")).collect():
         out[i, j] = x
     return out
 
@@ -93,61 +146,73 @@ def top_inner_products(vectors: DataFrame, id_col: str = "vec_id", vector_col: s
     """(query_id, rank, vec_id, score): the k best partners of each vector whose id is divisible by ``every``.
 
     Vectors that are null or hold null or non-finite components, and rows without an id, take no part; shorter
-    vectors count as padded with zeros; ties go to the smaller id; a query never meets rows of its own id; with
-    fewer candidates all come; repeated rows count each; an empty table gives an empty result. Components are
-    meant below 2 ** 20, so that all sums are exact.
+    vectors count as padded with zeros. A query never meets its own row, but other rows of its id; repeated rows count
+    each, as queries too. Ties go to the smaller id; with fewer candidates all come; an empty table gives an empty
+    result. Products are exact; components and products stop at the bounds of 64 bits.
     """
     spark = vectors.sparkSession
     work = Workspace(spark, "topk")
     x = F.col(vector_col)
     fine = x.isNotNull() & F.col(id_col).isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    rows = vectors.where(fine).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(scale * c.cast("double")).cast("double")).alias("v"))
+    component = lambda c: F.greatest(F.least(F.floor(scale * c.cast("double")).cast("double"), F.lit(2.0**63 - 1024)), F.lit(-(2.0**63))).cast("long")
+    rows = vectors.where(fine).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, component).alias("v"))
     n, dim = rows.agg(F.count("*"), F.max(F.size("v"))).first()
-    dim = max(dim or 0, 1)
-    length = F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c)
-    parts = max(1, -(-n // BLOCK))
-    ordered = rows.withColumn("length", length).repartitionByRange(parts, F.desc("length"), F.xxhash64("vec_id")).sortWithinPartitions(F.desc("length"), "vec_id")
-    blocks = work.save(_pack(ordered, BLOCK, dim), "blocks")
-    queries = work.save(_pack(rows.where(F.col("vec_id") % every == 0).repartition(max(1, -(-n // (every * QUERY_BLOCK))), "vec_id"), QUERY_BLOCK, dim), "queries")
-    head = blocks.orderBy(F.desc("longest"), "block").limit(1).collect()  # one block
-    if not head:
+    if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    values, basis = np.linalg.eigh(moments(rows, dim))
-    shared = spark.sparkContext.broadcast((basis[:, ::-1].copy(), bytes(head[0].ids), bytes(head[0].data)))  # a block and a dim x dim matrix
-
-    def unpack(ids: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-        return np.frombuffer(ids, np.int64), np.frombuffer(data, np.float64).reshape(-1, dim)
-
-    def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        basis, *block = shared.value
-        v_ids, v = unpack(*block)
-        for batch in batches:
-            for ids, data in zip(batch.column("ids").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                q_ids, q = unpack(ids, data)
-                found, _, score = search_block(q_ids, q, np.full(len(q), -np.inf), v_ids, v, basis, k)
-                bound = np.full(len(q), -np.inf)
-                at, low, count = np.unique(found, return_index=True, return_counts=True)
-                full = dict(zip(at[count == k], score[low + count - 1][count == k]))
-                for i, x in enumerate(q_ids):
-                    bound[i] = full.get(x, -np.inf)
-                yield pa.RecordBatch.from_arrays([pa.array([int(q_ids[0])]), pa.array([ids], pa.binary()), pa.array([data], pa.binary()), pa.array([bound.tobytes()], pa.binary())], ["block", "ids", "data", "bound"])
-
-    bounded = work.save(queries.select("ids", "data").mapInArrow(bounds, "block long, ids binary, data binary, bound binary"), "bounded")
-    work.drop("queries")
-    n_blocks, n_queries = blocks.count(), bounded.count()
-    number = Window.orderBy("block")  # a row a block
-    names = lambda df, name: df.select("block").distinct().withColumn(name, F.row_number().over(number) - 1)
-    left = blocks.join(F.broadcast(names(blocks, "b")), "block").select("b", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))).alias("q"), "ids", "data") if n_queries else blocks.select(F.lit(0).alias("b"), F.lit(0).alias("q"), "ids", "data").limit(0)
-    right = bounded.join(F.broadcast(names(bounded, "q")), "block").select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("b"), "q", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), "bound")
-
-    def meet(vectors: pa.Table, queries: pa.Table) -> pa.Table:
-        found = [(np.empty(0, np.int64),) * 3]
-        for v_row in vectors.to_pylist():
-            for q_row in queries.to_pylist():
-                q_ids, q = unpack(q_row["q_ids"], q_row["q_data"])
-                found.append(search_block(q_ids, q, np.frombuffer(q_row["bound"], np.float64), *unpack(v_row["ids"], v_row["data"]), shared.value[0], k))
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
-
-    met = left.groupBy("b", "q").cogroup(right.groupBy("b", "q")).applyInArrow(meet, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))  # at most k rows a block
-    return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    dim = max(dim, 1)
+    length = F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c)
+    ordered = rows.withColumn("length", length).repartitionByRange(-(-n // BLOCK), F.desc("length"), F.xxhash64("vec_id")).sortWithinPartitions(F.desc("length"), "vec_id")
+    blocks = work.save(_pack(ordered, dim), "blocks")
+    values, basis = np.linalg.eigh(moments(blocks, dim))
+    basis = basis[:, ::-1].copy()
+    head = blocks.orderBy(F.desc("longest"), "block").limit(1).collect()[0]  # one block
+    first = spark.sparkContext.broadcast((basis, head.block, bytes(head.ids), bytes(head.data)))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Queries with bounds from the first block, and the least length of vectors that may beat them."""
+        basis, block, ids, data = first.value
+        ids = np.frombuffer(ids, np.int64)
+        v = Side(block * BLOCK + np.arange(len(ids)), ids, np.frombuffer(data, np.int64).reshape(-1, dim), basis)
+        for row, ids, data in _unpack(batches, dim):
+            pick = ids % every == 0
+            q = Side(row[pick], ids[pick], data[pick], basis)
+            best = Best(np.full(len(q.rows), -np.inf), k)
+            i, j, score = search_block(q, best.bound, v, k)
+            best.add(i, v.rows[j], v.ids[j], score)
+            need = np.where(best.bound > 0, best.bound / np.maximum(q.length, 1e-300) * (1 - 1e-9), 0)  # a bound of 0 or less asks for all
+            yield pa.RecordBatch.from_arrays([pa.array(q.rows), pa.array(q.ids), pa.array([r.tobytes() for r in q.v], pa.binary()), pa.array(best.bound), pa.array(need)], ["row", "id", "v", "bound", "need"])
+
+    asked = blocks.select("block", "ids", "data").mapInArrow(ask, "row long, id long, v binary, bound double, need double")
+    size = max(1, PIECE_BYTES // (8 * dim))
+    pieces = max(1, -(-2 * n // (every * size)))
+    by_need = asked.repartitionByRange(pieces, F.desc("need"), "row").sortWithinPartitions(F.desc("need"))
+    # the number of a row within its partition cuts pieces of a size that is certain
+    inside = F.monotonically_increasing_id()
+    queries = work.save(by_need.withColumn("piece", F.shiftright(inside, 33) * 2**33 + F.floor(inside.bitwiseAND(2**33 - 1) / size)), "queries")
+    needs = queries.groupBy("piece").agg(F.min("need").alias("need")).orderBy("piece").collect()  # a row a piece
+
+    def search(rows: list) -> DataFrame:
+        """The k best of each query of a piece in each partition of the blocks."""
+        piece = spark.sparkContext.broadcast((basis, *(np.array([r[c] for r in rows], kind) for c, kind in (("row", np.int64), ("id", np.int64), ("bound", float))), b"".join(bytes(r.v) for r in rows)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            basis, row, ids, bound, data = piece.value
+            q, best = Side(row, ids, np.frombuffer(data, np.int64).reshape(-1, dim), basis), Best(bound, k)
+            for row, ids, data in _unpack(batches, dim):
+                v = Side(row, ids, data, basis)
+                i, j, score = search_block(q, best.bound, v, k)
+                if len(i):
+                    best.add(i, v.rows[j], v.ids[j], score)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (q.rows[best.query], q.ids[best.query], best.row, best.id, best.score)], ["query_row", "query_id", "vec_row", "vec_id", "score"])
+
+        return blocks.where(F.col("longest") >= need).select("block", "ids", "data").mapInArrow(run, _FOUND)
+
+    found = None
+    for number, need in needs:
+        piece = queries.where(F.col("piece") == number).collect()  # at most PIECE_BYTES of components
+        part = work.save(search(piece), f"found/piece={number}")
+        found = part if found is None else found.union(part)
+    if found is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "vec_row"))  # at most k rows a partition of the blocks
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
