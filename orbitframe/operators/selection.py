@@ -88,28 +88,34 @@ def point(x: float, y: float, z: float, radius: float) -> Column:
     return (vec() - Vec(F.lit(x), F.lit(y), F.lit(z))).norm_squared() < radius * radius
 
 
-def around(atoms: DataFrame, radius: float, inner: Column) -> DataFrame:
-    """Atoms outside ``inner`` strictly within ``radius`` of an atom of it, without periodic images."""
-    near = pairs_within(atoms.where(~inner), atoms.where(inner), radius, strict=True)
-    return near.select(F.col("i").alias("atom_index")).distinct()
+def around(atoms: DataFrame, radius: float, inner: Column, others: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """Atoms outside ``inner`` strictly within ``radius`` of an atom of it, without periodic images, frame by frame of ``by``.
+
+    Where ``inner`` is to be taken of other rows than the atoms', these are ``others``, and all atoms count as outside.
+    """
+    outside = atoms if others is not None else atoms.where(~inner)
+    near = pairs_within(outside, (atoms if others is None else others).where(inner), radius, by, strict=True)
+    return near.select(*by, F.col("i").alias("atom_index")).distinct()
 
 
-def same(atoms: DataFrame, attribute: str, inner: Column) -> DataFrame:
-    """Atoms that share an attribute with an atom of ``inner``; null equals null; numbers agree within 1e-6.
+def same(atoms: DataFrame, attribute: str, inner: Column, others: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """Atoms that share an attribute with an atom of ``inner`` (of ``others``, if given); null equals null; numbers agree within 1e-6.
 
     ``residue`` stands for (resid, segid, insertion_code). Numbers meet in cells of twice the tolerance.
     """
-    chosen = atoms.where(inner)
+    chosen = (atoms if others is None else others).where(inner)
+    frame = [F.col(c).alias(f"_{c}") for c in by]
     if attribute in ("x", "y", "z", "mass", "charge"):
         width = 2 * TOLERANCE
         c = F.floor(F.col(attribute) / width)
-        left = atoms.select("atom_index", F.col(attribute).alias("v"), c.alias("cell"))
-        right = chosen.select(F.col(attribute).alias("w"), F.explode(F.array(c - 1, c, c + 1)).alias("cell")).distinct()
-        return left.join(right, (left.cell == right.cell) & (F.abs(left.v - right.w) <= TOLERANCE), "left_semi").select("atom_index")
+        left = atoms.select(*by, "atom_index", F.col(attribute).alias("v"), c.alias("cell"))
+        right = chosen.select(*frame, F.col(attribute).alias("w"), F.explode(F.array(c - 1, c, c + 1)).alias("cell")).distinct()
+        on = [left[k] == right[f"_{k}"] for k in by] + [left.cell == right.cell, F.abs(left.v - right.w) <= TOLERANCE]
+        return left.join(right, on, "left_semi").select(*by, "atom_index")
     keys = ["resid", "segid", "insertion_code"] if attribute == "residue" else [attribute]
-    ref = chosen.select(*(F.col(k).alias(f"_{k}") for k in keys)).distinct()
-    on = [atoms[k].eqNullSafe(ref[f"_{k}"]) for k in keys]
-    return atoms.join(ref, on, "left_semi").select("atom_index")
+    ref = chosen.select(*frame, *(F.col(k).alias(f"_{k}") for k in keys)).distinct()
+    on = [atoms[k] == ref[f"_{k}"] for k in by] + [atoms[k].eqNullSafe(ref[f"_{k}"]) for k in keys]
+    return atoms.join(ref, on, "left_semi").select(*by, "atom_index")
 
 
 def by_residue(atoms: DataFrame, inner: Column) -> DataFrame:
@@ -117,13 +123,13 @@ def by_residue(atoms: DataFrame, inner: Column) -> DataFrame:
     return same(atoms, "residue", inner)
 
 
-def bonded(atoms: DataFrame, bonds: DataFrame, inner: Column) -> DataFrame:
-    """Atoms with a bond partner in ``inner``; none without bonds."""
+def bonded(atoms: DataFrame, bonds: DataFrame, inner: Column, others: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """Atoms with a bond partner in ``inner`` (of ``others``, if given); none without bonds."""
     ends = bonds.select(F.col("atom1").alias("a"), F.col("atom2").alias("b"))
     both = ends.union(ends.select("b", "a"))
-    chosen = atoms.where(inner).select(F.col("atom_index").alias("b"))
-    hit = both.join(chosen, "b", "left_semi").select(F.col("a").alias("atom_index"))
-    return atoms.join(hit, "atom_index", "left_semi").select("atom_index")
+    chosen = (atoms if others is None else others).where(inner).select(*by, F.col("atom_index").alias("b"))
+    hit = chosen.join(both, "b").select(*by, F.col("a").alias("atom_index"))
+    return atoms.join(hit, [*by, "atom_index"], "left_semi").select(*by, "atom_index")
 
 
 def group(atoms: DataFrame, groups: dict[str, DataFrame], name: str) -> DataFrame:

@@ -15,6 +15,7 @@ from orbitframe.functions.vectors import Box, Vec, dihedral_atan2, lattice_angle
 from orbitframe.operators import aggregates as A
 from orbitframe.operators import fitting, neighbors, timeseries, topology, transforms
 from orbitframe.operators import selection as S
+from orbitframe.plans import selections
 from orbitframe.plans import views as V
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,11 +37,11 @@ def query(sql: str | None = None, tables: bool = True):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return _QUERIES | selections.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | selections.oracle_sql()
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orbitframe.operators import selection, topology
+from orbitframe.operators import selection, selection_text, topology
 
 
 @dataclass(frozen=True)
@@ -24,9 +25,16 @@ class Universe:
             index += self.coords.agg(F.max("frame_index")).first()[0] + 1
         return self.atoms.join(self.coords.where(F.col("frame_index") == index).drop("frame_index"), "atom_index")
 
-    def select(self, *chosen: Column | DataFrame, frame: int = 0) -> DataFrame:
-        """Atoms of a frame that meet all selections."""
-        return selection.select(self.frame(frame), *chosen)
+    def select(self, *chosen: Column | DataFrame | str, frame: int = 0, groups: Mapping[str, DataFrame] | None = None, among: DataFrame | None = None) -> DataFrame:
+        """Atoms of a frame that meet all selections: Columns, sets of atom_index values, or texts.
+
+        ``among`` holds the atom_index values of a group to select from; ``global`` in a text then means all atoms.
+        """
+        everything = self.frame(frame)
+        atoms = everything if among is None else everything.join(among, "atom_index", "left_semi")
+        for c in chosen:
+            atoms = selection_text.select(atoms, c, self.bonds, groups, everything) if isinstance(c, str) else selection.select(atoms, c)
+        return atoms
 
     def bonded_to(self, inner: Column) -> DataFrame:
         if self.bonds is None:
