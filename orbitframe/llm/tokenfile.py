@@ -1,10 +1,10 @@
 """Operator 9: token ids in binary shards, compressed by Re-Pair grammars.
 
-A shard is a partition of the documents in order of their ids; it is written as rows of blocks, a Parquet file a
-shard, so any store that Spark writes will do. In a block frequent pairs of neighbouring ids become nonterminals,
-round after round; a row holds the rules, the length each symbol expands to, the symbols as 16-bit or 32-bit
-integers, and for each document how many symbols and ids it has. Pairs never cross a document's end, so any
-document (and by the expansion lengths any id in it) is decoded without its neighbours.
+Documents in order of their ids fill Parquet files, so any store that Spark writes will do; a row is a shard of about
+``SHARD_IDS`` ids with a grammar of its own. Frequent pairs of neighbouring ids become nonterminals, round after round
+until no pair is frequent; a row holds the rules, the length each symbol expands to, the symbols in
+planes of bytes, and for each document how many symbols and ids it has. Pairs never cross a document's end, so any document
+is decoded without its neighbours, and any range of its ids by the expansion lengths without the rest of it.
 """
 
 from __future__ import annotations
@@ -21,13 +21,15 @@ from pyspark.sql import functions as F
 
 from orbitframe.llm import text as T
 
-BLOCK_IDS = 1 << 18
+SHARD_IDS = 1 << 19
+FILE_BYTES, MOST_FILE_BYTES = 8 << 20, 512 << 20  # of text; files grow with the root of the input up to the second
 SLICE_BYTES = 1 << 21
-ROUNDS = 4
-SCHEMA = "shard int, block int, n_docs int, n_ids long, keys binary, id_counts binary, symbol_counts binary, wide boolean, first_rule int, rules binary, lengths binary, symbols binary"
+LEAST = 6  # a rule costs two ids and a length
+PREFIX = 32
+SCHEMA = "file int, shard int, n_docs int, n_nulls int, n_ids long, keys binary, id_counts binary, symbol_counts binary, width int, first_rule int, rules binary, lengths binary, symbols binary"
 #: In other texts (and with the separators 1C-1F) bytes don't show a letter's class: they go to the tokenizer whole.
 _OTHER = regex.compile(r"[^\x00-\x1B\x20-\x7FÀ-ÖØ-öø-ɏ]")
-CACHE_PIECES = 1_500_000
+CACHE_PIECES = 400_000
 _SPACE, _LETTER, _DIGIT, _SIGN = range(4)
 _CLASS = np.full(256, _SIGN, np.uint8)
 _CLASS[[0x20, *range(0x09, 0x0E)]] = _SPACE
@@ -64,21 +66,25 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Whole texts to ids by the tokenizers library, asked once for each distinct match of its split pattern."""
+    """Whole texts to ids by the tokenizers library, asked once for each distinct match of its split pattern.
+
+    Texts that hold a special token of the file, or letters whose class bytes don't show, go to the library whole.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.length = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, np.int64)
         for token, number in self.tokenizer.get_vocab().items():
             self.length[number] = len(token)  # a character of a token is a byte
+        special = [regex.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = regex.compile("|".join([_OTHER.pattern, *special]))
         self._clear()
 
     def _clear(self) -> None:
-        self.known, self.rows = np.empty(0, np.uint64), np.empty(0, np.int32)  # sorted hashes of pieces, and their rows in bounds
-        self.flat, self.bounds = np.empty(0, np.uint32), np.zeros(1, np.int32)
+        self.known: dict[bytes, int] = {}  # rows in bounds by pieces
+        self.flat, self.bounds = np.empty(0, np.uint32), np.zeros(1, np.int64)
 
     def _encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of pieces one after another, number of ids of each).
@@ -104,48 +110,35 @@ class Encoder:
         ids, count = self._encode(texts)
         at, used = len(self.known), self.bounds[len(self.known)]
         if at + len(texts) >= len(self.bounds):
-            self.bounds = np.append(self.bounds, np.zeros(max(len(texts), at // 2), np.int32))
+            self.bounds = np.append(self.bounds, np.zeros(max(len(texts), at // 2), np.int64))
         self.bounds[at + 1 : at + 1 + len(texts)] = used + np.cumsum(count)
         if used + len(ids) > len(self.flat):
             self.flat = np.append(self.flat, np.empty(max(len(ids), used // 2), np.uint32))
         self.flat[used : used + len(ids)] = ids
-
-    def _rows(self, hashes: np.ndarray, texts) -> np.ndarray:
-        """Rows of distinct pieces; ``texts`` gives the bytes of those that are new."""
-        order = np.argsort(hashes)
-        place = np.searchsorted(self.known, hashes[order])
-        hit = place < len(self.known)
-        hit[hit] = self.known[place[hit]] == hashes[order][hit]
-        row = np.empty(len(hashes), np.int32)
-        row[order[hit]] = self.rows[place[hit]]
-        new = order[~hit]
-        if len(new):
-            self._learn(texts(new))
-            row[new] = len(self.known) + np.arange(len(new), dtype=np.int32)
-            self.known = np.insert(self.known, place[~hit], hashes[new])
-            self.rows = np.insert(self.rows, place[~hit], row[new])
-        return row
+        self.known.update(zip(texts, range(at, at + len(texts)), strict=True))
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        plain = [not _OTHER.search(t) for t in texts]
+        plain = [not self.whole.search(t) for t in texts]
         out = [None if p else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) for t, p in zip(texts, plain, strict=True)]
         data, offsets = T.raw(pa.array([t for t, p in zip(texts, plain, strict=True) if p], pa.string()))
         if len(offsets) < 2:
             return out
         starts = pieces(data, offsets)
         ends = np.append(starts[1:], len(data))
-        coded = pa.array(T.span_hashes(data, starts, ends)).dictionary_encode()
-        at, hashes = coded.indices.to_numpy(), coded.dictionary.to_numpy()
-        if len(self.known) + len(hashes) > CACHE_PIECES:
-            self._clear()
-        sample = np.empty(len(hashes), np.int32)
-        sample[at] = np.arange(len(at), dtype=np.int32)
+        at = T.codes(data, starts, ends)
+        sample = np.empty(int(at.max()) + 1 if len(at) else 0, np.int64)
+        sample[at] = np.arange(len(at))
         raw = data.tobytes()
-        row = self._rows(hashes, lambda new: [raw[a:b] for a, b in zip(starts[sample[new]].tolist(), ends[sample[new]].tolist(), strict=True)])
+        found = [raw[a:b] for a, b in zip(starts[sample].tolist(), ends[sample].tolist(), strict=True)]
+        if len(self.known) + len(found) > CACHE_PIECES:
+            self._clear()
+        if new := [x for x in found if x not in self.known]:
+            self._learn(new)
+        row = np.fromiter(map(self.known.__getitem__, found), np.int64, len(found))
         begin = self.bounds[row][at]
         count = self.bounds[row + 1][at] - begin
-        stop = np.cumsum(count, dtype=np.int32)
-        ids = self.flat[np.arange(stop[-1] if len(stop) else 0, dtype=np.int32) + np.repeat(begin - (stop - count), count)]
+        stop = np.cumsum(count)
+        ids = self.flat[T.places(begin, count)]
         cut = np.append(0, stop)[np.searchsorted(starts, offsets)]
         rest = iter(np.split(ids, cut[1:-1]))
         return [next(rest) if x is None else x for x in out]
@@ -156,41 +149,40 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def repair(ids: np.ndarray, starts: np.ndarray, first_rule: int, rounds: int = ROUNDS, least: int = 8, most: int = 65_536) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rules as pairs, symbols, first symbol of each document): every round replaces all pairs seen ``least`` times or more.
+def repair(ids: np.ndarray, starts: np.ndarray, first_rule: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rules as pairs, symbols, first symbol of each document): rounds go on until no pair is seen ``least`` times.
 
-    Of overlapping occurrences the ones at even places of a run are taken, so a round is a few array passes.
+    A round replaces all frequent pairs at once; of overlapping occurrences the ones at even places of a run are
+    taken. That leaves no occurrence of a frequent pair, so the next round looks at pairs with a new symbol only.
     """
     head = np.zeros(len(ids) + 1, bool)
     head[starts] = True
-    symbols, head, rules = ids.astype(np.uint32), head[:-1], []
-    for _ in range(rounds):
-        if len(symbols) < 2 or len(rules) and first_rule + sum(map(len, rules)) >= most:
-            break
-        left, right = symbols[:-1], symbols[1:]
-        place = ((left * np.uint32(0x9E3779B1)) ^ (right * np.uint32(0x85EBCA6B))) >> np.uint32(14)
-        maybe = np.flatnonzero((np.bincount(place, minlength=1 << 18)[place] >= least) & ~head[1:])
-        pair = (left[maybe].astype(np.uint64) << np.uint64(32)) | right[maybe]
+    symbols, head, rules, fresh = ids.astype(np.uint32), head[:-1], [], 0
+    number = first_rule
+    while len(symbols) > 1:
+        new = symbols >= fresh
+        maybe = np.flatnonzero((new[:-1] | new[1:]) & ~head[1:])
+        pair = (symbols[maybe].astype(np.uint64) << np.uint64(32)) | symbols[maybe + 1]
+        place = T.mix(pair) >> np.uint64(44)
+        often = np.bincount(place.astype(np.int64), minlength=1 << 20)[place] >= least
+        maybe, pair = maybe[often], pair[often]
         kinds, at, count = np.unique(pair, return_inverse=True, return_counts=True)
         good = np.flatnonzero(count >= least)
-        room = most - first_rule - sum(map(len, rules))
-        if len(good) > room:
-            good = np.sort(good[np.argsort(-count[good], kind="stable")[:room]])
         if not len(good):
             break
-        number = np.full(len(kinds), -1)
-        number[good] = first_rule + sum(map(len, rules)) + np.arange(len(good))
-        chosen = number[at] >= 0
-        where, name = maybe[chosen], number[at][chosen]
+        name = np.full(len(kinds), -1)
+        name[good] = number + np.arange(len(good))
+        chosen = name[at] >= 0
+        where, name = maybe[chosen], name[at][chosen]
         run = np.maximum.accumulate(np.where(np.append(True, np.diff(where) != 1), np.arange(len(where)), 0))
         even = (np.arange(len(where)) - run) % 2 == 0
         where, name = where[even], name[even]
-        symbols = symbols.copy()
         symbols[where] = name
         keep = np.ones(len(symbols), bool)
         keep[where + 1] = False
         symbols, head = symbols[keep], head[keep]
         rules.append(np.stack([kinds[good] >> np.uint64(32), kinds[good] & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
+        fresh, number = number, number + len(good)
     return np.concatenate([np.empty((0, 2), np.uint32), *rules]), symbols, np.flatnonzero(head)
 
 
@@ -231,40 +223,80 @@ def expand(symbols: np.ndarray, rules: np.ndarray, first_rule: int) -> np.ndarra
     return source[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - length), length)]
 
 
-def pack_block(shard: int, block: int, keys: list, ids: list[np.ndarray], first_rule: int) -> dict:
+def expand_range(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, first_rule: int, begin: int, end: int) -> np.ndarray:
+    """Ids ``begin`` to ``end`` of what a run of symbols stands for.
+
+    Expansion lengths tell where each symbol's ids lie, so only symbols that reach into the range are opened.
+    """
+    at, flat = 0, symbols.astype(np.int64)
+    while True:
+        rule = flat - first_rule
+        size = np.where(rule >= 0, lengths[np.maximum(rule, 0)] if len(lengths) else 1, 1)
+        stop = at + np.cumsum(size)
+        low, high = np.searchsorted(stop, begin, "right"), np.searchsorted(stop - size, end, "left")
+        at, flat, rule = int((stop - size)[low]) if low < len(flat) else end, flat[low:high], rule[low:high]
+        if not (rule >= 0).any():
+            return flat[begin - at : end - at].astype(np.uint32) if begin < end else np.empty(0, np.uint32)
+        count = np.where(rule >= 0, 2, 1)
+        out = np.repeat(flat, count)
+        place = (np.cumsum(count) - count)[rule >= 0]
+        out[place], out[place + 1] = rules[rule[rule >= 0]].T
+        flat = out
+
+
+def planes(symbols: np.ndarray) -> tuple[int, bytes]:
+    """(bytes a symbol, the symbols): their low 16 bits, then their further bytes, as many as the largest has, each by itself."""
+    width = max(2, (int(symbols.max(initial=0)).bit_length() + 7) // 8)
+    return width, b"".join([symbols.astype("<u2").tobytes(), *((symbols >> np.uint32(8 * k)).astype(np.uint8).tobytes() for k in range(2, width))])
+
+
+def from_planes(width: int, packed: bytes) -> np.ndarray:
+    n = len(packed) // width
+    out = np.frombuffer(packed, "<u2", n).astype(np.uint32)
+    for k in range(2, width):
+        out |= np.frombuffer(packed, np.uint8, n, k * n).astype(np.uint32) << np.uint32(8 * k)
+    return out
+
+
+def pack_shard(file: int, shard: int, keys: list, ids: list[np.ndarray], first_rule: int) -> dict:
     counts = np.array([len(x) for x in ids], np.int64)
     rules, symbols, starts = repair(np.concatenate(ids), np.cumsum(counts) - counts, first_rule)
     _, size = expansions(rules, first_rule)
-    wide = bool(len(symbols) and symbols.max() > 65535)
-    return {"shard": shard, "block": block, "n_docs": len(ids), "n_ids": int(counts.sum()), "keys": np.array([np.iinfo(np.int64).min if k is None else k for k in keys], np.int64).tobytes(), "id_counts": counts.tobytes(), "symbol_counts": np.diff(np.append(starts, len(symbols))).astype(np.int64).tobytes(), "wide": wide, "first_rule": first_rule, "rules": rules.tobytes(), "lengths": size.astype(np.uint32).tobytes(), "symbols": symbols.astype(np.uint32 if wide else np.uint16).tobytes()}
+    width, packed = planes(symbols)
+    nulls = sum(k is None for k in keys)  # they come first
+    return {"file": file, "shard": shard, "n_docs": len(ids), "n_nulls": nulls, "n_ids": int(counts.sum()), "keys": np.array(keys[nulls:], np.int64).tobytes(), "id_counts": counts.tobytes(), "symbol_counts": np.diff(np.append(starts, len(symbols))).astype(np.int64).tobytes(), "width": width, "first_rule": first_rule, "rules": rules.tobytes(), "lengths": size.astype(np.uint32).tobytes(), "symbols": packed}
 
 
-def read_document(row: dict, k: int) -> np.ndarray:
-    """Random access: ids of the k-th document of a block."""
-    symbols = np.frombuffer(row["symbols"], np.uint32 if row["wide"] else np.uint16)
-    ends = np.cumsum(np.frombuffer(row["symbol_counts"], np.int64))
-    return expand(symbols[ends[k - 1] if k else 0 : ends[k]], np.frombuffer(row["rules"], np.uint32).reshape(-1, 2), row["first_rule"])
+def read_document(row: dict, k: int, begin: int = 0, end: int | None = None) -> np.ndarray:
+    """Random access: ids ``begin`` to ``end`` (its last by default) of the k-th document of a shard."""
+    symbols = from_planes(row["width"], row["symbols"])
+    ends, size = np.cumsum(np.frombuffer(row["symbol_counts"], np.int64)), int(np.frombuffer(row["id_counts"], np.int64)[k])
+    end = size if end is None else min(end, size)
+    rules, lengths = np.frombuffer(row["rules"], np.uint32).reshape(-1, 2), np.frombuffer(row["lengths"], np.uint32).astype(np.int64)
+    return expand_range(symbols[ends[k - 1] if k else 0 : ends[k]], rules, lengths, row["first_rule"], begin, end)
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, vocabulary: int = 50_257, shards: int | None = None) -> None:
-    """Write the ids of every whole text, ``end_id`` after each, in ascending order of ids (null first), a file a shard.
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, vocabulary: int = 50_257, files: int | None = None) -> None:
+    """Write the ids of every whole text, ``end_id`` after each, in ascending order of ids (null first).
 
     Null and empty texts hold the end id alone; repeated rows are written each, equal ids in order of their texts;
-    an empty table gives a folder without rows. Ids must be integers; other columns are ignored.
+    an empty table gives a folder without rows. Ids must be integers; other columns are ignored. Files follow the
+    bytes of the texts; rows of one id may fill many.
     """
-    spark = docs.sparkSession
     T.small_batches(docs)
     picked = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("_text"))
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = picked.repartitionByRange(shards, "key").sortWithinPartitions("key", "_text")
+    if not files:
+        size = picked.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+        files = max(4, -(-size // max(FILE_BYTES, min(MOST_FILE_BYTES, int((size << 17) ** 0.5)))))
+    ordered = picked.repartitionByRange(files, "key", F.substring("_text", 1, PREFIX)).sortWithinPartitions("key", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         T.release_memory()
         from pyspark import TaskContext
 
         enc, end = encoder(tokenizer), np.array([end_id], np.uint32)
-        shard, block, held = TaskContext.get().partitionId(), 0, []
-        rows = lambda part: pa.RecordBatch.from_pylist([pack_block(shard, block, [k for k, _ in part], [x for _, x in part], vocabulary)], schema=arrow)
+        file, shard, held = TaskContext.get().partitionId(), 0, []
+        rows = lambda part: pa.RecordBatch.from_pylist([pack_shard(file, shard, [k for k, _ in part], [x for _, x in part], vocabulary)], schema=arrow)
         size = 0
         for batch in batches:
             for i, j, _, _ in T.slices(batch.column("_text"), SLICE_BYTES):
@@ -272,9 +304,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
                 for key, ids in zip(batch.column("key").slice(i, j - i).to_pylist(), enc.ids(texts), strict=True):
                     held.append((key, np.concatenate([ids, end])))
                     size += len(ids) + 1
-                    if size >= BLOCK_IDS:
+                    if size >= SHARD_IDS:
                         yield rows(held)
-                        block, held, size = block + 1, [], 0
+                        shard, held, size = shard + 1, [], 0
         if held:
             yield rows(held)
 
@@ -287,26 +319,27 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
 
 def read_tokens(spark, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids binary): documents from the files, with their place in the sequence of all ids."""
-    blocks = spark.read.schema(SCHEMA).parquet(path)
-    sizes = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")).orderBy("shard").collect()  # a row a file
+    shards = spark.read.schema(SCHEMA).parquet(path)
+    sizes = shards.groupBy("file").agg(F.sum("n_ids").alias("n")).orderBy("file").collect()  # a row a file
     begins, total = {}, 0
     for r in sizes:
-        begins[r.shard], total = total, total + r.n
-    first = spark.createDataFrame(sorted(begins.items()), "shard int, begin long")
-    before = F.coalesce(F.sum("n_ids").over(Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = blocks.select("shard", "block", "n_ids").withColumn("before", before).join(F.broadcast(first), "shard").select("shard", "block", (F.col("begin") + F.col("before")).alias("begin"))
-    work = blocks.join(placed, ["shard", "block"]).select("begin", "keys", "id_counts", "wide", "first_rule", "rules", "symbols")
+        begins[r.file], total = total, total + r.n
+    first = spark.createDataFrame(sorted(begins.items()), "file int, begin long")
+    before = F.coalesce(F.sum("n_ids").over(Window.partitionBy("file").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = shards.select("file", "shard", "n_ids").withColumn("before", before).join(F.broadcast(first), "file").select("file", "shard", (F.col("begin") + F.col("before")).alias("begin"))
+    work = shards.join(placed, ["file", "shard"]).select("begin", "n_nulls", "keys", "id_counts", "width", "first_rule", "rules", "symbols")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         T.release_memory()
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {name: batch.column(name)[k].as_py() for name in batch.schema.names}
-                ids = expand(np.frombuffer(row["symbols"], np.uint32 if row["wide"] else np.uint16), np.frombuffer(row["rules"], np.uint32).reshape(-1, 2), row["first_rule"])
+                ids = expand(from_planes(row["width"], row["symbols"]), np.frombuffer(row["rules"], np.uint32).reshape(-1, 2), row["first_rule"])
                 counts, keys = np.frombuffer(row["id_counts"], np.int64), np.frombuffer(row["keys"], np.int64)
+                keys = pa.concat_arrays([pa.nulls(row["n_nulls"], pa.int64()), pa.array(keys)])
                 offsets = np.append(0, np.cumsum(counts))
-                raw = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer((4 * offsets).astype(np.int32)), pa.py_buffer(ids)])
-                yield pa.RecordBatch.from_arrays([pa.array(keys, mask=keys == np.iinfo(np.int64).min), pa.array(row["begin"] + offsets[:-1]), pa.array(counts), raw], ["doc_id", "start", "n_tokens", "ids"])
+                raw = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(4 * offsets), pa.py_buffer(ids)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([keys, pa.array(row["begin"] + offsets[:-1]), pa.array(counts), raw], ["doc_id", "start", "n_tokens", "ids"])
 
     return work.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 

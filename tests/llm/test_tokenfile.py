@@ -16,7 +16,6 @@ def brute(rows):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(FILE)
-    t.encode_special_tokens = True
     start, out = 0, []
     for d, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
@@ -51,7 +50,7 @@ def test_pieces_equal_whole_text(text):
 def test_pieces_are_those_of_the_library(texts):
     enc = K.encoder(FILE)
     assert [x.tolist() for x in enc.ids(texts)] == [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
-    plain = [t for t in texts if t and not K._OTHER.search(t)]
+    plain = [t for t in texts if t and not K.encoder(FILE).whole.search(t)]
     for t in plain:
         data = np.frombuffer(t.encode(), np.uint8)
         found = [m.start() for m in regex.finditer(P.PATTERN, t)]
@@ -67,11 +66,36 @@ def test_round_trip_and_random_access(docs):
     assert K.expand(symbols, rules, 6).tolist() == np.concatenate(ids).tolist()
     ends = np.append(starts[1:], len(symbols))
     assert [K.expand(symbols[a:b], rules, 6).tolist() for a, b in zip(starts, ends)] == [x.tolist() for x in ids]
-    row = K.pack_block(0, 0, list(range(len(ids))), ids, 6)
-    assert all(K.read_document(row, k).tolist() == x.tolist() for k, x in enumerate(ids))
+    row = K.pack_shard(0, 0, list(range(len(ids))), ids, 6)
+    for k, x in enumerate(ids):
+        assert K.read_document(row, k).tolist() == x.tolist()
+        for a, b in ((0, 1), (len(x) // 3, len(x) // 2), (len(x) - 1, len(x)), (2, 2), (1, 99)):
+            assert K.read_document(row, k, a, b).tolist() == x[a:b].tolist()
 
 
 def test_rules_shorten_repeats():
     ids = np.tile(np.arange(64, dtype=np.uint32), 200)
-    rules, symbols, _ = K.repair(ids, np.array([0]), 100, rounds=6)
-    assert len(symbols) <= len(ids) // 32 + 64
+    rules, symbols, _ = K.repair(ids, np.array([0]), 100)
+    assert len(symbols) < 64
+    pairs = np.unique(symbols[:-1].astype(np.uint64) << np.uint64(32) | symbols[1:], return_counts=True)[1]
+    assert pairs.max() < K.LEAST
+
+
+def test_a_range_of_ids_opens_few_symbols(monkeypatch):
+    ids = np.tile(np.arange(500, dtype=np.uint32), 300)
+    row = K.pack_shard(0, 0, [1, 2], [ids, ids[:70]], 500)
+    opened, repeat = [], np.repeat
+
+    def seen(a, n, *rest):
+        opened.append(len(a))
+        return repeat(a, n, *rest)
+
+    monkeypatch.setattr(np, "repeat", seen)
+    assert K.read_document(row, 0, 70_123, 70_140).tolist() == ids[70_123:70_140].tolist()
+    assert 0 < sum(opened) < 1500  # of 150,000 ids
+
+
+def test_special_tokens_and_null_ids(spark, tmp_path):
+    rows = [(None, "a <|endoftext|> b"), (None, None), (-(2**63), "x"), (3, "<|endoftext|>"), (3, "<|endoftext|>"), (2, "plain <| endoftext|>")]
+    check(spark.createDataFrame(rows, "doc_id long, text string"), tmp_path / "a")
+    assert 50256 in K.encoder(FILE).ids(["a <|endoftext|> b"])[0]
