@@ -13,11 +13,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from orbitframe.llm import text as T
+from orbitframe.llm.storage import Workspace
 
 DIM = 1 << 14
 SIZES = (1, 2, 3, 4)
@@ -75,18 +76,21 @@ def held_out(id_col: str = "doc_id", folds: int = 4, fold: int = 2) -> Column:
 
 
 def training_sample(docs: DataFrame, each: int = 300, most: int = 3000) -> list:
-    """At most ``each`` texts a language, ``most`` in all, outside the held-out fold, by the order of a hash of their ids."""
-    usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang")
-    langs = [r[0] for r in docs.where(F.col("lang").isNotNull() & ~held_out()).select("lang").distinct().orderBy("lang").limit(most).collect()]
-    each = max(1, min(each, most // max(1, len(langs))))
-    ids = None
-    for lang in langs:
-        part = usable.where(F.col("lang") == lang).orderBy(F.xxhash64("doc_id"), "doc_id").limit(each).select("doc_id", F.lit(lang).alias("_lang"))
-        ids = part if ids is None else ids.union(part)
-    if ids is None:
-        return []
+    """At most ``each`` texts a language, ``most`` in all, outside the held-out fold, by the order of a hash of their ids.
+
+    One pass finds the least hashes of every language, of which each task sends on at most ``each``; a second one
+    fetches the texts chosen.
+    """
+    work = Workspace(docs.sparkSession, "langid")
+    usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & F.col("text").rlike(r"\p{L}")).select("doc_id", F.col("lang").alias("_lang"))
+    rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    least = work.save(usable.withColumn("_rank", rank).where(F.col("_rank") <= each), "least")
+    langs = least.agg(F.count_distinct("_lang")).first()[0]
+    ids = least.where(F.col("_rank") <= max(1, most // max(1, langs))).orderBy("_rank", "_lang").limit(most)
     texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most ``most`` ids
-    return texts.where(F.col("text").rlike(r"\p{L}")).orderBy("doc_id").select("text", "_lang").limit(2 * most).collect()
+    found = texts.where(F.col("text").rlike(r"\p{L}")).orderBy("doc_id", "text").select("text", "_lang").limit(2 * most).collect()
+    work.drop("least")
+    return found
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text") -> DataFrame:
