@@ -100,7 +100,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     work = Workspace(spark, "mixing")
     size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
     row = F.xxhash64(id_col, text_col)  # rows of one id, or without one, are told apart by their texts
-    sized = work.save(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), row.alias("_row_hash"), *keep), "sizes")
+    sized = work.save(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), row.alias("_row_hash"), F.struct(F.lit(0).alias("_"), *keep).alias("_keep")), "sizes")
     cells = work.keep(sized.groupBy("source", "size").agg(F.count("*").alias("n")))
     sources = cells.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("words"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("size") * F.col("size")).alias("square")).collect()
     sources = sorted(sources, key=lambda r: (r.source is None, r.source or ""))
@@ -124,6 +124,6 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     so_far = F.sum("k").over(Window.partitionBy("sid", "size").orderBy("cell"))
     share = lambda k: F.floor(k * more / F.col("n"))
     quota = counted.select("sid", "size", "cell", base.alias("base"), (share(so_far) - share(so_far - F.col("k"))).alias("quota"))
-    place = F.row_number().over(Window.partitionBy("sid", "size", "cell").orderBy("_row_hash", "doc_id", *keep))
+    place = F.row_number().over(Window.partitionBy("sid", "size", "cell").orderBy("_row_hash", "doc_id", "_keep"))
     out = dealt.join(quota, ["sid", "size", "cell"]).withColumn("copies", F.col("base") + (place <= F.col("quota")).cast("long"))
-    return out.select("doc_id", *keep, "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    return out.select("doc_id", *(F.col("_keep")[c].alias(c) for c in keep), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
