@@ -522,7 +522,7 @@ def _round_trip(spark, d, kind: str):
     path = scratch(spark, kind)
     atoms = V.placed_atoms(spark, d)
     if kind == "pdb":
-        R.write_lines(R.pdb_lines(atoms.drop("insertion_code").withColumn("resid", F.col("resid") % 9999)), path, "atom_index", tail=["END"])
+        R.write_lines(R.pdb_lines(atoms), path, "atom_index", tail=["END"])
         return R.read_pdb(spark, path)
     if kind == "gro":
         n = atoms.count()

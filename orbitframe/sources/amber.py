@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orbitframe.sources.sections import _fields, _file, _float, _p
-from orbitframe.sources.structures import _lines
+from orbitframe.sources.lines import counted, filled, numbered, read_lines
+from orbitframe.sources.sections import _fields, _float, _p, _sections
+from orbitframe.sources.structures import cells
 
 #: Fixed value: charges are stored times this.
 CHARGE_SCALE = 18.2223
@@ -20,13 +17,11 @@ def prmtop_values(spark: SparkSession, path: str) -> DataFrame:
     """(file, section, i, value): every fixed-width field of a topology, numbered within its %FLAG section."""
     mark = F.col("line").startswith("%")
     part = lambda k: F.when(F.col("line").startswith("%FORMAT"), F.regexp_extract("line", r"%FORMAT\((\d+)[aA-Z](\d+)", k).cast("int"))
-    held = _lines(spark, path).withColumns({"flag": F.when(F.col("line").startswith("%FLAG"), F.trim(F.substring("line", 6, 80))), "per": part(1), "width": part(2)})
-    held = held.withColumns({c: F.last(c, ignorenulls=True).over(_file()) for c in ("flag", "per", "width")})
-    rows = held.where(~mark & F.col("flag").isNotNull() & (F.trim("line") != "")).withColumn("k", F.row_number().over(Window.partitionBy("file", "flag").orderBy("n")) - 1)
+    held = filled(read_lines(spark, path), flag=F.when(F.col("line").startswith("%FLAG"), F.trim(F.substring("line", 6, 80))), per=part(1), width=part(2))
+    rows = held.where(~mark & F.col("flag").isNotNull() & (F.trim("line") != ""))
     cut = F.expr("transform(sequence(0, per - 1), j -> trim(substring(line, j * width + 1, width)))")
-    values = rows.select("file", F.col("flag").alias("section"), "k", F.posexplode(cut).alias("j", "value")).where("value <> ''")
-    order = F.row_number().over(Window.partitionBy("file", "section").orderBy("k", "j")) - 1
-    return values.select("file", "section", order.cast("long").alias("i"), "value")
+    values = rows.select("file", "block", F.col("flag").alias("section"), "n", F.posexplode(cut).alias("j", "value")).where("value <> ''")
+    return numbered(values.withColumn("n", F.col("n") * 1000 + F.col("j")), "i", "section").select("file", "section", "i", "value")
 
 
 def read_prmtop_atoms(spark: SparkSession, path: str) -> DataFrame:
@@ -34,7 +29,7 @@ def read_prmtop_atoms(spark: SparkSession, path: str) -> DataFrame:
     values = prmtop_values(spark, path)
     get = lambda section: F.max(F.when(F.col("section") == section, F.col("value")))
     atoms = values.where(F.col("section").isin("ATOM_NAME", "AMBER_ATOM_TYPE", "CHARGE", "MASS")).groupBy("file", F.col("i").alias("atom_index")).agg(get("ATOM_NAME").alias("name"), get("AMBER_ATOM_TYPE").alias("atom_type"), (_float(get("CHARGE")) / CHARGE_SCALE).alias("charge"), _float(get("MASS")).alias("mass"))
-    residues = values.where(F.col("section").isin("RESIDUE_LABEL", "RESIDUE_POINTER")).groupBy("file", "i").agg(get("RESIDUE_LABEL").alias("resname"), (get("RESIDUE_POINTER").cast("long") - 1).alias("atom_index"))
+    residues = values.where(F.col("section").isin("RESIDUE_LABEL", "RESIDUE_POINTER")).groupBy("file", "i").agg(get("RESIDUE_LABEL").alias("resname"), (get("RESIDUE_POINTER").try_cast("long") - 1).alias("atom_index"))
     met = atoms.join(residues.select("file", "atom_index", "resname", (F.col("i") + 1).cast("int").alias("resid")), ["file", "atom_index"], "left")
     w = Window.partitionBy("file").orderBy("atom_index").rowsBetween(Window.unboundedPreceding, 0)
     return met.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in ("resname", "resid")})
@@ -43,44 +38,59 @@ def read_prmtop_atoms(spark: SparkSession, path: str) -> DataFrame:
 def read_prmtop_bonds(spark: SparkSession, path: str) -> DataFrame:
     """(file, atom1, atom2) of both bond sections, whose entries are coordinate offsets of three an atom."""
     rows = prmtop_values(spark, path).where(F.col("section").isin("BONDS_INC_HYDROGEN", "BONDS_WITHOUT_HYDROGEN"))
-    three = rows.groupBy("file", "section", F.floor(F.col("i") / 3).alias("k")).agg(*(F.floor(F.max(F.when(F.col("i") % 3 == m, F.col("value").cast("long"))) / 3).alias(f"atom{m + 1}") for m in (0, 1)))
+    three = rows.groupBy("file", "section", F.floor(F.col("i") / 3).alias("k")).agg(*(F.floor(F.max(F.when(F.col("i") % 3 == m, F.col("value").try_cast("long"))) / 3).alias(f"atom{m + 1}") for m in (0, 1)))
     return three.select("file", "atom1", "atom2")
 
 
+def _prmtop_groups(values: DataFrame, sections: tuple[str, str], size: int) -> DataFrame:
+    """(file, section, k, v1 ... v of the group): entries of ``size`` numbers."""
+    rows = values.where(F.col("section").isin(*sections))
+    return rows.groupBy("file", "section", F.floor(F.col("i") / size).alias("k")).agg(*(F.max(F.when(F.col("i") % size == m, F.col("value").try_cast("long"))).alias(f"v{m + 1}") for m in range(size)))
+
+
+def read_prmtop_angles(spark: SparkSession, path: str) -> DataFrame:
+    """(file, atom1, atom2, atom3), each once."""
+    rows = _prmtop_groups(prmtop_values(spark, path), ("ANGLES_INC_HYDROGEN", "ANGLES_WITHOUT_HYDROGEN"), 4)
+    return rows.select("file", *(F.floor(F.col(f"v{k}") / 3).alias(f"atom{k}") for k in (1, 2, 3))).distinct()
+
+
+def read_prmtop_dihedrals(spark: SparkSession, path: str) -> DataFrame:
+    """(file, atom1, atom2, atom3, atom4, improper): a negative fourth entry marks an improper; dihedrals come once, impropers as often as listed."""
+    rows = _prmtop_groups(prmtop_values(spark, path), ("DIHEDRALS_INC_HYDROGEN", "DIHEDRALS_WITHOUT_HYDROGEN"), 5)
+    found = rows.select("file", *(F.floor(F.abs(f"v{k}") / 3).alias(f"atom{k}") for k in (1, 2, 3, 4)), (F.col("v4") < 0).alias("improper"))
+    return found.where("not improper").distinct().union(found.where("improper"))
+
+
 def read_mdcrd(spark: SparkSession, path: str, n_atoms: int) -> DataFrame:
     """(file, frame_index, atom_index, x, y, z): a title, then ten fields of eight columns a line; box lines after frames are told by their three fields."""
     size, full = 3 * n_atoms, -(-3 * n_atoms // 10)
-    lines = _lines(spark, path).where("n >= 1 and trim(line) <> ''")
+    lines = read_lines(spark, path).where("n >= 1 and trim(line) <> ''")
     boxed = lines.where(F.col("n") == full + 1).select("file", ((F.length(F.rtrim("line")) <= 24) & F.lit(min(size, 10) != 3)).cast("int").alias("boxed"))
     rows = lines.join(boxed, "file", "left").withColumn("per", full + F.coalesce("boxed", F.lit(0)))
     rows = rows.withColumns({"frame": F.floor((F.col("n") - 1) / F.col("per")), "k": (F.col("n") - 1) % F.col("per")}).where(F.col("k") < full)
-    cut = F.expr("transform(sequence(0, cast(ceil(length(rtrim(line)) / 8) as int) - 1), j -> cast(trim(substring(line, 8 * j + 1, 8)) as double))")
+    cut = F.expr("transform(sequence(0, cast(ceil(length(rtrim(line)) / 8) as int) - 1), j -> try_cast(trim(substring(line, 8 * j + 1, 8)) as double))")
     values = rows.select("file", "frame", "k", F.posexplode(cut).alias("j", "v")).withColumn("at", F.col("k") * 10 + F.col("j"))
     found = values.groupBy("file", F.col("frame").cast("int").alias("frame_index"), F.floor(F.col("at") / 3).alias("atom_index"))
     return found.agg(*(F.max(F.when(F.col("at") % 3 == m, F.col("v"))).alias(c) for m, c in enumerate("xyz")))
 
 
+def _gromos(spark: SparkSession, path: str) -> DataFrame:
+    lines = read_lines(spark, path).where("trim(line) <> '' and not startswith(line, '#')")
+    block = F.when(F.col("line").rlike(r"^[A-Z]+\s*$"), F.trim("line"))
+    return _fields(counted(_sections(lines, block), stepped=F.col("section") == "TIMESTEP").withColumn("frame", F.col("stepped") - 1))
+
+
 def read_gromos(spark: SparkSession, path: str) -> DataFrame:
     """(file, frame_index, step, time, atom_index, x, y, z) in nm from TIMESTEP and POSITIONRED blocks."""
-    lines = _lines(spark, path).where("trim(line) <> '' and not startswith(line, '#')")
-    block = F.when(F.col("line").rlike(r"^[A-Z]+\s*$"), F.trim("line"))
-    held = lines.withColumns({"mark": block, "frame": F.sum((F.trim("line") == "TIMESTEP").cast("int")).over(_file()) - 1})
-    rows = _fields(held.withColumn("section", F.last("mark", ignorenulls=True).over(_file())).where("mark is null"))
+    rows = _gromos(spark, path)
     times = rows.where("section = 'TIMESTEP'").select("file", "frame", _p(0, "long").alias("step"), _p(1, "double").alias("time"))
-    order = F.row_number().over(Window.partitionBy("file", "frame").orderBy("n")) - 1
-    places = rows.where("section = 'POSITIONRED'").select("file", "frame", order.cast("long").alias("atom_index"), *(_p(k, "double").alias(c) for k, c in enumerate("xyz")))
+    places = numbered(rows.where("section = 'POSITIONRED'"), "atom_index", "frame").select("file", "frame", "atom_index", *(_p(k, "double").alias(c) for k, c in enumerate("xyz")))
     return places.join(times, ["file", "frame"]).select("file", F.col("frame").cast("int").alias("frame_index"), "step", "time", "atom_index", *"xyz")
 
 
-def read_namdbin(spark: SparkSession, path: str) -> DataFrame:
-    """(file, atom_index, x, y, z): a 32-bit count and little-endian doubles, a file a frame."""
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column("file").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                n = int(np.frombuffer(content, "<i4", 1)[0])
-                xyz = np.frombuffer(content, "<f8", 3 * n, 4).reshape(n, 3)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.array(np.arange(n)), *(pa.array(np.ascontiguousarray(xyz[:, k])) for k in range(3))], ["file", "atom_index", "x", "y", "z"])
-
-    return files.mapInArrow(run, "file string, atom_index long, x double, y double, z double")
+def read_gromos_box(spark: SparkSession, path: str) -> DataFrame:
+    """(file, frame_index, a, b, c, alpha, beta, gamma) of GENBOX blocks: a type, then lengths in nm and angles; type 0 has no box."""
+    rows = numbered(_gromos(spark, path).where("section = 'GENBOX'"), "k", "frame")
+    at = lambda k, m: F.max(F.when(F.col("k") == k, _p(m, "double")))
+    held = rows.groupBy("file", F.col("frame").cast("int").alias("frame_index")).agg(at(0, 0).alias("kind"), F.array(*(at(k, m) for k in (1, 2) for m in range(3))).alias("box"))
+    return cells(held.where("kind <> 0"), F.col("box"), "frame_index")

@@ -1,6 +1,7 @@
 """Sectioned and free-form text formats: a marker line starts a section, whose rows are split on blanks in the JVM.
 
-Like the readers of ``structures``, these read a file a row and handle its lines as rows; files spread over tasks.
+Fields that are missing or no numbers are null; lines outside the known sections are passed over; empty files give
+no rows.
 """
 
 from __future__ import annotations
@@ -8,18 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orbitframe.sources.structures import _cut, _lines, _number
-
-
-
-def _file():
-    """All lines of a file up to each."""
-    return Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+from orbitframe.functions.vectors import Vec, lattice_angles
+from orbitframe.sources.lines import counted, filled, fit, fixed, numbered, read_lines
+from orbitframe.sources.structures import CELL, _cut, _number, cells
 
 
 def _sections(lines: DataFrame, name: Column) -> DataFrame:
     """Rows with ``section``: the last marker at or above them; the markers themselves and blank lines are left out."""
-    return lines.withColumn("mark", name).withColumn("section", F.last("mark", ignorenulls=True).over(_file())).where("mark is null and trim(line) <> ''")
+    return filled(lines.withColumn("mark", name), section=F.col("mark")).where("mark is null and trim(line) <> ''")
 
 
 def _fields(rows: DataFrame) -> DataFrame:
@@ -27,27 +24,40 @@ def _fields(rows: DataFrame) -> DataFrame:
 
 
 def _p(i: int, kind: str = "string") -> Column:
-    return F.get("p", F.lit(i)).cast(kind)
-
-
-def _ordinal(*by: str) -> Column:
-    return (F.row_number().over(Window.partitionBy("file", *by).orderBy("n")) - 1).cast("long")
+    return F.get("p", F.lit(i)).try_cast(kind)
 
 
 def _float(c: Column) -> Column:
     """Numbers with D exponents too."""
-    return F.regexp_replace(c, "[Dd]", "E").cast("double")
+    return F.regexp_replace(c, "[Dd]", "E").try_cast("double")
+
+
+def _mol2(spark: SparkSession, path: str, section: str) -> DataFrame:
+    return _fields(_sections(read_lines(spark, path), F.when(F.col("line").startswith("@<TRIPOS>"), F.trim(F.substring("line", 10, 40)))).where(F.col("section") == section))
 
 
 def read_mol2_atoms(spark: SparkSession, path: str) -> DataFrame:
-    rows = _fields(_sections(_lines(spark, path), F.when(F.col("line").startswith("@<TRIPOS>"), F.trim(F.substring("line", 10, 40)))).where("section = 'ATOM'"))
-    return rows.select("file", _ordinal().alias("atom_index"), _p(0, "long").alias("serial"), _p(1).alias("name"), *(_p(2 + k, "double").alias(c) for k, c in enumerate("xyz")), _p(5).alias("atom_type"), F.coalesce(_p(6, "int"), F.lit(1)).alias("resid"), F.coalesce(_p(7), F.lit("UNK")).alias("resname"), _p(8, "double").alias("charge"))
+    """Atoms of one or many molecules of a file, one after another; their numbers in the file must agree with the molecules' counts."""
+    rows = numbered(_mol2(spark, path, "ATOM"), "atom_index")
+    return rows.select("file", "atom_index", _p(0, "long").alias("serial"), _p(1).alias("name"), *(_p(2 + k, "double").alias(c) for k, c in enumerate("xyz")), _p(5).alias("atom_type"), F.coalesce(_p(6, "int"), F.lit(1)).alias("resid"), F.coalesce(_p(7), F.lit("UNK")).alias("resname"), _p(8, "double").alias("charge"))
+
+
+def check_mol2(spark: SparkSession, path: str) -> DataFrame:
+    """(file, section, declared, found): sections that hold another number of rows than their MOLECULE lines declare."""
+    head = numbered(_mol2(spark, path, "MOLECULE").where(F.trim("line").rlike(r"^\d+(\s+\d+)*$")), "_k")
+    declared = head.groupBy("file").agg(F.sum(_p(0, "long")).alias("ATOM"), F.sum(F.coalesce(_p(1, "long"), F.lit(0))).alias("BOND")).unpivot("file", ["ATOM", "BOND"], "section", "declared")
+    found = _mol2(spark, path, "ATOM").union(_mol2(spark, path, "BOND")).groupBy("file", "section").agg(F.count("*").alias("found"))
+    return declared.join(found, ["file", "section"], "left").withColumn("found", F.coalesce("found", F.lit(0))).where("declared <> found")
+
+
+def read_mol2_box(spark: SparkSession, path: str) -> DataFrame:
+    """(file, a, b, c, alpha, beta, gamma) of a CRYSIN section."""
+    return cells(_mol2(spark, path, "CRYSIN"), F.array(*(_p(k, "double") for k in range(6))))
 
 
 def read_mol2_bonds(spark: SparkSession, path: str) -> DataFrame:
     """(file, atom1, atom2, order): serials become indices; the order is null unless it is a number."""
-    rows = _fields(_sections(_lines(spark, path), F.when(F.col("line").startswith("@<TRIPOS>"), F.trim(F.substring("line", 10, 40)))).where("section = 'BOND'"))
-    bonds = rows.select("file", _p(1, "long").alias("s1"), _p(2, "long").alias("s2"), F.expr("try_cast(p[3] as int)").alias("order"))
+    bonds = _mol2(spark, path, "BOND").select("file", _p(1, "long").alias("s1"), _p(2, "long").alias("s2"), _p(3, "int").alias("order"))
     index = read_mol2_atoms(spark, path).select("file", "serial", "atom_index")
     for k in ("1", "2"):
         bonds = bonds.join(index.withColumnsRenamed({"serial": f"s{k}", "atom_index": f"atom{k}"}), ["file", f"s{k}"])
@@ -62,86 +72,177 @@ def mol2_lines(atoms: DataFrame, order: str = "atom_index") -> DataFrame:
 
 def read_psf_atoms(spark: SparkSession, path: str) -> DataFrame:
     """segid, resid, resname, name, atom_type, charge and mass of the NATOM section."""
-    rows = _fields(_sections(_lines(spark, path), F.when(F.col("line").contains("!"), F.regexp_extract("line", r"!(\w+)", 1))).where("section = 'NATOM'"))
-    return rows.select("file", _ordinal().alias("atom_index"), _p(1).alias("segid"), F.regexp_extract(_p(2), r"-?\d+", 0).cast("int").alias("resid"), _p(3).alias("resname"), _p(4).alias("name"), _p(5).alias("atom_type"), _float(_p(6)).alias("charge"), _float(_p(7)).alias("mass"))
+    rows = numbered(_fields(_sections(read_lines(spark, path), F.when(F.col("line").contains("!"), F.regexp_extract("line", r"!(\w+)", 1))).where("section = 'NATOM'")), "atom_index")
+    return rows.select("file", "atom_index", _p(1).alias("segid"), F.regexp_extract(_p(2), r"-?\d+", 0).cast("int").alias("resid"), _p(3).alias("resname"), _p(4).alias("name"), _p(5).alias("atom_type"), _float(_p(6)).alias("charge"), _float(_p(7)).alias("mass"))
+
+
+def psf_lines(atoms: DataFrame, order: str = "atom_index") -> DataFrame:
+    """(order, value): lines of the NATOM section, in fields that blanks part at any size."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    return atoms.select(order, F.concat_ws(" ", (F.col(order) + 1).cast("string"), text("segid"), text("resid"), text("resname"), text("name"), text("atom_type"), F.format_string("%.6f", "charge"), F.format_string("%.4f", "mass"), F.lit("0")).alias("value"))
 
 
 def read_crd(spark: SparkSession, path: str) -> DataFrame:
-    """Atoms below `*` titles and a count line: serial, residue number, resname, name, x y z, segid, resid, weight."""
-    rows = _fields(_lines(spark, path).where("not startswith(line, '*') and trim(line) <> ''")).where(F.size("p") >= 8)
-    return rows.select("file", _ordinal().alias("atom_index"), _p(2).alias("resname"), _p(3).alias("name"), *(_p(4 + k, "double").alias(c) for k, c in enumerate("xyz")), _p(7).alias("segid"), F.coalesce(_p(8, "int"), _p(1, "int")).alias("resid"))
+    """Atoms below `*` titles and a count line, in the fixed columns of the standard layout or, after EXT, of the extended one."""
+    lines = read_lines(spark, path).where("not startswith(line, '*') and trim(line) <> ''")
+    first = numbered(lines, "k")
+    wide = first.where("k = 0").select("file", F.upper("line").contains("EXT").alias("wide"))
+    rows = first.where("k > 0").join(wide, "file")
+    at = lambda standard, extended, read=_cut: F.when(F.col("wide"), read(*extended)).otherwise(read(*standard))
+    x = [at((21 + 10 * k, 10), (41 + 20 * k, 20), _number).alias(c) for k, c in enumerate("xyz")]
+    resid = F.coalesce(at((57, 4), (113, 8)).try_cast("int"), at((6, 5), (11, 10)).try_cast("int"))
+    return rows.select("file", (F.col("k") - 1).alias("atom_index"), at((12, 4), (23, 8)).alias("resname"), at((17, 4), (33, 8)).alias("name"), *x, at((52, 4), (103, 8)).alias("segid"), resid.alias("resid"))
+
 
+def crd_lines(atoms: DataFrame, order: str = "atom_index", extended: bool = False) -> DataFrame:
+    """(order, value): the standard layout holds 99,999 atoms, 9,999 residues and labels of four letters; the extended one more.
 
-def crd_lines(atoms: DataFrame, order: str = "atom_index") -> DataFrame:
-    """(order, value) in the standard layout of up to 99,999 atoms."""
-    n = lambda c, w: F.lpad(c.cast("string"), w, " ")
-    return atoms.select(order, F.concat(n(F.col(order) + 1, 5), n(F.col("resid"), 5), F.lit(" "), F.rpad("resname", 4, " "), F.lit(" "), F.rpad("name", 4, " "), *(F.lpad(F.format_string("%.5f", F.col(c)), 10, " ") for c in "xyz"), F.lit(" "), F.rpad("segid", 4, " "), F.lit(" "), F.rpad(F.col("resid").cast("string"), 4, " "), F.lit("   0.00000")).alias("value"))
+    Values without room raise an error. Above the lines belong `*` titles and the count, followed by EXT if extended.
+    """
+    n, label, number, gap = (10, 8, 20, "  ") if extended else (5, 4, 10, " ")
+    word = lambda c: fit(F.col(c), label, right=False)
+    parts = [fit(F.col(order) + 1, n), fit(F.col("resid"), n), F.lit(gap), word("resname"), F.lit(gap), word("name"), *(fixed(F.col(c), number, 10 if extended else 5) for c in "xyz"), F.lit(gap), word("segid"), F.lit(gap), word("resid"), F.lit("0.00000".rjust(number))]
+    return atoms.select(order, F.concat(*parts).alias("value"))
 
 
 def read_pdbqt(spark: SparkSession, path: str) -> DataFrame:
     """One structure: the columns of a PDB line, then partial charge and atom type; reading stops at END."""
-    lines = _lines(spark, path).withColumn("ended", F.max((F.trim("line") == "END").cast("int")).over(_file()))
-    rows = lines.where((F.col("ended") == 0) & F.substring("line", 1, 6).isin("ATOM  ", "HETATM"))
-    return rows.select("file", _ordinal().alias("atom_index"), _cut(13, 4).alias("name"), _cut(18, 4).alias("resname"), _cut(22, 1).alias("chain_id"), _number(23, 4, "int").alias("resid"), *(_number(31 + 8 * k, 8).alias(c) for k, c in enumerate("xyz")), _number(69, 8).alias("charge"), _cut(78, 2).alias("atom_type"))
+    lines = counted(read_lines(spark, path), ended=F.trim("line") == "END")
+    rows = numbered(lines.where((F.col("ended") == 0) & F.substring("line", 1, 6).isin("ATOM  ", "HETATM")), "atom_index")
+    return rows.select("file", "atom_index", _cut(13, 4).alias("name"), _cut(18, 4).alias("resname"), _cut(22, 1).alias("chain_id"), _number(23, 4, "int").alias("resid"), *(_number(31 + 8 * k, 8).alias(c) for k, c in enumerate("xyz")), _number(69, 8).alias("charge"), _cut(78, 2).alias("atom_type"))
 
 
-def read_lammps_data(spark: SparkSession, path: str, style: str = "full") -> DataFrame:
-    """Atoms of a data file with masses by type; ``style`` is atomic, charge, molecular or full."""
-    at = {"atomic": (None, 1, None, 2), "charge": (None, 1, 2, 3), "molecular": (1, 2, None, 3), "full": (1, 2, 3, 4)}[style]
+def pdbqt_lines(atoms: DataFrame, order: str = "atom_index") -> DataFrame:
+    """(order, value): a line of 79 columns for each atom; what has no room raises an error."""
+    word = lambda c, w: fit(F.col(c), w, right=False)
+    parts = [F.lit("ATOM  "), fit(F.col(order) % 99999 + 1, 5), F.lit("  "), word("name", 3), F.lit(" "), word("resname", 4), word("chain_id", 1), fit(F.col("resid"), 4), F.lit("    "), *(fixed(F.col(c), 8, 3) for c in "xyz"), F.lit("  1.00  0.00  "), fixed(F.col("charge"), 8, 3), F.lit(" "), word("atom_type", 2)]
+    return atoms.select(order, F.concat(*parts).alias("value"))
+
+
+def _lammps(spark: SparkSession, path: str) -> DataFrame:
     mark = F.when(F.col("line").rlike(r"^\s*[A-Z][a-z]+( [A-Z][a-z]+)*\s*(#.*)?$"), F.trim(F.regexp_replace("line", "#.*", "")))
-    rows = _fields(_sections(_lines(spark, path), mark))
-    mol, kind, charge, x = at
+    return _fields(_sections(read_lines(spark, path), F.when(F.col("n") > 0, mark)))
+
+
+def read_lammps_data(spark: SparkSession, path: str, style: str = "full") -> DataFrame:
+    """Atoms of a data file by id, with masses by type and velocities by id; ``style`` is atomic, charge, molecular or full.
+
+    Ids are sorted in one task a file: they may come in any order.
+    """
+    mol, kind, charge, x = {"atomic": (None, 1, None, 2), "charge": (None, 1, 2, 3), "molecular": (1, 2, None, 3), "full": (1, 2, 3, 4)}[style]
+    rows = _lammps(spark, path)
     value = lambda i, t: F.lit(None).cast(t) if i is None else _p(i, t)
     atoms = rows.where("section = 'Atoms'").select("file", _p(0, "long").alias("id"), F.coalesce(value(mol, "int"), F.lit(1)).alias("resid"), _p(kind).alias("atom_type"), value(charge, "double").alias("charge"), *(_p(x + k, "double").alias(c) for k, c in enumerate("xyz")))
     masses = rows.where("section = 'Masses'").select("file", _p(0).alias("atom_type"), _p(1, "double").alias("mass"))
+    speeds = rows.where("section = 'Velocities'").select("file", _p(0, "long").alias("id"), *(_p(1 + k, "double").alias(f"v{c}") for k, c in enumerate("xyz")))
     index = (F.row_number().over(Window.partitionBy("file").orderBy("id")) - 1).cast("long")
-    return atoms.join(masses, ["file", "atom_type"], "left").select("file", index.alias("atom_index"), "id", F.concat(F.lit("TYPE"), "atom_type").alias("name"), "atom_type", "resid", "mass", "charge", *"xyz")
+    return atoms.join(masses, ["file", "atom_type"], "left").join(speeds, ["file", "id"], "left").select("file", index.alias("atom_index"), "id", F.concat(F.lit("TYPE"), "atom_type").alias("name"), "atom_type", "resid", "mass", "charge", *"xyz", "vx", "vy", "vz")
 
 
 def read_lammps_bonds(spark: SparkSession, path: str) -> DataFrame:
     """(file, id1, id2, order): atom ids and the bond's type as its order."""
-    mark = F.when(F.col("line").rlike(r"^\s*[A-Z][a-z]+( [A-Z][a-z]+)*\s*(#.*)?$"), F.trim(F.regexp_replace("line", "#.*", "")))
-    rows = _fields(_sections(_lines(spark, path), mark)).where("section = 'Bonds'")
+    rows = _lammps(spark, path).where("section = 'Bonds'")
     return rows.select("file", _p(2, "long").alias("id1"), _p(3, "long").alias("id2"), _p(1, "int").alias("order"))
 
 
-def read_lammps_dump(spark: SparkSession, path: str) -> DataFrame:
-    """(file, frame_index, step, id, atom_index, x, y, z) of orthogonal dumps, sorted by id; scaled xs, ys, zs are multiplied out."""
-    lines = _lines(spark, path)
+def _tilted(low: list[Column], high: list[Column], tilt: list[Column]) -> Column:
+    """[a, b, c, alpha, beta, gamma] of a cell given by edges along the axes and tilts xy, xz, yz."""
+    side = [h - n for n, h in zip(low, high)]
+    zero = F.lit(0.0)
+    xy, xz, yz = (F.coalesce(t, zero) for t in tilt)
+    return lattice_angles(Vec(side[0], zero, zero), Vec(xy, side[1], zero), Vec(xz, yz, side[2]))
+
+
+def read_lammps_box(spark: SparkSession, path: str) -> DataFrame:
+    """(file, a, b, c, alpha, beta, gamma) from a data file's xlo xhi, ylo yhi, zlo zhi and xy xz yz lines."""
+    rows = _fields(read_lines(spark, path))
+    pick = lambda tag, at, k: F.max(F.when(_p(at) == tag, _p(k, "double")))
+    held = rows.groupBy("file").agg(*(pick(f"{c}lo", 2, k).alias(f"{side}{c}") for c in "xyz" for k, side in enumerate(("low", "high"))), *(pick("xy", 3, k).alias(t) for k, t in enumerate(("xy", "xz", "yz"))))
+    return cells(held.where("lowx is not null"), _tilted([F.col(f"low{c}") for c in "xyz"], [F.col(f"high{c}") for c in "xyz"], [F.col(t) for t in ("xy", "xz", "yz")]))
+
+
+def lammps_lines(atoms: DataFrame, order: str = "atom_index") -> DataFrame:
+    """(order, value): lines of an Atoms section in the full style; ids are indices plus one and types numbers."""
+    return atoms.select(order, F.concat_ws(" ", (F.col(order) + 1).cast("string"), F.col("resid").cast("string"), F.col("atom_type").cast("string"), F.format_string("%.6f", "charge"), *(F.format_string("%.6f", c) for c in "xyz")).alias("value"))
+
+
+def _dump(spark: SparkSession, path: str) -> DataFrame:
     item = F.when(F.col("line").startswith("ITEM:"), F.trim(F.substring("line", 6, 1000)))
-    held = lines.withColumns({"item": item, "frame": F.sum((F.col("line") == "ITEM: TIMESTEP").cast("int")).over(_file()) - 1})
-    held = held.withColumn("section", F.last("item", ignorenulls=True).over(_file())).where("item is null and trim(line) <> ''")
-    rows = _fields(held)
-    steps = rows.where("section = 'TIMESTEP'").select("file", "frame", _p(0, "long").alias("step"))
-    bounds = rows.where("startswith(section, 'BOX BOUNDS')").withColumn("k", F.row_number().over(Window.partitionBy("file", "frame").orderBy("n")))
-    bounds = bounds.groupBy("file", "frame").agg(*(F.max(F.when(F.col("k") == k + 1, _p(e, "double"))).alias(f"{side}_{c}") for k, c in enumerate("xyz") for e, side in enumerate(("low", "high"))))
-    rows = rows.where("startswith(section, 'ATOMS')").withColumn("names", F.split(F.trim(F.substring("section", 6, 1000)), r"\s+"))
-    named = lambda name: F.get("p", (F.array_position("names", name) - 1).cast("int"))  # noqa: E731  (null for a name that is missing)
-    rows = rows.join(bounds, ["file", "frame"]).join(steps, ["file", "frame"])
-    place = lambda c: F.coalesce(named(c).cast("double"), F.col(f"low_{c}") + named(f"{c}s").cast("double") * (F.col(f"high_{c}") - F.col(f"low_{c}")), named(f"{c}u").cast("double"))
-    found = rows.select("file", F.col("frame").cast("int").alias("frame_index"), "step", named("id").cast("long").alias("id"), *(place(c).alias(c) for c in "xyz"))
+    return counted(_sections(read_lines(spark, path), item), stepped=F.col("section") == "TIMESTEP").withColumn("frame", F.col("stepped") - 1)
+
+
+def _dump_bounds(rows: DataFrame) -> DataFrame:
+    """(file, frame, low_x ... high_z, xy, xz, yz): edges of the cell itself, which tilts make smaller than the bounds."""
+    held = numbered(_fields(rows.where("startswith(section, 'BOX BOUNDS')")), "k", "frame")
+    at = lambda k, e: F.coalesce(F.max(F.when(F.col("k") == k, _p(e, "double"))), F.lit(0.0))
+    held = held.groupBy("file", "frame").agg(*(at(k, e).alias(f"{side}_{c}") for k, c in enumerate("xyz") for e, side in enumerate(("low", "high"))), *(at(k, 2).alias(t) for k, t in enumerate(("xy", "xz", "yz"))))
+    zero, both = F.lit(0.0), F.col("xy") + F.col("xz")
+    inner = {"low_x": F.col("low_x") - F.least(zero, F.col("xy"), F.col("xz"), both), "high_x": F.col("high_x") - F.greatest(zero, F.col("xy"), F.col("xz"), both), "low_y": F.col("low_y") - F.least(zero, F.col("yz")), "high_y": F.col("high_y") - F.greatest(zero, F.col("yz"))}
+    return held.withColumns(inner)
+
+
+def read_lammps_dump(spark: SparkSession, path: str) -> DataFrame:
+    """(file, frame_index, step, id, atom_index, x, y, z, vx, vy, vz), sorted by id within frames; scaled xs, ys, zs are multiplied out, in tilted cells too."""
+    rows = _dump(spark, path)
+    steps = _fields(rows.where("section = 'TIMESTEP'")).select("file", "frame", _p(0, "long").alias("step"))
+    held = _fields(rows.where("startswith(section, 'ATOMS')")).withColumn("names", F.split(F.trim(F.substring("section", 6, 1000)), r"\s+"))
+    named = lambda name: F.get("p", (F.array_position("names", name) - 1).cast("int")).try_cast("double")  # noqa: E731  (null for a name that is missing)
+    held = held.join(_dump_bounds(rows), ["file", "frame"]).join(steps, ["file", "frame"])
+    span = lambda c: F.col(f"high_{c}") - F.col(f"low_{c}")
+    s = {c: F.coalesce(named(f"{c}s"), named(f"{c}su")) for c in "xyz"}
+    scaled = {"x": F.col("low_x") + s["x"] * span("x") + s["y"] * F.col("xy") + s["z"] * F.col("xz"), "y": F.col("low_y") + s["y"] * span("y") + s["z"] * F.col("yz"), "z": F.col("low_z") + s["z"] * span("z")}
+    found = held.select("file", F.col("frame").cast("int").alias("frame_index"), "step", named("id").cast("long").alias("id"), *(F.coalesce(named(c), scaled[c], named(f"{c}u")).alias(c) for c in "xyz"), *(named(f"v{c}").alias(f"v{c}") for c in "xyz"))
     return found.withColumn("atom_index", (F.row_number().over(Window.partitionBy("file", "frame_index").orderBy("id")) - 1).cast("long"))
 
 
+def read_lammps_dump_box(spark: SparkSession, path: str) -> DataFrame:
+    """(file, frame_index, a, b, c, alpha, beta, gamma) of every frame."""
+    held = _dump_bounds(_dump(spark, path)).withColumn("frame_index", F.col("frame").cast("int"))
+    return cells(held, _tilted([F.col(f"low_{c}") for c in "xyz"], [F.col(f"high_{c}") for c in "xyz"], [F.col(t) for t in ("xy", "xz", "yz")]), "frame_index")
+
+
 def read_tinker(spark: SparkSession, path: str) -> DataFrame:
     """(file, frame_index, atom_index, id, name, x, y, z, atom_type, partners) of one or many frames, with or without box lines."""
-    lines = _fields(_lines(spark, path).where("trim(line) <> ''"))
+    lines = _fields(read_lines(spark, path).where("trim(line) <> ''"))
     size = lines.where("n = 0").select("file", _p(0, "int").alias("size"))
-    rows = lines.join(size, "file")
-    atom = (F.size("p") >= 6) & F.expr("try_cast(p[1] as double)").isNull() & F.expr("try_cast(p[2] as double)").isNotNull()
-    order = F.row_number().over(Window.partitionBy("file").orderBy("n")) - 1
-    rows = rows.where(atom).withColumn("k", order)
-    return rows.select("file", F.floor(F.col("k") / F.col("size")).cast("int").alias("frame_index"), (F.col("k") % F.col("size")).cast("long").alias("atom_index"), _p(0, "long").alias("id"), _p(1).alias("name"), *(_p(2 + k, "double").alias(c) for k, c in enumerate("xyz")), _p(5).alias("atom_type"), F.transform(F.slice("p", 7, 99), lambda s: s.cast("long")).alias("partners"))
+    atom = (F.size("p") >= 6) & _p(1, "double").isNull() & _p(2, "double").isNotNull()
+    rows = numbered(lines.where(atom), "k").join(size, "file")
+    return rows.select("file", F.floor(F.col("k") / F.col("size")).cast("int").alias("frame_index"), (F.col("k") % F.col("size")).cast("long").alias("atom_index"), _p(0, "long").alias("id"), _p(1).alias("name"), *(_p(2 + k, "double").alias(c) for k, c in enumerate("xyz")), _p(5).alias("atom_type"), F.transform(F.slice("p", 7, 99), lambda s: s.try_cast("long")).alias("partners"))
+
+
+def tinker_lines(coords: DataFrame, title: str = "") -> DataFrame:
+    """(frame_index, n, value): a count line and a line an atom; coords need name, atom_type and partners (ids counted from 1)."""
+    head = coords.groupBy("frame_index").agg(F.count("*").alias("count")).select("frame_index", F.lit(-1).cast("long").alias("n"), F.concat_ws(" ", F.col("count").cast("string"), F.lit(title)).alias("value"))
+    body = coords.select("frame_index", F.col("atom_index").alias("n"), F.concat_ws(" ", (F.col("atom_index") + 1).cast("string"), "name", *(F.format_string("%.6f", c) for c in "xyz"), F.col("atom_type").cast("string"), F.array_join(F.col("partners").cast("array<string>"), " ")).alias("value"))
+    return head.union(body)
+
+
+def _inpcrd(spark: SparkSession, path: str) -> DataFrame:
+    """(file, size, i, v, total): the numbers below the header, fixed fields of 12 columns, six a line."""
+    lines = read_lines(spark, path)
+    size = lines.where("n = 1").select("file", F.element_at(F.split(F.trim("line"), r"\s+"), 1).try_cast("long").alias("size"))
+    cut = F.expr("transform(sequence(0, cast(ceil(length(rtrim(line)) / 12) as int) - 1), k -> try_cast(trim(substring(line, 12 * k + 1, 12)) as double))")
+    rows = numbered(lines.where("n >= 2 and trim(line) <> ''"), "row")
+    # only the last line of the coordinates, and of the velocities, may be short
+    held = rows.join(size, "file").withColumn("per", F.ceil(F.col("size") / 2))
+    values = held.select("file", "size", "row", "per", F.posexplode(cut).alias("k", "v"))
+    part = F.floor(F.col("row") / F.col("per"))
+    placed = values.withColumn("i", part * 3 * F.col("size") + (F.col("row") - part * F.col("per")) * 6 + F.col("k"))
+    return placed.join(placed.groupBy("file").agg((F.max("i") + 1).alias("total")), "file")
 
 
 def read_inpcrd(spark: SparkSession, path: str) -> DataFrame:
-    """(file, atom_index, x, y, z) of fixed fields of 12 columns, six a line; velocities and box lines after them are left out."""
-    lines = _lines(spark, path)
-    size = lines.where("n = 1").select("file", F.element_at(F.split(F.trim("line"), r"\s+"), 1).cast("int").alias("size"))
-    values = lines.where("n >= 2 and trim(line) <> ''").select("file", "n", F.posexplode(F.expr("transform(sequence(0, cast(ceil(length(rtrim(line)) / 12) as int) - 1), k -> cast(trim(substring(line, 12 * k + 1, 12)) as double))")).alias("k", "v"))
-    at = (F.col("n") - 2) * 6 + F.col("k")
-    found = values.withColumns({"atom_index": F.floor(at / 3), "axis": at % 3}).join(size, "file").where("atom_index < size")
-    return found.groupBy("file", "atom_index").agg(*(F.max(F.when(F.col("axis") == k, F.col("v"))).alias(c) for k, c in enumerate("xyz")))
+    """(file, atom_index, x, y, z, vx, vy, vz): velocities are null where the file has none; six numbers after coordinates are a box."""
+    rows = _inpcrd(spark, path).withColumns({"second": F.col("i") >= 3 * F.col("size"), "atom_index": F.floor((F.col("i") % (3 * F.col("size"))) / 3), "axis": F.col("i") % 3})
+    rows = rows.where((F.col("i") < 3 * F.col("size")) | ((F.col("i") < 6 * F.col("size")) & F.col("total").isin(6 * F.col("size"), 6 * F.col("size") + 6) & (F.col("total") != 3 * F.col("size") + 6)))
+    pick = lambda second, k: F.max(F.when((F.col("axis") == k) & (F.col("second") == second), F.col("v")))
+    return rows.groupBy("file", "atom_index").agg(*(pick(False, k).alias(c) for k, c in enumerate("xyz")), *(pick(True, k).alias(f"v{c}") for k, c in enumerate("xyz")))
+
+
+def read_inpcrd_box(spark: SparkSession, path: str) -> DataFrame:
+    """(file, a, b, c, alpha, beta, gamma): the six numbers after coordinates, or after coordinates and velocities."""
+    rows = _inpcrd(spark, path).where(F.col("total").isin(3 * F.col("size") + 6, 6 * F.col("size") + 6)).withColumn("k", F.col("i") - F.col("total") + 6).where("k >= 0")
+    return rows.groupBy("file").agg(*(F.max(F.when(F.col("k") == k, F.col("v"))).alias(c) for k, c in enumerate(CELL)))
 
 
 def inpcrd_lines(atoms: DataFrame, order: str = "atom_index") -> DataFrame:
@@ -150,30 +251,79 @@ def inpcrd_lines(atoms: DataFrame, order: str = "atom_index") -> DataFrame:
     return atoms.groupBy(F.floor(F.col(order) / 2).alias("n")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("i"), one.alias("v")))), lambda s: s["v"]), "").alias("value"))
 
 
+def _aims(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of fields with the number of atoms up to each, and lattice vectors by file."""
+    rows = _fields(read_lines(spark, path).where("trim(line) <> '' and not startswith(trim(line), '#')"))
+    cell = numbered(rows.where(_p(0) == "lattice_vector"), "k")
+    cell = cell.groupBy("file").agg(*(F.max(F.when(F.col("k") == k, _p(1 + m, "double"))).alias(f"{v}{c}") for k, v in enumerate("abc") for m, c in enumerate("xyz")))
+    return counted(rows, atoms=_p(0).isin("atom", "atom_frac")), cell
+
+
 def read_aims(spark: SparkSession, path: str) -> DataFrame:
-    """Atoms of a geometry file; fractional ones are multiplied by its three lattice vectors."""
-    rows = _fields(_lines(spark, path).where("trim(line) <> '' and not startswith(trim(line), '#')"))
-    cell = rows.where(_p(0) == "lattice_vector").withColumn("k", F.row_number().over(Window.partitionBy("file").orderBy("n")))
-    cell = cell.groupBy("file").agg(*(F.max(F.when(F.col("k") == k, _p(1 + m, "double"))).alias(f"{v}{c}") for k, v in ((1, "a"), (2, "b"), (3, "c")) for m, c in enumerate("xyz")))
+    """Atoms of a geometry file, with the velocity line below each, if any; fractional ones are multiplied by its three lattice vectors."""
+    rows, cell = _aims(spark, path)
+    index = (F.col("atoms") - 1).cast("long").alias("atom_index")
     atoms = rows.where(_p(0).isin("atom", "atom_frac")).join(cell, "file", "left")
     frac = _p(0) == "atom_frac"
     place = lambda m, c: F.when(frac, sum(_p(1 + k, "double") * F.col(f"{v}{c}") for k, v in enumerate("abc"))).otherwise(_p(1 + m, "double"))
-    return atoms.select("file", _ordinal().alias("atom_index"), _p(4).alias("name"), *(place(m, c).alias(c) for m, c in enumerate("xyz")))
+    speeds = rows.where(_p(0) == "velocity").select("file", index, *(_p(1 + k, "double").alias(f"v{c}") for k, c in enumerate("xyz")))
+    return atoms.select("file", index, _p(4).alias("name"), *(place(m, c).alias(c) for m, c in enumerate("xyz"))).join(speeds, ["file", "atom_index"], "left")
+
+
+def read_aims_box(spark: SparkSession, path: str) -> DataFrame:
+    """(file, a, b, c, alpha, beta, gamma) of its lattice vectors."""
+    _, cell = _aims(spark, path)
+    return cells(cell, lattice_angles(*(Vec(*(F.col(f"{v}{c}") for c in "xyz")) for v in "abc")))
 
 
 def aims_lines(atoms: DataFrame, order: str = "atom_index") -> DataFrame:
     return atoms.select(order, F.concat_ws(" ", F.lit("atom"), *(F.format_string("%.8f", F.col(c)) for c in "xyz"), "name").alias("value"))
 
 
+def _dlpoly(spark: SparkSession, path: str, history: bool) -> DataFrame:
+    """Lines below the header with the frame, and the place k in it: a step line (in a history), three cell rows unless imcon is 0, then blocks of an atom."""
+    lines = _fields(read_lines(spark, path).where("trim(line) <> ''"))
+    head = lines.where("n = 1").select("file", _p(0, "int").alias("lev"), _p(1, "int").alias("imcon"), _p(2, "long").alias("size"))
+    rows = lines.where("n >= 2").join(head, "file").withColumn("cell", F.when(F.col("imcon") != 0, 3).otherwise(0))
+    if not history:
+        return rows.withColumns({"frame": F.lit(0).cast("long"), "k": F.col("n") - 2})
+    per = 1 + F.col("cell") + F.col("size") * (F.col("lev") + 2)
+    return rows.withColumns({"frame": F.floor((F.col("n") - 2) / per), "k": (F.col("n") - 2) % per - 1})
+
+
+def _dlpoly_atoms(rows: DataFrame) -> DataFrame:
+    rows = rows.withColumn("a", F.col("k") - F.col("cell")).where("a >= 0").withColumns({"block": F.floor(F.col("a") / (F.col("lev") + 2)), "m": F.col("a") % (F.col("lev") + 2)})
+    three = lambda m, name: F.max(F.when(F.col("m") == m, F.struct(*(_float(_p(k)).alias(c) for k, c in enumerate("xyz"))))).alias(name)
+    found = rows.groupBy("file", "frame", "block").agg(F.max(F.when(F.col("m") == 0, F.struct(_p(0).alias("name"), _p(1, "long").alias("id")))).alias("a"), three(1, "r"), three(2, "v"), three(3, "f"))
+    order = Window.partitionBy("file", "frame").orderBy("a.id", "block")
+    return found.select("file", F.col("frame").cast("int").alias("frame_index"), (F.row_number().over(order) - 1).cast("long").alias("atom_index"), "a.name", *(F.col(f"{t}.{c}").alias(f"{p}{c}") for t, p in (("r", ""), ("v", "v"), ("f", "f")) for c in "xyz"))
+
+
+def _dlpoly_cells(rows: DataFrame) -> DataFrame:
+    held = rows.where("cell = 3 and k between 0 and 2").groupBy("file", F.col("frame").cast("int").alias("frame_index")).agg(*(F.max(F.when(F.col("k") == k, _float(_p(m)))).alias(f"{v}{c}") for k, v in enumerate("abc") for m, c in enumerate("xyz")))
+    return cells(held, lattice_angles(*(Vec(*(F.col(f"{v}{c}") for c in "xyz")) for v in "abc")), "frame_index")
+
+
 def read_dlpoly_config(spark: SparkSession, path: str) -> DataFrame:
-    """(file, atom_index, name, x, y, z) of a CONFIG file: header ``levcfg imcon``, three cell rows unless imcon is 0, then blocks of an atom."""
-    lines = _fields(_lines(spark, path).where("trim(line) <> ''"))
-    head = lines.where("n = 1").select("file", _p(0, "int").alias("lev"), _p(1, "int").alias("imcon"))
-    rows = lines.where("n >= 2").join(head, "file").withColumn("k", F.col("n") - 2 - F.when(F.col("imcon") != 0, 3).otherwise(0)).where("k >= 0")
-    rows = rows.withColumns({"block": F.floor(F.col("k") / (F.col("lev") + 2)), "m": F.col("k") % (F.col("lev") + 2)})
-    blocks = rows.groupBy("file", "block").agg(F.max(F.when(F.col("m") == 0, F.struct(_p(0).alias("name"), _p(1, "long").alias("id")))).alias("a"), F.max(F.when(F.col("m") == 1, F.struct(*(_float(_p(k)).alias(c) for k, c in enumerate("xyz"))))).alias("r"))
-    order = Window.partitionBy("file").orderBy("a.id", "block")
-    return blocks.select("file", (F.row_number().over(order) - 1).cast("long").alias("atom_index"), "a.name", "r.x", "r.y", "r.z")
+    """(file, atom_index, name, x, y, z, vx, vy, vz, fx, fy, fz) of a CONFIG file, sorted by the atoms' numbers; what its level lacks is null."""
+    return _dlpoly_atoms(_dlpoly(spark, path, False)).drop("frame_index")
+
+
+def read_dlpoly_box(spark: SparkSession, path: str) -> DataFrame:
+    """(file, a, b, c, alpha, beta, gamma) of a CONFIG file with a cell."""
+    return _dlpoly_cells(_dlpoly(spark, path, False)).drop("frame_index")
+
+
+def read_dlpoly_history(spark: SparkSession, path: str) -> DataFrame:
+    """(file, frame_index, step, time, atom_index, name, x ... fz) of every frame of a HISTORY file; the time is the last number of a step line."""
+    rows = _dlpoly(spark, path, True)
+    last = F.element_at(F.filter(F.transform("p", lambda s: s.try_cast("double")), lambda v: v.isNotNull()), -1)
+    steps = rows.where("k = -1").select("file", F.col("frame").cast("int").alias("frame_index"), _p(1, "long").alias("step"), last.alias("time"))
+    return _dlpoly_atoms(rows).join(steps, ["file", "frame_index"])
+
+
+def read_dlpoly_history_box(spark: SparkSession, path: str) -> DataFrame:
+    return _dlpoly_cells(_dlpoly(spark, path, True))
 
 
 def read_hoomd_xml(spark: SparkSession, path: str) -> DataFrame:
@@ -184,13 +334,35 @@ def read_hoomd_xml(spark: SparkSession, path: str) -> DataFrame:
     at = lambda c, i: F.get(c, i)
     i = F.col("atom_index").cast("int")
     rows = held.withColumn("atom_index", F.explode(F.sequence(F.lit(0), F.floor(F.size("position") / 3).cast("int") - 1)))
-    return rows.select("file", F.col("atom_index").cast("long"), at("type", i).alias("name"), *(at("position", 3 * i + k).cast("double").alias(c) for k, c in enumerate("xyz")), F.coalesce(at("mass", i).cast("double"), F.lit(1.0)).alias("mass"), F.coalesce(at("charge", i).cast("double"), F.lit(0.0)).alias("charge"), (at("diameter", i).cast("double") / 2).alias("radius"))
+    return rows.select("file", F.col("atom_index").cast("long"), at("type", i).alias("name"), *(at("position", 3 * i + k).try_cast("double").alias(c) for k, c in enumerate("xyz")), F.coalesce(at("mass", i).try_cast("double"), F.lit(1.0)).alias("mass"), F.coalesce(at("charge", i).try_cast("double"), F.lit(0.0)).alias("charge"), (at("diameter", i).try_cast("double") / 2).alias("radius"))
 
 
-def attach(atoms: DataFrame, coords: DataFrame) -> DataFrame:
-    """Topology and trajectory joined on atom_index; ValueError if a frame's atoms and the topology's differ in number."""
-    n = atoms.count()
-    odd = coords.groupBy("frame_index").count().where(F.col("count") != n).take(1)
-    if odd:
-        raise ValueError(f"frame {odd[0].frame_index} has {odd[0]['count']} atoms, the topology {n}")
-    return atoms.drop(*"xyz").join(coords, "atom_index")
+def read_hoomd_groups(spark: SparkSession, path: str, tag: str = "bond") -> DataFrame:
+    """(file, i, kind, members): the rows of a ``bond``, ``angle``, ``dihedral`` or ``improper`` element."""
+    size = {"bond": 2, "angle": 3, "dihedral": 4, "improper": 4}[tag] + 1
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    words = F.filter(F.split(F.regexp_extract("value", f"(?s)<{tag}[^>]*>(.*?)</{tag}>", 1), r"\s+"), lambda s: s != "")
+    rows = text.select("file", words.alias("w")).where(F.size("w") >= size).withColumn("i", F.explode(F.sequence(F.lit(0), F.floor(F.size("w") / size).cast("int") - 1)))
+    return rows.select("file", F.col("i").cast("long"), F.get("w", size * F.col("i")).alias("kind"), F.transform(F.slice("w", size * F.col("i") + 2, size - 1), lambda s: s.try_cast("long")).alias("members"))
+
+
+def read_hoomd_box(spark: SparkSession, path: str) -> DataFrame:
+    """(file, a, b, c, alpha, beta, gamma) of the box element: edges lx ly lz, tilts xy xz yz as shares of ly, lz, lz."""
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_extract("value", r"<box\b([^>]*)>", 1).alias("box")).where("box <> ''")
+    at = lambda name: F.coalesce(F.regexp_extract("box", rf'\b{name}\s*=\s*"([^"]*)"', 1).try_cast("double"), F.lit(0.0))
+    zero = F.lit(0.0)
+    return cells(text, lattice_angles(Vec(at("lx"), zero, zero), Vec(at("xy") * at("ly"), at("ly"), zero), Vec(at("xz") * at("lz"), at("yz") * at("lz"), at("lz"))))
+
+
+def attach(atoms: DataFrame, coords: DataFrame, ids: bool = False) -> DataFrame:
+    """Topology and trajectory joined on atom_index; rows of frames whose atoms are not the topology's raise an error.
+
+    Each frame must have the topology's number of atoms and, with ``ids``, the same set of values in ``id``; the check
+    runs with the result, not before.
+    """
+    key = F.sum(F.hash("id").cast("long")) if ids else F.lit(0)
+    whole = atoms.agg(F.count("*").alias("_n"), key.alias("_ids"))
+    frames = coords.groupBy("frame_index").agg(F.count("*").alias("_m"), key.alias("_own"))
+    fine = (F.col("_m") == F.col("_n")) & F.col("_own").eqNullSafe(F.col("_ids"))
+    checked = frames.join(F.broadcast(whole)).select("frame_index", F.when(fine, F.lit(0)).otherwise(F.raise_error(F.concat(F.lit("frame "), F.col("frame_index").cast("string"), F.lit(" has other atoms than the topology"))).cast("int")).alias("_ok"))  # whole is one row
+    return atoms.drop(*"xyz", *(["id"] if ids else [])).join(coords, "atom_index").join(checked, "frame_index").where("_ok = 0").drop("_ok")

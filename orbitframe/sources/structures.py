@@ -1,8 +1,7 @@
-"""Structure files as DataFrames: fixed-width and column text by built-in string functions, so files split over tasks.
+"""Structure files as DataFrames: fixed-width and column text by built-in string functions.
 
 Every reader returns atoms with atom_index (order in the file), labels and x, y, z; multi-frame files also carry
-frame_index. Lines are numbered by their place in a file (``wholetext`` reads a file a row), so frames of many files
-are read in parallel, a file a task; lines themselves are handled in the JVM.
+frame_index. Fields that are blank or no numbers are null; empty files give no rows.
 """
 
 from __future__ import annotations
@@ -10,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from orbitframe.functions.vectors import Vec, lattice_angles
+from orbitframe.sources.lines import counted, filled, fit, fixed, numbered, read_lines, write_lines
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, n, line) of every line."""
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return text.select("file", F.posexplode(F.split(F.regexp_replace("value", "\r", ""), "\n")).alias("n", "line"))
+__all__ = ["write_lines"]
+CELL = ("a", "b", "c", "alpha", "beta", "gamma")
 
 
 def _cut(start: int, length: int) -> Column:
@@ -24,41 +23,93 @@ def _cut(start: int, length: int) -> Column:
 
 
 def _number(start: int, length: int, kind: str = "double") -> Column:
-    return _cut(start, length).cast(kind)
+    return _cut(start, length).try_cast(kind)
+
+
+def cells(rows: DataFrame, box: Column, *by: str) -> DataFrame:
+    """(file, *by, a, b, c, alpha, beta, gamma) from an array of the six."""
+    held = rows.select("file", *by, box.alias("_box"))
+    return held.select("file", *by, *(F.get("_box", F.lit(k)).alias(c) for k, c in enumerate(CELL)))
+
+
+def hybrid36(value: Column, width: int) -> Column:
+    """The number of a field of ``width`` columns that goes on in base 36 where its digits end: 9999, A000 ... ZZZZ, a000."""
+    number = F.conv(F.upper(value), 36, 10).cast("long")
+    upper, lower = number - 10 * 36 ** (width - 1) + 10**width, number + 16 * 36 ** (width - 1) + 10**width
+    whole = F.length(value) == width
+    return F.when(value.rlike(r"^-?\d+$"), value.try_cast("long")).when(whole & value.rlike("^[A-Z][0-9A-Z]*$"), upper).when(whole & value.rlike("^[a-z][0-9a-z]*$"), lower)
 
 
 def read_pdb(spark: SparkSession, path: str) -> DataFrame:
-    """ATOM and HETATM records, a frame a MODEL; later models repeat the atoms of the first."""
-    lines = _lines(spark, path)
-    w = Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    models = lines.withColumn("model", F.greatest(F.sum(F.when(F.substring("line", 1, 5) == "MODEL", 1).otherwise(0)).over(w), F.lit(1)))
-    rows = models.where(F.substring("line", 1, 6).isin("ATOM  ", "HETATM"))
-    order = Window.partitionBy("file", "model").orderBy("n")
+    """ATOM and HETATM records, a frame a MODEL; later models repeat the atoms of the first.
+
+    Serials and residue numbers may be hybrid-36; residue numbers of five digits reach into the next column. Where
+    numbers start again after 9999, 10,000 is added for the rest of the model (taken model by model, in one task each).
+    """
+    models = counted(read_lines(spark, path), model=F.substring("line", 1, 5) == "MODEL")
+    rows = models.where(F.substring("line", 1, 6).isin("ATOM  ", "HETATM")).withColumn("frame_index", (F.greatest("model", F.lit(1)) - 1).cast("int"))
+    wide = F.substring("line", 23, 5).rlike(r"^\s*\d{5}$")
+    rows = numbered(rows, "atom_index", "frame_index").withColumns({"wide": wide, "number": F.when(wide, _number(23, 5, "long")).otherwise(F.coalesce(hybrid36(_cut(23, 4), 4), F.lit(1)))})
+    model = Window.partitionBy("file", "frame_index").orderBy("atom_index")
+    rows = rows.withColumn("fell", F.col("number") - F.lag("number").over(model) < -5000)
+    again = F.max(F.col("fell")).over(model.rowsBetween(Window.unboundedPreceding, 0))
     return rows.select(
-        "file", (F.col("model") - 1).cast("int").alias("frame_index"), (F.row_number().over(order) - 1).cast("long").alias("atom_index"), _number(7, 5, "int").alias("serial"), _cut(13, 4).alias("name"), _cut(18, 4).alias("resname"),
-        _cut(22, 1).alias("chain_id"), _number(23, 4, "int").alias("resid"), _cut(27, 1).alias("insertion_code"), _number(31, 8).alias("x"), _number(39, 8).alias("y"), _number(47, 8).alias("z"),
+        "file", "frame_index", "atom_index", hybrid36(_cut(7, 5), 5).alias("serial"), _cut(13, 4).alias("name"), _cut(18, 4).alias("resname"), _cut(22, 1).alias("chain_id"),
+        (F.col("number") + F.when(F.coalesce(again, F.lit(False)) & ~F.col("wide"), 10_000).otherwise(0)).cast("int").alias("resid"), F.when(~F.col("wide"), _cut(27, 1)).alias("insertion_code"), _number(31, 8).alias("x"), _number(39, 8).alias("y"), _number(47, 8).alias("z"),
         _number(55, 6).alias("occupancy"), _number(61, 6).alias("temp_factor"), _cut(73, 4).alias("segid"), _cut(77, 2).alias("element"),
     )
 
 
+def read_pdb_box(spark: SparkSession, path: str) -> DataFrame:
+    """(file, a, b, c, alpha, beta, gamma) of the last CRYST1 record that is complete and no unit placeholder."""
+    at = ((7, 9), (16, 9), (25, 9), (34, 7), (41, 7), (48, 7))
+    rows = read_lines(spark, path).where("startswith(line, 'CRYST1')").withColumn("box", F.array(*(_number(*x) for x in at)))
+    good = rows.where(F.forall("box", lambda v: v.isNotNull()) & (F.col("box") != F.array(*map(F.lit, (1.0, 1.0, 1.0, 90.0, 90.0, 90.0)))))
+    return cells(good.groupBy("file").agg(F.max_by("box", "n").alias("box")), F.col("box"))
+
+
+def read_pdb_bonds(spark: SparkSession, path: str) -> DataFrame:
+    """(file, atom1, atom2) of CONECT records, each bond once with atom1 < atom2; serials that no atom has are left out."""
+    rest = F.rtrim(F.substring("line", 7, 1000))
+    free = F.filter(F.split(rest, r"\s+"), lambda s: s != "")
+    cut = F.transform(F.sequence(F.lit(0), F.ceil(F.length(rest) / 5).cast("int") - 1), lambda k: F.trim(F.substr(rest, 5 * k + 1, F.lit(5))))
+    fields = F.when(F.forall(free, lambda s: F.length(s) <= 5), free).otherwise(F.filter(cut, lambda s: s != ""))
+    rows = read_lines(spark, path).where("startswith(line, 'CONECT')").select("file", F.transform(fields, lambda s: hybrid36(s, 5)).alias("p"))
+    pairs = rows.select("file", F.get("p", F.lit(0)).alias("s1"), F.explode(F.slice("p", 2, 100)).alias("s2"))
+    index = read_pdb(spark, path).where("frame_index = 0").select("file", "serial", "atom_index")
+    for k in "12":
+        pairs = pairs.join(index.withColumnsRenamed({"serial": f"s{k}", "atom_index": f"i{k}"}), ["file", f"s{k}"])
+    return pairs.select("file", F.least("i1", "i2").alias("atom1"), F.greatest("i1", "i2").alias("atom2")).where("atom1 < atom2").distinct()
+
+
 def pdb_lines(atoms: DataFrame, order: str = "atom_index") -> DataFrame:
-    """(order, value): a line of 80 columns for each atom."""
+    """(order, value): a line of 80 columns for each atom; serials start again after 99,999, residue numbers of five digits take the next column."""
     c = {f.name for f in atoms.schema}
     col = lambda name, default="": F.coalesce(F.col(name).cast("string"), F.lit(default)) if name in c else F.lit(default)
     full = (F.length(col("element")) == 2) | (F.length(col("name")) >= 4)
-    name = F.rpad(F.when(full, col("name")).otherwise(F.concat(F.lit(" "), col("name"))), 4, " ")
-    fixed = lambda n, w, d: F.lpad(F.when(F.col(n).isNotNull(), F.format_string(f"%.{d}f", F.col(n))).otherwise(F.lit("")), w, " ") if n in c else F.lit(" " * w)
-    parts = [F.lit("ATOM  "), F.lpad((F.col(order) % 99999 + 1).cast("string"), 5, " "), F.lit(" "), name, F.lit(" "), F.rpad(col("resname"), 4, " "), F.rpad(col("chain_id"), 1, " "), F.lpad(col("resid", "1"), 4, " "), F.rpad(col("insertion_code"), 1, " "), F.lit("   "), fixed("x", 8, 3), fixed("y", 8, 3), fixed("z", 8, 3), fixed("occupancy", 6, 2), fixed("temp_factor", 6, 2), F.lit(" " * 6), F.rpad(col("segid"), 4, " "), F.lpad(col("element"), 2, " "), F.lit("  ")]
+    name = fit(F.when(full, col("name")).otherwise(F.concat(F.lit(" "), col("name"))), 4, right=False)
+    number = lambda n, w, d: fixed(F.col(n), w, d) if n in c else F.lit(" " * w)
+    resid = F.when(F.length(col("resid", "1")) > 4, fit(col("resid", "1"), 5)).otherwise(F.concat(fit(col("resid", "1"), 4), fit(col("insertion_code"), 1)))
+    parts = [F.lit("ATOM  "), fit(F.col(order) % 99999 + 1, 5), F.lit(" "), name, F.lit(" "), fit(col("resname"), 4, right=False), fit(col("chain_id"), 1), resid, F.lit("   "), number("x", 8, 3), number("y", 8, 3), number("z", 8, 3), number("occupancy", 6, 2), number("temp_factor", 6, 2), F.lit(" " * 6), fit(col("segid"), 4, right=False), fit(col("element"), 2), F.lit("  ")]
     return atoms.select(order, F.concat(*parts).alias("value"))
 
 
+def pdb_box_line(box: tuple[float, ...]) -> str:
+    return "CRYST1" + "".join(f"{v:9.3f}" for v in box[:3]) + "".join(f"{v:7.2f}" for v in box[3:]) + " P 1           1"
+
+
+def conect_lines(bonds: DataFrame) -> DataFrame:
+    """(atom1, atom2, value): a CONECT record for each bond of zero-based atoms."""
+    return bonds.select("atom1", "atom2", F.concat(F.lit("CONECT"), fit(F.col("atom1") + 1, 5), fit(F.col("atom2") + 1, 5)).alias("value"))
+
+
 def read_xyz(spark: SparkSession, path: str) -> DataFrame:
     """(file, frame_index, atom_index, name, x, y, z) of one or many frames of equal size."""
-    lines = _lines(spark, path)
-    size = lines.where("n = 0").select("file", F.trim("line").cast("int").alias("size"))
+    lines = read_lines(spark, path)
+    size = lines.where("n = 0").select("file", F.trim("line").try_cast("int").alias("size"))
     rows = lines.join(size, "file").withColumns({"frame_index": F.floor(F.col("n") / (F.col("size") + 2)).cast("int"), "k": F.col("n") % (F.col("size") + 2)})
     part = F.split(F.trim("line"), r"\s+")
-    return rows.where("k >= 2 and trim(line) <> ''").select("file", "frame_index", (F.col("k") - 2).cast("long").alias("atom_index"), part[0].alias("name"), *(part[1 + i].cast("double").alias(c) for i, c in enumerate("xyz")))
+    return rows.where("k >= 2 and trim(line) <> ''").select("file", "frame_index", (F.col("k") - 2).cast("long").alias("atom_index"), part[0].alias("name"), *(part[1 + i].try_cast("double").alias(c) for i, c in enumerate("xyz")))
 
 
 def xyz_lines(coords: DataFrame, title: str = "") -> DataFrame:
@@ -68,52 +119,60 @@ def xyz_lines(coords: DataFrame, title: str = "") -> DataFrame:
     return head.union(body)
 
 
+def _gro(spark: SparkSession, path: str) -> DataFrame:
+    """Lines with the frame's size, its number, and the place k in it: title, size, atoms, box."""
+    lines = read_lines(spark, path)
+    size = lines.where("n = 1").select("file", F.trim("line").try_cast("int").alias("size"))
+    return lines.join(size, "file").withColumns({"frame_index": F.floor(F.col("n") / (F.col("size") + 3)).cast("int"), "k": F.col("n") % (F.col("size") + 3)})
+
+
 def read_gro(spark: SparkSession, path: str) -> DataFrame:
-    """Atoms of a fixed-column file in nm, with velocities where lines hold them, a file a frame."""
-    lines = _lines(spark, path)
-    size = lines.where("n = 1").select("file", F.trim("line").cast("int").alias("size"))
-    rows = lines.join(size, "file").where("n >= 2 and n < size + 2")
-    return rows.select("file", (F.col("n") - 2).cast("long").alias("atom_index"), _number(1, 5, "int").alias("resid"), _cut(6, 5).alias("resname"), _cut(11, 5).alias("name"), *(_number(21 + 8 * k, 8).alias(c) for k, c in enumerate(("x", "y", "z", "vx", "vy", "vz"))))
+    """Atoms of fixed columns in nm, with velocities where lines hold them, of one or many frames of equal size.
+
+    Where residue numbers start again after 99,999, 100,000 is added, as often as they do.
+    """
+    rows = _gro(spark, path).where("k >= 2 and k < size + 2").withColumn("number", _number(1, 5, "int"))
+    frame = Window.partitionBy("file", "frame_index").orderBy("k")
+    again = F.sum((F.col("number") < F.col("before") - 50_000).cast("int")).over(frame)
+    resid = F.col("number") + 100_000 * F.coalesce(again, F.lit(0))
+    rows = rows.withColumn("before", F.lag("number").over(frame))
+    return rows.select("file", "frame_index", (F.col("k") - 2).cast("long").alias("atom_index"), resid.cast("int").alias("resid"), _cut(6, 5).alias("resname"), _cut(11, 5).alias("name"), *(_number(21 + 8 * k, 8).alias(c) for k, c in enumerate(("x", "y", "z", "vx", "vy", "vz"))))
+
+
+def read_gro_box(spark: SparkSession, path: str) -> DataFrame:
+    """(file, frame_index, a, b, c, alpha, beta, gamma) of each frame's last line: three lengths in nm, or nine vector components."""
+    p = F.transform(F.split(F.trim("line"), r"\s+"), lambda s: s.try_cast("double"))
+    at = lambda k: F.get("p", F.lit(k))
+    tilted = lattice_angles(Vec(at(0), at(3), at(4)), Vec(at(5), at(1), at(6)), Vec(at(7), at(8), at(2)))
+    right = F.array(at(0), at(1), at(2), *map(F.lit, (90.0, 90.0, 90.0)))
+    nothing = F.array(*map(F.lit, (0.0, 0.0, 0.0, 90.0, 90.0, 90.0)))
+    empty = F.forall("p", lambda v: F.abs(v) <= 2.3e-16)
+    rows = _gro(spark, path).where("k = size + 2").withColumn("p", p).where(F.size("p").isin(3, 9))
+    return cells(rows, F.when(F.size("p") == 3, right).when(empty, nothing).otherwise(tilted), "frame_index")
 
 
 def gro_lines(atoms: DataFrame, order: str = "atom_index") -> DataFrame:
-    """(order, value): a line an atom."""
-    parts = [F.lpad((F.col("resid") % 100000).cast("string"), 5, " "), F.rpad("resname", 5, " "), F.lpad("name", 5, " "), F.lpad(((F.col(order) + 1) % 100000).cast("string"), 5, " "), *(F.lpad(F.format_string("%.3f", F.col(c)), 8, " ") for c in "xyz")]
+    """(order, value): a line an atom; numbers start again after 99,999."""
+    parts = [fit(F.col("resid") % 100000, 5), fit(F.col("resname"), 5, right=False), fit(F.col("name"), 5), fit((F.col(order) + 1) % 100000, 5), *(fixed(F.col(c), 8, 3) for c in "xyz")]
     return atoms.select(order, F.concat(*parts).alias("value"))
 
 
 def read_pqr(spark: SparkSession, path: str) -> DataFrame:
     """Atoms with charge and radius: record serial name resname [chain] resid x y z charge radius."""
-    lines = _lines(spark, path).withColumn("p", F.split(F.trim("line"), r"\s+")).where(F.col("p")[0].isin("ATOM", "HETATM"))
-    order = Window.partitionBy("file").orderBy("n")
+    lines = read_lines(spark, path).withColumn("p", F.split(F.trim("line"), r"\s+")).where(F.col("p")[0].isin("ATOM", "HETATM"))
     k = F.when(F.size("p") >= 11, 1).otherwise(0)
     at = lambda i: F.get("p", F.lit(i) + k)
-    return lines.select("file", (F.row_number().over(order) - 1).cast("long").alias("atom_index"), F.col("p")[2].alias("name"), F.col("p")[3].alias("resname"), F.when(k == 1, F.col("p")[4]).alias("chain_id"), at(4).cast("int").alias("resid"), *(at(5 + i).cast("double").alias(c) for i, c in enumerate(("x", "y", "z", "charge", "radius"))))
+    return numbered(lines, "atom_index").select("file", "atom_index", F.col("p")[2].alias("name"), F.col("p")[3].alias("resname"), F.when(k == 1, F.col("p")[4]).alias("chain_id"), at(4).try_cast("int").alias("resid"), *(at(5 + i).try_cast("double").alias(c) for i, c in enumerate(("x", "y", "z", "charge", "radius"))))
 
 
 def pqr_lines(atoms: DataFrame, order: str = "atom_index") -> DataFrame:
-    fixed = lambda c, w, d: F.lpad(F.format_string(f"%.{d}f", F.col(c)), w, " ")
-    return atoms.select(order, F.concat_ws(" ", F.lit("ATOM"), (F.col(order) + 1).cast("string"), "name", "resname", "chain_id", F.col("resid").cast("string"), *(fixed(c, 10, 5) for c in "xyz"), fixed("charge", 9, 5), fixed("radius", 8, 5)).alias("value"))
+    return atoms.select(order, F.concat_ws(" ", F.lit("ATOM"), (F.col(order) + 1).cast("string"), "name", "resname", "chain_id", F.col("resid").cast("string"), *(fixed(F.col(c), 10, 5) for c in "xyz"), fixed(F.col("charge"), 9, 5), fixed(F.col("radius"), 8, 5)).alias("value"))
 
 
 def read_psf_bonds(spark: SparkSession, path: str) -> DataFrame:
     """(file, atom1, atom2), zero-based, from the !NBOND section: eight numbers a line."""
-    lines = _lines(spark, path)
-    w = Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    section = F.last(F.when(F.col("line").contains("!"), F.regexp_extract("line", r"!(\w+)", 1)), ignorenulls=True).over(w)
-    rows = lines.withColumn("section", section).where("section = 'NBOND' and not contains(line, '!') and trim(line) <> ''")
-    p = F.transform(F.split(F.trim("line"), r"\s+"), lambda s: s.cast("long") - 1)
+    rows = filled(read_lines(spark, path), section=F.when(F.col("line").contains("!"), F.regexp_extract("line", r"!(\w+)", 1)))
+    rows = rows.where("section = 'NBOND' and not contains(line, '!') and trim(line) <> ''")
+    p = F.transform(F.split(F.trim("line"), r"\s+"), lambda s: s.try_cast("long") - 1)
     pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size("p") / 2).cast("int") - 1), lambda i: F.struct(F.get("p", 2 * i).alias("atom1"), F.get("p", 2 * i + 1).alias("atom2")))
     return rows.withColumn("p", p).select("file", F.explode(pairs).alias("b")).select("file", "b.atom1", "b.atom2")
-
-
-def write_lines(lines: DataFrame, path: str, *order: str, head: list[str] = (), tail: list[str] = ()) -> None:
-    """One text file, for one structure: sorted lines between a head and a tail. Larger sets keep a file a frame."""
-    spark = lines.sparkSession
-    rows = lines.select(F.lit(1).alias("_part"), F.struct(*order).alias("_key"), "value")
-    fixed = lambda part, some: spark.createDataFrame([(part, k, v) for k, v in enumerate(some)], "_part int, _k int, value string")
-    body = rows.orderBy("_key").select("value").coalesce(1) if not head and not tail else None
-    if body is None:
-        keyed = rows.select("_part", F.row_number().over(Window.orderBy("_key")).alias("_k"), "value")
-        body = keyed.union(fixed(0, head)).union(fixed(2, tail)).orderBy("_part", "_k").select("value").coalesce(1)
-    body.write.mode("overwrite").text(path)

@@ -1,5 +1,3 @@
-import struct
-
 from orbitframe.sources import amber
 
 
@@ -21,6 +19,14 @@ def test_prmtop(spark, tmp_path):
     assert rows(amber.read_prmtop_bonds(spark, str(path)), "atom1", "atom2", order=("atom1",)) == [(0, 1), (2, 3)]
 
 
+def test_prmtop_angles_and_dihedrals(spark, tmp_path):
+    path = tmp_path / "a.prmtop"
+    path.write_text("%VERSION\n%FLAG ANGLES_INC_HYDROGEN\n%FORMAT(10I8)\n       0       3       6       1       0       3       6       2\n%FLAG ANGLES_WITHOUT_HYDROGEN\n%FORMAT(10I8)\n       3       6       9       1\n%FLAG DIHEDRALS_WITHOUT_HYDROGEN\n%FORMAT(10I8)\n       0       3      -6       9       1       0       3       6      -9       2\n       0       3       6       9       4\n")
+    names = ("atom1", "atom2", "atom3")
+    assert rows(amber.read_prmtop_angles(spark, str(path)), *names, order=names) == [(0, 1, 2), (1, 2, 3)]
+    assert rows(amber.read_prmtop_dihedrals(spark, str(path)), *names, "atom4", "improper", order=("improper",)) == [(0, 1, 2, 3, False), (0, 1, 2, 3, True)]
+
+
 def test_mdcrd(spark, tmp_path):
     def frame(low, box):
         v = [low + k for k in range(12)]
@@ -33,12 +39,12 @@ def test_mdcrd(spark, tmp_path):
         assert got == [(f, k, low + 3 * k, low + 3 * k + 1, low + 3 * k + 2) for f, low in ((0, 0), (1, -100)) for k in range(4)]
 
 
-def test_gromos_and_binary(spark, tmp_path):
+def test_gromos(spark, tmp_path):
     one = "TIMESTEP\n{0} {1}\nEND\nPOSITIONRED\n1.0 2.0 3.0\n4.0 5.0 6.0\n#  10\nEND\n"
     path = tmp_path / "a.trc"
     path.write_text("TITLE\nx\nEND\n" + one.format(5, 0.5) + one.format(10, 1.0))
     got = rows(amber.read_gromos(spark, str(path)), "frame_index", "step", "time", "atom_index", "x", order=("frame_index", "atom_index"))
     assert got == [(0, 5, 0.5, 0, 1.0), (0, 5, 0.5, 1, 4.0), (1, 10, 1.0, 0, 1.0), (1, 10, 1.0, 1, 4.0)]
-    path = tmp_path / "a.coor"
-    path.write_bytes(struct.pack("<i6d", 2, *range(1, 7)))
-    assert rows(amber.read_namdbin(spark, str(path)), "x", "y", "z") == [(1, 2, 3), (4, 5, 6)]
+    assert amber.read_gromos_box(spark, str(path)).count() == 0
+    path.write_text("TITLE\nx\nEND\n" + (one + "GENBOX\n1\n3.0 4.0 5.0\n90 80 70\n0 0 0\n0 0 0\nEND\n").format(5, 0.5))
+    assert rows(amber.read_gromos_box(spark, str(path)), "frame_index", "a", "c", "beta", order=("frame_index",)) == [(0, 3.0, 5.0, 80.0)]

@@ -79,5 +79,80 @@ def test_universe(spark):
     assert [r.atom_index for r in u.bonded_to(F.col("name") == "CA").collect()] == [1]
     assert u.with_frames(coords).coords.agg(F.max("frame_index")).first()[0] == 5
     assert R.attach(atoms, coords).count() == 6
-    with pytest.raises(ValueError):
-        R.attach(atoms.limit(1), coords)
+    with pytest.raises(Exception, match="other atoms than the topology"):
+        R.attach(atoms.limit(1), coords).collect()
+    same = R.attach(atoms.selectExpr("*", "atom_index + 5 as id"), coords.selectExpr("*", "atom_index + 5 as id"), ids=True)
+    assert same.count() == 6 and "id" in same.columns
+    with pytest.raises(Exception, match="other atoms than the topology"):
+        R.attach(atoms.selectExpr("*", "atom_index + 6 as id"), coords.selectExpr("*", "atom_index + 5 as id"), ids=True).collect()
+
+
+def test_pdb_records(spark, tmp_path):
+    line = "ATOM  {:>5} {:<4} {:<3} {:1}{:>4}{:1}   {:8.3f}{:8.3f}{:8.3f}  1.00  0.00           C"
+    atoms = [("1", " CA", "ALA", "A", "9998", " ", 1, 2, 3), ("99999", " N", "ALA", "A", "9999", " ", 4, 5, 6), ("A0000", " C", "ALA", "A", "0", " ", 7, 8, 9), ("A0001", " O", "ALA", "A", "1", "B", 1, 1, 1)]
+    text = "CRYST1    1.000    1.000    1.000  90.00  90.00  90.00 P 1\nCRYST1   10.000   20.000   30.000  90.00  80.00  70.00 P 1\n" + "\n".join(line.format(*a) for a in atoms) + "\nCONECT    199999\nCONECTA000099999A0001\nCONECT    1   77\nEND\n"
+    p = put(tmp_path, "a.pdb", text)
+    assert rows(structures.read_pdb(spark, p), "serial", "name", "resid", "insertion_code", "x") == [(1, "CA", 9998, None, 1.0), (99999, "N", 9999, None, 4.0), (100000, "C", 10000, None, 7.0), (100001, "O", 10001, "B", 1.0)]
+    assert rows(structures.read_pdb_bonds(spark, p), "atom1", "atom2", order="atom2") == [(0, 1), (1, 2), (2, 3)][:1] + [(1, 2), (2, 3)]
+    assert [tuple(r)[1:] for r in structures.read_pdb_box(spark, p).collect()] == [(10.0, 20.0, 30.0, 90.0, 80.0, 70.0)]
+    wide = put(tmp_path, "b.pdb", line.format("1", " CA", "ALA", "A", "1234", "5", 1, 2, 3) + "\n" + line.format("2", " N", "ALA", "A", "A000", " ", 1, 2, 3) + "\n")
+    assert rows(structures.read_pdb(spark, wide), "resid", "insertion_code") == [(12345, None), (10000, None)]
+    models = put(tmp_path, "c.pdb", "".join(f"MODEL {m}\n" + "\n".join(line.format(*a) for a in atoms) + "\nENDMDL\n" for m in (1, 2, 3)))
+    got = structures.read_pdb(spark, models).collect()
+    assert sorted((r.frame_index, r.atom_index) for r in got) == [(m, k) for m in range(3) for k in range(4)]
+    empty = put(tmp_path, "d.pdb", "")
+    assert structures.read_pdb(spark, empty).count() == structures.read_pdb_bonds(spark, empty).count() == structures.read_pdb_box(spark, empty).count() == 0
+
+
+def test_long_files_are_read_in_blocks(spark, tmp_path):
+    """Blocks of 200 bytes: line numbers, models, sections and counts go on from block to block."""
+    line = "ATOM  {:>5}  CA  ALA A   1    {:8.3f}   0.000   0.000"
+    p = put(tmp_path, "a.pdb", "".join(f"MODEL {m}\n" + "".join(line.format(k + 1, k) + "\n" for k in range(40)) + "ENDMDL\n" for m in range(5)))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in old:
+            spark.conf.set(k, "200b")
+        got = sorted((r.frame_index, r.atom_index, r.x) for r in structures.read_pdb(spark, p).collect())
+        assert got == [(m, k, float(k)) for m in range(5) for k in range(40)]
+        from orbitframe.sources.lines import read_lines
+
+        seen = sorted((r.n, r.line) for r in read_lines(spark, p).collect())
+        assert [n for n, _ in seen] == list(range(210)) and len({r.block for r in read_lines(spark, p).collect()}) > 20
+        assert [x for _, x in seen] == open(p).read().splitlines()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_boxes_and_velocities(spark, tmp_path):
+    atom = "{:>5}{:<5}{:>5}{:>5}{:8.3f}{:8.3f}{:8.3f}{:8.4f}{:8.4f}{:8.4f}\n"
+    frame = "title\n2\n" + atom.format(99999, "SOL", "OW", 1, 1, 2, 3, 0.1, 0.2, 0.3) + atom.format(0, "SOL", "HW", 2, 4, 5, 6, 0, 0, 0)
+    p = put(tmp_path, "a.gro", frame + "1.0 2.0 3.0\n" + frame + "1.0 2.0 3.0 0 0 0 0 0 1.0\n")
+    got = structures.read_gro(spark, p).orderBy("frame_index", "atom_index").collect()
+    assert [(r.frame_index, r.resid, r.name, r.x, r.vy) for r in got] == [(f, n, a, x, v) for f in (0, 1) for n, a, x, v in ((99999, "OW", 1.0, 0.2), (100000, "HW", 4.0, 0.0))]
+    boxes = structures.read_gro_box(spark, p).orderBy("frame_index").collect()
+    assert tuple(boxes[0])[2:] == (1.0, 2.0, 3.0, 90.0, 90.0, 90.0) and boxes[1].alpha == pytest.approx(71.56505118)
+    values = lambda *v: "".join(f"{x:12.7f}" for x in v) + "\n"
+    p = put(tmp_path, "v.rst", "t\n    3 0.5\n" + values(*range(1, 7)) + values(7, 8, 9) + values(*range(11, 17)) + values(17, 18, 19) + values(10, 20, 30, 90, 80, 70))
+    assert rows(R.read_inpcrd(spark, p), "x", "z", "vx", "vz") == [(1, 3, 11, 13), (4, 6, 14, 16), (7, 9, 17, 19)]
+    assert [tuple(r)[1:] for r in R.read_inpcrd_box(spark, p).collect()] == [(10, 20, 30, 90, 80, 70)]
+    p = put(tmp_path, "v.data", "t\n\n1 atoms\n0 10 xlo xhi\n0 10 ylo yhi\n-5 5 zlo zhi\n5 0 0 xy xz yz\n\nAtoms\n\n4 2 1 -0.5 4 5 6\n\nVelocities\n\n4 0.1 0.2 0.3\n")
+    assert rows(R.read_lammps_data(spark, p), "id", "vx", "vz") == [(4, 0.1, 0.3)]
+    box = R.read_lammps_box(spark, p).first()
+    assert (box.a, box.c, box.alpha) == (10.0, 10.0, 90.0) and box.b == pytest.approx(125**0.5) and box.gamma == pytest.approx(63.43494882)
+    p = put(tmp_path, "t.dump", "ITEM: TIMESTEP\n7\nITEM: NUMBER OF ATOMS\n1\nITEM: BOX BOUNDS xy xz yz pp pp pp\n0 15 5\n0 10 0\n-5 5 0\nITEM: ATOMS id xs ys zs vx\n1 0.5 0.5 0.5 2\n")
+    got = R.read_lammps_dump(spark, p).first()
+    assert (got.x, got.y, got.z, got.vx, got.vy) == (7.5, 5.0, 0.0, 2.0, None)
+    assert R.read_lammps_dump_box(spark, p).first().gamma == pytest.approx(63.43494882)
+    p = put(tmp_path, "h.in", "lattice_vector 10 0 0\nlattice_vector 0 20 0\nlattice_vector 0 0 30\natom 1 2 3 N\nvelocity 4 5 6\natom 7 8 9 O\n")
+    assert rows(R.read_aims(spark, p), "x", "vx", "vz") == [(1, 4, 6), (7, None, None)]
+    assert R.read_aims_box(spark, p).first().b == 20.0
+    p = put(tmp_path, "HISTORY", "title\n 2 1 2\n" + "".join(f"timestep {s} 2 2 1 0.001 {s / 10}\n10 0 0\n0 10 0\n0 0 10\nNa 2\n4 5 6\n1 1 1\n7 8 9\nCl 1\n{s} 2 3\n0 0 0\n-1 -2 -3\n" for s in (10, 20)))
+    got = R.read_dlpoly_history(spark, p).orderBy("frame_index", "atom_index").collect()
+    assert [(r.frame_index, r.step, r.time, r.name, r.x, r.vx, r.fz) for r in got] == [(f, s, s / 10, n, x, v, z) for f, s in ((0, 10), (1, 20)) for n, x, v, z in (("Cl", s, 0, -3), ("Na", 4, 1, 9))]
+    assert R.read_dlpoly_history_box(spark, p).count() == 2
+    p = put(tmp_path, "b.xml", '<x><box lx="10" ly="20" lz="30" xy="0" xz="0" yz="0"/><position>1 2 3 4 5 6</position><bond>A-B 0 1\nB-B 1 1</bond><angle>t 0 1 0</angle></x>')
+    assert rows(R.read_hoomd_groups(spark, p), "kind", "members", order="i") == [("A-B", [0, 1]), ("B-B", [1, 1])]
+    assert R.read_hoomd_groups(spark, p, "angle").first().members == [0, 1, 0] and R.read_hoomd_box(spark, p).first().b == 20.0
+    p = put(tmp_path, "c.mol2", "@<TRIPOS>MOLECULE\nx\n 3 0\n@<TRIPOS>ATOM\n 1 CA 1.0 2.0 3.0 C.3\n@<TRIPOS>CRYSIN\n 10 20 30 90 80 70 1 1\n")
+    assert R.read_mol2_box(spark, p).first().beta == 80.0 and [tuple(r)[1:] for r in R.check_mol2(spark, p).collect()] == [("ATOM", 3, 1)]
