@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,9 @@ BOLTZMANN = 8.314462159e-3
 ELECTRIC_CONSTANT = 5.526350e-3
 AKMA = 4.888821e-2
 
+#: By name; the second spelling of Boltzmann's constant is an old one.
+CONSTANTS = {"N_Avogadro": N_AVOGADRO, "elementary_charge": ELEMENTARY_CHARGE, "calorie": CALORIE, "Boltzmann_constant": BOLTZMANN, "electric_constant": ELECTRIC_CONSTANT, "Boltzman_constant": BOLTZMANN}
+
 FACTORS: dict[str, dict[str, float]] = {
     "length": {"angstrom": 1.0, "nm": 10.0, "pm": 0.01, "fm": 1e-5, "m": 1e10},
     "time": {"ps": 1.0, "fs": 1e-3, "ns": 1e3, "us": 1e6, "ms": 1e9, "s": 1e12, "akma": AKMA},
@@ -24,9 +29,33 @@ FACTORS: dict[str, dict[str, float]] = {
 }
 
 
+#: Words for parts of units; units are compared word by word.
+WORDS = {"a": "angstrom", "angstroms": "angstrom", "\u00e5": "angstrom", "nanometer": "nm", "nanometers": "nm", "picometer": "pm", "picometers": "pm", "femtometer": "fm", "femtometers": "fm", "meter": "m", "meters": "m", "picosecond": "ps", "picoseconds": "ps", "femtosecond": "fs", "femtoseconds": "fs", "nanosecond": "ns", "nanoseconds": "ns", "\u03bcs": "us", "\u00b5s": "us", "microsecond": "us", "microseconds": "us", "millisecond": "ms", "milliseconds": "ms", "sec": "s", "second": "s", "seconds": "s", "kilojoule": "kj", "kilojoules": "kj", "kilocalorie": "kcal", "kilocalories": "kcal", "joule": "j", "joules": "j", "electronvolt": "ev", "n": "newton", "newtons": "newton", "electron charge": "e", "elementary_charge": "e", "coulomb": "c", "coulombs": "c", "as": "c", "u": "amu", "da": "amu", "dalton": "amu", "daltons": "amu", "kilogram": "kg", "kilograms": "kg", "gram": "g", "grams": "g"}
+
+
+def unit(name: str) -> str:
+    """A unit's spelling in ``FACTORS``, from any of its usual ones in any case."""
+    key = name.strip().lower().replace(" mol-1", "/mol")
+    whole = WORDS.get(key) or "".join(WORDS.get(w, w) for w in re.split(r"([/()*])", key))
+    return "j" if whole == "j/mol" else whole
+
+
+def constant(name: str) -> float | None:
+    """A physical constant by its name, or None."""
+    return CONSTANTS.get(name)
+
+
+def kind_of(name: str) -> str:
+    """What a unit measures; ValueError if it is unknown."""
+    for kind, units in FACTORS.items():
+        if unit(name) in units:
+            return kind
+    raise ValueError(f"unknown unit {name!r}")
+
+
 def factor(source: str, target: str) -> float:
     """Value of one ``source`` in ``target``; ValueError for unknown units or different kinds."""
-    a, b = source.strip().lower(), target.strip().lower()
+    a, b = unit(source), unit(target)
     for units in FACTORS.values():
         if a in units and b in units:
             return units[a] / units[b]

@@ -98,6 +98,25 @@ def determinant(a: Vec, b: Vec, c: Vec) -> Column:
     return triple(a, b, c)
 
 
+def inverse(a: Vec, b: Vec, c: Vec) -> tuple[Vec, Vec, Vec]:
+    """Rows of the inverse of the matrix with rows a, b, c; null where its determinant is (nearly) zero."""
+    det = determinant(a, b, c)
+    one = F.when(F.abs(det) > 2.220446049250313e-16, 1 / F.nullif(det, F.lit(0.0)))
+    columns = b.cross(c) * one, c.cross(a) * one, a.cross(b) * one
+    return tuple(Vec(*(getattr(col, axis) for col in columns)) for axis in "xyz")
+
+
+def pdot(first: Column, second: Column) -> Column:
+    """Inner products of two arrays of points, pair by pair; arrays of different lengths are an error."""
+    one = lambda p, q: sum(p[k] * q[k] for k in range(3))
+    return F.when(F.size(first) == F.size(second), F.zip_with(first, second, one)).otherwise(F.raise_error(F.lit("arrays of different lengths")))
+
+
+def pnorm(points: Column) -> Column:
+    """Lengths of an array of points."""
+    return F.transform(points, lambda p: F.sqrt(sum(p[k] * p[k] for k in range(3))))
+
+
 @dataclass(frozen=True)
 class Box:
     """A periodic cell given by lengths and angles in degrees, held on the driver."""

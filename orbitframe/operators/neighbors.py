@@ -7,11 +7,13 @@ spreads over all cells of all frames; nothing is broadcast and no cross product
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orbitframe.functions.chemistry import element_mass
 from orbitframe.functions.vectors import Box, Vec, vec
 
 
@@ -20,10 +22,12 @@ def _cells(place: Vec, counts: list[int] | None, widths: list[float]) -> list[Co
     return raw if counts is None else [F.pmod(c, F.lit(n)) for c, n in zip(raw, counts)]
 
 
-def pairs_within(left: DataFrame, right: DataFrame, cutoff: float, by: tuple[str, ...] = (), box: Box | None = None, strict: bool = False, lower: float | None = None) -> DataFrame:
+def pairs_within(left: DataFrame, right: DataFrame, cutoff: float, by: tuple[str, ...] = (), box: Box | None = None, strict: bool = False, lower: float | None = None, half: bool = False) -> DataFrame:
     """(*by, i, j, distance) of all pairs with distance <= cutoff (< if ``strict``) and > lower.
 
     With a box distances are to the nearest image and the grid wraps around. Negative or non-finite cutoffs are errors.
+    ``half`` is for a set with itself in an open space: each pair of cells meets once, so each pair of points comes
+    once, in either direction.
     """
     if not math.isfinite(cutoff) or cutoff < 0 or (lower is not None and not 0 <= lower <= cutoff):
         raise ValueError("cutoffs must be finite, not negative and in order")
@@ -37,13 +41,15 @@ def pairs_within(left: DataFrame, right: DataFrame, cutoff: float, by: tuple[str
         s = box.to_fractional(vec())
         place = Vec(*(F.pmod(c, F.lit(1.0)) for c in s))
     cells = _cells(place, counts, widths)
-    shifts = F.array(*(F.array(*map(F.lit, d)) for d in product((-1, 0, 1), repeat=3)))
+    shifts = F.array(*(F.array(*map(F.lit, d)) for d in product((-1, 0, 1), repeat=3) if not half or d >= (0, 0, 0)))
     moved = lambda k: cells[k] + F.col("shift")[k] if counts is None else F.pmod(cells[k] + F.col("shift")[k], F.lit(counts[k]))
     here = left.select(*by, F.col("atom_index").alias("i"), *(F.col(c).alias(f"{c}1") for c in "xyz"), *(c.alias(f"c{k}") for k, c in enumerate(cells)))
-    there = right.withColumn("shift", F.explode(shifts)).select(*by, F.col("atom_index").alias("j"), *(F.col(c).alias(f"{c}2") for c in "xyz"), *(moved(k).alias(f"c{k}") for k in range(3)))
+    there = right.withColumn("shift", F.explode(shifts)).select(*by, F.col("atom_index").alias("j"), *(F.col(c).alias(f"{c}2") for c in "xyz"), *(moved(k).alias(f"c{k}") for k in range(3)), *([(F.col("shift") == F.array(*[F.lit(0)] * 3)).alias("_own")] if half else []))
     if counts is not None and min(counts) < 3:
         there = there.distinct()  # shifts may fall on one cell
     met = here.join(there, [*by, "c0", "c1", "c2"])
+    if half:
+        met = met.where(~F.col("_own") | (F.col("i") < F.col("j")))
     d = vec(suffix="2") - vec(suffix="1")
     distance = (box.nearest(d) if box else d).norm()
     out = met.select(*by, "i", "j", distance.alias("distance"))
@@ -52,8 +58,11 @@ def pairs_within(left: DataFrame, right: DataFrame, cutoff: float, by: tuple[str
 
 
 def self_pairs_within(atoms: DataFrame, cutoff: float, by: tuple[str, ...] = (), box: Box | None = None, lower: float | None = None) -> DataFrame:
-    """Unique pairs i < j."""
-    return pairs_within(atoms, atoms, cutoff, by, box, lower=lower).where("i < j")
+    """Unique pairs i < j; in an open space each cell meets itself and half of its neighbours only."""
+    if box is not None:
+        return pairs_within(atoms, atoms, cutoff, by, box, lower=lower).where("i < j")
+    found = pairs_within(atoms, atoms, cutoff, by, lower=lower, half=True)
+    return found.select(*by, F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "distance")
 
 
 def all_distances(left: DataFrame, right: DataFrame, by: tuple[str, ...], box: Box | None = None) -> DataFrame:
@@ -77,9 +86,30 @@ def neighbor_level(atoms: DataFrame, centers: DataFrame, radius: float, level: s
     return atoms.join(near, "atom_index", "left_semi").select(level).distinct()
 
 
-def guess_bonds(atoms: DataFrame, cutoff: float = 1.7) -> DataFrame:
-    """Bonds (atom1 < atom2) between all atoms at most ``cutoff`` apart."""
-    return self_pairs_within(atoms, cutoff).select(F.col("i").alias("atom1"), F.col("j").alias("atom2"))
+def guess_bonds(atoms: DataFrame, cutoff: float = 1.7, element: str | None = None) -> DataFrame:
+    """Bonds (atom1 < atom2) between all atoms at most ``cutoff`` apart.
+
+    Coordinates that are not finite are an error, and so are unknown elements where a column of them is named.
+    """
+    fine = reduce(lambda a, b: a & b, (F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")) for c in "xyz"))
+    checks = F.when(~fine, F.raise_error(F.lit("a coordinate is not finite"))).otherwise(True)
+    if element:
+        checks = checks & F.when(element_mass(F.col(element)).isNull(), F.raise_error(F.concat(F.lit("unknown element "), F.coalesce(element, F.lit("null"))))).otherwise(True)
+    return self_pairs_within(atoms.where(checks), cutoff).select(F.col("i").alias("atom1"), F.col("j").alias("atom2"))
+
+
+def contact_matrix(atoms: DataFrame, cutoff: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, atom_index, contacts): a row of the contact matrix for each atom, a flag for each atom in order; false on the diagonal.
+
+    The matrix has as many flags as atoms squared, so it is meant for small groups; ``self_pairs_within`` gives its pairs.
+    """
+    pairs = self_pairs_within(atoms, cutoff, by).select(*by, "i", "j")
+    both = pairs.union(pairs.select(*by, "j", "i")).groupBy(*by, "i").agg(F.collect_set("j").alias("_near"))
+    order = atoms.groupBy(*by).agg(F.sort_array(F.collect_list("atom_index")).alias("_all"))
+    rows = atoms.select(*by, "atom_index").join(both.withColumnRenamed("i", "atom_index"), [*by, "atom_index"], "left")
+    met = rows.join(order, list(by)) if by else rows.join(F.broadcast(order))  # one row
+    near = F.coalesce("_near", F.array().cast("array<long>"))
+    return met.select(*by, "atom_index", F.transform("_all", lambda k: F.array_contains(near, k)).alias("contacts"))
 
 
 def radial_counts(first: DataFrame, second: DataFrame, bin_width: float, max_radius: float, by: tuple[str, ...] = ()) -> DataFrame:

@@ -45,6 +45,37 @@ def unique_bonds(bonds: DataFrame) -> DataFrame:
     return bonds.select(F.least("atom1", "atom2").alias("atom1"), F.greatest("atom1", "atom2").alias("atom2")).where("atom1 <> atom2").distinct()
 
 
+def add_bonds(bonds: DataFrame, new: DataFrame) -> DataFrame:
+    """bonds with more of them, each undirected edge once; a bond of an atom with itself is left out."""
+    return unique_bonds(bonds.select("atom1", "atom2").union(new.select("atom1", "atom2")))
+
+
+def bonds_of(bonds: DataFrame, atom: int) -> DataFrame:
+    """Bonds that contain an atom."""
+    return bonds.where((F.col("atom1") == atom) | (F.col("atom2") == atom))
+
+
+def residue_atoms(atoms: DataFrame, residue_index: int) -> DataFrame:
+    """Atoms of a residue, by its number in the order of first atoms."""
+    return residues(atoms).where(F.col("residue_index") == residue_index).select(atoms.columns)
+
+
+def group_atoms(atoms: DataFrame, *columns: str) -> DataFrame:
+    """(*columns, first_atom, n_atoms, atoms): atom numbers by any attributes, null being a value of its own."""
+    grouped = atoms.groupBy(*columns).agg(F.min("atom_index").alias("first_atom"), F.count("*").alias("n_atoms"), F.sort_array(F.collect_list("atom_index")).alias("atoms"))
+    return grouped
+
+
+def update_positions(places: DataFrame, new: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """places with x, y, z replaced by those of ``new``; atoms without a new place, and places without an atom, are errors."""
+    keys = [*by, "atom_index"]
+    other = new.select(*(F.col(k).alias(f"_{k}") for k in keys), *(F.col(c).alias(f"_{c}") for c in "xyz"))
+    met = places.join(other, [places[k] == other[f"_{k}"] for k in keys], "full")
+    fine = F.col("atom_index").isNotNull() & F.col("_atom_index").isNotNull()
+    put = {c: F.when(fine, F.col(f"_{c}")).otherwise(F.raise_error(F.lit("one new place for each atom is needed")).cast("double")) for c in "xyz"}
+    return met.withColumns(put).select(places.columns)
+
+
 def edges(bonds: DataFrame) -> DataFrame:
     """Both directions (a, b) of every bond, once."""
     return bonds.select(F.col("atom1").alias("a"), F.col("atom2").alias("b")).union(bonds.select("atom2", "atom1")).distinct()

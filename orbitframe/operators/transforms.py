@@ -29,6 +29,22 @@ def rotate(coords: DataFrame, angle: float, axis: tuple[float, float, float], or
     return out
 
 
+def set_dimensions(frames: DataFrame, *boxes: Box, order: str = "frame_index") -> DataFrame:
+    """frames with a, b, c, alpha, beta, gamma: one box for all, or as many as there are frames, in order of ``order`` from 0.
+
+    A frame without a box of its own is an error, as are more boxes than frames.
+    """
+    if not boxes:
+        raise ValueError("a box is needed")
+    names = ("a", "b", "c", "alpha", "beta", "gamma")
+    if len(boxes) == 1:
+        return frames.withColumns({n: F.lit(getattr(boxes[0], n)) for n in names})
+    table = frames.sparkSession.createDataFrame([(k, *(getattr(b, n) for n in names)) for k, b in enumerate(boxes)], f"_k long, {', '.join(f'{n} double' for n in names)}")
+    met = frames.drop(*names).join(F.broadcast(table), F.col(order) == F.col("_k"), "full")  # the boxes are held by the caller
+    fine = F.col(order).isNotNull() & F.col("_k").isNotNull()
+    return met.withColumn("a", F.when(fine, F.col("a")).otherwise(F.raise_error(F.lit("as many boxes as frames are needed")))).drop("_k")
+
+
 def wrap(coords: DataFrame, box: Box) -> DataFrame:
     return _put(coords, box.wrap(vec()))
 

@@ -15,7 +15,7 @@ from orbitframe.functions.vectors import Box, Vec, dihedral_atan2, lattice_angle
 from orbitframe.operators import aggregates as A
 from orbitframe.operators import fitting, neighbors, timeseries, topology, transforms
 from orbitframe.operators import selection as S
-from orbitframe.plans import selections
+from orbitframe.plans import basics, files, selections
 from orbitframe.plans import views as V
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,11 +37,11 @@ def query(sql: str | None = None, tables: bool = True):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return _QUERIES | selections.queries()
+    return _QUERIES | selections.queries() | files.queries() | basics.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL | selections.oracle_sql()
+    return _SQL | selections.oracle_sql() | files.oracle_sql() | basics.oracle_sql()
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -404,21 +404,31 @@ def diffusion(spark, d):
 # fits
 
 
-@query()
+def _five(df: DataFrame, *columns: str) -> DataFrame:
+    """Eigenvalues in closed form agree to fewer places."""
+    return df.withColumns({c: F.round(c, 5) + F.lit(0.0) for c in columns})
+
+
 def kabsch_rmsd(spark, d):
-    return rounded(fitting.fit_to_reference(V.coords(spark, d), _first(spark, d)).select("frame_index", "rmsd"), "rmsd")
+    return _five(fitting.fit_to_reference(V.coords(spark, d), _first(spark, d)).select("frame_index", "rmsd"), "rmsd")
 
 
-@query()
 def fit_apply(spark, d):
     coords, first = V.coords(spark, d), _first(spark, d)
     moved = fitting.apply_fit(coords, fitting.fit_to_reference(coords, first))
-    return rounded(A.rmsd(moved, first), "rmsd")
+    return _five(A.rmsd(moved, first), "rmsd")
 
 
-@query()
 def helix_axis(spark, d):
-    return rounded(fitting.helix_axis(V.coords(spark, d).join(V.atoms(spark, d).select("atom_index", "segid"), "atom_index"), ("frame_index", "segid")), "ax", "ay", "az", "rms", "length")
+    return _five(fitting.helix_axis(V.coords(spark, d).join(V.atoms(spark, d).select("atom_index", "segid"), "atom_index"), ("frame_index", "segid")), "ax", "ay", "az", "rms", "length")
+
+
+def vector_of_best_fit(spark, d):
+    return _five(fitting.helix_axis(V.coords(spark, d), toward_first=True).select("frame_index", "ax", "ay", "az"), "ax", "ay", "az")
+
+
+for _f, _sql in ((kabsch_rmsd, basics.KABSCH_SQL), (fit_apply, basics.KABSCH_SQL), (helix_axis, basics.axis_sql("frame_index, segid", False, True)), (vector_of_best_fit, basics.axis_sql("frame_index", True, False))):
+    query(_sql, tables=False)(_f)
 
 
 # transformations and time series
@@ -537,7 +547,7 @@ def _round_trip(spark, d, kind: str):
         return R.read_pqr(spark, path)
     from orbitframe.sources import sections
 
-    lines, head, read = {"mol2": (sections.mol2_lines, ["@<TRIPOS>ATOM"], sections.read_mol2_atoms), "crd": (sections.crd_lines, ["* atoms", "*"], sections.read_crd), "inpcrd": (sections.inpcrd_lines, ["atoms", str(atoms.count())], sections.read_inpcrd), "aims": (sections.aims_lines, ["# atoms"], sections.read_aims)}[kind]
+    lines, head, read = {"mol2": (sections.mol2_lines, ["@<TRIPOS>ATOM"], sections.read_mol2_atoms), "crd": (sections.crd_lines, ["* atoms", "*", str(atoms.count())], sections.read_crd), "inpcrd": (sections.inpcrd_lines, ["atoms", str(atoms.count())], sections.read_inpcrd), "aims": (sections.aims_lines, ["# atoms"], sections.read_aims)}[kind]
     R.write_lines(lines(atoms), path, "n" if kind == "inpcrd" else "atom_index", head=head)
     return read(spark, path)
 
@@ -588,8 +598,3 @@ def roundtrip_inpcrd(spark, d):
 @query(f"select atom_index, name, {_printed(8)} from placed")
 def roundtrip_aims(spark, d):
     return _plus_zero(_round_trip(spark, d, "aims").select("atom_index", "name", *"xyz"))
-
-
-@query()
-def vector_of_best_fit(spark, d):
-    return rounded(fitting.helix_axis(V.coords(spark, d), toward_first=True).select("frame_index", "ax", "ay", "az"), "ax", "ay", "az")

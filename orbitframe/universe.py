@@ -8,7 +8,9 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orbitframe.functions import chemistry
 from orbitframe.operators import selection, selection_text, topology
+from orbitframe.sources import sections
 
 
 @dataclass(frozen=True)
@@ -19,6 +21,33 @@ class Universe:
     coords: DataFrame
     bonds: DataFrame | None = None
 
+    @classmethod
+    def from_structure(cls, rows: DataFrame, bonds: DataFrame | None = None) -> Universe:
+        """A system of one structure's rows (atom_index, name, x, y, z and what else there is).
+
+        Missing columns are filled: resid 1, resname UNK, the chain or SYSTEM as segid, charge 0; the element is
+        inferred from the type, else from the name, and the mass from the element (0 if unknown).
+        """
+        has = lambda c: F.col(c) if c in rows.columns else F.lit(None).cast("string")
+        element = F.coalesce(has("element"), chemistry.infer_element(F.coalesce(has("atom_type"), has("name"), F.lit(""))))
+        known = {"resid": F.coalesce(has("resid").cast("int"), F.lit(1)), "resname": F.coalesce(has("resname"), F.lit("UNK")), "segid": F.coalesce(has("segid"), has("chain_id"), F.lit("SYSTEM")), "chain_id": F.coalesce(has("chain_id"), F.lit("")), "charge": F.coalesce(has("charge").cast("double"), F.lit(0.0)), "element": element, "atom_type": has("atom_type"), "insertion_code": has("insertion_code"), "name": F.coalesce(F.nullif(has("name"), F.lit("")), F.lit("X"))}
+        atoms = rows.withColumns(known).withColumn("mass", F.coalesce(has("mass").cast("double"), chemistry.element_mass(F.col("element"), rounded=True), F.lit(0.0)))
+        coords = rows.select(F.lit(0).alias("frame_index"), "atom_index", *"xyz")
+        return cls(atoms.drop(*"xyz"), coords, bonds)
+
+    @classmethod
+    def from_coordinates(cls, coords: DataFrame) -> Universe:
+        """A system of a coordinate file's frames: the atoms of frame 0, named X where it has no names; other frames must hold as many."""
+        first = cls.from_structure(coords.where("frame_index = 0").drop("frame_index"))
+        places = sections.attach(first.atoms.select("atom_index"), coords.select("frame_index", "atom_index", *"xyz"))
+        return replace(first, coords=places.select("frame_index", "atom_index", *"xyz"))
+
+    @classmethod
+    def from_topology(cls, atoms: DataFrame, coords: DataFrame, bonds: DataFrame | None = None, ids: bool = False) -> Universe:
+        """A topology with the frames of a trajectory; each must hold its number of atoms and, with ``ids``, its ids."""
+        met = sections.attach(atoms.select("atom_index", *(["id"] if ids else [])), coords, ids)
+        return cls(atoms, met.select("frame_index", "atom_index", *"xyz"), bonds)
+
     def frame(self, index: int) -> DataFrame:
         """Atoms with their places in a frame; negative indices count from the last frame."""
         if index < 0:
