@@ -562,7 +562,7 @@ def roundtrip_gro(spark, d):
     return _round_trip(spark, d, "gro").select("atom_index", "name", "resname", F.col("resid").cast("long").alias("resid"))
 
 
-@query("select frame_index, atom_index, name, cast(printf('%.8f', x) as double) as x, cast(printf('%.8f', y) as double) as y, cast(printf('%.8f', z) as double) as z from coords join atoms using (atom_index) where frame_index < 3")
+@query("select frame_index, atom_index, name, round(x, 8) as x, round(y, 8) as y, round(z, 8) as z from coords join atoms using (atom_index) where frame_index < 3")
 def roundtrip_xyz(spark, d):
     return _round_trip(spark, d, "xyz").select("frame_index", "atom_index", "name", *"xyz")
 
@@ -573,7 +573,7 @@ def roundtrip_pqr(spark, d):
 
 
 def _printed(digits: int) -> str:
-    return ", ".join(f"cast(printf('%.{digits}f', {c}) as double) + 0.0 as {c}" for c in "xyz")
+    return ", ".join(f"round({c}, {digits}) + 0.0 as {c}" for c in "xyz")
 
 
 def _plus_zero(df: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _p(digits: int, *columns: str) -> str:
-    return ", ".join(f"cast(printf('%.{digits}f', {c}) as double) + 0.0 as {c}" for c in columns or "xyz")
+    return ", ".join(f"round({c}, {digits}) + 0.0 as {c}" for c in columns or "xyz")
 
 
 def _zero(df: DataFrame, *columns: str) -> DataFrame:
@@ -79,7 +79,7 @@ def _gro(spark, d):
     return _write(spark, "gro", _frames(rows, [F.lit("title"), F.col("size").cast("string")], line, [tail]))
 
 
-@query(f"select frame_index, atom_index, name, resname, resid, {_p(3)}, cast(printf('%.4f', y) as double) + 0.0 as vy from coords join atoms using (atom_index)")
+@query(f"select frame_index, atom_index, name, resname, resid, {_p(3)}, round(y, 4) + 0.0 as vy from coords join atoms using (atom_index)")
 def gro_frames(spark, d):
     got = structures.read_gro(spark, _gro(spark, d))
     return _zero(got.select("frame_index", "atom_index", "name", "resname", F.col("resid").cast("long").alias("resid"), *"xyz", "vy"), *"xyz", "vy")
@@ -127,7 +127,7 @@ def _dump(spark, d):
     return _write(spark, "dump", _frames(rows.join(F.broadcast(total)), head, line))
 
 
-@query("select frame_index, frame_index * 10 as step, t.top - atom_index as atom_index, cast(printf('%.6f', x) as double) + 0.0 as x, round(cast(printf('%.6f', y) as double) * 10, 6) + 0.0 as y, round(-5 + cast(printf('%.6f', z) as double) * 10, 6) + 0.0 as z, cast(printf('%.6f', z) as double) + 0.0 as vx from coords, (select max(atom_index) as top from coords) t")
+@query("select frame_index, frame_index * 10 as step, t.top - atom_index as atom_index, round(x, 6) + 0.0 as x, round(round(y, 6) * 10, 6) + 0.0 as y, round(-5 + round(z, 6) * 10, 6) + 0.0 as z, round(z, 6) + 0.0 as vx from coords, (select max(atom_index) as top from coords) t")
 def dump_frames(spark, d):
     got = sections.read_lammps_dump(spark, _dump(spark, d))
     return _zero(got.select("frame_index", F.col("step").cast("int").alias("step"), "atom_index", "x", F.round("y", 6).alias("y"), F.round("z", 6).alias("z"), "vx"), *"xyz", "vx")
@@ -147,7 +147,7 @@ def _history(spark, d):
     return _write(spark, "history", _frames(_every(spark, d), head, line), head=["title", f"1 1 {n}"])
 
 
-@query(f"select frame_index, 0.5::double * frame_index as time, atom_index, name, {_p(7)}, cast(printf('%.7f', z) as double) + 0.0 as vx from coords join atoms using (atom_index)")
+@query(f"select frame_index, 0.5::double * frame_index as time, atom_index, name, {_p(7)}, round(z, 7) + 0.0 as vx from coords join atoms using (atom_index)")
 def history_frames(spark, d):
     got = sections.read_dlpoly_history(spark, _history(spark, d))
     return _zero(got.select("frame_index", "time", "atom_index", "name", *"xyz", "vx"), *"xyz", "vx")
@@ -254,7 +254,7 @@ def _restart(spark, d):
     return _write(spark, "restart", half.union(speeds), head=["atoms", f"{n} 0.5"], tail=["".join(f"{v:12.7f}" for v in V.TILTED)])
 
 
-@query("select atom_index, cast(printf('%.7f', x) as double) + 0.0 as x, cast(printf('%.7f', y) as double) + 0.0 as vx, cast(printf('%.7f', z) as double) + 0.0 as vy from placed")
+@query("select atom_index, round(x, 7) + 0.0 as x, round(y, 7) + 0.0 as vx, round(z, 7) + 0.0 as vy from placed")
 def restart_velocities(spark, d):
     return _zero(sections.read_inpcrd(spark, _restart(spark, d)).select("atom_index", "x", "vx", "vy"), "x", "vx", "vy")
 
@@ -271,7 +271,7 @@ def _config(spark, d):
     return _one(spark, "config", lines, ["title", f"2 1 {atoms.count()}", "5 0 0", "0 6 0", "0 0 7"])
 
 
-@query(f"select atom_index, name, {_p(7)}, cast(printf('%.7f', y) as double) + 0.0 as vx, cast(printf('%.7f', z) as double) + 0.0 as fx from placed")
+@query(f"select atom_index, name, {_p(7)}, round(y, 7) + 0.0 as vx, round(z, 7) + 0.0 as fx from placed")
 def dlpoly_config(spark, d):
     return _zero(sections.read_dlpoly_config(spark, _config(spark, d)).select("atom_index", "name", *"xyz", "vx", "fx"), *"xyz", "vx", "fx")
 
@@ -282,7 +282,7 @@ def _aims(spark, d):
     return _one(spark, "aims", lines, ["lattice_vector 5 0 0", "lattice_vector 0 6 0", "lattice_vector 0 0 7"])
 
 
-@query("select atom_index, name, round(5 * cast(printf('%.8f', x) as double), 6) + 0.0 as x, round(7 * cast(printf('%.8f', z) as double), 6) + 0.0 as z, cast(printf('%.8f', y) as double) + 0.0 as vx from placed")
+@query("select atom_index, name, round(5 * round(x, 8), 8) + 0.0 as x, round(7 * round(z, 8), 8) + 0.0 as z, round(y, 8) + 0.0 as vx from placed")
 def aims_fractional(spark, d):
     got = sections.read_aims(spark, _aims(spark, d))
-    return got.select("atom_index", "name", *((F.round(c, 6) + F.lit(0.0)).alias(c) for c in "xz"), (F.col("vx") + F.lit(0.0)).alias("vx"))
+    return got.select("atom_index", "name", *((F.round(c, 8) + F.lit(0.0)).alias(c) for c in "xz"), (F.col("vx") + F.lit(0.0)).alias("vx"))
