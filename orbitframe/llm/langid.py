@@ -27,6 +27,7 @@ _LETTERS[65:91] = _LETTERS[97:123] = np.arange(97, 123)
 _LETTERS[128:] = np.arange(128, 256)
 _ANY_LETTER = regex.compile(r"\p{L}")
 ROWS = 128
+LONGEST = 1 << 17
 
 
 def spectra(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -75,20 +76,21 @@ def held_out(id_col: str = "doc_id", folds: int = 4, fold: int = 2) -> Column:
     return (F.crc32(F.col(id_col).cast("string")) % folds == fold) & F.col(id_col).isNotNull()
 
 
-def training_sample(docs: DataFrame, each: int = 300, most: int = 3000) -> list:
+def training_sample(docs: DataFrame, each: int = 300, most: int = 3000, longest: int = LONGEST) -> list:
     """At most ``each`` texts a language, ``most`` in all, outside the held-out fold, by the order of a hash of their ids.
 
     One pass finds the least hashes of every language, of which each task sends on at most ``each``; a second one
-    fetches the texts chosen.
+    fetches the texts chosen. Texts over ``longest`` bytes are told apart like all others, but not learned from, which
+    bounds what the driver gets.
     """
     work = Workspace(docs.sparkSession, "langid")
-    usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & F.col("text").rlike(r"\p{L}")).select("doc_id", F.col("lang").alias("_lang"))
+    usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & (F.octet_length("text") <= longest) & F.col("text").rlike(r"\p{L}")).select("doc_id", F.col("lang").alias("_lang"))
     rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     least = work.save(usable.withColumn("_rank", rank).where(F.col("_rank") <= each), "least")
     langs = least.agg(F.count_distinct("_lang")).first()[0]
     ids = least.where(F.col("_rank") <= max(1, most // max(1, langs))).orderBy("_rank", "_lang").limit(most)
     texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most ``most`` ids
-    found = texts.where(F.col("text").rlike(r"\p{L}")).orderBy("doc_id", "text").select("text", "_lang").limit(2 * most).collect()
+    found = texts.where((F.octet_length("text") <= longest) & F.col("text").rlike(r"\p{L}")).orderBy("doc_id", "text").select("text", "_lang").limit(2 * most).collect()
     work.drop("least")
     return found
 

@@ -19,6 +19,7 @@ from orbitframe.llm import rules as R
 from orbitframe.llm import text as T
 
 BITS = 15
+LONGEST = 1 << 17
 _SHAPE = np.arange(256, dtype=np.uint8)
 _SHAPE[48:58] = 48
 _SHAPE[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 97
@@ -81,14 +82,14 @@ def train(texts: list[str | None], posterior: list[float], rounds: int = 200, ra
     return weights
 
 
-def fit_quality(docs: DataFrame, labellers: dict[str, Column] | None = None, sample: int = 3000) -> np.ndarray:
-    """Vote on all documents, estimate accuracies, and train the scorer on ``sample`` texts by the order of a hash."""
+def fit_quality(docs: DataFrame, labellers: dict[str, Column] | None = None, sample: int = 3000, longest: int = LONGEST) -> np.ndarray:
+    """Vote on all documents, estimate accuracies, and train the scorer on ``sample`` texts of at most ``longest`` bytes by the order of a hash."""
     labellers = labellers or R.default_rules()
     voted = R.rule_features(docs).withColumns(labellers).select("doc_id", *labellers)
     patterns = voted.groupBy(*labellers).count().collect()  # at most 3 ** labellers rows
     votes = np.array([[r[k] for k in labellers] for r in patterns], np.int64).reshape(-1, len(labellers))
     table, good = R.fit_votes(votes, np.array([r["count"] for r in patterns], float))
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("_key"), "text")
+    keyed = docs.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= longest).select(F.xxhash64("doc_id", "text").alias("_key"), "text")
     chosen = keyed.select("_key").orderBy("_key").limit(sample).distinct()  # keys alone are compared, texts follow
     texts = [r.text for r in keyed.join(F.broadcast(chosen), "_key").dropDuplicates(["_key"]).orderBy("_key").collect()]
     found = [R.features(data, offsets) for _, _, data, offsets in T.slices(pa.array(texts, pa.string()))]

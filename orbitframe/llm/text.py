@@ -7,6 +7,7 @@ the slice (or the longest single text), never the partition.
 from __future__ import annotations
 
 import ctypes
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 SLICE_BYTES = 1 << 20
-BATCH_ROWS = 1000
+BATCH_BYTES = 4 << 20
 _STEP = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
@@ -27,10 +28,11 @@ _BYTES = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64
 
 
 def small_batches(df: DataFrame) -> None:
-    """Cut this session's Arrow batches to ``BATCH_ROWS`` rows, as rows hold whole texts; a smaller setting stays."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
+    """Let this session's Arrow batches hold about ``BATCH_BYTES``, as rows hold whole texts; a smaller setting stays."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"(-?\d+)([kmgt]?)b?", conf.get(key).strip().lower()).groups()
+    if not 0 < int(number) << 10 * " kmgt".index(unit or " ") <= BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
 
 
 def release_memory() -> None:
@@ -117,14 +119,15 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: in
     return mix(out ^ (size.astype(np.uint64) * np.uint64(_BASE)))
 
 
-def same_spans(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Whether the bytes from ``a`` and from ``b`` on agree for ``size`` bytes, pair by pair."""
+def same_spans(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, other: np.ndarray | None = None) -> np.ndarray:
+    """Whether the bytes from ``a`` and those from ``b`` (of ``other``, if given) on agree for ``size`` bytes, pair by pair."""
     lanes, mask = _lanes(data), _MASK[np.minimum(size, 8)]
-    out = (lanes[a] & mask) == (lanes[b] & mask)
+    against = lanes if other is None else _lanes(other)
+    out = (lanes[a] & mask) == (against[b] & mask)
     for rows, begin, number, lane in _further(lanes, a, a + size, np.flatnonzero(out & (size > 8))):
         n = np.diff(np.append(begin, len(number)))
-        other = np.repeat(b[rows], n) + 8 * number
-        out[rows] = np.logical_and.reduceat((lanes[other] & _MASK[np.minimum(np.repeat((b + size)[rows], n) - other, 8)]) == lane, begin)
+        place = np.repeat(b[rows], n) + 8 * number
+        out[rows] = np.logical_and.reduceat((against[place] & _MASK[np.minimum(np.repeat((b + size)[rows], n) - place, 8)]) == lane, begin)
     return out
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from orbitframe.llm import text as T
 
 WINDOW, STRIDE, GRAM = 16, 8, 5
+LONGEST = 1 << 17
 WIDTH, HIDDEN, VOCABULARY, SUPPORT = 6, 8, 3000, 5
 _EDGE = np.array([not (c >= 0x80 or chr(c).isalnum()) for c in range(256)])
 _PLAIN = np.where(T.SPACE, 32, T.LOWER).astype(np.uint8)
@@ -257,12 +258,16 @@ def held_out(id_col: str, folds: int, fold: int) -> Column:
     return (F.crc32(F.col(id_col).cast("string")) % folds == fold) & F.col(id_col).isNotNull()
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, toxic: int = 600, clean: int = 1200) -> list:
-    """At most so many labelled texts of either class outside the held-out fold, in the order of a hash of their ids."""
+def training_sample(docs: DataFrame, labels: DataFrame, toxic: int = 600, clean: int = 1200, longest: int = LONGEST) -> list:
+    """At most so many labelled texts of either class outside the held-out fold, in the order of a hash of their ids.
+
+    Texts over ``longest`` bytes are scored like all others, but not learned from, which bounds what the driver gets.
+    """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id", 5, 0)).select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_toxic"))
     picked = [known.where(F.col("_toxic") == kind).orderBy(F.xxhash64("_id"), "_id").limit(most) for kind, most in ((1, toxic), (0, clean))]
     chosen = F.broadcast(picked[0].union(picked[1]))  # at most toxic + clean rows
-    return docs.select(F.col("doc_id").alias("_id"), "text").join(chosen, "_id").orderBy("_id").select("text", "_toxic").limit(2 * (toxic + clean)).collect()
+    texts = docs.select(F.col("doc_id").alias("_id"), "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= longest)
+    return texts.join(chosen, "_id").orderBy("_id").select("text", "_toxic").limit(2 * (toxic + clean)).collect()
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame) -> Network:
