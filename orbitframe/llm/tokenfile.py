@@ -15,7 +15,6 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,9 +26,11 @@ SLICE_BYTES = 1 << 21
 LEAST = 6  # a rule costs two ids and a length
 PREFIX = 32
 SCHEMA = "file int, shard int, n_docs int, n_nulls int, n_ids long, keys binary, id_counts binary, symbol_counts binary, width int, first_rule int, rules binary, lengths binary, symbols binary"
-#: In other texts (and with the separators 1C-1F) bytes don't show a letter's class: they go to the tokenizer whole.
-_OTHER = regex.compile(r"[^\x00-\x1B\x20-\x7FÀ-ÖØ-öø-ɏ]")
-CACHE_PIECES = 400_000
+#: Bytes that begin characters whose class bytes don't show (all but ASCII without 1C-1F, and Latin letters up to U+024F).
+_STRANGE = np.zeros(256, bool)
+_STRANGE[[*range(0x1C, 0x20), 0xC2, *range(0xCA, 256)]] = True
+_WHITE = b" \t\n\x0b\x0c\r"
+CACHE_PIECES = 1_500_000
 _SPACE, _LETTER, _DIGIT, _SIGN = range(4)
 _CLASS = np.full(256, _SIGN, np.uint8)
 _CLASS[[0x20, *range(0x09, 0x0E)]] = _SPACE
@@ -78,70 +79,112 @@ class Encoder:
         self.length = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, np.int64)
         for token, number in self.tokenizer.get_vocab().items():
             self.length[number] = len(token)  # a character of a token is a byte
-        special = [regex.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = regex.compile("|".join([_OTHER.pattern, *special]))
+        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[bytes, int] = {}  # rows in bounds by pieces
+        """Known pieces: sorted hashes with their rows; by row, where bytes and ids end. Arrays keep room to grow."""
+        self.known, self.rows, self.count = np.empty(0, np.uint64), np.empty(0, np.int32), 0
+        self.bytes, self.ends = np.empty(0, np.uint8), np.zeros(1, np.int64)
         self.flat, self.bounds = np.empty(0, np.uint32), np.zeros(1, np.int64)
 
     def _encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of pieces one after another, number of ids of each).
 
-        Pieces of a blank and what follows it are sent as one text, which splits into them again: ids are told apart
-        by their lengths in bytes. All others are sent by themselves.
+        Pieces of a blank and what follows it are sent as one text, which splits into them again, and so are pieces
+        without white space, each with a line's end behind it; ids are told apart by their lengths in bytes. Runs of
+        white space are sent by themselves.
         """
         size = np.fromiter(map(len, texts), np.int64, len(texts))
-        joined = [t[0] == 0x20 and len(t) > 1 and t[1] not in b" \t\n\x0b\x0c\r" for t in texts]
-        together, alone = np.flatnonzero(joined), np.flatnonzero(np.logical_not(joined))
-        ids = np.array(self.tokenizer.encode_batch_fast([b"".join(texts[k] for k in together.tolist()).decode()], add_special_tokens=False)[0].ids, np.uint32)
-        last = np.searchsorted(np.cumsum(self.length[ids]), np.cumsum(size[together]))
-        count = np.empty(len(texts), np.int64)
-        count[together] = np.diff(last, prepend=-1)
-        found = [x.ids for x in self.tokenizer.encode_batch_fast([texts[k].decode() for k in alone.tolist()], add_special_tokens=False)]
-        count[alone] = list(map(len, found))
-        order = np.concatenate([np.repeat(together, count[together]), np.repeat(alone, count[alone])])
-        both = np.concatenate([ids, np.fromiter(chain.from_iterable(found), np.uint32)])
-        return both[np.argsort(order, kind="stable")], count
+        kind = np.array([1 if t[0] not in _WHITE else 0 if t[0] == 0x20 and len(t) > 1 and t[1] not in _WHITE else 2 for t in texts], np.int8)
+        blank, bare, alone = (np.flatnonzero(kind == k) for k in range(3))
+        joined = [b"".join(texts[k] for k in blank.tolist()), b"".join(texts[k] + b"\n" for k in bare.tolist())]
+        found = [x.ids for x in self.tokenizer.encode_batch_fast([*(t.decode() for t in joined), *(texts[k].decode() for k in alone.tolist())], add_special_tokens=False)]
+        count, parts, order = np.empty(len(texts), np.int64), [], []
+        for rows, ids, ends in ((blank, found[0], 0), (bare, found[1], 1)):
+            ids = np.array(ids, np.uint32)
+            last = np.searchsorted(np.cumsum(self.length[ids]), np.cumsum(size[rows] + ends))
+            count[rows] = np.diff(last, prepend=-1) - ends
+            parts.append(np.delete(ids, last) if ends else ids)
+            order.append(np.repeat(rows, count[rows]))
+        count[alone] = list(map(len, found[2:]))
+        parts.append(np.fromiter(chain.from_iterable(found[2:]), np.uint32))
+        order.append(np.repeat(alone, count[alone]))
+        return np.concatenate(parts)[np.argsort(np.concatenate(order), kind="stable")], count
 
     def _learn(self, texts: list[bytes]) -> None:
-        """Bounds and ids of new pieces go behind those known; both arrays keep room to grow."""
+        """Bytes and ids of new pieces go behind those known."""
         ids, count = self._encode(texts)
-        at, used = len(self.known), self.bounds[len(self.known)]
-        if at + len(texts) >= len(self.bounds):
-            self.bounds = np.append(self.bounds, np.zeros(max(len(texts), at // 2), np.int64))
-        self.bounds[at + 1 : at + 1 + len(texts)] = used + np.cumsum(count)
-        if used + len(ids) > len(self.flat):
-            self.flat = np.append(self.flat, np.empty(max(len(ids), used // 2), np.uint32))
-        self.flat[used : used + len(ids)] = ids
-        self.known.update(zip(texts, range(at, at + len(texts)), strict=True))
+        raw = np.frombuffer(b"".join(texts), np.uint8)
+        low, high = self.count, self.count + len(texts)
+        self.ends, self.bounds = _roomy(self.ends, high + 1), _roomy(self.bounds, high + 1)
+        self.ends[low + 1 : high + 1] = self.ends[low] + np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+        self.bounds[low + 1 : high + 1] = self.bounds[low] + np.cumsum(count)
+        self.bytes, self.flat = _roomy(self.bytes, self.ends[high]), _roomy(self.flat, self.bounds[high])
+        self.bytes[self.ends[low] : self.ends[high]] = raw
+        self.flat[self.bounds[low] : self.bounds[high]] = ids
+        self.count = high
+
+    def _rows(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray | None:
+        """Rows of distinct pieces, new ones learned; None if a piece has the hash of another one."""
+        hashes, size = T.span_hashes(data, starts, ends), ends - starts
+        order = np.argsort(hashes)
+        place = np.searchsorted(self.known, hashes[order])
+        hit = place < len(self.known)
+        hit[hit] = self.known[place[hit]] == hashes[order][hit]
+        old, row = order[hit], np.empty(len(hashes), np.int32)
+        row[old] = self.rows[place[hit]]
+        begin, end = self.ends[row[old]], self.ends[row[old] + 1]
+        if (end - begin != size[old]).any() or not T.same_spans(data, starts[old], begin, size[old], self.bytes).all():
+            return None
+        new = order[~hit]
+        if len(new):
+            raw = data.tobytes()
+            row[new] = self.count + np.arange(len(new), dtype=np.int32)
+            self._learn([raw[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+            self.known = np.insert(self.known, place[~hit], hashes[new])
+            self.rows = np.insert(self.rows, place[~hit], row[new])
+        return row
+
+    def plain(self, texts: list[str]) -> list[bool]:
+        """Which texts hold no special token and only characters whose class their bytes show."""
+        data, offsets = T.raw(pa.array(texts, pa.string()))
+        strange = _STRANGE[data]
+        for lead, low, high in ((0xC3, 0x97, 0x97), (0xC3, 0xB7, 0xB7), (0xC9, 0x90, 0xBF)):
+            at = np.flatnonzero(data == lead)
+            strange[at[(data[at + 1] >= low) & (data[at + 1] <= high)]] = True
+        odd = np.searchsorted(offsets, np.flatnonzero(strange), "right") - 1
+        fine = np.ones(len(texts), bool)
+        fine[odd] = False
+        return [bool(ok) and not any(x in t for x in self.special) for ok, t in zip(fine, texts, strict=True)]
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        plain = [not self.whole.search(t) for t in texts]
-        out = [None if p else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) for t, p in zip(texts, plain, strict=True)]
+        plain = self.plain(texts)
         data, offsets = T.raw(pa.array([t for t, p in zip(texts, plain, strict=True) if p], pa.string()))
-        if len(offsets) < 2:
-            return out
         starts = pieces(data, offsets)
         ends = np.append(starts[1:], len(data))
         at = T.codes(data, starts, ends)
         sample = np.empty(int(at.max()) + 1 if len(at) else 0, np.int64)
         sample[at] = np.arange(len(at))
-        raw = data.tobytes()
-        found = [raw[a:b] for a, b in zip(starts[sample].tolist(), ends[sample].tolist(), strict=True)]
-        if len(self.known) + len(found) > CACHE_PIECES:
+        if self.count + len(sample) > CACHE_PIECES:
             self._clear()
-        if new := [x for x in found if x not in self.known]:
-            self._learn(new)
-        row = np.fromiter(map(self.known.__getitem__, found), np.int64, len(found))
+        row = self._rows(data, starts[sample], ends[sample])
+        if row is None:
+            return [self._whole(t) for t in texts]
         begin = self.bounds[row][at]
         count = self.bounds[row + 1][at] - begin
-        stop = np.cumsum(count)
         ids = self.flat[T.places(begin, count)]
-        cut = np.append(0, stop)[np.searchsorted(starts, offsets)]
+        cut = np.append(0, np.cumsum(count))[np.searchsorted(starts, offsets)]
         rest = iter(np.split(ids, cut[1:-1]))
-        return [next(rest) if x is None else x for x in out]
+        return [next(rest) if p else self._whole(t) for t, p in zip(texts, plain, strict=True)]
+
+
+def _roomy(array: np.ndarray, size: int) -> np.ndarray:
+    """The array with at least ``size`` places."""
+    return array if len(array) >= size else np.append(array, np.zeros(max(size - len(array), len(array) // 2), array.dtype))
 
 
 @lru_cache(2)
@@ -163,8 +206,8 @@ def repair(ids: np.ndarray, starts: np.ndarray, first_rule: int, least: int = LE
         new = symbols >= fresh
         maybe = np.flatnonzero((new[:-1] | new[1:]) & ~head[1:])
         pair = (symbols[maybe].astype(np.uint64) << np.uint64(32)) | symbols[maybe + 1]
-        place = T.mix(pair) >> np.uint64(44)
-        often = np.bincount(place.astype(np.int64), minlength=1 << 20)[place] >= least
+        place = ((symbols[maybe] * np.uint32(0x9E3779B1)) ^ (symbols[maybe + 1] * np.uint32(0x85EBCA6B))) >> np.uint32(14)
+        often = np.bincount(place, minlength=1 << 18)[place] >= least
         maybe, pair = maybe[often], pair[often]
         kinds, at, count = np.unique(pair, return_inverse=True, return_counts=True)
         good = np.flatnonzero(count >= least)
