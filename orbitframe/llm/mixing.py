@@ -19,6 +19,7 @@ from orbitframe.llm.storage import Workspace
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 _UNIT = 1024.0
+MANY = 100_000  # sources; tables of more are joined, not broadcast
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS, total: float = 1.5, cap: float = 2.0) -> dict[str | None, float]:
@@ -37,6 +38,10 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS,
     return found
 
 
+def _small(table: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(table) if rows <= MANY else table
+
+
 def _sum(x: Column) -> Column:
     """A sum in whole units, the same in whatever order its terms arrive."""
     return F.sum(F.round(x * _UNIT).cast("decimal(38, 0)"))
@@ -55,7 +60,7 @@ def multipliers(cells: DataFrame, wanted: dict[int, float], scale: dict[int, flo
         now = spark.createDataFrame([(s, at[s] / scale[s]) for s in sorted(open_)], "sid int, l double")
         rate = F.least(F.lit(cap), F.exp(F.least(F.col("l") * F.col("size"), F.lit(50.0))))
         words = F.col("n") * F.col("size")
-        sums = cells.join(F.broadcast(now), "sid").groupBy("sid").agg(_sum(words * rate).alias("taken"), _sum(F.when(rate < cap, words * F.col("size") * rate).otherwise(0.0)).alias("slope")).collect()
+        sums = cells.join(_small(now, len(open_)), "sid").groupBy("sid").agg(_sum(words * rate).alias("taken"), _sum(F.when(rate < cap, words * F.col("size") * rate).otherwise(0.0)).alias("slope")).collect()
         for s, taken, slope in sums:
             taken, slope = float(taken) / _UNIT, float(slope) / _UNIT
             gap = wanted[s] - taken
@@ -106,18 +111,18 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sources = sorted(sources, key=lambda r: (r.source is None, r.source or ""))
     want = targets({r.source: r.words for r in sources}, weights, total, cap)
     known = spark.createDataFrame([(k, r.source, r.words, float(want[r.source])) for k, r in enumerate(sources)], "sid int, source string, source_size long, target double")
-    cells = work.keep(cells.join(F.broadcast(known), cells.source.eqNullSafe(known.source)).select("sid", "size", "n"))
+    cells = work.keep(cells.join(_small(known, len(sources)), cells.source.eqNullSafe(known.source)).select("sid", "size", "n"))
     free = {k: want[r.source] for k, r in enumerate(sources) if 0 < want[r.source] < cap * r.words * (1 - 1e-9)}
     found = multipliers(cells, free, {k: r.square / r.words for k, r in enumerate(sources) if r.words}, cap)
     rates = spark.createDataFrame([(k, found.get(k), float(cap if want[r.source] else 0)) for k, r in enumerate(sources)], "sid int, l double, fixed double")
     rate = F.when(F.col("l").isNull(), F.col("fixed")).otherwise(F.least(F.lit(float(cap)), F.exp(F.least(F.col("l") * F.col("size"), F.lit(50.0)))))
-    rated = cells.join(F.broadcast(rates), "sid").select("sid", "size", "n", rate.alias("rate"))
+    rated = cells.join(_small(rates, len(sources)), "sid").select("sid", "size", "n", rate.alias("rate"))
     # a group holds a row for each size in a source: at most the square root of twice its words
     rounded = work.save(rated.groupBy("sid").applyInPandas(lambda rows: round_cells(rows, cap), "sid int, size long, n long, copies long"), "rounded")
     work.free()
     # both the cells of a size and the rows of a cell grow with the root of n
     cell = F.pmod("_row_hash", F.ceil(F.sqrt(F.col("n").cast("double"))).cast("long"))
-    numbered = sized.join(F.broadcast(known), sized.source.eqNullSafe(known.source)).drop("source")
+    numbered = sized.join(_small(known, len(sources)), sized.source.eqNullSafe(known.source)).drop("source")
     dealt = numbered.join(rounded, ["sid", "size"]).withColumn("cell", cell)
     base, more = F.floor(F.col("copies") / F.col("n")), F.col("copies") % F.col("n")
     counted = dealt.groupBy("sid", "size", "cell").agg(F.count("*").alias("k"), F.first("n").alias("n"), F.first("copies").alias("copies"))

@@ -86,6 +86,18 @@ def queries() -> dict:
 
 
 SQL = {
+    # full sets of words, every pair of documents that share one, and the closure of the links
+    "op2_near_duplicates": r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as shingle from d),
+n as (select doc_id, count(*) as n from s group by 1),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b using (shingle) where a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 75 * (x.n + y.n - k)),
+e as (select a, b from l union select b, a from l),
+r as (select doc_id as id, doc_id as c from d union select e.b, r.c from r join e on e.a = r.id where r.c < e.b),
+m as (select id, min(c) as c from r group by 1)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, m.c as component_id, m.c = d.doc_id as kept from d join m on m.id = d.doc_id left join n using (doc_id)
+""",
     "op8_top_inner_products": """
 with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e from embeddings
   where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
