@@ -6,12 +6,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbitframe.functions.vectors import dihedral, vec
+from orbitframe.operators.numbering import numbered
 
 
-def msd_by_lag(coords: DataFrame) -> DataFrame:
-    """(lag, msd): displacement over all origins and atoms. All frames of an atom meet each other, as the measure asks."""
+def msd_by_lag(coords: DataFrame, max_lag: int | None = None) -> DataFrame:
+    """(lag, msd): displacement over all origins and atoms, up to ``max_lag`` frames apart.
+
+    Every frame of an atom meets those up to ``max_lag`` later, by equal frame numbers; without a bound, all later ones,
+    so the work then grows with the square of the frames. Null places count nowhere.
+    """
     late = coords.select("atom_index", F.col("frame_index").alias("later"), *(F.col(c).alias(f"{c}2") for c in "xyz"))
-    pairs = coords.join(late, "atom_index").where("later >= frame_index")
+    if max_lag is None:
+        pairs = coords.join(late, "atom_index").where("later >= frame_index")
+    else:
+        early = coords.withColumn("later", F.explode(F.sequence("frame_index", F.col("frame_index") + max_lag)))
+        pairs = early.join(late, ["atom_index", "later"])
     return pairs.groupBy((F.col("later") - F.col("frame_index")).alias("lag")).agg(F.avg((vec(suffix="2") - vec()).norm_squared()).alias("msd"))
 
 
@@ -33,9 +42,9 @@ def survival(states: DataFrame, tau_max: int, step: int = 1) -> DataFrame:
     w = Window.partitionBy("id").orderBy("frame")
     runs = states.select("frame", "id").distinct().withColumn("run", F.col("frame") - F.row_number().over(w))
     stay = runs.withColumn("left", F.max("frame").over(Window.partitionBy("id", "run")) - F.col("frame"))
-    last = states.agg(F.max("frame")).first()[0] or 0
-    origins = stay.where(F.col("frame") % step == 0)
-    taus = origins.withColumn("tau", F.explode(F.sequence(F.lit(0), F.least(F.lit(tau_max), (F.lit(last) - F.col("frame")).cast("int")))))
+    last = F.broadcast(states.agg(F.max("frame").alias("_last")))  # one row
+    origins = stay.where(F.col("frame") % step == 0).join(last)
+    taus = origins.withColumn("tau", F.explode(F.sequence(F.lit(0), F.least(F.lit(tau_max), (F.col("_last") - F.col("frame")).cast("int")))))
     shares = taus.groupBy("frame", "tau").agg(F.avg((F.col("left") >= F.col("tau")).cast("double")).alias("share"))
     return shares.groupBy("tau").agg(F.avg("share").alias("survival"))
 
@@ -49,10 +58,18 @@ def dihedral_series(coords: DataFrame, by: tuple[str, ...] = ("frame_index",), o
 
 
 def frame_dt(frames: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """frames with dt: time to the next frame; for the last one, since the frame before; 0 for a single frame."""
-    w = Window.partitionBy(*by).orderBy("frame_index") if by else Window.orderBy("frame_index")
-    dt = F.coalesce(F.lead("time").over(w) - F.col("time"), F.col("time") - F.lag("time").over(w), F.lit(0.0))
-    return frames.withColumn("dt", dt)
+    """frames with dt: time to the next frame; for the last one, since the frame before; 0 for a single frame.
+
+    Frames of one trajectory are numbered in ranges and meet their neighbours by number; with ``by``, windows do it.
+    """
+    if by:
+        w = Window.partitionBy(*by).orderBy("frame_index")
+        after, before = F.lead("time").over(w), F.lag("time").over(w)
+        return frames.withColumn("dt", F.coalesce(after - F.col("time"), F.col("time") - before, F.lit(0.0)))
+    held = numbered(frames, "frame_index", "_k")
+    near = lambda step, name: held.select((F.col("_k") - step).alias("_k"), F.col("time").alias(name))
+    met = held.join(near(1, "_after"), "_k", "left").join(near(-1, "_before"), "_k", "left")
+    return met.withColumn("dt", F.coalesce(F.col("_after") - F.col("time"), F.col("time") - F.col("_before"), F.lit(0.0))).select(*frames.columns, "dt")
 
 
 def last_known(series: DataFrame, by: tuple[str, ...], order: str, column: str) -> DataFrame:

@@ -37,7 +37,7 @@ def residue_table(atoms: DataFrame) -> DataFrame:
 def segment_table(atoms: DataFrame) -> DataFrame:
     """(segment_index, segid, n_atoms) in order of first atoms; a name that comes again is the same segment."""
     found = atoms.groupBy("segid").agg(F.min("atom_index").alias("first_atom"), F.count("*").alias("n_atoms"))
-    return found.select((F.row_number().over(Window.orderBy("first_atom")) - 1).alias("segment_index"), "segid", "n_atoms")  # a row a segment
+    return numbered(found, "first_atom", "segment_index").select("segment_index", "segid", "n_atoms")
 
 
 def unique_bonds(bonds: DataFrame) -> DataFrame:

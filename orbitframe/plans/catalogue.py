@@ -1,6 +1,8 @@
 """Queries of the trajectory operators over the synthetic tables, with DuckDB SQL to hold them against.
 
-Every query takes (spark, sf_dir) and covers whole tables; numbers are rounded to six places on both sides.
+Every query takes (spark, sf_dir) and reads whole tables; numbers are rounded to six places on both sides. Queries
+here on single structures take frame 0 of the trajectory; ``frames``, ``selections`` and ``files`` hold their like for
+every frame. Torsions of planar quads are left out of ``dihedrals_distances``, where rounding decides their sign.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from orbitframe.functions.vectors import Box, Vec, dihedral_atan2, lattice_angle
 from orbitframe.operators import aggregates as A
 from orbitframe.operators import fitting, neighbors, timeseries, topology, transforms
 from orbitframe.operators import selection as S
-from orbitframe.plans import basics, files, selections
+from orbitframe.plans import basics, files, frames, selections
 from orbitframe.plans import views as V
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,11 +39,11 @@ def query(sql: str | None = None, tables: bool = True):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return _QUERIES | selections.queries() | files.queries() | basics.queries()
+    return _QUERIES | selections.queries() | files.queries() | basics.queries() | frames.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL | selections.oracle_sql() | files.oracle_sql() | basics.oracle_sql()
+    return _SQL | selections.oracle_sql() | files.oracle_sql() | basics.oracle_sql() | frames.oracle_sql()
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:

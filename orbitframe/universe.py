@@ -50,9 +50,12 @@ class Universe:
 
     def frame(self, index: int) -> DataFrame:
         """Atoms with their places in a frame; negative indices count from the last frame."""
-        if index < 0:
-            index += self.coords.agg(F.max("frame_index")).first()[0] + 1
-        return self.atoms.join(self.coords.where(F.col("frame_index") == index).drop("frame_index"), "atom_index")
+        if index >= 0:
+            chosen = self.coords.where(F.col("frame_index") == index)
+        else:
+            last = self.coords.agg((F.max("frame_index") + 1 + index).alias("frame_index"))  # one row
+            chosen = self.coords.join(F.broadcast(last), "frame_index")
+        return self.atoms.join(chosen.drop("frame_index"), "atom_index")
 
     def select(self, *chosen: Column | DataFrame | str, frame: int = 0, groups: Mapping[str, DataFrame] | None = None, among: DataFrame | None = None) -> DataFrame:
         """Atoms of a frame that meet all selections: Columns, sets of atom_index values, or texts.
@@ -78,5 +81,6 @@ class Universe:
 
     def with_frames(self, coords: DataFrame) -> Universe:
         """The system with more frames, numbered on from the last one."""
-        last = self.coords.agg(F.coalesce(F.max("frame_index"), F.lit(-1))).first()[0]
-        return replace(self, coords=self.coords.unionByName(coords.withColumn("frame_index", (F.col("frame_index") + last + 1).cast("int"))))
+        last = self.coords.agg(F.coalesce(F.max("frame_index"), F.lit(-1)).alias("_last"))  # one row
+        new = coords.join(F.broadcast(last)).withColumn("frame_index", (F.col("frame_index") + F.col("_last") + 1).cast("int")).drop("_last")
+        return replace(self, coords=self.coords.unionByName(new))
