@@ -1,4 +1,8 @@
-"""Structure measures as plain aggregations: every function groups by ``by`` (usually the frame) and combines map-side."""
+"""Structure measures as plain aggregations: every function groups by ``by`` (usually the frame) and combines map-side.
+
+Rows with a null coordinate or a null weight take no part; repeated rows count each; a frame without rows, and an
+empty table, give no row.
+"""
 
 from __future__ import annotations
 
@@ -11,18 +15,23 @@ from orbitframe.operators.topology import bond_lengths
 FRAME = ("frame_index",)
 
 
+def placed(coords: DataFrame, prefix: str = "") -> DataFrame:
+    """Rows whose place is known."""
+    return coords.dropna(subset=[f"{prefix}{c}" for c in "xyz"])
+
+
 def _div(a: Column, b: Column) -> Column:
     return a / F.nullif(b, F.lit(0.0))
 
 
 def center_of_geometry(coords: DataFrame, by: tuple[str, ...] = FRAME) -> DataFrame:
-    return coords.groupBy(*by).agg(*(F.avg(c).alias(c) for c in "xyz"))
+    return placed(coords).groupBy(*by).agg(*(F.avg(c).alias(c) for c in "xyz"))
 
 
 def center_of_mass(coords: DataFrame, by: tuple[str, ...] = FRAME, weight: str = "mass") -> DataFrame:
     """Null coordinates where the total mass is 0."""
     w = F.col(weight)
-    return coords.groupBy(*by).agg(*(_div(F.sum(w * F.col(c)), F.sum(w)).alias(c) for c in "xyz"))
+    return placed(coords).groupBy(*by).agg(*(_div(F.sum(w * F.col(c)), F.sum(w)).alias(c) for c in "xyz"))
 
 
 def total(coords: DataFrame, column: str, by: tuple[str, ...] = FRAME) -> DataFrame:
@@ -36,6 +45,7 @@ def bounding_box(coords: DataFrame, by: tuple[str, ...] = FRAME) -> DataFrame:
 def radius_of_gyration(coords: DataFrame, by: tuple[str, ...] = FRAME, weight: str | None = "mass") -> DataFrame:
     """sqrt(sum m |r - center|^2 / sum m), centres first so that nothing cancels; unweighted where masses sum to 0 or less."""
     w = F.col(weight) if weight else F.lit(1.0)
+    coords = placed(coords)
     centers = coords.groupBy(*by).agg(F.sum(w).alias("_w"), *(F.sum(w * F.col(c)).alias(f"_m{c}") for c in "xyz"), *(F.avg(c).alias(f"_g{c}") for c in "xyz"))
     centers = centers.select(*by, (F.col("_w") > 0).alias("_weighted"), *(F.when(F.col("_w") > 0, _div(F.col(f"_m{c}"), F.col("_w"))).otherwise(F.col(f"_g{c}")).alias(f"_c{c}") for c in "xyz"))
     use = F.when(F.col("_weighted"), w).otherwise(1.0)
@@ -44,9 +54,9 @@ def radius_of_gyration(coords: DataFrame, by: tuple[str, ...] = FRAME, weight: s
 
 
 def with_reference(coords: DataFrame, reference: DataFrame) -> DataFrame:
-    """coords with rx, ry, rz of the same atom in a reference structure."""
-    ref = reference.select("atom_index", *(F.col(c).alias(f"r{c}") for c in "xyz"))
-    return coords.join(ref, "atom_index")
+    """coords with rx, ry, rz of the same atom in a reference structure; atoms without a known place in both are left out."""
+    ref = placed(reference).select("atom_index", *(F.col(c).alias(f"r{c}") for c in "xyz"))
+    return placed(coords).join(ref, "atom_index")
 
 
 def rmsd(coords: DataFrame, reference: DataFrame, by: tuple[str, ...] = FRAME, weight: str | None = None) -> DataFrame:
@@ -62,7 +72,7 @@ def mean_square_displacement(coords: DataFrame, reference: DataFrame, by: tuple[
 
 def rmsf(coords: DataFrame) -> DataFrame:
     """Root mean square fluctuation of each atom about its mean place."""
-    return coords.groupBy("atom_index").agg(F.sqrt(F.var_pop("x") + F.var_pop("y") + F.var_pop("z")).alias("rmsf"))
+    return placed(coords).groupBy("atom_index").agg(F.sqrt(F.var_pop("x") + F.var_pop("y") + F.var_pop("z")).alias("rmsf"))
 
 
 def native_fractions(pairs: DataFrame, by: tuple[str, ...], beta: float = 5.0, scale: float = 1.8, cutoff: float = 4.5, radius: float = 0.5) -> DataFrame:

@@ -1,4 +1,7 @@
-"""Rigid-body superposition: sums per frame by Spark, then a 4x4 eigenproblem a frame on those few numbers."""
+"""Rigid-body superposition: sums per frame by Spark, then a 4x4 eigenproblem a frame on those few numbers.
+
+Rows with a null coordinate or weight take no part; repeated rows count each; frames without rows have no result.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orbitframe.functions.vectors import Vec, vec
-from orbitframe.operators.aggregates import FRAME, with_reference
+from orbitframe.operators.aggregates import FRAME, placed, with_reference
 
 _OUT = "rotation array<array<double>>, translation array<double>, rmsd double"
 
@@ -31,7 +34,7 @@ def _rotation(s: np.ndarray) -> np.ndarray:
 def fit_to_reference(coords: DataFrame, reference: DataFrame, by: tuple[str, ...] = FRAME, weight: str | None = None) -> DataFrame:
     """(*by, rotation, translation, rmsd): R r + t brings each frame onto the reference; the identity where weights sum to 0."""
     w = F.col(weight) if weight else F.lit(1.0)
-    met = with_reference(coords, reference).withColumn("_w", w.cast("double"))
+    met = with_reference(coords, reference).withColumn("_w", w.cast("double")).dropna(subset=["_w"])
     means = met.groupBy(*by).agg(F.sum("_w").alias("n"), *(F.try_divide(F.sum(F.col("_w") * F.col(p + c)), F.sum("_w")).alias(f"m{p}{c}") for p in ("", "r") for c in "xyz"))
     d = {p + c: F.col(p + c) - F.col(f"m{p}{c}") for p in ("", "r") for c in "xyz"}
     sums = met.join(means, list(by)).groupBy(*by, "n", *(f"m{p}{c}" for p in ("", "r") for c in "xyz")).agg(*(F.sum(F.col("_w") * d[a] * d["r" + b]).alias(f"s{a}{b}") for a in "xyz" for b in "xyz"), F.sum(F.col("_w") * sum(v * v for v in d.values())).alias("e"))
@@ -66,6 +69,7 @@ def apply_fit(coords: DataFrame, fits: DataFrame, by: tuple[str, ...] = FRAME) -
 
 def helix_axis(coords: DataFrame, by: tuple[str, ...] = FRAME, order: str = "atom_index", toward_first: bool = False) -> DataFrame:
     """(*by, ax, ay, az, rms, length): first principal axis pointing from the first to the last point (or back), rms distance from it, projected length."""
+    coords = placed(coords)
     means = coords.groupBy(*by).agg(*(F.avg(c).alias(f"m{c}") for c in "xyz"), F.min_by(F.struct("x", "y", "z"), order).alias("first"), F.max_by(F.struct("x", "y", "z"), order).alias("last"))
     d = {c: F.col(c) - F.col(f"m{c}") for c in "xyz"}
     sums = coords.join(means, list(by)).groupBy(*by).agg(F.count("*").alias("n"), *(F.sum(d[a] * d[b]).alias(a + b) for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")), *((F.first(f"last.{c}") - F.first(f"first.{c}")).alias(f"d{c}") for c in "xyz"))

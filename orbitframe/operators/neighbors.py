@@ -1,7 +1,8 @@
 """Distance joins on a grid: cells as wide as the cutoff turn a radius search into an equi-join with 27 cells.
 
 Inputs hold atom_index, x, y, z and any frame columns named in ``by``. The join shuffles on (frame, cell), so work
-spreads over all cells of all frames; nothing is broadcast and no cross product is built.
+spreads over all cells of all frames; nothing is broadcast and no cross product is built. Rows with a null coordinate
+meet nothing; repeated atoms meet each; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -89,10 +90,11 @@ def neighbor_level(atoms: DataFrame, centers: DataFrame, radius: float, level: s
 def guess_bonds(atoms: DataFrame, cutoff: float = 1.7, element: str | None = None) -> DataFrame:
     """Bonds (atom1 < atom2) between all atoms at most ``cutoff`` apart.
 
-    Coordinates that are not finite are an error, and so are unknown elements where a column of them is named.
+    Coordinates that are no finite numbers are an error (null ones meet nothing), and so are unknown elements where a
+    column of them is named.
     """
-    fine = reduce(lambda a, b: a & b, (F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")) for c in "xyz"))
-    checks = F.when(~fine, F.raise_error(F.lit("a coordinate is not finite"))).otherwise(True)
+    bad = reduce(lambda a, b: a | b, (F.isnan(c) | (F.abs(c) == float("inf")) for c in "xyz"))
+    checks = F.when(bad, F.raise_error(F.lit("a coordinate is not finite"))).otherwise(True)
     if element:
         checks = checks & F.when(element_mass(F.col(element)).isNull(), F.raise_error(F.concat(F.lit("unknown element "), F.coalesce(element, F.lit("null"))))).otherwise(True)
     return self_pairs_within(atoms.where(checks), cutoff).select(F.col("i").alias("atom1"), F.col("j").alias("atom2"))

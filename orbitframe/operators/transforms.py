@@ -1,4 +1,8 @@
-"""Frame transformations: projections over coordinates, and windows where images follow each other."""
+"""Frame transformations: projections over coordinates, and windows where images follow each other.
+
+A null coordinate stays null (``rotate`` and a tilted ``wrap`` mix coordinates, so the others turn null with it);
+repeated rows are moved each; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 

@@ -51,7 +51,7 @@ def test_units():
 
 
 def test_elements(spark):
-    labels = [("CA", None, "C"), ("1HB2", None, "H"), ("CL-", None, "CL"), ("XX", None, ""), ("OW", "NA+", "NA"), ("", None, "")]
+    labels = [("CA", None, "C"), ("1HB2", None, "H"), ("CL-", None, "CL"), ("XX", None, "X"), ("XYZ", None, "X"), ("CA", "CA", "C"), ("SOD+", None, "NA"), ("POT1", None, "K"), ("X", "  ", "X"), (None, None, ""), ("OW", "NA+", "NA"), ("", None, "")]
     df = spark.createDataFrame(labels, "name string, kind string, want string")
     for r in df.withColumn("got", chemistry.guess_element(F.col("name"), F.col("kind"))).collect():
         assert r.got == r.want, r
