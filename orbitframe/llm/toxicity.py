@@ -272,7 +272,10 @@ def training_sample(docs: DataFrame, labels: DataFrame, toxic: int = 600, clean:
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame) -> Network:
     rows = training_sample(docs, labels)
-    return train([r[0] for r in rows], [r[1] for r in rows])
+    net = train([r[0] for r in rows], [r[1] for r in rows])
+    del rows
+    T.release_memory()  # the driver goes on to other stages
+    return net
 
 
 def score_toxicity(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
