@@ -13,23 +13,22 @@ one, like only to each other (1) and to nothing else (0). Null texts count as em
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from orbitframe.llm import text as T
-from orbitframe.llm.storage import Workspace
 
 #: One hash in so many is kept, and of every text so many at least.
 ONE_IN, LEAST, SIZE = 8, 16, 5
 LIMIT = 2**64 // ONE_IN
 #: The summand and the factors of a shingle's words.
 FACTORS = [int(hashlib.sha256(f"shingle {k}".encode()).hexdigest()[:16], 16) | 1 for k in range(SIZE + 1)]
-_EDGES = "first", "last"
 
 
 def word_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -103,7 +102,7 @@ def fingerprint(docs: DataFrame, text_col: str = "text", name: str = "fingerprin
 
 
 def _hashes(written: Column) -> Column:
-    return F.when(F.length(written) > 0, F.transform(F.sequence(F.lit(0), (F.length(written) / 16).cast("int") - 1), lambda k: F.substr(written, 16 * k + 1, F.lit(16)))).otherwise(F.array().cast("array<string>"))
+    return F.when(F.length(written) > 0, F.transform(F.sequence(F.lit(0), F.floor(F.length(written) / 16).cast("int") - 1), lambda k: F.substr(written, 16 * k + 1, F.lit(16)))).otherwise(F.array().cast("array<string>"))
 
 
 def _upto(h: Column) -> Column:
@@ -116,12 +115,16 @@ def merge(a: Column, b: Column) -> Column:
     return F.array_join(F.filter(both, lambda h, k: (h < f"{LIMIT:016x}") | (k < LEAST)), "")
 
 
+def _once(f: Callable[[Column], Column], **values: Column) -> Column:
+    """f of a struct of values, each evaluated once: a lambda's argument is."""
+    return F.get(F.transform(F.array(F.struct(*(v.alias(k) for k, v in values.items()))), f), 0)
+
+
 def containment(a: Column, b: Column) -> Column:
     """``likeness`` of written fingerprints: the share of the first one's shingles that the second has."""
-    x, y = _hashes(a), _hashes(b)
-    bound = F.least(_upto(x), _upto(y))
-    x = F.filter(x, lambda h: h <= bound)
-    common = F.size(F.array_intersect(x, y)) / F.nullif(F.size(x), F.lit(0))
+    share = lambda s: F.size(F.array_intersect(s["x"], s["y"])) / F.nullif(F.size(s["x"]), F.lit(0))
+    below = lambda s: _once(share, x=F.filter(s["x"], lambda h: h <= s["bound"]), y=s["y"])
+    common = _once(lambda s: _once(below, x=s["x"], y=s["y"], bound=F.least(_upto(s["x"]), _upto(s["y"]))), x=_hashes(a), y=_hashes(b))
     return F.when(F.length(a) == 0, (F.length(b) == 0).cast("double")).otherwise(F.coalesce(common, F.lit(0.0)))
 
 
@@ -141,46 +144,58 @@ def _compared(ids: pa.Array, texts: list[str], nexts: list[str], own: list[np.nd
 
 
 _RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-_NAMES = ("range", "role", "text", *(c.split()[0] for c in _RESULT.split(", ")))
-
+_Key = tuple[bool, int, bytes]
 
-def _batch(columns: dict, **rest: pa.Array) -> pa.RecordBatch:
-    columns |= rest
-    return pa.RecordBatch.from_arrays([columns[c] for c in _NAMES], list(_NAMES))
 
+def _keys(batch: pa.RecordBatch) -> list[_Key]:
+    """The order of rows: null ids first, then by id, then by the digest of the text."""
+    return [(i is not None, i or 0, bytes(d)) for i, d in zip(batch.column("doc_id").to_pylist(), batch.column("digest").to_pylist(), strict=True)]
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one range in order, each with the one after it; the whole first and last texts come out for the neighbouring ranges."""
-    ids, texts, own, at = pa.array([], pa.int64()), [], [], None
 
-    def edge(role: str, i: int) -> pa.RecordBatch:
-        nothing = {f: pa.nulls(1, t) for f, t in (("n_chars", pa.int64()), *((c, pa.string()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")), ("near_edited", pa.float64()), ("near_next", pa.float64()))}
-        return _batch(nothing, range=at, role=pa.array([role]), text=pa.array([texts[i]], pa.string()), doc_id=ids.slice(i, 1))
+def _deal(batches: Iterator[pa.RecordBatch], first: list[_Key]) -> Iterator[pa.RecordBatch]:
+    """Rows with their range, and once more, as the one that follows the range before, those that begin a range.
 
+    Equal rows that begin several ranges are dealt among these, the first of each task to the last of them, so that a
+    range's rows are followed by what it was told whichever of the equal ones it holds.
+    """
+    met: dict[_Key, int] = {}
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        came = _texts(batch.column("text"))
-        texts, own = texts + came, own + sketches(pa.array(came, pa.string()))
-        ids = pa.concat_arrays([ids, batch.column("doc_id")])
-        if at is None:
-            at = batch.column("range").slice(0, 1)
-            yield edge("first", 0)
-        n = len(texts) - 1
-        if n:
-            whole = _compared(ids.slice(0, n), texts[:-1], texts[1:], own[:-1], own[1:])
-            yield _batch(whole, range=pa.concat_arrays([at] * n), role=pa.array(["row"] * n), text=pa.nulls(n, pa.string()))
-        ids, texts, own = ids.slice(n), texts[n:], own[n:]
-    if at is not None:
-        yield edge("last", 0)
-
-
-def _border(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, take, follows = [], [], []
+        for i, key in enumerate(_keys(batch)):
+            low, high = bisect_left(first, key), bisect_right(first, key) - 1
+            if high < low or high < 0:  # between two first keys
+                place.append(max(high, 0)), take.append(i), follows.append(False)
+                continue
+            seen = met.get(key, 0)
+            met[key] = seen + 1
+            place.append(high - seen % (high - low + 1)), take.append(i), follows.append(False)
+            if not seen:
+                for k in range(low, high + 1):
+                    place.append((k - 1) % len(first)), take.append(i), follows.append(True)
+        rows = batch.take(pa.array(take, pa.int32()))
+        yield pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), pa.array(follows), *rows.columns], ["range", "follows", *batch.schema.names])
+
+
+def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of sorted ranges, each with the one after it; the last rows of a range are what follows it."""
+    ids, texts, own, at, over = [], [], [], None, False
     for batch in batches:
-        for i in range(batch.num_rows):
-            one = batch.slice(i, 1)
-            texts, nexts = _texts(one.column("text")), _texts(one.column("following"))
-            yield pa.RecordBatch.from_pydict(_compared(one.column("doc_id"), texts, nexts, sketches(pa.array(texts, pa.string())), sketches(pa.array(nexts, pa.string()))))
+        came = _texts(batch.column("text"))
+        made, ranges, follows, new = sketches(pa.array(came, pa.string())), batch.column("range").to_pylist(), batch.column("follows").to_pylist(), batch.column("doc_id").to_pylist()
+        ready: list[tuple] = []
+        for k, text in enumerate(came):
+            if ranges[k] != at:
+                ids, texts, own, at, over = [], [], [], ranges[k], False
+            if over:  # equal rows of several tasks follow one range
+                continue
+            if texts:
+                ready.append((ids.pop(), texts.pop(), text, own.pop(), made[k]))
+            over = follows[k]
+            if not over:
+                ids, texts, own = [new[k]], [text], [made[k]]
+        if ready:
+            i, text, following, mine, others = map(list, zip(*ready))
+            yield pa.RecordBatch.from_pydict(_compared(pa.array(i, pa.int64()), text, following, mine, others))
 
 
 def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -191,18 +206,18 @@ def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. Other columns are passed over; repeated rows
     follow one another; an empty table gives an empty result.
 
-    Texts move once, into ranges that are sorted and read as a stream of neighbours; equal rows in bulk are split among
-    ranges. What crosses a border is one text a range on either side, written with the rows' results and joined then.
+    Ids and digests alone are sorted first, which gives the least key of each range, a row a range. Whole texts then
+    move once, into ranges that are sorted and read as a stream of neighbours, each with the text that begins the next
+    range. Equal rows in bulk are dealt among all ranges that they fill.
     """
+    spark = docs.sparkSession
     T.small_batches(docs)
-    work = Workspace(docs.sparkSession, "fingerprints")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    order = ["doc_id", "digest", "salt"]
-    dealt = rows.select("*", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), F.monotonically_increasing_id().alias("salt")).repartitionByRange(*order).sortWithinPartitions(*order)
-    met = work.save(dealt.select(F.spark_partition_id().alias("range"), "doc_id", "text").mapInArrow(_runs, f"range int, role string, text string, {_RESULT}"), "ranges")
-    edges = met.where(F.col("role").isin(*_EDGES)).select("range", "role", "doc_id", "text")
-    places = edges.where("role = 'first'").select("range", F.lead("range").over(Window.orderBy("range")).alias("next"), F.min("range").over(Window.partitionBy()).alias("start"))  # a row a range
-    places = places.select("range", F.coalesce("next", "start").alias("next"))
-    heads = edges.where("role = 'first'").select(F.col("range").alias("next"), F.col("text").alias("following"))
-    tails = edges.where("role = 'last'").join(places, "range").join(heads, "next").select("doc_id", "text", "following")
-    return met.where("role = 'row'").select(*_NAMES[3:]).union(tails.mapInArrow(_border, _RESULT))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("digest", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = rows.select("doc_id", "digest", F.monotonically_increasing_id().alias("salt")).repartitionByRange(ranges, "doc_id", "digest", "salt")
+    least = keys.groupBy(F.spark_partition_id().alias("range")).agg(F.min(F.struct("doc_id", "digest")).alias("key")).collect()  # a row a range
+    first = sorted((r.key.doc_id is not None, r.key.doc_id or 0, bytes(r.key.digest)) for r in least)
+    if not first:
+        return spark.createDataFrame([], _RESULT)
+    dealt = rows.mapInArrow(lambda batches: _deal(batches, first), "range int, follows boolean, doc_id long, text string, digest binary")
+    return dealt.repartitionById(len(first), "range").sortWithinPartitions("range", "follows", "doc_id", "digest").select("range", "follows", "doc_id", "text").mapInArrow(_stream, _RESULT)
