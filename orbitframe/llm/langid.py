@@ -79,18 +79,19 @@ def held_out(id_col: str = "doc_id", folds: int = 4, fold: int = 2) -> Column:
 def training_sample(docs: DataFrame, each: int = 300, most: int = 3000, longest: int = LONGEST) -> list:
     """At most ``each`` texts a language, ``most`` in all, outside the held-out fold, by the order of a hash of their ids.
 
-    One pass finds the least hashes of every language, of which each task sends on at most ``each``; a second one
-    fetches the texts chosen. Texts over ``longest`` bytes are told apart like all others, but not learned from, which
-    bounds what the driver gets.
+    One pass finds the least hashes of every language; a second one fetches the texts chosen. Rows are told by id,
+    language and the sha256 of the text, so rows of one id don't lend each other text or language; equal rows count
+    once. Rows with a null id, text or language, and texts without a letter, are not learned from; nor are texts over
+    ``longest`` bytes, which bounds what the driver gets. An empty table gives an empty list.
     """
     work = Workspace(docs.sparkSession, "langid")
-    usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & (F.octet_length("text") <= longest) & F.col("text").rlike(r"\p{L}")).select("doc_id", F.col("lang").alias("_lang"))
-    rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    least = work.save(usable.withColumn("_rank", rank).where(F.col("_rank") <= each), "least")
+    key = ["doc_id", "_lang", "_digest"]
+    rows = docs.select("doc_id", F.col("lang").alias("_lang"), "text").where(F.col("_lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & (F.octet_length("text") <= longest) & F.col("text").rlike(r"\p{L}")).withColumn("_digest", F.sha2("text", 256))
+    rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("doc_id"), "doc_id", "_digest"))
+    least = work.save(rows.select(key).distinct().withColumn("_rank", rank).where(F.col("_rank") <= each), "least")
     langs = least.agg(F.count_distinct("_lang")).first()[0]
-    ids = least.where(F.col("_rank") <= max(1, most // max(1, langs))).orderBy("_rank", "_lang").limit(most)
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most ``most`` ids
-    found = texts.where((F.octet_length("text") <= longest) & F.col("text").rlike(r"\p{L}")).orderBy("doc_id", "text").select("text", "_lang").limit(2 * most).collect()
+    chosen = least.where(F.col("_rank") <= max(1, most // max(1, langs))).orderBy("_rank", "_lang").limit(most).select(key)
+    found = rows.join(F.broadcast(chosen), key).dropDuplicates(key).orderBy(key).select("text", "_lang").collect()  # at most ``most`` rows
     work.drop("least")
     return found
 

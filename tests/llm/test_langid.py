@@ -29,3 +29,13 @@ def test_spectra_do_not_cross_texts():
     whole = langid.spectra(np.frombuffer(b"".join(parts), np.uint8), offsets)
     for row, p in zip(whole, parts):
         assert np.array_equal(row, langid.spectra(np.frombuffer(p, np.uint8), np.array([0, len(p)]))[0])
+
+
+def test_rows_of_one_id_keep_their_own_text_and_language(spark):
+    rows = [(3, "alpha beta", "en"), (3, "gamma delta", None), (3, "eta theta", "fr"), (4, None, "en"), (None, "no id", "en"), (5, "123", "en")] + [(7, "again and again", "en")] * 500
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    want = {(t, g) for i, t, g in rows if i is not None and g and t and any(c.isalpha() for c in t) and zlib.crc32(str(i).encode()) % 4 != 2}
+    got = [tuple(r) for r in langid.training_sample(df)]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert len(langid.training_sample(df, each=1)) == len({g for _, g in want})
+    assert langid.training_sample(df.where("doc_id < 0")) == []
