@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from itertools import product
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -117,6 +118,22 @@ def pnorm(points: Column) -> Column:
     return F.transform(points, lambda p: F.sqrt(sum(p[k] * p[k] for k in range(3))))
 
 
+def _dot(a: list[float], b: list[float]) -> float:
+    return sum(x * y for x, y in zip(a, b))
+
+
+def _squared(a: list[float]) -> float:
+    return _dot(a, a)
+
+
+def _less(a: list[float], b: list[float], times: float) -> list[float]:
+    return [x - times * y for x, y in zip(a, b)]
+
+
+def _cross(p: list[float], q: list[float]) -> list[float]:
+    return [p[1] * q[2] - p[2] * q[1], p[2] * q[0] - p[0] * q[2], p[0] * q[1] - p[1] * q[0]]
+
+
 @dataclass(frozen=True)
 class Box:
     """A periodic cell given by lengths and angles in degrees, held on the driver."""
@@ -132,17 +149,28 @@ class Box:
         values = (self.a, self.b, self.c, self.alpha, self.beta, self.gamma)
         if not all(math.isfinite(v) and v > 0 for v in values) or any(v >= 180 for v in values[3:]):
             raise ValueError("a box needs positive finite lengths and angles between 0 and 180 degrees")
+        if self._depth2() <= 1e-12 * self.c**2:
+            raise ValueError("the angles of the box leave it no volume")
 
     @property
     def orthogonal(self) -> bool:
         return self.alpha == self.beta == self.gamma == 90.0
 
-    def vectors(self) -> list[list[float]]:
-        """Lower triangular lattice vectors, one a row."""
+    def _third(self) -> tuple[float, float, float, float]:
+        """cos and sin of gamma, and the third vector's components along x and y."""
         ca, cb, cg = (0.0 if v == 90.0 else math.cos(math.radians(v)) for v in (self.alpha, self.beta, self.gamma))
         sg = 1.0 if self.gamma == 90.0 else math.sin(math.radians(self.gamma))
-        cx, cy = self.c * cb, self.c * (ca - cb * cg) / sg
-        return [[self.a, 0.0, 0.0], [self.b * cg, self.b * sg, 0.0], [cx, cy, math.sqrt(max(0.0, self.c**2 - cx**2 - cy**2))]]
+        return cg, sg, self.c * cb, self.c * (ca - cb * cg) / sg
+
+    def _depth2(self) -> float:
+        """The square of the third vector's component along z; not positive for angles that fit no cell."""
+        _, _, cx, cy = self._third()
+        return self.c**2 - cx**2 - cy**2
+
+    def vectors(self) -> list[list[float]]:
+        """Lower triangular lattice vectors, one a row."""
+        cg, sg, cx, cy = self._third()
+        return [[self.a, 0.0, 0.0], [self.b * cg, self.b * sg, 0.0], [cx, cy, math.sqrt(self._depth2())]]
 
     def volume(self) -> float:
         v = self.vectors()
@@ -152,9 +180,7 @@ class Box:
         """Distances between opposite faces."""
         v, out = self.vectors(), []
         for k in range(3):
-            p, q = v[(k + 1) % 3], v[(k + 2) % 3]
-            n = (p[1] * q[2] - p[2] * q[1], p[2] * q[0] - p[0] * q[2], p[0] * q[1] - p[1] * q[0])
-            out.append(self.volume() / math.sqrt(sum(x * x for x in n)))
+            out.append(self.volume() / math.sqrt(_squared(_cross(v[(k + 1) % 3], v[(k + 2) % 3]))))
         return out
 
     def to_fractional(self, r: Vec) -> Vec:
@@ -174,14 +200,52 @@ class Box:
         s = self.to_fractional(r)
         return self.to_cartesian(Vec(*(F.pmod(c, F.lit(1.0)) for c in s)))
 
+    def reduced(self) -> list[list[float]]:
+        """A basis of the same lattice whose vectors are as short as can be, the shortest first."""
+        basis = self.vectors()
+        while True:
+            basis.sort(key=_squared)
+            for k, other in ((1, basis[0]), (2, basis[0]), (2, basis[1])):
+                basis[k] = _less(basis[k], other, round(_dot(basis[k], other) / _squared(other)))
+            found = None
+            for k in range(3):
+                p, q = basis[(k + 1) % 3], basis[(k + 2) % 3]
+                for i, j in product((-1, 0, 1), repeat=2):
+                    other = _less(_less(basis[k], p, i), q, j)
+                    if _squared(other) < _squared(basis[k]) * (1 - 1e-12):
+                        found, basis[k] = True, other
+            if not found and all(_squared(basis[k]) <= _squared(basis[k + 1]) for k in (0, 1)):
+                return basis
+
+    def image_shifts(self) -> tuple[list[list[float]], list[list[float]], list[tuple[int, int, int]]]:
+        """(reduced basis, its reciprocal rows, steps): some step from a rounded displacement leads to its nearest image.
+
+        No displacement is further from the lattice than half the diagonal of the brick spanned by the basis made
+        orthogonal. That bounds each coefficient of the nearest image, and so the steps that can lead to it.
+        """
+        basis = self.reduced()
+        straight: list[list[float]] = []
+        for v in basis:
+            for u in straight:
+                v = _less(v, u, _dot(v, u) / _squared(u))
+            straight.append(v)
+        far = math.sqrt(sum(map(_squared, straight))) / 2
+        volume = self.volume()
+        turn = _dot(_cross(basis[0], basis[1]), basis[2])
+        dual = [[x / turn for x in _cross(basis[(k + 1) % 3], basis[(k + 2) % 3])] for k in range(3)]
+        if not math.isclose(abs(turn), volume, rel_tol=1e-6):
+            raise ArithmeticError("the cell is too thin for its lattice to be reduced")
+        most = [math.floor(far * math.sqrt(_squared(row)) + 0.5 + 1e-9) for row in dual]
+        return basis, dual, list(product(*(range(-n, n + 1) for n in most)))
+
     def nearest(self, d: Vec) -> Vec:
-        """The displacement to the nearest image: rounding in an orthogonal cell, else also the 26 cells around that."""
+        """The displacement to the nearest image: rounding in an orthogonal cell, else along the reduced basis, and the cells around that."""
         if self.orthogonal:
             return Vec(*(c - F.round(c / F.lit(n)) * n for c, n in zip(d, (self.a, self.b, self.c))))
-        s = self.to_fractional(d)
-        base = self.to_cartesian(Vec(*(c - F.round(c) for c in s)))
-        v = self.vectors()
-        shifts = F.array(*(F.array(*(F.lit(float(i * v[0][m] + j * v[1][m] + k * v[2][m])) for m in range(3))) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)))
+        basis, dual, steps = self.image_shifts()
+        s = [F.round(d.x * row[0] + d.y * row[1] + d.z * row[2]) for row in dual]
+        base = Vec(*(c - sum(s[k] * basis[k][m] for k in range(3)) for m, c in enumerate(d)))
+        shifts = F.array(*(F.array(*(F.lit(float(sum(t[k] * basis[k][m] for k in range(3)))) for m in range(3))) for t in steps))
 
         def closest(b: Column) -> Column:
             def image(t: Column) -> Column:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orbitframe.sources.lines import counted, filled, numbered, read_lines
-from orbitframe.sources.sections import _fields, _float, _p, _sections
+from orbitframe.sources.lines import numbered, scan
+from orbitframe.sources.sections import _fields, _float, _p, _scanned
 from orbitframe.sources.structures import cells
 
 #: Fixed value: charges are stored times this.
@@ -15,22 +15,28 @@ CHARGE_SCALE = 18.2223
 
 def prmtop_values(spark: SparkSession, path: str) -> DataFrame:
     """(file, section, i, value): every fixed-width field of a topology, numbered within its %FLAG section."""
-    mark = F.col("line").startswith("%")
-    part = lambda k: F.when(F.col("line").startswith("%FORMAT"), F.regexp_extract("line", r"%FORMAT\((\d+)[aA-Z](\d+)", k).cast("int"))
-    held = filled(read_lines(spark, path), flag=F.when(F.col("line").startswith("%FLAG"), F.trim(F.substring("line", 6, 80))), per=part(1), width=part(2))
-    rows = held.where(~mark & F.col("flag").isNotNull() & (F.trim("line") != ""))
+    flag = F.when(F.col("line").startswith("%FLAG"), F.trim(F.substring("line", 6, 80)))
+    part = lambda k: F.regexp_extract("line", r"%FORMAT\((\d+)[aA-Z](\d+)", k).cast("int")
+    layout = F.when(F.col("line").startswith("%FORMAT"), F.struct(part(1).alias("per"), part(2).alias("width")))
+    row = ~F.col("line").startswith("%") & (F.trim("line") != "")
+    rows = scan(spark, path, {"flag": flag, "layout": layout}).where(row & F.col("flag").isNotNull())
+    rows = rows.select("file", "block", F.col("flag.value").alias("section"), "layout.value.*", "n", "line")
     cut = F.expr("transform(sequence(0, per - 1), j -> trim(substring(line, j * width + 1, width)))")
-    values = rows.select("file", "block", F.col("flag").alias("section"), "n", F.posexplode(cut).alias("j", "value")).where("value <> ''")
+    values = rows.select("file", "block", "section", "n", F.posexplode(cut).alias("j", "value")).where("value <> ''")
     return numbered(values.withColumn("n", F.col("n") * 1000 + F.col("j")), "i", "section").select("file", "section", "i", "value")
 
 
 def read_prmtop_atoms(spark: SparkSession, path: str) -> DataFrame:
     """(file, atom_index, name, atom_type, charge, mass, resid, resname): charges in e, residues numbered from 1."""
-    values = prmtop_values(spark, path)
-    get = lambda section: F.max(F.when(F.col("section") == section, F.col("value")))
-    atoms = values.where(F.col("section").isin("ATOM_NAME", "AMBER_ATOM_TYPE", "CHARGE", "MASS")).groupBy("file", F.col("i").alias("atom_index")).agg(get("ATOM_NAME").alias("name"), get("AMBER_ATOM_TYPE").alias("atom_type"), (_float(get("CHARGE")) / CHARGE_SCALE).alias("charge"), _float(get("MASS")).alias("mass"))
-    residues = values.where(F.col("section").isin("RESIDUE_LABEL", "RESIDUE_POINTER")).groupBy("file", "i").agg(get("RESIDUE_LABEL").alias("resname"), (get("RESIDUE_POINTER").try_cast("long") - 1).alias("atom_index"))
-    met = atoms.join(residues.select("file", "atom_index", "resname", (F.col("i") + 1).cast("int").alias("resid")), ["file", "atom_index"], "left")
+    get = lambda section: F.max(F.when(F.col("section") == section, F.col("value"))).alias(section)
+    labels = ("ATOM_NAME", "AMBER_ATOM_TYPE", "CHARGE", "MASS")
+    begins = F.col("section").isin("RESIDUE_LABEL", "RESIDUE_POINTER")
+    rows = prmtop_values(spark, path).where(begins | F.col("section").isin(*labels))
+    held = rows.groupBy("file", begins.alias("begins"), "i").agg(*map(get, (*labels, "RESIDUE_LABEL", "RESIDUE_POINTER")))
+    # residues go to their first atoms
+    place = F.when(F.col("begins"), F.col("RESIDUE_POINTER").try_cast("long") - 1).otherwise(F.col("i"))
+    met = held.groupBy("file", place.alias("atom_index")).agg(*(F.max(c).alias(c) for c in labels), F.max("RESIDUE_LABEL").alias("resname"), F.max(F.when(F.col("begins"), F.col("i") + 1)).cast("int").alias("resid"), F.max(~F.col("begins")).alias("is_atom")).where("is_atom")
+    met = met.select("file", "atom_index", F.col("ATOM_NAME").alias("name"), F.col("AMBER_ATOM_TYPE").alias("atom_type"), (_float(F.col("CHARGE")) / CHARGE_SCALE).alias("charge"), _float(F.col("MASS")).alias("mass"), "resid", "resname")
     w = Window.partitionBy("file").orderBy("atom_index").rowsBetween(Window.unboundedPreceding, 0)
     return met.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in ("resname", "resid")})
 
@@ -64,9 +70,11 @@ def read_prmtop_dihedrals(spark: SparkSession, path: str) -> DataFrame:
 def read_mdcrd(spark: SparkSession, path: str, n_atoms: int) -> DataFrame:
     """(file, frame_index, atom_index, x, y, z): a title, then ten fields of eight columns a line; box lines after frames are told by their three fields."""
     size, full = 3 * n_atoms, -(-3 * n_atoms // 10)
-    lines = read_lines(spark, path).where("n >= 1 and trim(line) <> ''")
-    boxed = lines.where(F.col("n") == full + 1).select("file", ((F.length(F.rtrim("line")) <= 24) & F.lit(min(size, 10) != 3)).cast("int").alias("boxed"))
-    rows = lines.join(boxed, "file", "left").withColumn("per", full + F.coalesce("boxed", F.lit(0)))
+    # the line below the first frame tells whether there are boxes; short are also the title and the last line of a frame
+    short = (F.length(F.rtrim("line")) <= 24) & (F.trim("line") != "")
+    lines = scan(spark, path, heads={"short": (short, 3)}).where("n >= 1 and trim(line) <> ''")
+    boxed = F.exists("short", lambda x: x["n"] == full + 1) & F.lit(min(size, 10) != 3)
+    rows = lines.withColumn("per", full + boxed.cast("int")).drop("short")
     rows = rows.withColumns({"frame": F.floor((F.col("n") - 1) / F.col("per")), "k": (F.col("n") - 1) % F.col("per")}).where(F.col("k") < full)
     cut = F.expr("transform(sequence(0, cast(ceil(length(rtrim(line)) / 8) as int) - 1), j -> try_cast(trim(substring(line, 8 * j + 1, 8)) as double))")
     values = rows.select("file", "frame", "k", F.posexplode(cut).alias("j", "v")).withColumn("at", F.col("k") * 10 + F.col("j"))
@@ -75,22 +83,23 @@ def read_mdcrd(spark: SparkSession, path: str, n_atoms: int) -> DataFrame:
 
 
 def _gromos(spark: SparkSession, path: str) -> DataFrame:
-    lines = read_lines(spark, path).where("trim(line) <> '' and not startswith(line, '#')")
+    """Rows of all blocks with the frame and the number in their block; comments are passed over."""
     block = F.when(F.col("line").rlike(r"^[A-Z]+\s*$"), F.trim("line"))
-    return _fields(counted(_sections(lines, block), stepped=F.col("section") == "TIMESTEP").withColumn("frame", F.col("stepped") - 1))
+    row = (F.trim("line") != "") & ~F.col("line").startswith("#")
+    return _fields(_scanned(spark, path, block, row, counts={"stepped": block == "TIMESTEP"})).withColumn("frame", F.col("stepped") - 1)
 
 
 def read_gromos(spark: SparkSession, path: str) -> DataFrame:
     """(file, frame_index, step, time, atom_index, x, y, z) in nm from TIMESTEP and POSITIONRED blocks."""
     rows = _gromos(spark, path)
     times = rows.where("section = 'TIMESTEP'").select("file", "frame", _p(0, "long").alias("step"), _p(1, "double").alias("time"))
-    places = numbered(rows.where("section = 'POSITIONRED'"), "atom_index", "frame").select("file", "frame", "atom_index", *(_p(k, "double").alias(c) for k, c in enumerate("xyz")))
+    places = rows.where("section = 'POSITIONRED'").select("file", "frame", F.col("k").alias("atom_index"), *(_p(k, "double").alias(c) for k, c in enumerate("xyz")))
     return places.join(times, ["file", "frame"]).select("file", F.col("frame").cast("int").alias("frame_index"), "step", "time", "atom_index", *"xyz")
 
 
 def read_gromos_box(spark: SparkSession, path: str) -> DataFrame:
     """(file, frame_index, a, b, c, alpha, beta, gamma) of GENBOX blocks: a type, then lengths in nm and angles; type 0 has no box."""
-    rows = numbered(_gromos(spark, path).where("section = 'GENBOX'"), "k", "frame")
+    rows = _gromos(spark, path).where("section = 'GENBOX'")
     at = lambda k, m: F.max(F.when(F.col("k") == k, _p(m, "double")))
     held = rows.groupBy("file", F.col("frame").cast("int").alias("frame_index")).agg(at(0, 0).alias("kind"), F.array(*(at(k, m) for k in (1, 2) for m in range(3))).alias("box"))
     return cells(held.where("kind <> 0"), F.col("box"), "frame_index")

@@ -10,13 +10,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orbitframe.functions.vectors import Vec, lattice_angles
-from orbitframe.sources.lines import counted, filled, fit, fixed, numbered, read_lines
+from orbitframe.sources.lines import fit, fixed, scan, source_file
 from orbitframe.sources.structures import CELL, _cut, _number, cells
 
 
-def _sections(lines: DataFrame, name: Column) -> DataFrame:
-    """Rows with ``section``: the last marker at or above them; the markers themselves and blank lines are left out."""
-    return filled(lines.withColumn("mark", name), section=F.col("mark")).where("mark is null and trim(line) <> ''")
+def _scanned(spark: SparkSession, path: str, name: Column, rows: Column | None = None, within: dict | None = None, counts: dict | None = None, heads: dict | None = None) -> DataFrame:
+    """Rows below a marker, without markers and blank lines: ``section`` is its text, ``at`` its line, ``k`` the row's number below it."""
+    some = (F.trim("line") != "") if rows is None else rows
+    held = scan(spark, path, {"_mark": name}, {"_row": some} | (counts or {}), within, heads).where(some & (F.col("n") > F.col("_mark.n")))
+    return held.withColumns({"section": F.col("_mark.value"), "at": F.col("_mark.n"), "k": F.col("_row") - F.col("_mark._row") - 1}).drop("_mark", "_row", "_row_total")
 
 
 def _fields(rows: DataFrame) -> DataFrame:
@@ -32,36 +34,46 @@ def _float(c: Column) -> Column:
     return F.regexp_replace(c, "[Dd]", "E").try_cast("double")
 
 
-def _mol2(spark: SparkSession, path: str, section: str) -> DataFrame:
-    return _fields(_sections(read_lines(spark, path), F.when(F.col("line").startswith("@<TRIPOS>"), F.trim(F.substring("line", 10, 40)))).where(F.col("section") == section))
+def _mol2(spark: SparkSession, path: str) -> DataFrame:
+    """Rows with their section's kind, the molecule's number and, at atoms, their number in the file."""
+    kind = F.when(F.col("line").startswith("@<TRIPOS>"), F.trim(F.substring("line", 10, 40)))
+    row = (F.trim("line") != "") & ~F.col("line").startswith("@<TRIPOS>")
+    return _fields(_scanned(spark, path, kind, within={"atom": ("_mark", ("ATOM",), row)}, counts={"molecule": kind == "MOLECULE"}))
 
 
 def read_mol2_atoms(spark: SparkSession, path: str) -> DataFrame:
     """Atoms of one or many molecules of a file, one after another; their numbers in the file must agree with the molecules' counts."""
-    rows = numbered(_mol2(spark, path, "ATOM"), "atom_index")
-    return rows.select("file", "atom_index", _p(0, "long").alias("serial"), _p(1).alias("name"), *(_p(2 + k, "double").alias(c) for k, c in enumerate("xyz")), _p(5).alias("atom_type"), F.coalesce(_p(6, "int"), F.lit(1)).alias("resid"), F.coalesce(_p(7), F.lit("UNK")).alias("resname"), _p(8, "double").alias("charge"))
+    rows = _mol2(spark, path).where("section = 'ATOM'")
+    return rows.select("file", (F.col("atom") - 1).alias("atom_index"), _p(0, "long").alias("serial"), _p(1).alias("name"), *(_p(2 + k, "double").alias(c) for k, c in enumerate("xyz")), _p(5).alias("atom_type"), F.coalesce(_p(6, "int"), F.lit(1)).alias("resid"), F.coalesce(_p(7), F.lit("UNK")).alias("resname"), _p(8, "double").alias("charge"))
 
 
 def check_mol2(spark: SparkSession, path: str) -> DataFrame:
     """(file, section, declared, found): sections that hold another number of rows than their MOLECULE lines declare."""
-    head = numbered(_mol2(spark, path, "MOLECULE").where(F.trim("line").rlike(r"^\d+(\s+\d+)*$")), "_k")
-    declared = head.groupBy("file").agg(F.sum(_p(0, "long")).alias("ATOM"), F.sum(F.coalesce(_p(1, "long"), F.lit(0))).alias("BOND")).unpivot("file", ["ATOM", "BOND"], "section", "declared")
-    found = _mol2(spark, path, "ATOM").union(_mol2(spark, path, "BOND")).groupBy("file", "section").agg(F.count("*").alias("found"))
-    return declared.join(found, ["file", "section"], "left").withColumn("found", F.coalesce("found", F.lit(0))).where("declared <> found")
+    rows, none = _mol2(spark, path), F.lit(0).cast("long")
+    head = (F.col("section") == "MOLECULE") & F.trim("line").rlike(r"^\d+(\s+\d+)*$")
+    said = lambda section, k: F.sum(F.when(head, F.coalesce(_p(k, "long"), none)).otherwise(none)).alias(f"said{section}")
+    had = lambda section: F.sum((F.col("section") == section).cast("long")).alias(f"had{section}")
+    sums = rows.groupBy("file").agg(said("ATOM", 0), said("BOND", 1), had("ATOM"), had("BOND"))
+    both = F.inline(F.array(*(F.struct(F.lit(x).alias("section"), F.col(f"said{x}").alias("declared"), F.col(f"had{x}").alias("found")) for x in ("ATOM", "BOND"))))
+    return sums.select("file", both).where("declared <> found")
 
 
 def read_mol2_box(spark: SparkSession, path: str) -> DataFrame:
     """(file, a, b, c, alpha, beta, gamma) of a CRYSIN section."""
-    return cells(_mol2(spark, path, "CRYSIN"), F.array(*(_p(k, "double") for k in range(6))))
+    return cells(_mol2(spark, path).where("section = 'CRYSIN'"), F.array(*(_p(k, "double") for k in range(6))))
 
 
 def read_mol2_bonds(spark: SparkSession, path: str) -> DataFrame:
-    """(file, atom1, atom2, order): serials become indices; the order is null unless it is a number."""
-    bonds = _mol2(spark, path, "BOND").select("file", _p(1, "long").alias("s1"), _p(2, "long").alias("s2"), _p(3, "int").alias("order"))
-    index = read_mol2_atoms(spark, path).select("file", "serial", "atom_index")
-    for k in ("1", "2"):
-        bonds = bonds.join(index.withColumnsRenamed({"serial": f"s{k}", "atom_index": f"atom{k}"}), ["file", f"s{k}"])
-    return bonds.select("file", "atom1", "atom2", "order")
+    """(file, atom1, atom2, order): serials, which count within a molecule, become indices; the order is null unless it is a number."""
+    rows, none = _mol2(spark, path), F.lit(None).cast("long")
+    entry = lambda serial, index, end: F.struct(serial.alias("serial"), index.alias("index"), end.cast("int").alias("end"))
+    own = F.when(F.col("section") == "ATOM", F.array(entry(_p(0, "long"), F.col("atom") - 1, none)))
+    ends = F.when(F.col("section") == "BOND", F.array(*(entry(_p(k, "long"), none, F.lit(k)) for k in (1, 2))))
+    met = rows.select("file", "n", "molecule", _p(3, "int").alias("order"), F.inline(F.coalesce(own, ends))).where("serial is not null")
+    # the ends of a bond meet the atom of their serial in the molecule, then each other
+    met = met.withColumn("atom", F.max("index").over(Window.partitionBy("file", "molecule", "serial"))).where("end is not null and atom is not null")
+    one = lambda k: F.max(F.when(F.col("end") == k, F.col("atom")))
+    return met.groupBy("file", "n", "order").agg(one(1).alias("atom1"), one(2).alias("atom2")).where("atom1 is not null and atom2 is not null").select("file", "atom1", "atom2", "order")
 
 
 def mol2_lines(atoms: DataFrame, order: str = "atom_index") -> DataFrame:
@@ -72,8 +84,8 @@ def mol2_lines(atoms: DataFrame, order: str = "atom_index") -> DataFrame:
 
 def read_psf_atoms(spark: SparkSession, path: str) -> DataFrame:
     """segid, resid, resname, name, atom_type, charge and mass of the NATOM section."""
-    rows = numbered(_fields(_sections(read_lines(spark, path), F.when(F.col("line").contains("!"), F.regexp_extract("line", r"!(\w+)", 1))).where("section = 'NATOM'")), "atom_index")
-    return rows.select("file", "atom_index", _p(1).alias("segid"), F.regexp_extract(_p(2), r"-?\d+", 0).cast("int").alias("resid"), _p(3).alias("resname"), _p(4).alias("name"), _p(5).alias("atom_type"), _float(_p(6)).alias("charge"), _float(_p(7)).alias("mass"))
+    rows = _fields(_scanned(spark, path, F.when(F.col("line").contains("!"), F.regexp_extract("line", r"!(\w+)", 1))).where("section = 'NATOM'"))
+    return rows.select("file", F.col("k").alias("atom_index"), _p(1).alias("segid"), F.regexp_extract(_p(2), r"-?\d+", 0).cast("int").alias("resid"), _p(3).alias("resname"), _p(4).alias("name"), _p(5).alias("atom_type"), _float(_p(6)).alias("charge"), _float(_p(7)).alias("mass"))
 
 
 def psf_lines(atoms: DataFrame, order: str = "atom_index") -> DataFrame:
@@ -84,10 +96,8 @@ def psf_lines(atoms: DataFrame, order: str = "atom_index") -> DataFrame:
 
 def read_crd(spark: SparkSession, path: str) -> DataFrame:
     """Atoms below `*` titles and a count line, in the fixed columns of the standard layout or, after EXT, of the extended one."""
-    lines = read_lines(spark, path).where("not startswith(line, '*') and trim(line) <> ''")
-    first = numbered(lines, "k")
-    wide = first.where("k = 0").select("file", F.upper("line").contains("EXT").alias("wide"))
-    rows = first.where("k > 0").join(wide, "file")
+    row = ~F.col("line").startswith("*") & (F.trim("line") != "")
+    rows = scan(spark, path, counts={"k": row}, heads={"head": (row, 1)}).where(row).withColumns({"k": F.col("k") - 1, "wide": F.upper(F.get("head", F.lit(0))["line"]).contains("EXT")}).where("k > 0")
     at = lambda standard, extended, read=_cut: F.when(F.col("wide"), read(*extended)).otherwise(read(*standard))
     x = [at((21 + 10 * k, 10), (41 + 20 * k, 20), _number).alias(c) for k, c in enumerate("xyz")]
     resid = F.coalesce(at((57, 4), (113, 8)).try_cast("int"), at((6, 5), (11, 10)).try_cast("int"))
@@ -107,9 +117,9 @@ def crd_lines(atoms: DataFrame, order: str = "atom_index", extended: bool = Fals
 
 def read_pdbqt(spark: SparkSession, path: str) -> DataFrame:
     """One structure: the columns of a PDB line, then partial charge and atom type; reading stops at END."""
-    lines = counted(read_lines(spark, path), ended=F.trim("line") == "END")
-    rows = numbered(lines.where((F.col("ended") == 0) & F.substring("line", 1, 6).isin("ATOM  ", "HETATM")), "atom_index")
-    return rows.select("file", "atom_index", _cut(13, 4).alias("name"), _cut(18, 4).alias("resname"), _cut(22, 1).alias("chain_id"), _number(23, 4, "int").alias("resid"), *(_number(31 + 8 * k, 8).alias(c) for k, c in enumerate("xyz")), _number(69, 8).alias("charge"), _cut(78, 2).alias("atom_type"))
+    atom = F.substring("line", 1, 6).isin("ATOM  ", "HETATM")
+    rows = scan(spark, path, counts={"ended": F.trim("line") == "END", "atom": atom}).where((F.col("ended") == 0) & atom)
+    return rows.select("file", (F.col("atom") - 1).alias("atom_index"), _cut(13, 4).alias("name"), _cut(18, 4).alias("resname"), _cut(22, 1).alias("chain_id"), _number(23, 4, "int").alias("resid"), *(_number(31 + 8 * k, 8).alias(c) for k, c in enumerate("xyz")), _number(69, 8).alias("charge"), _cut(78, 2).alias("atom_type"))
 
 
 def pdbqt_lines(atoms: DataFrame, order: str = "atom_index") -> DataFrame:
@@ -121,7 +131,7 @@ def pdbqt_lines(atoms: DataFrame, order: str = "atom_index") -> DataFrame:
 
 def _lammps(spark: SparkSession, path: str) -> DataFrame:
     mark = F.when(F.col("line").rlike(r"^\s*[A-Z][a-z]+( [A-Z][a-z]+)*\s*(#.*)?$"), F.trim(F.regexp_replace("line", "#.*", "")))
-    return _fields(_sections(read_lines(spark, path), F.when(F.col("n") > 0, mark)))
+    return _fields(_scanned(spark, path, mark).where("at > 0"))  # the first line is a title
 
 
 def read_lammps_data(spark: SparkSession, path: str, style: str = "full") -> DataFrame:
@@ -132,11 +142,14 @@ def read_lammps_data(spark: SparkSession, path: str, style: str = "full") -> Dat
     mol, kind, charge, x = {"atomic": (None, 1, None, 2), "charge": (None, 1, 2, 3), "molecular": (1, 2, None, 3), "full": (1, 2, 3, 4)}[style]
     rows = _lammps(spark, path)
     value = lambda i, t: F.lit(None).cast(t) if i is None else _p(i, t)
-    atoms = rows.where("section = 'Atoms'").select("file", _p(0, "long").alias("id"), F.coalesce(value(mol, "int"), F.lit(1)).alias("resid"), _p(kind).alias("atom_type"), value(charge, "double").alias("charge"), *(_p(x + k, "double").alias(c) for k, c in enumerate("xyz")))
+    one = lambda section, *columns: F.max(F.when(F.col("section") == section, F.struct(*columns)))
+    atom = one("Atoms", "n", F.coalesce(value(mol, "int"), F.lit(1)).alias("resid"), _p(kind).alias("atom_type"), value(charge, "double").alias("charge"), *(_p(x + k, "double").alias(c) for k, c in enumerate("xyz")))
+    speed = one("Velocities", "n", *(_p(1 + k, "double").alias(f"v{c}") for k, c in enumerate("xyz")))
+    found = rows.where(F.col("section").isin("Atoms", "Velocities")).groupBy("file", _p(0, "long").alias("id")).agg(atom.alias("a"), speed.alias("v")).where("a is not null")
+    atoms = found.select("file", "id", "a.resid", "a.atom_type", "a.charge", *(f"a.{c}" for c in "xyz"), *(f"v.v{c}" for c in "xyz"))
     masses = rows.where("section = 'Masses'").select("file", _p(0).alias("atom_type"), _p(1, "double").alias("mass"))
-    speeds = rows.where("section = 'Velocities'").select("file", _p(0, "long").alias("id"), *(_p(1 + k, "double").alias(f"v{c}") for k, c in enumerate("xyz")))
     index = (F.row_number().over(Window.partitionBy("file").orderBy("id")) - 1).cast("long")
-    return atoms.join(masses, ["file", "atom_type"], "left").join(speeds, ["file", "id"], "left").select("file", index.alias("atom_index"), "id", F.concat(F.lit("TYPE"), "atom_type").alias("name"), "atom_type", "resid", "mass", "charge", *"xyz", "vx", "vy", "vz")
+    return atoms.join(masses, ["file", "atom_type"], "left").select("file", index.alias("atom_index"), "id", F.concat(F.lit("TYPE"), "atom_type").alias("name"), "atom_type", "resid", "mass", "charge", *"xyz", "vx", "vy", "vz")
 
 
 def read_lammps_bonds(spark: SparkSession, path: str) -> DataFrame:
@@ -155,7 +168,7 @@ def _tilted(low: list[Column], high: list[Column], tilt: list[Column]) -> Column
 
 def read_lammps_box(spark: SparkSession, path: str) -> DataFrame:
     """(file, a, b, c, alpha, beta, gamma) from a data file's xlo xhi, ylo yhi, zlo zhi and xy xz yz lines."""
-    rows = _fields(read_lines(spark, path))
+    rows = _fields(spark.read.text(path).select(source_file().alias("file"), F.regexp_replace("value", "\r", "").alias("line")))
     pick = lambda tag, at, k: F.max(F.when(_p(at) == tag, _p(k, "double")))
     held = rows.groupBy("file").agg(*(pick(f"{c}lo", 2, k).alias(f"{side}{c}") for c in "xyz" for k, side in enumerate(("low", "high"))), *(pick("xy", 3, k).alias(t) for k, t in enumerate(("xy", "xz", "yz"))))
     return cells(held.where("lowx is not null"), _tilted([F.col(f"low{c}") for c in "xyz"], [F.col(f"high{c}") for c in "xyz"], [F.col(t) for t in ("xy", "xz", "yz")]))
@@ -167,46 +180,53 @@ def lammps_lines(atoms: DataFrame, order: str = "atom_index") -> DataFrame:
 
 
 def _dump(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of all items with their frame, and each frame's step and cell: edges of the cell itself, which tilts make smaller than the bounds."""
     item = F.when(F.col("line").startswith("ITEM:"), F.trim(F.substring("line", 6, 1000)))
-    return counted(_sections(read_lines(spark, path), item), stepped=F.col("section") == "TIMESTEP").withColumn("frame", F.col("stepped") - 1)
-
-
-def _dump_bounds(rows: DataFrame) -> DataFrame:
-    """(file, frame, low_x ... high_z, xy, xz, yz): edges of the cell itself, which tilts make smaller than the bounds."""
-    held = numbered(_fields(rows.where("startswith(section, 'BOX BOUNDS')")), "k", "frame")
-    at = lambda k, e: F.coalesce(F.max(F.when(F.col("k") == k, _p(e, "double"))), F.lit(0.0))
-    held = held.groupBy("file", "frame").agg(*(at(k, e).alias(f"{side}_{c}") for k, c in enumerate("xyz") for e, side in enumerate(("low", "high"))), *(at(k, 2).alias(t) for k, t in enumerate(("xy", "xz", "yz"))))
+    rows = _fields(_scanned(spark, path, item, counts={"stepped": item == "TIMESTEP"})).withColumn("frame", F.col("stepped") - 1)
+    frame = Window.partitionBy("file", "frame")  # atoms are sorted frame by frame below
+    bound = lambda k, e: F.coalesce(F.max(F.when(F.col("section").startswith("BOX BOUNDS") & (F.col("k") == k), _p(e, "double"))).over(frame), F.lit(0.0))
+    step = F.max(F.when(F.col("section") == "TIMESTEP", _p(0, "long"))).over(frame)
+    held = rows.withColumns({"step": step, **{f"{side}_{c}": bound(k, e) for k, c in enumerate("xyz") for e, side in enumerate(("low", "high"))}, **{t: bound(k, 2) for k, t in enumerate(("xy", "xz", "yz"))}})
     zero, both = F.lit(0.0), F.col("xy") + F.col("xz")
     inner = {"low_x": F.col("low_x") - F.least(zero, F.col("xy"), F.col("xz"), both), "high_x": F.col("high_x") - F.greatest(zero, F.col("xy"), F.col("xz"), both), "low_y": F.col("low_y") - F.least(zero, F.col("yz")), "high_y": F.col("high_y") - F.greatest(zero, F.col("yz"))}
     return held.withColumns(inner)
 
 
-def read_lammps_dump(spark: SparkSession, path: str) -> DataFrame:
-    """(file, frame_index, step, id, atom_index, x, y, z, vx, vy, vz), sorted by id within frames; scaled xs, ys, zs are multiplied out, in tilted cells too."""
-    rows = _dump(spark, path)
-    steps = _fields(rows.where("section = 'TIMESTEP'")).select("file", "frame", _p(0, "long").alias("step"))
-    held = _fields(rows.where("startswith(section, 'ATOMS')")).withColumn("names", F.split(F.trim(F.substring("section", 6, 1000)), r"\s+"))
+def read_lammps_dump(spark: SparkSession, path: str, unwrap: bool = False, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(file, frame_index, step, id, atom_index, x, y, z, vx, vy, vz), sorted by id within frames; scaled xs, ys, zs are multiplied out, in tilted cells too.
+
+    ``unwrap`` moves wrapped places by the cells that the image flags ix, iy, iz count; unwrapped columns stay. ``extra``
+    names further columns of numbers to keep. Missing columns give nulls.
+    """
+    held = _dump(spark, path).where("startswith(section, 'ATOMS')").withColumn("names", F.split(F.trim(F.substring("section", 6, 1000)), r"\s+"))
     named = lambda name: F.get("p", (F.array_position("names", name) - 1).cast("int")).try_cast("double")  # noqa: E731  (null for a name that is missing)
-    held = held.join(_dump_bounds(rows), ["file", "frame"]).join(steps, ["file", "frame"])
+    has = lambda name: F.array_contains("names", name)
     span = lambda c: F.col(f"high_{c}") - F.col(f"low_{c}")
     s = {c: F.coalesce(named(f"{c}s"), named(f"{c}su")) for c in "xyz"}
     scaled = {"x": F.col("low_x") + s["x"] * span("x") + s["y"] * F.col("xy") + s["z"] * F.col("xz"), "y": F.col("low_y") + s["y"] * span("y") + s["z"] * F.col("yz"), "z": F.col("low_z") + s["z"] * span("z")}
-    found = held.select("file", F.col("frame").cast("int").alias("frame_index"), "step", named("id").cast("long").alias("id"), *(F.coalesce(named(c), scaled[c], named(f"{c}u")).alias(c) for c in "xyz"), *(named(f"v{c}").alias(f"v{c}") for c in "xyz"))
-    return found.withColumn("atom_index", (F.row_number().over(Window.partitionBy("file", "frame_index").orderBy("id")) - 1).cast("long"))
+    place = {c: F.coalesce(named(c), scaled[c], named(f"{c}u")) for c in "xyz"}
+    if unwrap:
+        i = {c: F.when(has(c) | has(f"{c}s"), named(f"i{c}")).otherwise(0.0) for c in "xyz"}
+        moved = {"x": i["x"] * span("x") + i["y"] * F.col("xy") + i["z"] * F.col("xz"), "y": i["y"] * span("y") + i["z"] * F.col("yz"), "z": i["z"] * span("z")}
+        place = {c: place[c] + moved[c] for c in "xyz"}
+    index = (F.row_number().over(Window.partitionBy("file", "frame").orderBy("id")) - 1).cast("long")
+    held = held.withColumns({"id": named("id").cast("long"), **{f"_{c}": v for c, v in place.items()}})
+    return held.select("file", F.col("frame").cast("int").alias("frame_index"), "step", "id", *(F.col(f"_{c}").alias(c) for c in "xyz"), *(named(f"v{c}").alias(f"v{c}") for c in "xyz"), *(named(c).alias(c) for c in extra), index.alias("atom_index"))
 
 
 def read_lammps_dump_box(spark: SparkSession, path: str) -> DataFrame:
     """(file, frame_index, a, b, c, alpha, beta, gamma) of every frame."""
-    held = _dump_bounds(_dump(spark, path)).withColumn("frame_index", F.col("frame").cast("int"))
+    held = _dump(spark, path).where("section = 'TIMESTEP'").withColumn("frame_index", F.col("frame").cast("int"))
     return cells(held, _tilted([F.col(f"low_{c}") for c in "xyz"], [F.col(f"high_{c}") for c in "xyz"], [F.col(t) for t in ("xy", "xz", "yz")]), "frame_index")
 
 
 def read_tinker(spark: SparkSession, path: str) -> DataFrame:
     """(file, frame_index, atom_index, id, name, x, y, z, atom_type, partners) of one or many frames, with or without box lines."""
-    lines = _fields(read_lines(spark, path).where("trim(line) <> ''"))
-    size = lines.where("n = 0").select("file", _p(0, "int").alias("size"))
-    atom = (F.size("p") >= 6) & _p(1, "double").isNull() & _p(2, "double").isNotNull()
-    rows = numbered(lines.where(atom), "k").join(size, "file")
+    p = F.split(F.trim("line"), r"\s+")
+    number = lambda k: F.get(p, F.lit(k)).try_cast("double")
+    atom = (F.size(p) >= 6) & number(1).isNull() & number(2).isNotNull()
+    rows = scan(spark, path, counts={"k": atom}, heads={"head": (F.trim("line") != "", 1)}).where(atom)
+    rows = _fields(rows.withColumns({"k": F.col("k") - 1, "size": F.get(F.split(F.trim(F.get("head", F.lit(0))["line"]), r"\s+"), F.lit(0)).try_cast("int")}))
     return rows.select("file", F.floor(F.col("k") / F.col("size")).cast("int").alias("frame_index"), (F.col("k") % F.col("size")).cast("long").alias("atom_index"), _p(0, "long").alias("id"), _p(1).alias("name"), *(_p(2 + k, "double").alias(c) for k, c in enumerate("xyz")), _p(5).alias("atom_type"), F.transform(F.slice("p", 7, 99), lambda s: s.try_cast("long")).alias("partners"))
 
 
@@ -219,16 +239,17 @@ def tinker_lines(coords: DataFrame, title: str = "") -> DataFrame:
 
 def _inpcrd(spark: SparkSession, path: str) -> DataFrame:
     """(file, size, i, v, total): the numbers below the header, fixed fields of 12 columns, six a line."""
-    lines = read_lines(spark, path)
-    size = lines.where("n = 1").select("file", F.element_at(F.split(F.trim("line"), r"\s+"), 1).try_cast("long").alias("size"))
+    fields = F.when(F.trim("line") != "", F.ceil(F.length(F.rtrim("line")) / 12)).otherwise(0)
+    lines = scan(spark, path, counts={"row": F.trim("line") != "", "fields": fields}, heads={"head": (F.lit(True), 2)})
+    above = lambda of: F.aggregate("head", F.lit(0).cast("long"), lambda s, x: s + of(x["line"]))
+    size = F.element_at(F.split(F.trim(F.get("head", F.lit(1))["line"]), r"\s+"), 1).try_cast("long")
+    full = above(lambda x: (F.trim(x) != "").cast("long"))
+    held = lines.where("n >= 2 and trim(line) <> ''").withColumns({"size": size, "row": F.col("row") - full - 1, "total": F.col("fields_total") - above(lambda x: F.when(F.trim(x) != "", F.ceil(F.length(F.rtrim(x)) / 12)).otherwise(0))})
     cut = F.expr("transform(sequence(0, cast(ceil(length(rtrim(line)) / 12) as int) - 1), k -> try_cast(trim(substring(line, 12 * k + 1, 12)) as double))")
-    rows = numbered(lines.where("n >= 2 and trim(line) <> ''"), "row")
     # only the last line of the coordinates, and of the velocities, may be short
-    held = rows.join(size, "file").withColumn("per", F.ceil(F.col("size") / 2))
-    values = held.select("file", "size", "row", "per", F.posexplode(cut).alias("k", "v"))
-    part = F.floor(F.col("row") / F.col("per"))
-    placed = values.withColumn("i", part * 3 * F.col("size") + (F.col("row") - part * F.col("per")) * 6 + F.col("k"))
-    return placed.join(placed.groupBy("file").agg((F.max("i") + 1).alias("total")), "file")
+    held = held.withColumn("per", F.ceil(F.col("size") / 2)).withColumn("part", F.floor(F.col("row") / F.col("per")))
+    values = held.select("file", "size", "row", "per", "part", "total", F.posexplode(cut).alias("k", "v"))
+    return values.withColumn("i", F.col("part") * 3 * F.col("size") + (F.col("row") - F.col("part") * F.col("per")) * 6 + F.col("k"))
 
 
 def read_inpcrd(spark: SparkSession, path: str) -> DataFrame:
@@ -251,28 +272,29 @@ def inpcrd_lines(atoms: DataFrame, order: str = "atom_index") -> DataFrame:
     return atoms.groupBy(F.floor(F.col(order) / 2).alias("n")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("i"), one.alias("v")))), lambda s: s["v"]), "").alias("value"))
 
 
-def _aims(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Rows of fields with the number of atoms up to each, and lattice vectors by file."""
-    rows = _fields(read_lines(spark, path).where("trim(line) <> '' and not startswith(trim(line), '#')"))
-    cell = numbered(rows.where(_p(0) == "lattice_vector"), "k")
-    cell = cell.groupBy("file").agg(*(F.max(F.when(F.col("k") == k, _p(1 + m, "double"))).alias(f"{v}{c}") for k, v in enumerate("abc") for m, c in enumerate("xyz")))
-    return counted(rows, atoms=_p(0).isin("atom", "atom_frac")), cell
+def _aims(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of fields with the number of atoms up to each, and the lattice vectors, if any."""
+    row = (F.trim("line") != "") & ~F.trim("line").startswith("#")
+    word = F.element_at(F.split(F.trim("line"), r"\s+"), 1)
+    rows = scan(spark, path, counts={"atoms": row & word.isin("atom", "atom_frac")}, heads={"cell": (row & (word == "lattice_vector"), 3)}).where(row)
+    at = lambda k, m: F.get(F.split(F.trim(F.get("cell", F.lit(k))["line"]), r"\s+"), F.lit(1 + m)).try_cast("double")
+    return _fields(rows.withColumns({f"{v}{c}": at(k, m) for k, v in enumerate("abc") for m, c in enumerate("xyz")}))
 
 
 def read_aims(spark: SparkSession, path: str) -> DataFrame:
     """Atoms of a geometry file, with the velocity line below each, if any; fractional ones are multiplied by its three lattice vectors."""
-    rows, cell = _aims(spark, path)
-    index = (F.col("atoms") - 1).cast("long").alias("atom_index")
-    atoms = rows.where(_p(0).isin("atom", "atom_frac")).join(cell, "file", "left")
+    rows = _aims(spark, path).where(_p(0).isin("atom", "atom_frac", "velocity"))
     frac = _p(0) == "atom_frac"
     place = lambda m, c: F.when(frac, sum(_p(1 + k, "double") * F.col(f"{v}{c}") for k, v in enumerate("abc"))).otherwise(_p(1 + m, "double"))
-    speeds = rows.where(_p(0) == "velocity").select("file", index, *(_p(1 + k, "double").alias(f"v{c}") for k, c in enumerate("xyz")))
-    return atoms.select("file", index, _p(4).alias("name"), *(place(m, c).alias(c) for m, c in enumerate("xyz"))).join(speeds, ["file", "atom_index"], "left")
+    atom = F.max(F.when(_p(0) != "velocity", F.struct("n", _p(4).alias("name"), *(place(m, c).alias(c) for m, c in enumerate("xyz")))))
+    speed = F.max(F.when(_p(0) == "velocity", F.struct("n", *(_p(1 + k, "double").alias(f"v{c}") for k, c in enumerate("xyz")))))
+    found = rows.groupBy("file", (F.col("atoms") - 1).cast("long").alias("atom_index")).agg(atom.alias("a"), speed.alias("v")).where("a is not null")
+    return found.select("file", "atom_index", "a.name", *(f"a.{c}" for c in "xyz"), *(f"v.v{c}" for c in "xyz"))
 
 
 def read_aims_box(spark: SparkSession, path: str) -> DataFrame:
     """(file, a, b, c, alpha, beta, gamma) of its lattice vectors."""
-    _, cell = _aims(spark, path)
+    cell = _aims(spark, path).where(F.size("cell") > 0).groupBy("file").agg(*(F.max(f"{v}{c}").alias(f"{v}{c}") for v in "abc" for c in "xyz"))
     return cells(cell, lattice_angles(*(Vec(*(F.col(f"{v}{c}") for c in "xyz")) for v in "abc")))
 
 
@@ -282,21 +304,25 @@ def aims_lines(atoms: DataFrame, order: str = "atom_index") -> DataFrame:
 
 def _dlpoly(spark: SparkSession, path: str, history: bool) -> DataFrame:
     """Lines below the header with the frame, and the place k in it: a step line (in a history), three cell rows unless imcon is 0, then blocks of an atom."""
-    lines = _fields(read_lines(spark, path).where("trim(line) <> ''"))
-    head = lines.where("n = 1").select("file", _p(0, "int").alias("lev"), _p(1, "int").alias("imcon"), _p(2, "long").alias("size"))
-    rows = lines.where("n >= 2").join(head, "file").withColumn("cell", F.when(F.col("imcon") != 0, 3).otherwise(0))
+    lines = _fields(scan(spark, path, heads={"head": (F.lit(True), 2)}).where("trim(line) <> ''")).withColumn("head", F.split(F.trim(F.get("head", F.lit(1))["line"]), r"\s+"))
+    of = lambda k, kind: F.get("head", F.lit(k)).try_cast(kind)
+    rows = lines.where("n >= 2").withColumns({"lev": of(0, "int"), "imcon": of(1, "int"), "size": of(2, "long")}).withColumn("cell", F.when(F.col("imcon") != 0, 3).otherwise(0))
     if not history:
         return rows.withColumns({"frame": F.lit(0).cast("long"), "k": F.col("n") - 2})
     per = 1 + F.col("cell") + F.col("size") * (F.col("lev") + 2)
     return rows.withColumns({"frame": F.floor((F.col("n") - 2) / per), "k": (F.col("n") - 2) % per - 1})
 
 
-def _dlpoly_atoms(rows: DataFrame) -> DataFrame:
-    rows = rows.withColumn("a", F.col("k") - F.col("cell")).where("a >= 0").withColumns({"block": F.floor(F.col("a") / (F.col("lev") + 2)), "m": F.col("a") % (F.col("lev") + 2)})
+def _dlpoly_atoms(rows: DataFrame, head: dict[str, Column] | None = None) -> DataFrame:
+    """Atoms in the order of their numbers, frame by frame; ``head``: what to take from each frame's first line (k = -1)."""
+    head = head or {}
+    rows = rows.where((F.col("k") == -1) | (F.col("k") >= F.col("cell"))).withColumn("a", F.col("k") - F.col("cell"))
+    rows = rows.withColumns({"block": F.when(F.col("k") < 0, -1).otherwise(F.floor(F.col("a") / (F.col("lev") + 2))), "m": F.when(F.col("k") >= 0, F.col("a") % (F.col("lev") + 2))})
     three = lambda m, name: F.max(F.when(F.col("m") == m, F.struct(*(_float(_p(k)).alias(c) for k, c in enumerate("xyz"))))).alias(name)
-    found = rows.groupBy("file", "frame", "block").agg(F.max(F.when(F.col("m") == 0, F.struct(_p(0).alias("name"), _p(1, "long").alias("id")))).alias("a"), three(1, "r"), three(2, "v"), three(3, "f"))
-    order = Window.partitionBy("file", "frame").orderBy("a.id", "block")
-    return found.select("file", F.col("frame").cast("int").alias("frame_index"), (F.row_number().over(order) - 1).cast("long").alias("atom_index"), "a.name", *(F.col(f"{t}.{c}").alias(f"{p}{c}") for t, p in (("r", ""), ("v", "v"), ("f", "f")) for c in "xyz"))
+    found = rows.groupBy("file", "frame", "block").agg(F.max(F.when(F.col("m") == 0, F.struct(_p(0).alias("name"), _p(1, "long").alias("id")))).alias("a"), three(1, "r"), three(2, "v"), three(3, "f"), *(F.max(F.when(F.col("k") == -1, c)).alias(name) for name, c in head.items()))
+    frame = Window.partitionBy("file", "frame")
+    found = found.withColumns({name: F.max(name).over(frame) for name in head}).where("block >= 0")
+    return found.select("file", F.col("frame").cast("int").alias("frame_index"), *head, (F.row_number().over(frame.orderBy("a.id", "block")) - 1).cast("long").alias("atom_index"), "a.name", *(F.col(f"{t}.{c}").alias(f"{p}{c}") for t, p in (("r", ""), ("v", "v"), ("f", "f")) for c in "xyz"))
 
 
 def _dlpoly_cells(rows: DataFrame) -> DataFrame:
@@ -316,10 +342,8 @@ def read_dlpoly_box(spark: SparkSession, path: str) -> DataFrame:
 
 def read_dlpoly_history(spark: SparkSession, path: str) -> DataFrame:
     """(file, frame_index, step, time, atom_index, name, x ... fz) of every frame of a HISTORY file; the time is the last number of a step line."""
-    rows = _dlpoly(spark, path, True)
     last = F.element_at(F.filter(F.transform("p", lambda s: s.try_cast("double")), lambda v: v.isNotNull()), -1)
-    steps = rows.where("k = -1").select("file", F.col("frame").cast("int").alias("frame_index"), _p(1, "long").alias("step"), last.alias("time"))
-    return _dlpoly_atoms(rows).join(steps, ["file", "frame_index"])
+    return _dlpoly_atoms(_dlpoly(spark, path, True), {"step": _p(1, "long"), "time": last})
 
 
 def read_dlpoly_history_box(spark: SparkSession, path: str) -> DataFrame:

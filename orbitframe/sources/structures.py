@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orbitframe.functions.vectors import Vec, lattice_angles
-from orbitframe.sources.lines import counted, filled, fit, fixed, numbered, read_lines, write_lines
+from orbitframe.sources.lines import fit, fixed, scan, write_lines
 
 __all__ = ["write_lines"]
 CELL = ("a", "b", "c", "alpha", "beta", "gamma")
@@ -40,16 +40,26 @@ def hybrid36(value: Column, width: int) -> Column:
     return F.when(value.rlike(r"^-?\d+$"), value.try_cast("long")).when(whole & value.rlike("^[A-Z][0-9A-Z]*$"), upper).when(whole & value.rlike("^[a-z][0-9a-z]*$"), lower)
 
 
+def _is_atom() -> Column:
+    return F.substring("line", 1, 6).isin("ATOM  ", "HETATM")
+
+
+def _pdb(spark: SparkSession, path: str) -> DataFrame:
+    """Lines with the model's number and, at atoms, the atom's in it."""
+    begins = F.substring("line", 1, 5) == "MODEL"
+    lines = scan(spark, path, {"at": F.when(begins, F.lit(True))}, {"model": begins, "atom": _is_atom()})
+    return lines.withColumns({"frame_index": (F.greatest("model", F.lit(1)) - 1).cast("int"), "atom_index": F.col("atom") - 1 - F.when(F.col("model") > 1, F.col("at.atom")).otherwise(0)})
+
+
 def read_pdb(spark: SparkSession, path: str) -> DataFrame:
     """ATOM and HETATM records, a frame a MODEL; later models repeat the atoms of the first.
 
     Serials and residue numbers may be hybrid-36; residue numbers of five digits reach into the next column. Where
     numbers start again after 9999, 10,000 is added for the rest of the model (taken model by model, in one task each).
     """
-    models = counted(read_lines(spark, path), model=F.substring("line", 1, 5) == "MODEL")
-    rows = models.where(F.substring("line", 1, 6).isin("ATOM  ", "HETATM")).withColumn("frame_index", (F.greatest("model", F.lit(1)) - 1).cast("int"))
+    rows = _pdb(spark, path).where(_is_atom())
     wide = F.substring("line", 23, 5).rlike(r"^\s*\d{5}$")
-    rows = numbered(rows, "atom_index", "frame_index").withColumns({"wide": wide, "number": F.when(wide, _number(23, 5, "long")).otherwise(F.coalesce(hybrid36(_cut(23, 4), 4), F.lit(1)))})
+    rows = rows.withColumns({"wide": wide, "number": F.when(wide, _number(23, 5, "long")).otherwise(F.coalesce(hybrid36(_cut(23, 4), 4), F.lit(1)))})
     model = Window.partitionBy("file", "frame_index").orderBy("atom_index")
     rows = rows.withColumn("fell", F.col("number") - F.lag("number").over(model) < -5000)
     again = F.max(F.col("fell")).over(model.rowsBetween(Window.unboundedPreceding, 0))
@@ -63,7 +73,7 @@ def read_pdb(spark: SparkSession, path: str) -> DataFrame:
 def read_pdb_box(spark: SparkSession, path: str) -> DataFrame:
     """(file, a, b, c, alpha, beta, gamma) of the last CRYST1 record that is complete and no unit placeholder."""
     at = ((7, 9), (16, 9), (25, 9), (34, 7), (41, 7), (48, 7))
-    rows = read_lines(spark, path).where("startswith(line, 'CRYST1')").withColumn("box", F.array(*(_number(*x) for x in at)))
+    rows = scan(spark, path).where("startswith(line, 'CRYST1')").withColumn("box", F.array(*(_number(*x) for x in at)))
     good = rows.where(F.forall("box", lambda v: v.isNotNull()) & (F.col("box") != F.array(*map(F.lit, (1.0, 1.0, 1.0, 90.0, 90.0, 90.0)))))
     return cells(good.groupBy("file").agg(F.max_by("box", "n").alias("box")), F.col("box"))
 
@@ -74,12 +84,16 @@ def read_pdb_bonds(spark: SparkSession, path: str) -> DataFrame:
     free = F.filter(F.split(rest, r"\s+"), lambda s: s != "")
     cut = F.transform(F.sequence(F.lit(0), F.ceil(F.length(rest) / 5).cast("int") - 1), lambda k: F.trim(F.substr(rest, 5 * k + 1, F.lit(5))))
     fields = F.when(F.forall(free, lambda s: F.length(s) <= 5), free).otherwise(F.filter(cut, lambda s: s != ""))
-    rows = read_lines(spark, path).where("startswith(line, 'CONECT')").select("file", F.transform(fields, lambda s: hybrid36(s, 5)).alias("p"))
-    pairs = rows.select("file", F.get("p", F.lit(0)).alias("s1"), F.explode(F.slice("p", 2, 100)).alias("s2"))
-    index = read_pdb(spark, path).where("frame_index = 0").select("file", "serial", "atom_index")
-    for k in "12":
-        pairs = pairs.join(index.withColumnsRenamed({"serial": f"s{k}", "atom_index": f"i{k}"}), ["file", f"s{k}"])
-    return pairs.select("file", F.least("i1", "i2").alias("atom1"), F.greatest("i1", "i2").alias("atom2")).where("atom1 < atom2").distinct()
+    p = F.transform(fields, lambda s: hybrid36(s, 5))
+    entry = lambda serial, index, k: F.struct(serial.alias("serial"), index.alias("index"), k.cast("long").alias("k"))
+    none = F.lit(None).cast("long")
+    own = F.when(_is_atom() & (F.col("frame_index") == 0), F.array(entry(hybrid36(_cut(7, 5), 5), F.col("atom_index"), none)))
+    ends = F.when(F.col("line").startswith("CONECT"), F.flatten(F.transform(F.slice(p, 2, 100), lambda s, k: F.array(entry(F.get(p, F.lit(0)), none, k), entry(s, none, k)))))
+    met = _pdb(spark, path).select("file", "n", F.inline(F.coalesce(own, ends))).where("serial is not null")
+    # the ends of a bond meet the atom of their serial, then each other
+    met = met.withColumn("atom", F.max("index").over(Window.partitionBy("file", "serial"))).where("k is not null and atom is not null")
+    pairs = met.groupBy("file", "n", "k").agg(F.min("atom").alias("atom1"), F.max("atom").alias("atom2"), F.count("*").alias("ends"))
+    return pairs.where("ends = 2 and atom1 < atom2").select("file", "atom1", "atom2").distinct()
 
 
 def pdb_lines(atoms: DataFrame, order: str = "atom_index") -> DataFrame:
@@ -105,9 +119,8 @@ def conect_lines(bonds: DataFrame) -> DataFrame:
 
 def read_xyz(spark: SparkSession, path: str) -> DataFrame:
     """(file, frame_index, atom_index, name, x, y, z) of one or many frames of equal size."""
-    lines = read_lines(spark, path)
-    size = lines.where("n = 0").select("file", F.trim("line").try_cast("int").alias("size"))
-    rows = lines.join(size, "file").withColumns({"frame_index": F.floor(F.col("n") / (F.col("size") + 2)).cast("int"), "k": F.col("n") % (F.col("size") + 2)})
+    lines = scan(spark, path, heads={"head": (F.lit(True), 1)}).withColumn("size", F.trim(F.get("head", F.lit(0))["line"]).try_cast("int"))
+    rows = lines.withColumns({"frame_index": F.floor(F.col("n") / (F.col("size") + 2)).cast("int"), "k": F.col("n") % (F.col("size") + 2)})
     part = F.split(F.trim("line"), r"\s+")
     return rows.where("k >= 2 and trim(line) <> ''").select("file", "frame_index", (F.col("k") - 2).cast("long").alias("atom_index"), part[0].alias("name"), *(part[1 + i].try_cast("double").alias(c) for i, c in enumerate("xyz")))
 
@@ -121,9 +134,8 @@ def xyz_lines(coords: DataFrame, title: str = "") -> DataFrame:
 
 def _gro(spark: SparkSession, path: str) -> DataFrame:
     """Lines with the frame's size, its number, and the place k in it: title, size, atoms, box."""
-    lines = read_lines(spark, path)
-    size = lines.where("n = 1").select("file", F.trim("line").try_cast("int").alias("size"))
-    return lines.join(size, "file").withColumns({"frame_index": F.floor(F.col("n") / (F.col("size") + 3)).cast("int"), "k": F.col("n") % (F.col("size") + 3)})
+    lines = scan(spark, path, heads={"head": (F.lit(True), 2)}).withColumn("size", F.trim(F.get("head", F.lit(1))["line"]).try_cast("int"))
+    return lines.withColumns({"frame_index": F.floor(F.col("n") / (F.col("size") + 3)).cast("int"), "k": F.col("n") % (F.col("size") + 3)})
 
 
 def read_gro(spark: SparkSession, path: str) -> DataFrame:
@@ -159,10 +171,12 @@ def gro_lines(atoms: DataFrame, order: str = "atom_index") -> DataFrame:
 
 def read_pqr(spark: SparkSession, path: str) -> DataFrame:
     """Atoms with charge and radius: record serial name resname [chain] resid x y z charge radius."""
-    lines = read_lines(spark, path).withColumn("p", F.split(F.trim("line"), r"\s+")).where(F.col("p")[0].isin("ATOM", "HETATM"))
+    p = F.split(F.trim("line"), r"\s+")
+    atom = p[0].isin("ATOM", "HETATM")
+    lines = scan(spark, path, counts={"atom": atom}).where(atom).withColumn("p", p)
     k = F.when(F.size("p") >= 11, 1).otherwise(0)
     at = lambda i: F.get("p", F.lit(i) + k)
-    return numbered(lines, "atom_index").select("file", "atom_index", F.col("p")[2].alias("name"), F.col("p")[3].alias("resname"), F.when(k == 1, F.col("p")[4]).alias("chain_id"), at(4).try_cast("int").alias("resid"), *(at(5 + i).try_cast("double").alias(c) for i, c in enumerate(("x", "y", "z", "charge", "radius"))))
+    return lines.select("file", (F.col("atom") - 1).alias("atom_index"), F.col("p")[2].alias("name"), F.col("p")[3].alias("resname"), F.when(k == 1, F.col("p")[4]).alias("chain_id"), at(4).try_cast("int").alias("resid"), *(at(5 + i).try_cast("double").alias(c) for i, c in enumerate(("x", "y", "z", "charge", "radius"))))
 
 
 def pqr_lines(atoms: DataFrame, order: str = "atom_index") -> DataFrame:
@@ -171,8 +185,8 @@ def pqr_lines(atoms: DataFrame, order: str = "atom_index") -> DataFrame:
 
 def read_psf_bonds(spark: SparkSession, path: str) -> DataFrame:
     """(file, atom1, atom2), zero-based, from the !NBOND section: eight numbers a line."""
-    rows = filled(read_lines(spark, path), section=F.when(F.col("line").contains("!"), F.regexp_extract("line", r"!(\w+)", 1)))
-    rows = rows.where("section = 'NBOND' and not contains(line, '!') and trim(line) <> ''")
+    rows = scan(spark, path, {"section": F.when(F.col("line").contains("!"), F.regexp_extract("line", r"!(\w+)", 1))})
+    rows = rows.where("section.value = 'NBOND' and not contains(line, '!') and trim(line) <> ''")
     p = F.transform(F.split(F.trim("line"), r"\s+"), lambda s: s.try_cast("long") - 1)
     pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size("p") / 2).cast("int") - 1), lambda i: F.struct(F.get("p", 2 * i).alias("atom1"), F.get("p", 2 * i + 1).alias("atom2")))
     return rows.withColumn("p", p).select("file", F.explode(pairs).alias("b")).select("file", "b.atom1", "b.atom2")
