@@ -12,20 +12,30 @@ from orbitframe.sources.checkpoints import ensure_checkpoints
 RESIDUE = ("resid", "resname", "segid", "insertion_code")
 
 
-def residues(atoms: DataFrame, by: tuple[str, ...] = ("segid",)) -> DataFrame:
-    """atoms with ``residue_index``: a new residue wherever (resid, resname, segid, insertion code) differs from the atom before.
+def residues(atoms: DataFrame) -> DataFrame:
+    """atoms with ``residue_start`` and ``residue_index``: a new residue wherever an atom's number does not follow that of the
+    atom before, or (resid, resname, segid, insertion code) differ; residues are numbered by their first atoms.
 
-    Windows run within ``by``; residues are then numbered by their first atom. Segments are contiguous enough in
-    practice for a partition each; pass finer columns for very large ones.
+    Atoms are dealt into ranges of their numbers. Each range is looked through by itself, with the last atom of the range
+    before it; starts and counts of earlier ranges, a row a range, are added by a join. No label decides where an atom
+    goes, so one segment may hold all of them. Nulls equal nulls; an empty table gives an empty result.
     """
-    order = Window.partitionBy(*by).orderBy("atom_index")
-    change = F.lit(False)
+    ensure_checkpoints(atoms.sparkSession)
+    dealt = atoms.repartitionByRange("atom_index").withColumn("_range", F.spark_partition_id()).checkpoint()
+    order, ranges = Window.partitionBy("_range").orderBy("atom_index"), Window.orderBy("_range")  # a row a range
+    own = F.struct(F.col("atom_index").alias("i"), *RESIDUE)
+    ends = dealt.groupBy("_range").agg(F.max_by(own, "atom_index").alias("_end")).select("_range", F.lag("_end").over(ranges).alias("_end"))
+    met = dealt.join(ends, "_range").withColumn("_before", F.coalesce(F.lag(own).over(order), F.col("_end")))
+    same = F.col("atom_index") == F.col("_before.i") + 1
     for k in RESIDUE:
-        change = change | ~F.col(k).eqNullSafe(F.lag(k).over(order))
-    gap = F.col("atom_index") != F.lag("atom_index").over(order) + 1
-    start = F.when(F.coalesce(change | gap, F.lit(True)), F.col("atom_index"))
-    held = atoms.withColumn("residue_start", F.max(start).over(order))
-    return held.join(numbered(held.select("residue_start").distinct(), "residue_start", "residue_index"), "residue_start")
+        same = same & F.col(k).eqNullSafe(F.col(f"_before.{k}"))
+    met = met.withColumn("_start", F.when(F.coalesce(same, F.lit(False)), None).otherwise(F.col("atom_index"))).drop("_before", "_end")
+    earlier = ranges.rowsBetween(Window.unboundedPreceding, -1)
+    sums = met.groupBy("_range").agg(F.max("_start").alias("_last"), F.count("_start").alias("_n"))
+    carried = sums.select("_range", F.max("_last").over(earlier).alias("_last"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n"))
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    found = met.join(carried, "_range").withColumns({"residue_start": F.coalesce(F.max("_start").over(upto), F.col("_last")), "residue_index": F.col("_n") + F.count("_start").over(upto) - 1})
+    return found.drop("_range", "_start", "_last", "_n")
 
 
 def residue_table(atoms: DataFrame) -> DataFrame:
@@ -133,22 +143,52 @@ def dihedrals(bonds: DataFrame, places: DataFrame, by: tuple[str, ...] = (), box
     return met.select(*by, "first", "second", "third", "last", dihedral(*(_step(a, b, box) for a, b in ("12", "23", "34"))).alias("dihedral"))
 
 
-def fragments(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
+#: A key with more rows than this is split before it is joined.
+HUB = 1_000_000
+
+
+def _with_least(pairs: DataFrame, hub: int) -> DataFrame:
+    """(key, other, least): pairs with the smallest ``other`` of their key.
+
+    The rows of a key beyond ``hub`` are dealt into parts, as many as the largest key needs; the least of each part
+    meets the least of its key, a row a part, and then its part's rows.
+    """
+    most = pairs.groupBy("key").count().agg(F.max("count")).first()[0] or 0
+    parts = -(-most // hub)
+    if parts <= 1:
+        return pairs.join(pairs.groupBy("key").agg(F.min("other").alias("least")), "key")
+    dealt = pairs.withColumn("part", F.pmod(F.xxhash64("other"), F.lit(parts)))
+    by_part = dealt.groupBy("key", "part").agg(F.min("other").alias("least"))
+    by_key = by_part.groupBy("key").agg(F.min("least").alias("least"))
+    return dealt.join(by_part.select("key", "part").join(by_key, "key"), ["key", "part"]).select("key", "other", "least")
+
+
+def contract_stars(links: DataFrame, hub: int = HUB) -> DataFrame:
+    """(high, low): every linked number with the smallest one of its component, which itself has no row.
+
+    Large and small stars alternate: first every number hands its larger neighbours to its smallest neighbour, then its
+    smaller ones and itself. Links only move downwards until each component is one star.
+    """
+    ensure_checkpoints(links.sparkSession)
+    stars = links.select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low")).where("high > low").distinct().checkpoint()
+    while True:
+        both = stars.select(F.col("high").alias("key"), F.col("low").alias("other")).union(stars.select("low", "high"))
+        large = _with_least(both, hub).where("other > key").select(F.col("other").alias("high"), F.least("key", "least").alias("low")).distinct().checkpoint()
+        down = _with_least(large.select(F.col("high").alias("key"), F.col("low").alias("other")), hub)
+        small = down.select(F.col("key").alias("high"), F.col("least").alias("low")).union(down.where("other > least").select("other", "least"))
+        stars = small.distinct().checkpoint()
+        middle = stars.join(stars.select(F.col("high").alias("low")), "low", "left_semi").take(1)
+        if not middle and not stars.groupBy("high").count().where("count > 1").take(1):
+            return stars
+
+
+def fragments(atoms: DataFrame, bonds: DataFrame, hub: int = HUB) -> DataFrame:
     """(atom_index, fragment): connected atoms by the smallest atom_index among them; bonds to missing atoms are left out.
 
-    Each round takes the smallest label around and then that label's label, so rounds follow the logarithm of a
-    chain's length; checkpoints cut the lineage.
+    Components come from ``contract_stars``; checkpoints cut the lineage. Atoms without bonds are fragments of their own.
     """
-    ensure_checkpoints(atoms.sparkSession)
     known = atoms.select(F.col("atom_index").alias("k"))
-    e = edges(bonds).join(known, F.col("a") == F.col("k"), "left_semi").join(known, F.col("b") == F.col("k"), "left_semi")
-    e = e.checkpoint()
-    labels = atoms.select("atom_index", F.col("atom_index").alias("fragment"))
-    while True:
-        near = e.join(labels, e.b == labels.atom_index).groupBy("a").agg(F.min("fragment").alias("near"))
-        step = labels.join(near, labels.atom_index == near.a, "left").select("atom_index", F.col("fragment").alias("old"), F.least("fragment", F.coalesce("near", "fragment")).alias("fragment"))
-        jump = step.select(F.col("atom_index").alias("via"), F.col("fragment").alias("far"))
-        moved = step.join(jump, step.fragment == jump.via).select("atom_index", "old", F.least("fragment", "far").alias("fragment")).checkpoint()
-        labels = moved.select("atom_index", "fragment")
-        if not moved.where("fragment < old").take(1):
-            return labels
+    e = unique_bonds(bonds).select(F.col("atom1").alias("a"), F.col("atom2").alias("b"))
+    e = e.join(known, F.col("a") == F.col("k"), "left_semi").join(known, F.col("b") == F.col("k"), "left_semi")
+    stars = contract_stars(e, hub).withColumnsRenamed({"high": "atom_index", "low": "fragment"})
+    return atoms.select("atom_index").join(stars, "atom_index", "left").select("atom_index", F.coalesce("fragment", "atom_index").alias("fragment"))

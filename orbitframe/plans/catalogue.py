@@ -17,7 +17,7 @@ from orbitframe.functions.vectors import Box, Vec, dihedral_atan2, lattice_angle
 from orbitframe.operators import aggregates as A
 from orbitframe.operators import fitting, neighbors, timeseries, topology, transforms
 from orbitframe.operators import selection as S
-from orbitframe.plans import basics, files, frames, selections
+from orbitframe.plans import basics, files, frames, selections, systems
 from orbitframe.plans import views as V
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,11 +39,11 @@ def query(sql: str | None = None, tables: bool = True):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return _QUERIES | selections.queries() | files.queries() | basics.queries() | frames.queries()
+    return _QUERIES | selections.queries() | files.queries() | basics.queries() | frames.queries() | systems.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL | selections.oracle_sql() | files.oracle_sql() | basics.oracle_sql() | frames.oracle_sql()
+    return _SQL | selections.oracle_sql() | files.oracle_sql() | basics.oracle_sql() | frames.oracle_sql() | systems.oracle_sql()
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:

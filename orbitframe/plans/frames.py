@@ -61,6 +61,29 @@ def periodic_pairs(spark, d):
     return _six(neighbors.self_pairs_within(V.coords(spark, d), 0.7, BY, ORTHO), "distance")
 
 
+def _cell_sql(box: Box, cutoff: float) -> str:
+    """Distances to the nearest image: every step along the second and third vector within reach, and the best one along the first."""
+    v = box.vectors()
+    reach = "(select * from (select unnest(range(-5, 6)) as sj), (select unnest(range(-5, 6)) as sk))"
+    x, y, z = (f"q.x - p.x + sj * {v[1][0]!r} + sk * {v[2][0]!r}", f"q.y - p.y + sj * {v[1][1]!r} + sk * {v[2][1]!r}", f"q.z - p.z + sk * {v[2][2]!r}")
+    return f", h as (select p.frame_index, p.atom_index as i, q.atom_index as j, {x} as dx, {y} as dy, {z} as dz from {_MET} cross join {reach}), g as (select frame_index, i, j, min((dx - {v[0][0]!r} * round(dx / {v[0][0]!r})) ** 2 + dy ** 2 + dz ** 2) as d2 from h where dy ** 2 + dz ** 2 <= {cutoff**2!r} group by 1, 2, 3) select frame_index, i, j, round(sqrt(d2), 6) + 0.0 as distance from g where d2 <= {cutoff**2!r}"
+
+
+@query(_cell_sql(Box(*V.TILTED), 0.7))
+def tilted_pairs(spark, d):
+    return _six(neighbors.self_pairs_within(V.coords(spark, d), 0.7, BY, Box(*V.TILTED)), "distance")
+
+
+@query(_cell_sql(Box(*V.ELONGATED), 0.7))
+def elongated_pairs(spark, d):
+    return _six(neighbors.self_pairs_within(V.coords(spark, d), 0.7, BY, Box(*V.ELONGATED)), "distance")
+
+
+@query(_cell_sql(Box(*V.NEEDLE), 0.45))
+def needle_pairs(spark, d):
+    return _six(neighbors.self_pairs_within(V.coords(spark, d), 0.45, BY, Box(*V.NEEDLE)), "distance")
+
+
 @query(f", b as (select p.frame_index, p.atom_index as i, q.atom_index as j from {_MET} where {_D2} <= 1) select frame_index, atom_index, count(*) as n from (select frame_index, i as atom_index from b union all select frame_index, j from b) group by 1, 2")
 def contact_counts(spark, d):
     pairs = neighbors.self_pairs_within(V.coords(spark, d), 1.0, BY)

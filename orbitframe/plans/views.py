@@ -14,6 +14,8 @@ RESNAMES = ("ALA", "GLY", "SER", "HOH", "LYS", "ASP", "ADE", "GUA", "SOL", "VAL"
 ELEMENT_MASS = {"N": 14.007, "C": 12.011, "O": 15.999}
 BOX = (5.0, 6.0, 7.0, 90.0, 90.0, 90.0)
 TILTED = (5.0, 6.0, 7.0, 90.0, 80.0, 70.0)
+ELONGATED = (5.0, 20.0, 20.0, 90.0, 90.0, 40.0)
+NEEDLE = (1.0, 20.0, 20.0, 90.0, 90.0, 30.0)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -379,14 +379,21 @@ def read_hoomd_box(spark: SparkSession, path: str) -> DataFrame:
 
 
 def attach(atoms: DataFrame, coords: DataFrame, ids: bool = False) -> DataFrame:
-    """Topology and trajectory joined on atom_index; rows of frames whose atoms are not the topology's raise an error.
+    """Topology and trajectory joined; rows of frames whose atoms are not the topology's raise an error.
 
-    Each frame must have the topology's number of atoms and, with ``ids``, the same set of values in ``id``; the check
-    runs with the result, not before.
+    Each frame must have the topology's number of atoms, met by atom_index. With ``ids`` atoms meet by ``id`` instead,
+    whatever order a frame has them in, and take the topology's atom_index; each frame must hold each of the
+    topology's ids once and no other, compared as they are. The check runs with the result, not before.
     """
-    key = F.sum(F.hash("id").cast("long")) if ids else F.lit(0)
-    whole = atoms.agg(F.count("*").alias("_n"), key.alias("_ids"))
-    frames = coords.groupBy("frame_index").agg(F.count("*").alias("_m"), key.alias("_own"))
-    fine = (F.col("_m") == F.col("_n")) & F.col("_own").eqNullSafe(F.col("_ids"))
+    if not ids:
+        whole = atoms.agg(F.count("*").alias("_n"), F.lit(True).alias("_single"))
+        frames = coords.groupBy("frame_index").agg(F.count("*").alias("_m"), F.count("*").alias("_known"), F.count("*").alias("_distinct"))
+        met = atoms.drop(*"xyz").join(coords, "atom_index")
+    else:
+        whole = atoms.agg(F.count("*").alias("_n"), (F.count("*") == F.count_distinct("id")).alias("_single"))
+        own = atoms.select("id", F.lit(1).alias("_own"))
+        frames = coords.select("frame_index", "id").join(own, "id", "left").groupBy("frame_index").agg(F.count("*").alias("_m"), F.count("_own").alias("_known"), F.count_distinct("id").alias("_distinct"))
+        met = atoms.drop(*"xyz").join(coords.drop("atom_index"), "id")
+    fine = F.col("_single") & (F.col("_m") == F.col("_n")) & (F.col("_known") == F.col("_n")) & (F.col("_distinct") == F.col("_n"))
     checked = frames.join(F.broadcast(whole)).select("frame_index", F.when(fine, F.lit(0)).otherwise(F.raise_error(F.concat(F.lit("frame "), F.col("frame_index").cast("string"), F.lit(" has other atoms than the topology"))).cast("int")).alias("_ok"))  # whole is one row
-    return atoms.drop(*"xyz", *(["id"] if ids else [])).join(coords, "atom_index").join(checked, "frame_index").where("_ok = 0").drop("_ok")
+    return met.join(checked, "frame_index", "right").where("_ok = 0").drop("_ok")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,12 +61,20 @@ class Universe:
     def select(self, *chosen: Column | DataFrame | str, frame: int = 0, groups: Mapping[str, DataFrame] | None = None, among: DataFrame | None = None) -> DataFrame:
         """Atoms of a frame that meet all selections: Columns, sets of atom_index values, or texts.
 
-        ``among`` holds the atom_index values of a group to select from; ``global`` in a text then means all atoms.
+        ``among`` holds the atom_index values of a group to select from; ``global`` in a text then means all atoms. Where
+        groups are named too, a text that begins with ``global`` selects from these groups taken together.
         """
         everything = self.frame(frame)
         atoms = everything if among is None else everything.join(among, "atom_index", "left_semi")
         for c in chosen:
-            atoms = selection_text.select(atoms, c, self.bonds, groups, everything) if isinstance(c, str) else selection.select(atoms, c)
+            if not isinstance(c, str):
+                atoms = selection.select(atoms, c)
+                continue
+            whole = everything
+            if among is not None and groups and selection_text.parse(c)[0] == "global":
+                named = reduce(DataFrame.union, (g.select("atom_index") for g in groups.values()))
+                whole = everything.join(named, "atom_index", "left_semi")
+            atoms = selection_text.select(atoms, c, self.bonds, groups, whole)
         return atoms
 
     def bonded_to(self, inner: Column) -> DataFrame:
