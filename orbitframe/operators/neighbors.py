@@ -11,59 +11,84 @@ import math
 from functools import reduce
 from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orbitframe.functions.chemistry import element_mass
 from orbitframe.functions.vectors import Box, Vec, vec
 
 
-def _cells(place: Vec, counts: list[int] | None, widths: list[float]) -> list[Column]:
-    raw = [F.floor(c / w).cast("long") for c, w in zip(place, widths)]
-    return raw if counts is None else [F.pmod(c, F.lit(n)) for c, n in zip(raw, counts)]
+def _steps(reach: list[int], half: bool) -> list[tuple[int, ...]]:
+    """Steps to the cells around one; with ``half``, of a step and its opposite one only."""
+    return [d for d in product(*(range(-n, n + 1) for n in reach)) if not half or d >= (0, 0, 0)]
 
 
-def pairs_within(left: DataFrame, right: DataFrame, cutoff: float, by: tuple[str, ...] = (), box: Box | None = None, strict: bool = False, lower: float | None = None, half: bool = False) -> DataFrame:
-    """(*by, i, j, distance) of all pairs with distance <= cutoff (< if ``strict``) and > lower.
+def _images(rows: DataFrame, cutoff: float, box: Box | None, steps_of) -> tuple[DataFrame, DataFrame]:
+    """(rows with their place x, y, z and cell c0, c1, c2; rows once for each cell around theirs, at the place of the image next to it).
 
-    With a box distances are to the nearest image and the grid wraps around. Negative or non-finite cutoffs are errors.
-    ``half`` is for a set with itself in an open space: each pair of cells meets once, so each pair of points comes
-    once, in either direction.
+    In a periodic cell places lie inside it. A cell of the grid that is reached across a face is one at the other side,
+    and whoever meets there meets the image that lies across the face.
     """
-    if not math.isfinite(cutoff) or cutoff < 0 or (lower is not None and not 0 <= lower <= cutoff):
-        raise ValueError("cutoffs must be finite, not negative and in order")
     width = cutoff or 1e-9
     if box is None:
-        counts, widths = None, [width] * 3
-        place = vec()
-    else:
-        counts = [max(1, int(h // width)) for h in box.heights()]
-        widths = [1.0 / n for n in counts]
-        s = box.to_fractional(vec())
-        place = Vec(*(F.pmod(c, F.lit(1.0)) for c in s))
-    cells = _cells(place, counts, widths)
-    shifts = F.array(*(F.array(*map(F.lit, d)) for d in product((-1, 0, 1), repeat=3) if not half or d >= (0, 0, 0)))
-    moved = lambda k: cells[k] + F.col("shift")[k] if counts is None else F.pmod(cells[k] + F.col("shift")[k], F.lit(counts[k]))
-    here = left.select(*by, F.col("atom_index").alias("i"), *(F.col(c).alias(f"{c}1") for c in "xyz"), *(c.alias(f"c{k}") for k, c in enumerate(cells)))
-    there = right.withColumn("shift", F.explode(shifts)).select(*by, F.col("atom_index").alias("j"), *(F.col(c).alias(f"{c}2") for c in "xyz"), *(moved(k).alias(f"c{k}") for k in range(3)), *([(F.col("shift") == F.array(*[F.lit(0)] * 3)).alias("_own")] if half else []))
-    if counts is not None and min(counts) < 3:
-        there = there.distinct()  # shifts may fall on one cell
+        cells = [F.floor(c / width).cast("long") for c in vec()]
+        held = rows.withColumns({f"c{k}": c for k, c in enumerate(cells)})
+        around = held.withColumn("step", F.explode(F.array(*(F.array(*map(F.lit, d)) for d in steps_of([1, 1, 1])))))
+        return held, around.withColumns({f"c{k}": F.col(f"c{k}") + F.col("step")[k] for k in range(3)})
+    heights = box.heights()
+    counts = [max(1, int(h // width)) for h in heights]
+    s = box.to_fractional(vec())
+    held = rows.withColumns({f"s{k}": F.pmod(c, F.lit(1.0)) for k, c in enumerate(s)})
+    held = held.withColumns({f"c{k}": F.least(F.floor(F.col(f"s{k}") * n).cast("long"), F.lit(n - 1)) for k, n in enumerate(counts)})
+    steps = steps_of([math.ceil(cutoff * n / h - 1e-9) for n, h in zip(counts, heights)])
+    around = held.withColumn("step", F.explode(F.array(*(F.array(*map(F.lit, d)) for d in steps))))
+    around = around.withColumns({f"w{k}": F.floor((F.col(f"c{k}") + F.col("step")[k]) / n).cast("long") for k, n in enumerate(counts)})
+    around = around.withColumns({f"c{k}": F.col(f"c{k}") + F.col("step")[k] - F.col(f"w{k}") * n for k, n in enumerate(counts)})
+    inside, across = box.to_cartesian(Vec(*(F.col(f"s{k}") for k in range(3)))), box.to_cartesian(Vec(*(F.col(f"s{k}") - F.col(f"w{k}") for k in range(3))))
+    return held.withColumns(dict(zip("xyz", inside))), around.withColumns(dict(zip("xyz", across)))
+
+
+def _met(left: DataFrame, right: DataFrame, cutoff: float, by: tuple[str, ...], box: Box | None, half: bool) -> DataFrame:
+    """(*by, i, j, distance) of points in neighbouring cells; images of one pair each count in a cell that is short for the cutoff."""
+    steps = lambda reach: _steps(reach, half)
+    here = _images(left, cutoff, box, steps)[0].select(*by, F.col("atom_index").alias("i"), *(F.col(c).alias(f"{c}1") for c in "xyz"), "c0", "c1", "c2")
+    own = F.forall("step", lambda d: d == 0)
+    there = _images(right, cutoff, box, steps)[1].select(*by, F.col("atom_index").alias("j"), *(F.col(c).alias(f"{c}2") for c in "xyz"), "c0", "c1", "c2", own.alias("_own"))
     met = here.join(there, [*by, "c0", "c1", "c2"])
     if half:
         met = met.where(~F.col("_own") | (F.col("i") < F.col("j")))
-    d = vec(suffix="2") - vec(suffix="1")
-    distance = (box.nearest(d) if box else d).norm()
-    out = met.select(*by, "i", "j", distance.alias("distance"))
+    return met.select(*by, "i", "j", (vec(suffix="2") - vec(suffix="1")).norm().alias("distance"))
+
+
+def _nearest(found: DataFrame, cutoff: float, by: tuple[str, ...], box: Box | None) -> DataFrame:
+    """Each pair at its nearest image. Two images of a point within the cutoff lie at most twice that apart."""
+    if box is None or math.sqrt(sum(c * c for c in box.reduced()[0])) > 2 * cutoff * (1 + 1e-9):
+        return found
+    return found.groupBy(*by, "i", "j").agg(F.min("distance").alias("distance"))
+
+
+def _check(cutoff: float, lower: float | None) -> None:
+    if not math.isfinite(cutoff) or cutoff < 0 or (lower is not None and not 0 <= lower <= cutoff):
+        raise ValueError("cutoffs must be finite, not negative and in order")
+
+
+def pairs_within(left: DataFrame, right: DataFrame, cutoff: float, by: tuple[str, ...] = (), box: Box | None = None, strict: bool = False, lower: float | None = None) -> DataFrame:
+    """(*by, i, j, distance) of all pairs with distance <= cutoff (< if ``strict``) and > lower.
+
+    With a box distances are to the nearest image and the grid wraps around. Negative or non-finite cutoffs are errors.
+    """
+    _check(cutoff, lower)
     keep = F.col("distance") < cutoff if strict else F.col("distance") <= cutoff
-    return out.where(keep if lower is None else keep & (F.col("distance") > lower))
+    found = _nearest(_met(left, right, cutoff, by, box, False).where(keep), cutoff, by, box)
+    return found if lower is None else found.where(F.col("distance") > lower)
 
 
 def self_pairs_within(atoms: DataFrame, cutoff: float, by: tuple[str, ...] = (), box: Box | None = None, lower: float | None = None) -> DataFrame:
-    """Unique pairs i < j; in an open space each cell meets itself and half of its neighbours only."""
-    if box is not None:
-        return pairs_within(atoms, atoms, cutoff, by, box, lower=lower).where("i < j")
-    found = pairs_within(atoms, atoms, cutoff, by, lower=lower, half=True)
-    return found.select(*by, F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "distance")
+    """Unique pairs i < j; each cell meets itself and half of its neighbours only, across the faces of a box as well."""
+    _check(cutoff, lower)
+    met = _met(atoms, atoms, cutoff, by, box, True).where((F.col("distance") <= cutoff) & (F.col("i") != F.col("j")))
+    found = _nearest(met.select(*by, F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "distance"), cutoff, by, box)
+    return found if lower is None else found.where(F.col("distance") > lower)
 
 
 def all_distances(left: DataFrame, right: DataFrame, by: tuple[str, ...], box: Box | None = None) -> DataFrame:
