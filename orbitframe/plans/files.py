@@ -9,6 +9,10 @@ from orbitframe.plans import views as V
 from orbitframe.sources import amber, sections, structures
 from orbitframe.sources.checkpoints import scratch
 from orbitframe.sources.lines import write_lines
+from orbitframe.sources.sink import Section, write_sections
+from orbitframe.sources.systems import read_system, write_system
+from orbitframe.sources.trajectory import read_frames, write_frames
+from orbitframe.universe import Universe
 
 _QUERIES, _SQL = {}, {}
 TILTED = "5.0::double as a, 6.0::double as b, 7.0::double as c, 90.0::double as alpha, 80.0::double as beta, 70.0::double as gamma"
@@ -286,3 +290,117 @@ def _aims(spark, d):
 def aims_fractional(spark, d):
     got = sections.read_aims(spark, _aims(spark, d))
     return got.select("atom_index", "name", *((F.round(c, 8) + F.lit(0.0)).alias(c) for c in "xz"), (F.col("vx") + F.lit(0.0)).alias("vx"))
+
+
+# binary frames, and whole systems written and read by one call
+
+_SINGLE = ", ".join(f"cast(cast({c} as float) as double) as {c}" for c in "xyz")
+
+
+def _binary(spark: SparkSession, d: str) -> str:
+    cell = {c: F.lit(v) + (F.col("frame_index") if c == "a" else F.lit(0)) for c, v in zip(structures.CELL, V.TILTED)}
+    path = scratch(spark, "frames")
+    write_frames(V.coords(spark, d).withColumns(cell), path, delta=0.5, run_bytes=1 << 16)
+    return path
+
+
+@query(f"select frame_index, cast(frame_index as bigint) as step, 0.5::double * frame_index as time, atom_index, {_SINGLE} from coords")
+def binary_frames(spark, d):
+    return read_frames(spark, _binary(spark, d))
+
+
+@query(f"select frame_index, atom_index, {_SINGLE} from coords where frame_index between 5 and 7")
+def binary_frames_5_to_7(spark, d):
+    return read_frames(spark, _binary(spark, d)).where("frame_index between 5 and 7").select("frame_index", "atom_index", *"xyz")
+
+
+@query(f"select frame_index, 5.0::double + frame_index as a, 6.0::double as b, 7.0::double as c, 90.0::double as alpha, 80.0::double as beta, 70.0::double as gamma, (select count(*) from atoms) as n_atoms from {FRAMES}")
+def binary_cells(spark, d):
+    return read_frames(spark, _binary(spark, d), cells=True).select("frame_index", *structures.CELL, "n_atoms")
+
+
+def _system(spark: SparkSession, d: str) -> Universe:
+    box = V.coords(spark, d).select("frame_index").distinct().select("frame_index", *(F.lit(v).alias(c) for c, v in zip(structures.CELL, V.TILTED)))
+    return Universe(V.atoms(spark, d), V.coords(spark, d), V.bonds(spark, d), box)
+
+
+@query(f"select atom_index, name, resname, resid, segid, element, {_p(3)}, 80.0::double as beta, (select count(*) from bonds b where b.atom1 = atom_index or b.atom2 = atom_index) as degree from atoms join coords using (atom_index) where frame_index = 4")
+def system_as_pdb(spark, d):
+    path = scratch(spark, "system") + ".pdb"
+    write_system(_system(spark, d), path, frame=4)
+    u = read_system(spark, path)
+    degree = u.bonds.select(F.explode(F.array("atom1", "atom2")).alias("atom_index")).groupBy("atom_index").agg(F.count("*").alias("degree"))
+    met = u.frame(0).join(u.boxes.select("beta")).join(degree, "atom_index", "left")  # one box
+    return _zero(met.select("atom_index", "name", "resname", F.col("resid").cast("long").alias("resid"), "segid", "element", *"xyz", "beta", F.coalesce("degree", F.lit(0)).alias("degree")))
+
+
+@query(f"select frame_index, atom_index, name, segid, round(mass, 4) + 0.0 as mass, {_SINGLE}, (select count(*) from bonds) as n_bonds from coords join atoms using (atom_index)")
+def system_of_psf_and_frames(spark, d):
+    system, path = _system(spark, d), scratch(spark, "system") + ".psf"
+    write_system(system, path)
+    u = read_system(spark, path, _binary(spark, d), frames_kind="dcd")
+    n = u.bonds.agg(F.count("*").alias("n_bonds"))  # one row
+    return u.coords.join(u.atoms, "atom_index").join(F.broadcast(n)).select("frame_index", "atom_index", "name", "segid", F.round("mass", 4).alias("mass"), *"xyz", "n_bonds")
+
+
+@query(f"select atom_index, name, resname, resid, segid, {_p(10)} from placed")
+def system_as_crd(spark, d):
+    path = scratch(spark, "system") + ".crd"
+    write_system(_system(spark, d), path)
+    u = read_system(spark, path)
+    return u.frame(0).select("atom_index", "name", "resname", F.col("resid").cast("long").alias("resid"), "segid", *((F.col(c) + F.lit(0.0)).alias(c) for c in "xyz"))
+
+
+@query(f"select atom_index, name, resname, {_p(4)}, (select count(*) from bonds) as n_bonds from placed")
+def system_as_mol2(spark, d):
+    path = scratch(spark, "system") + ".mol2"
+    write_system(_system(spark, d), path)
+    u = read_system(spark, path)
+    n = u.bonds.agg(F.count("*").alias("n_bonds"))  # one row
+    return _zero(u.frame(0).join(F.broadcast(n)).select("atom_index", "name", "resname", *"xyz", "n_bonds"))
+
+
+def _fields(rows: DataFrame, order: Column, text: Column, per: int) -> DataFrame:
+    """(k, value): fixed fields, so many a line."""
+    held = rows.select(order.alias("i"), text.alias("v")).groupBy(F.floor(F.col("i") / per).alias("k"))
+    return held.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]), "").alias("value"))
+
+
+def _prmtop(spark: SparkSession, d: str) -> str:
+    atoms = V.atoms(spark, d)
+    starts = atoms.groupBy("resid").agg(F.min("atom_index").alias("first"), F.min("resname").alias("resname"))
+    i, r = F.col("atom_index"), F.col("resid") - 1
+    word = lambda c: F.rpad(F.coalesce(c, F.lit("X")), 4, " ")
+    number = lambda c: F.format_string("%16.8E", c)
+    bonds = V.bonds(spark, d).select((F.col("atom1") * 10 + F.col("atom2") - F.col("atom1")).alias("at"), F.concat(*(F.lpad(x.cast("string"), 8, " ") for x in (F.col("atom1") * 3, F.col("atom2") * 3, F.lit(1)))).alias("v"))
+    flag = lambda name, form: (f"%FLAG {name}", f"%FORMAT({form})")
+    parts = [Section(_fields(atoms, i, word(F.col("name")), 20), ("k",), ("%VERSION  VERSION_STAMP = V0001.000", *flag("ATOM_NAME", "20a4"))), Section(_fields(atoms, i, number(F.col("charge") * amber.CHARGE_SCALE), 5), ("k",), flag("CHARGE", "5E16.8")), Section(_fields(atoms, i, number(F.col("mass")), 5), ("k",), flag("MASS", "5E16.8")), Section(_fields(atoms, i, word(F.col("atom_type")), 20), ("k",), flag("AMBER_ATOM_TYPE", "20a4")), Section(_fields(starts, r, word(F.col("resname")), 20), ("k",), flag("RESIDUE_LABEL", "20a4")), Section(_fields(starts, r, F.lpad((F.col("first") + 1).cast("string"), 8, " "), 10), ("k",), flag("RESIDUE_POINTER", "10I8")), Section(bonds.select("at", F.col("v").alias("value")), ("at",), flag("BONDS_WITHOUT_HYDROGEN", "10I8"))]
+    path = scratch(spark, "system") + ".prmtop"
+    write_sections(spark, path, *parts)
+    return path
+
+
+@query(f"select atom_index, name, coalesce(atom_type, 'X') as atom_type, resname, resid, mass, round(charge, 6) + 0.0 as charge, {_p(7)}, (select count(*) from bonds) as n_bonds from placed")
+def system_of_prmtop_and_inpcrd(spark, d):
+    places = scratch(spark, "system") + ".inpcrd"
+    write_sections(spark, places, Section(sections.inpcrd_lines(V.placed_atoms(spark, d)).withColumn("entries", F.floor((F.length("value")) / 36)), ("n",), ("title", "{n}"), entries="entries"))
+    u = read_system(spark, _prmtop(spark, d), places)
+    n = u.bonds.agg(F.count("*").alias("n_bonds"))  # one row
+    got = u.frame(0).join(F.broadcast(n)).select("atom_index", "name", "atom_type", "resname", F.col("resid").cast("long").alias("resid"), "mass", F.round("charge", 6).alias("charge"), *"xyz", "n_bonds")
+    return _zero(got, "charge", *"xyz")
+
+
+@query(f"select frame_index, atom_index, name, {_p(7)} from coords join atoms using (atom_index)")
+def hoomd_frames(spark, d):
+    rows = _every(spark, d)
+    n = F.col("atom_index")
+    place = F.concat_ws(" ", *(_f(c, 7) for c in "xyz"))
+    lines = lambda part, value: rows.select("frame_index", F.lit(part).alias("part"), n.alias("n"), value.alias("value"))
+    frames = rows.select("frame_index").distinct()
+    tag = lambda part, value: frames.select("frame_index", F.lit(part), F.lit(0).cast("long"), F.lit(value))
+    every = lines(1, place).union(lines(3, F.col("name")))
+    for part, value in ((0, '<configuration time_step="0"><box lx="5" ly="6" lz="7" xy="0" xz="0" yz="0"/><position>'), (2, "</position><type>"), (4, "</type></configuration>")):
+        every = every.union(tag(part, value))
+    path = scratch(spark, "particles") + ".xml"
+    write_sections(spark, path, Section(every, ("frame_index", "part", "n"), ('<?xml version="1.0"?><hoomd_xml>',), ("</hoomd_xml>",)))
+    return _zero(sections.read_hoomd_xml(spark, path).select("frame_index", "atom_index", "name", *"xyz"))

@@ -30,13 +30,14 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return raw.join(sizes.select("file", "block", "_first", begin.alias("_begin")), ["file", "block"]).select("file", "block", (F.col("_at") - F.col("_first") + F.col("_begin")).alias("n"), "line")
 
 
-def scan(spark: SparkSession, path: str, marks: dict[str, Column] | None = None, counts: dict[str, Column] | None = None, within: dict[str, tuple[str, tuple[str, ...], Column]] | None = None, heads: dict[str, tuple[Column, int]] | None = None) -> DataFrame:
+def scan(spark: SparkSession, path: str, marks: dict[str, Column] | None = None, counts: dict[str, Column] | None = None, within: dict[str, tuple[str, tuple[str, ...], Column]] | None = None, heads: dict[str, tuple[Column, int]] | None = None, pieces: Column | None = None) -> DataFrame:
     """(file, block, n, line) of every line with running values of its file, all from one summary a block.
 
     ``marks``: the last value that is not null, at the line or above it, as a struct (value, n, and every count at that
     line). ``counts``: running sums of numbers or flags up to and with the line; ``<name>_total`` is the file's sum.
     ``within``: how many lines up to this one have a flag and stand below a mark with one of some values. ``heads``:
-    the first lines of the file that have a flag, as an array of structs (n, line).
+    the first lines of the file that have a flag, as an array of structs (n, line). ``pieces``: an array that takes a
+    line's place, each of its strings being a line of its own.
 
     Each block is summed up by itself; the summaries, a row a block, are added up in the order of blocks and joined
     once. Marks, flags and numbers are expressions of ``line``; null ones count as nothing.
@@ -44,7 +45,10 @@ def scan(spark: SparkSession, path: str, marks: dict[str, Column] | None = None,
     marks, within, heads = marks or {}, within or {}, heads or {}
     add = {k: F.coalesce(c.cast("long"), F.lit(0)) for k, c in (counts or {}).items()}
     key, w = ["file", "block"], Window.partitionBy("file", "block").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
-    rows = _raw(spark, path).repartition(*key).withColumns({"_n": F.row_number().over(Window.partitionBy(*key).orderBy("_at")).cast("long") - 1, **{k: F.sum(c).over(w) for k, c in add.items()}, **{f"_h_{k}": F.sum(F.coalesce(flag.cast("long"), F.lit(0))).over(w) for k, (flag, _) in heads.items()}})
+    rows = _raw(spark, path).repartition(*key)
+    if pieces is not None:
+        rows = rows.select(*key, "_at", F.posexplode(pieces).alias("_piece", "line")).withColumn("_at", F.struct("_at", "_piece")).drop("_piece")
+    rows = rows.withColumns({"_n": F.row_number().over(Window.partitionBy(*key).orderBy("_at")).cast("long") - 1, **{k: F.sum(c).over(w) for k, c in add.items()}, **{f"_h_{k}": F.sum(F.coalesce(flag.cast("long"), F.lit(0))).over(w) for k, (flag, _) in heads.items()}})
     held = lambda value, n, at: F.struct(value.alias("value"), n.alias("n"), *(at(k).alias(k) for k in add))
     rows = rows.withColumns({k: F.last(F.when(c.isNotNull(), held(c, F.col("_n"), F.col)), ignorenulls=True).over(w) for k, c in marks.items()})
     below = lambda mark, values: F.coalesce(F.col(mark)["value"].isin(*values), F.lit(False))

@@ -350,32 +350,53 @@ def read_dlpoly_history_box(spark: SparkSession, path: str) -> DataFrame:
     return _dlpoly_cells(_dlpoly(spark, path, True))
 
 
+def _hoomd(spark: SparkSession, path: str) -> DataFrame:
+    """(file, frame, tag, i, word): the words of every element with their place in it, and the number of its configuration.
+
+    Tags must stand within a line; what is between two tags may take any number of lines. Comments are tags.
+    """
+    piece = F.filter(F.regexp_extract_all("line", F.lit("<[^>]*>|[^<]+"), 0), lambda x: F.trim(x) != "")
+    words = F.when(F.col("line").startswith("<"), 0).otherwise(F.size(F.split(F.trim("line"), r"\s+")))
+    begins = F.col("line").rlike(r"^<configuration\b")
+    rows = scan(spark, path, {"tag": F.when(F.col("line").startswith("<"), F.col("line"))}, {"words": words, "frame": begins}, pieces=piece)
+    name = F.regexp_extract(F.col("tag.value"), r"^<(\w+)", 1)
+    return rows.where("tag is not null").select("file", (F.greatest("frame", F.lit(1)) - 1).cast("int").alias("frame"), name.alias("tag"), F.when(F.col("line").startswith("<box"), F.col("line")).alias("box"), (F.col("words") - words - F.col("tag.words")).alias("first"), F.when(~F.col("line").startswith("<"), F.split(F.trim("line"), r"\s+")).alias("p"))
+
+
+def _words(rows: DataFrame, *tags: str) -> DataFrame:
+    some = rows.where(F.col("tag").isin(*tags) & F.col("p").isNotNull())
+    return some.select("file", "frame", "tag", "first", F.posexplode("p").alias("_k", "word")).select("file", "frame", "tag", (F.col("first") + F.col("_k")).alias("i"), "word")
+
+
 def read_hoomd_xml(spark: SparkSession, path: str) -> DataFrame:
-    """(file, atom_index, name, x, y, z, mass, charge, radius): the lists of a particle file's elements, side by side."""
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    words = lambda tag: F.filter(F.split(F.regexp_extract("value", f"(?s)<{tag}[^>]*>(.*?)</{tag}>", 1), r"\s+"), lambda s: s != "")
-    held = text.select("file", *(words(t).alias(t) for t in ("position", "type", "mass", "charge", "diameter")))
-    at = lambda c, i: F.get(c, i)
-    i = F.col("atom_index").cast("int")
-    rows = held.withColumn("atom_index", F.explode(F.sequence(F.lit(0), F.floor(F.size("position") / 3).cast("int") - 1)))
-    return rows.select("file", F.col("atom_index").cast("long"), at("type", i).alias("name"), *(at("position", 3 * i + k).try_cast("double").alias(c) for k, c in enumerate("xyz")), F.coalesce(at("mass", i).try_cast("double"), F.lit(1.0)).alias("mass"), F.coalesce(at("charge", i).try_cast("double"), F.lit(0.0)).alias("charge"), (at("diameter", i).try_cast("double") / 2).alias("radius"))
+    """(file, frame_index, atom_index, name, x, y, z, mass, charge, radius): the lists of each configuration, side by side.
+
+    Lists may lie in any number of blocks of the file: words are numbered within their element and meet by their atom.
+    """
+    rows = _words(_hoomd(spark, path), "position", "type", "mass", "charge", "diameter")
+    three = F.col("tag") == "position"
+    atom = F.when(three, F.floor(F.col("i") / 3)).otherwise(F.col("i"))
+    one = lambda tag: F.max(F.when(F.col("tag") == tag, F.col("word")))
+    axis = lambda k: F.max(F.when(three & (F.col("i") % 3 == k), F.col("word"))).try_cast("double")
+    found = rows.groupBy("file", F.col("frame").alias("frame_index"), atom.cast("long").alias("atom_index")).agg(one("type").alias("name"), *(axis(k).alias(c) for k, c in enumerate("xyz")), F.coalesce(one("mass").try_cast("double"), F.lit(1.0)).alias("mass"), F.coalesce(one("charge").try_cast("double"), F.lit(0.0)).alias("charge"), (one("diameter").try_cast("double") / 2).alias("radius"), F.sum((three & (F.col("i") % 3 == 2)).cast("int")).alias("_placed"))
+    return found.where("_placed = 1").drop("_placed")
 
 
 def read_hoomd_groups(spark: SparkSession, path: str, tag: str = "bond") -> DataFrame:
-    """(file, i, kind, members): the rows of a ``bond``, ``angle``, ``dihedral`` or ``improper`` element."""
+    """(file, frame_index, i, kind, members): the rows of a ``bond``, ``angle``, ``dihedral`` or ``improper`` element."""
     size = {"bond": 2, "angle": 3, "dihedral": 4, "improper": 4}[tag] + 1
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    words = F.filter(F.split(F.regexp_extract("value", f"(?s)<{tag}[^>]*>(.*?)</{tag}>", 1), r"\s+"), lambda s: s != "")
-    rows = text.select("file", words.alias("w")).where(F.size("w") >= size).withColumn("i", F.explode(F.sequence(F.lit(0), F.floor(F.size("w") / size).cast("int") - 1)))
-    return rows.select("file", F.col("i").cast("long"), F.get("w", size * F.col("i")).alias("kind"), F.transform(F.slice("w", size * F.col("i") + 2, size - 1), lambda s: s.try_cast("long")).alias("members"))
+    rows = _words(_hoomd(spark, path), tag).withColumns({"row": F.floor(F.col("i") / size), "k": F.col("i") % size})
+    one = lambda k: F.max(F.when(F.col("k") == k, F.col("word")))
+    found = rows.groupBy("file", F.col("frame").alias("frame_index"), F.col("row").cast("long").alias("i")).agg(one(0).alias("kind"), F.array(*(one(k).try_cast("long") for k in range(1, size))).alias("members"), F.count("*").alias("_n"))
+    return found.where(F.col("_n") == size).drop("_n")
 
 
 def read_hoomd_box(spark: SparkSession, path: str) -> DataFrame:
-    """(file, a, b, c, alpha, beta, gamma) of the box element: edges lx ly lz, tilts xy xz yz as shares of ly, lz, lz."""
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_extract("value", r"<box\b([^>]*)>", 1).alias("box")).where("box <> ''")
+    """(file, frame_index, a, b, c, alpha, beta, gamma) of the box elements: edges lx ly lz, tilts xy xz yz as shares of ly, lz, lz."""
+    text = _hoomd(spark, path).where("box is not null").withColumnRenamed("frame", "frame_index")
     at = lambda name: F.coalesce(F.regexp_extract("box", rf'\b{name}\s*=\s*"([^"]*)"', 1).try_cast("double"), F.lit(0.0))
     zero = F.lit(0.0)
-    return cells(text, lattice_angles(Vec(at("lx"), zero, zero), Vec(at("xy") * at("ly"), at("ly"), zero), Vec(at("xz") * at("lz"), at("yz") * at("lz"), at("lz"))))
+    return cells(text, lattice_angles(Vec(at("lx"), zero, zero), Vec(at("xy") * at("ly"), at("ly"), zero), Vec(at("xz") * at("lz"), at("yz") * at("lz"), at("lz"))), "frame_index")
 
 
 def attach(atoms: DataFrame, coords: DataFrame, ids: bool = False) -> DataFrame:

@@ -16,11 +16,12 @@ from orbitframe.sources import sections
 
 @dataclass(frozen=True)
 class Universe:
-    """DataFrames of a system: atoms (atom_index ...), coords (frame_index, atom_index, x, y, z), bonds (atom1, atom2)."""
+    """DataFrames of a system: atoms (atom_index ...), coords (frame_index, atom_index, x, y, z), bonds (atom1, atom2), boxes (frame_index, a ... gamma)."""
 
     atoms: DataFrame
     coords: DataFrame
     bonds: DataFrame | None = None
+    boxes: DataFrame | None = None
 
     @classmethod
     def from_structure(cls, rows: DataFrame, bonds: DataFrame | None = None) -> Universe:
