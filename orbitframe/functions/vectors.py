@@ -259,6 +259,24 @@ class Box:
         return Vec(best["x"], best["y"], best["z"])
 
 
+def cell_vectors(a: Column, b: Column, c: Column, alpha: Column, beta: Column, gamma: Column) -> tuple[Vec, Vec, Vec]:
+    """Lower triangular lattice vectors of cells that rows hold; zero vectors where lengths or angles leave no volume."""
+    right = lambda v, f, at: F.when(v == 90.0, F.lit(at)).otherwise(f(F.radians(v)))
+    ca, cb, cg, sg = right(alpha, F.cos, 0.0), right(beta, F.cos, 0.0), right(gamma, F.cos, 0.0), right(gamma, F.sin, 1.0)
+    cx, cy = c * cb, c * (ca - cb * cg) / F.nullif(sg, F.lit(0.0))
+    depth = c * c - cx * cx - cy * cy
+    fine = (a > 0) & (b > 0) & (c > 0) & (alpha > 0) & (beta > 0) & (gamma > 0) & (alpha < 180) & (beta < 180) & (gamma < 180) & (depth > 0)
+    kept = lambda v: F.when(F.coalesce(fine, F.lit(False)), v).otherwise(0.0)
+    zero = F.lit(0.0)
+    return Vec(kept(a), zero, zero), Vec(kept(b * cg), kept(b * sg), zero), Vec(kept(cx), kept(cy), kept(F.sqrt(F.greatest(zero, depth))))
+
+
+def cell_volume(a: Column, b: Column, c: Column, alpha: Column, beta: Column, gamma: Column) -> Column:
+    """The volume of cells that rows hold; 0 where there is none."""
+    u, v, w = cell_vectors(a, b, c, alpha, beta, gamma)
+    return u.x * v.y * w.z
+
+
 def lattice_angles(a: Vec, b: Vec, c: Vec) -> Column:
     """[a, b, c, alpha, beta, gamma] of lattice vectors; all zero if any is (nearly) zero."""
     some = (a.norm() > 2.2e-16) & (b.norm() > 2.2e-16) & (c.norm() > 2.2e-16)

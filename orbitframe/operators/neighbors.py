@@ -139,6 +139,19 @@ def contact_matrix(atoms: DataFrame, cutoff: float, by: tuple[str, ...] = ()) ->
     return met.select(*by, "atom_index", F.transform("_all", lambda k: F.array_contains(near, k)).alias("contacts"))
 
 
+def contact_bitmaps(atoms: DataFrame, cutoff: float, by: tuple[str, ...] = (), box: Box | None = None) -> DataFrame:
+    """(*by, atom_index, bucket, contacts): the contacts of each atom as bitmaps, one for each run of 32,768 atoms that holds any.
+
+    Bits stand as ``bitmap_bit_position(atom + 1)`` says in the bucket ``bitmap_bucket_number(atom + 1)``; count them
+    with ``bitmap_count``, join them with ``bitmap_or_agg``. Only pairs within the cutoff are met, so a matrix of any
+    number of atoms takes room for its contacts alone. Atom numbers must not be negative.
+    """
+    pairs = self_pairs_within(atoms, cutoff, by, box)
+    both = pairs.select(*by, F.explode(F.array(F.struct(F.col("i").alias("a"), F.col("j").alias("b")), F.struct(F.col("j").alias("a"), F.col("i").alias("b")))).alias("p")).select(*by, F.col("p.a").alias("atom_index"), (F.col("p.b") + 1).alias("b"))
+    held = both.groupBy(*by, "atom_index", F.bitmap_bucket_number("b").alias("bucket"))
+    return held.agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("contacts"))
+
+
 def radial_counts(first: DataFrame, second: DataFrame, bin_width: float, max_radius: float, by: tuple[str, ...] = ()) -> DataFrame:
     """(*by, bin, edge, n): raw counts of distances below ``max_radius``; a set with itself counts each atom at 0; empty bins are 0."""
     spark = first.sparkSession

@@ -86,6 +86,19 @@ def update_positions(places: DataFrame, new: DataFrame, by: tuple[str, ...] = ()
     return met.withColumns(put).select(places.columns)
 
 
+def unique_atoms(groups: DataFrame, members: tuple[str, ...], order: tuple[str, ...] | None = None) -> DataFrame:
+    """(place, atom_index): every atom of bonds, angles or other groups once, in the order they are first seen.
+
+    Groups come in the order of ``order``, by default of their members; sorted by atom_index the result is the sorted
+    list. Null members are passed over.
+    """
+    order = order or members
+    key = F.struct(*order)
+    seen = groups.select(F.posexplode(F.array(*members)).alias("_k", "atom_index"), key.alias("_key")).where("atom_index is not null")
+    first = seen.groupBy("atom_index").agg(F.min(F.struct("_key", "_k")).alias("_first"))
+    return numbered(first, "_first", "place").select("place", "atom_index")
+
+
 def edges(bonds: DataFrame) -> DataFrame:
     """Both directions (a, b) of every bond, once."""
     return bonds.select(F.col("atom1").alias("a"), F.col("atom2").alias("b")).union(bonds.select("atom2", "atom1")).distinct()

@@ -482,7 +482,7 @@ def fill_gaps(spark, d):
 
 @query(", f as (select distinct frame_index, 0.2::double * frame_index + 0.01::double * frame_index * frame_index as time from coords) select frame_index, round(time, 6) + 0.0 as time, round(coalesce(lead(time) over w - time, time - lag(time) over w, 0), 6) + 0.0 as dt from f window w as (order by frame_index)")
 def frame_dt(spark, d):
-    frames = spark.range(V.FRAMES).select(F.col("id").cast("int").alias("frame_index")).withColumn("time", F.lit(0.2) * F.col("frame_index") + F.lit(0.01) * F.col("frame_index") * F.col("frame_index"))
+    frames = V.coords(spark, d).select("frame_index").distinct().withColumn("time", F.lit(0.2) * F.col("frame_index") + F.lit(0.01) * F.col("frame_index") * F.col("frame_index"))
     return rounded(timeseries.frame_dt(frames), "time", "dt")
 
 
@@ -541,8 +541,8 @@ def _round_trip(spark, d, kind: str):
         R.write_lines(R.gro_lines(atoms), path, "atom_index", head=["atoms", str(n)], tail=["5.0 6.0 7.0"])
         return R.read_gro(spark, path)
     if kind == "xyz":
-        few = V.coords(spark, d, 3).join(V.atoms(spark, d).select("atom_index", "name"), "atom_index")
-        R.write_lines(R.xyz_lines(few, "frames"), path, "frame_index", "n")
+        frames = V.coords(spark, d).join(V.atoms(spark, d).select("atom_index", "name"), "atom_index")
+        R.write_lines(R.xyz_lines(frames, "frames"), path, "frame_index", "n")
         return R.read_xyz(spark, path)
     if kind == "pqr":
         R.write_lines(R.pqr_lines(atoms.withColumn("radius", F.lit(1.5))), path, "atom_index")
@@ -564,7 +564,7 @@ def roundtrip_gro(spark, d):
     return _round_trip(spark, d, "gro").select("atom_index", "name", "resname", F.col("resid").cast("long").alias("resid"))
 
 
-@query("select frame_index, atom_index, name, round(x, 8) as x, round(y, 8) as y, round(z, 8) as z from coords join atoms using (atom_index) where frame_index < 3")
+@query("select frame_index, atom_index, name, round(x, 8) as x, round(y, 8) as y, round(z, 8) as z from coords join atoms using (atom_index)")
 def roundtrip_xyz(spark, d):
     return _round_trip(spark, d, "xyz").select("frame_index", "atom_index", "name", *"xyz")
 

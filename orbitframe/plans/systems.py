@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from orbitframe.functions import chemistry, units
+from orbitframe.functions.vectors import cell_vectors, cell_volume, lattice_angles
 from orbitframe.operators import topology
 from orbitframe.plans import views as V
 from orbitframe.universe import Universe
@@ -64,3 +66,44 @@ def one_giant_fragment(spark, d):
     star = i.where("atom_index % 3 = 0 and atom_index > 0").select(F.lit(0).cast("long").alias("atom1"), F.col("atom_index").alias("atom2"))
     arms = i.where("atom_index % 3 = 2").select(F.col("atom_index").alias("atom1"), (F.col("atom_index") - 2).alias("atom2"))
     return topology.fragments(V.atoms(spark, d), star.union(arms))
+
+
+# cells of the points' own sizes: one a frame
+_CELLS = ", s as (select frame_index, max(x) - min(x) as a, max(y) - min(y) as b, max(z) - min(z) as c, 60.0::double + frame_index as alpha, 80.0::double as beta, 70.0::double as gamma from coords group by 1)"
+_VOLUME = "a * b * c * sqrt(1 + 2 * cos(radians(alpha)) * cos(radians(beta)) * cos(radians(gamma)) - cos(radians(alpha)) ** 2 - cos(radians(beta)) ** 2 - cos(radians(gamma)) ** 2)"
+_NAMES = ("a", "b", "c", "alpha", "beta", "gamma")
+
+
+def _cells(spark, d):
+    sizes = V.coords(spark, d).groupBy("frame_index").agg(*((F.max(c) - F.min(c)).alias(n) for n, c in zip("abc", "xyz")))
+    return sizes.withColumns({"alpha": F.lit(60.0) + F.col("frame_index"), "beta": F.lit(80.0), "gamma": F.lit(70.0)})
+
+
+@query(f"{_CELLS} select frame_index, round({_VOLUME}, 5) + 0.0 as volume from s")
+def cell_volumes(spark, d):
+    return _cells(spark, d).select("frame_index", (F.round(cell_volume(*map(F.col, _NAMES)), 5) + F.lit(0.0)).alias("volume"))
+
+
+@query(f"{_CELLS} select frame_index, {', '.join(f'round({c}, 6) + 0.0 as {c}' for c in _NAMES)} from s")
+def cells_by_their_vectors(spark, d):
+    held = _cells(spark, d).select("frame_index", lattice_angles(*cell_vectors(*map(F.col, _NAMES))).alias("p"))
+    return held.select("frame_index", *((F.round(F.col("p")[k], 6) + F.lit(0.0)).alias(c) for k, c in enumerate(_NAMES)))
+
+
+@query("select atom_index, case element when 'N' then 14.007::double when 'C' then 12.011::double else 15.999::double end as mass, case segid when 'S0' then null else 1.008::double end as other from atoms")
+def element_masses(spark, d):
+    other = F.when(F.col("segid") == "S0", F.lit("QQ")).otherwise(F.lit("h"))
+    return V.atoms(spark, d).select("atom_index", chemistry.element_mass(F.lower("element")).alias("mass"), chemistry.element_mass(other).alias("other"))
+
+
+@query("select frame_index, atom_index, round(x * 4.184, 6) + 0.0 as energy, round(y * 8.314462159e-3, 9) + 0.0 as heat, round(z * 6.02214129e23 / 1e23, 5) + 0.0 as moles from coords")
+def scaled_by_constants(spark, d):
+    by = lambda c, name, digits, over=1.0: (F.round(F.col(c) * F.lit(units.constant(name)) / over, digits) + F.lit(0.0))
+    return V.coords(spark, d).select("frame_index", "atom_index", by("x", "calorie", 6).alias("energy"), by("y", "Boltzmann_constant", 9).alias("heat"), by("z", "N_Avogadro", 5, 1e23).alias("moles"))
+
+
+@query(", s as (select unnest([atom1, atom2]) as atom_index, unnest([0, 1]) as k, atom1 % 7 as o, atom1, atom2 from bonds), f as (select atom_index, min({'o': o, 'a': atom1, 'b': atom2, 'k': k}) as first from s group by 1) select cast(row_number() over (order by first) - 1 as bigint) as place, atom_index from f")
+def unique_atoms(spark, d):
+    """Atoms of bonds as they are first seen, bonds by their first atom modulo seven."""
+    bonds = V.bonds(spark, d).withColumn("o", F.col("atom1") % 7)
+    return topology.unique_atoms(bonds, ("atom1", "atom2"), ("o", "atom1", "atom2"))

@@ -98,8 +98,14 @@ def read_gromos(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_gromos_box(spark: SparkSession, path: str) -> DataFrame:
-    """(file, frame_index, a, b, c, alpha, beta, gamma) of GENBOX blocks: a type, then lengths in nm and angles; type 0 has no box."""
+    """(file, frame_index, a, b, c, alpha, beta, gamma) of GENBOX blocks: a type, then lengths in nm, angles, origin and turn; type 0 has no box.
+
+    Truncated octahedra, other types, and boxes that are shifted or turned are errors.
+    """
     rows = _gromos(spark, path).where("section = 'GENBOX'")
     at = lambda k, m: F.max(F.when(F.col("k") == k, _p(m, "double")))
-    held = rows.groupBy("file", F.col("frame").cast("int").alias("frame_index")).agg(at(0, 0).alias("kind"), F.array(*(at(k, m) for k in (1, 2) for m in range(3))).alias("box"))
-    return cells(held.where("kind <> 0"), F.col("box"), "frame_index")
+    three = lambda k: F.array(*(at(k, m) for m in range(3)))
+    held = rows.groupBy("file", F.col("frame").cast("int").alias("frame_index")).agg(at(0, 0).alias("kind"), F.concat(three(1), three(2)).alias("box"), F.concat(three(3), three(4)).alias("moved"))
+    wrong = F.when(F.col("kind") == -1, "truncated octahedra are no cells of this kind").when(~F.col("kind").isin(1, 2), "an unknown kind of box").when(F.exists("moved", lambda v: F.abs(v) > 1e-10), "a box that is shifted or turned")
+    checked = held.where("kind <> 0").withColumn("box", F.when(wrong.isNotNull(), F.raise_error(F.concat_ws(" ", F.lit("frame"), "frame_index", wrong)).cast("array<double>")).otherwise(F.col("box")))
+    return cells(checked, F.col("box"), "frame_index")

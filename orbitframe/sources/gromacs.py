@@ -1,61 +1,144 @@
-"""Topologies of molecule types: sections of rows below ``[ name ]`` lines, conditionals, and a system of repeated molecules."""
+"""Topologies of molecule types: directives, sections of rows below ``[ name ]`` lines, and a system of repeated molecules.
+
+Directive lines alone go to the driver, where they are followed one after another through all included files; what they
+say is a table of segments, the lines between two directives, that are in force, in their order and with the names
+defined there. Lines themselves are joined with it and stay distributed.
+"""
 
 from __future__ import annotations
 
+import posixpath
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orbitframe.sources.checkpoints import ensure_checkpoints
-from orbitframe.sources.lines import counted, filled, numbered, read_lines
+from orbitframe.sources.lines import filled, numbered, scan
 from orbitframe.sources.sections import _fields, _p
 
-LEVELS = 4
 _SIZES = {"bonds": 2, "constraints": 2, "angles": 3, "dihedrals": 4}
 
 
-def _active(rows: DataFrame, defines: dict[str, str]) -> DataFrame:
-    """Rows that the conditionals leave, up to ``LEVELS`` inside each other; ``#if``, ``#else`` and ``#endif`` themselves go."""
-    word = F.regexp_extract("text", r"^#\s*(\w+)", 1)
-    opens, closes = word.isin("ifdef", "ifndef", "if"), word == "endif"
-    rows = counted(rows, _opened=opens, _closed=closes)
-    depth = F.col("_opened") - F.col("_closed") + F.when(closes, 1).otherwise(0)  # a closing line belongs to what it closes
-    name = F.regexp_extract("text", r"^#\s*\w+\s+!?\s*(?:defined\s*\(\s*)?(\w+)", 1)
-    known = name.isin(*defines) if defines else F.lit(False)
-    true = [k for k, v in defines.items() if v != "0" and v.lower() != "false"]
-    negated = (word == "ifndef") | F.col("text").rlike(r"^#\s*if\s+!")
-    plain = (word == "if") & ~F.col("text").contains("defined")
-    holds = F.when(plain, name.isin(*true) if true else F.lit(False)).otherwise(known != negated)
-    marks = {}
-    for d in range(1, LEVELS + 1):
-        here = depth == d
-        marks[f"_if{d}"] = F.when(here & opens, holds)
-        marks[f"_at{d}"] = F.when(here & opens, "if").when(here & (word == "else"), "else").when(here & closes, "end")
-    rows = filled(rows.withColumn("_word", word), **marks)
-    fine = F.lit(True)
-    for d in range(1, LEVELS + 1):
-        at = F.coalesce(f"_at{d}", F.lit("end"))
-        fine = fine & F.when(at == "if", F.col(f"_if{d}")).when(at == "else", ~F.col(f"_if{d}")).otherwise(True)
-    too_deep = F.when(depth > LEVELS, F.raise_error(F.lit(f"conditionals more than {LEVELS} deep"))).otherwise(F.lit(True))
-    return rows.where(too_deep & fine & (F.col("_word") == "")).drop("_word", "_opened", "_closed", *marks)
-
-
-def read_itp(spark: SparkSession, path: str, defines: dict[str, str] | None = None) -> DataFrame:
+def _logical(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(file, block, n, d, text): lines without comments, those that end in a backslash joined with the next; ``d`` counts directives up to each."""
+    going = F.col("line").rlike(r"\\\s*$")
+    lines = scan(spark, paths, counts={"d": F.trim("line").startswith("#"), "ended": ~going})
+    part = F.when(going, F.regexp_replace("line", r"\s*\\\s*$", "")).otherwise(F.col("line"))
+    lines = lines.select("file", "block", "n", "d", (F.col("ended") - (~going).cast("long")).alias("id"), part.alias("part"))
+    whole = lines.groupBy("file", "id").agg(F.min("block").alias("block"), F.min("n").alias("n"), F.min("d").alias("d"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "part"))), lambda s: s["part"]), " ").alias("text"))
+    return whole.withColumn("text", F.trim(F.regexp_replace("text", ";.*", ""))).drop("id")
+
+
+class _Directives:
+    """The directive lines of files and of what they include, read file by file as includes name them."""
+
+    def __init__(self, spark: SparkSession, paths: list[str], include_dirs: Iterable[str]):
+        self.spark, self.dirs, self.lines, self.known = spark, list(include_dirs), {}, {}
+        self._load(paths)
+        given, todo = list(self.lines), list(self.lines)
+        while todo:
+            file = todo.pop()
+            for _, text in self.lines[file]:
+                if text[1:].split()[:1] == ["include"] and (target := self.target(file, text)) and target not in self.lines:
+                    self._load([target])
+                    todo.append(target)
+        inner = {self.target(file, text) for file, rows in self.lines.items() for _, text in rows if text[1:].split()[:1] == ["include"]}
+        self.roots = [file for file in sorted(given) if file not in inner] or sorted(given)[:1]
+
+    def _load(self, paths: list[str]) -> None:
+        rows = _logical(self.spark, paths)
+        for r in rows.select("file").distinct().collect():
+            self.lines[r.file] = []
+        for r in rows.where("startswith(text, '#')").select("file", "d", "text").orderBy("file", "d").collect():
+            self.lines[r.file].append((r.d, r.text))
+
+    def target(self, file: str, text: str) -> str | None:
+        """The file that an include names: beside the one it stands in, or in a folder of includes; None if there is none."""
+        word = (text[1:].split() + [""])[1]
+        if len(word) < 3 or (word[0], word[-1]) not in (('"', '"'), ("<", ">")):
+            raise ValueError(f"{file}: an include needs a quoted path: {text}")
+        if (file, word) not in self.known:
+            jvm, found = self.spark._jvm, None
+            for folder in (posixpath.dirname(file), *self.dirs):
+                path = jvm.org.apache.hadoop.fs.Path(word[1:-1] if word[1] == "/" else f"{folder}/{word[1:-1]}")
+                path = jvm.org.apache.hadoop.fs.Path(path.toUri().normalize())
+                system = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+                if system.exists(path):
+                    found = system.makeQualified(path).toString()
+                    break
+            self.known[file, word] = found
+        return self.known[file, word]
+
+
+def _holds(command: str, words: list[str], defined: dict[str, str]) -> bool:
+    if command != "if":
+        return (bool(words) and words[0] in defined) == (command == "ifdef")
+    said = " ".join(words)
+    if said.endswith(")") and said.startswith(("defined(", "!defined(")):
+        return (said[said.index("(") + 1 : -1].strip() in defined) != said.startswith("!")
+    return defined.get(said, "0").lower() not in ("0", "false")
+
+
+def _in_force(found: _Directives, given: dict[str, str]) -> list[tuple[int, str, str, int, dict[str, str]]]:
+    """(place, root, file, d, names): segments in force, in order; names that the caller gives keep their values."""
+    out: list[tuple[int, str, str, int, dict[str, str]]] = []
+    defined = dict(given)
+
+    def follow(root: str, file: str, within: tuple[str, ...]) -> None:
+        nonlocal defined
+        if file in within:
+            raise ValueError(f"{file} includes itself")
+        open_ifs: list[list[bool]] = []  # whether all around holds, whether it holds itself, whether its else has come
+        rows = [(0, ""), *found.lines[file], (None, "")]
+        for (d, text), (then, _) in zip(rows, rows[1:]):
+            command, *words = text[1:].split() if text else [""]
+            active = all(around and own for around, own, _ in open_ifs)
+            if command in ("ifdef", "ifndef", "if"):
+                open_ifs.append([active, active and _holds(command, words, defined), False])
+            elif command in ("else", "endif"):
+                if not open_ifs or (command == "else" and open_ifs[-1][2]):
+                    raise ValueError(f"{file}: unmatched conditionals: #{command}")
+                if command == "endif":
+                    open_ifs.pop()
+                else:
+                    open_ifs[-1][1:] = [not open_ifs[-1][1], True]
+            elif active and command == "define" and words and words[0] not in given:
+                defined = defined | {words[0]: " ".join(words[1:]) or "1"}
+            elif active and command == "undef" and words and words[0] not in given:
+                defined = {k: v for k, v in defined.items() if k != words[0]}
+            elif active and command == "include" and (target := found.target(file, text)):
+                follow(root, target, (*within, file))
+            if all(around and own for around, own, _ in open_ifs):
+                out.extend((len(out) + k, root, file, d + k, defined) for k in range((then or d + 1) - d))
+        if open_ifs:
+            raise ValueError(f"{file}: unmatched conditionals: a missing #endif")
+
+    for root in found.roots:
+        follow(root, root, ())
+    return out
+
+
+def read_itp(spark: SparkSession, path: str, defines: dict[str, str] | None = None, include_dirs: tuple[str, ...] = ()) -> DataFrame:
     """(file, block, n, section, molecule, p): fields of every row that counts, with its section and molecule type.
 
-    ``;`` begins a comment. ``defines`` answers conditionals and replaces whole fields; ``#define`` and ``#include`` lines
-    are passed over: name the values here, and give all files as one path.
+    ``;`` begins a comment, a backslash at a line's end goes on in the next. ``#include`` puts a file's rows in its place,
+    as often as it is named, and is passed over where there is no such file; a file that includes itself is an error, and
+    so are unmatched conditionals, which may be of any depth. ``#define`` and ``#undef`` hold from their line on, in
+    conditionals and for whole fields; names in ``defines`` keep their values. Files of a folder that others
+    include are read there only; ``file`` is the one that all begins with. An empty file gives no rows.
     """
-    defines = defines or {}
-    text = F.trim(F.regexp_replace("line", ";.*", ""))
     ensure_checkpoints(spark)
-    lines = read_lines(spark, path).withColumn("text", text).where("text <> ''").checkpoint()  # each step below reads its input twice
-    rows = _active(lines, defines).checkpoint()
+    given = defines or {}
+    found = _Directives(spark, [path], include_dirs)
+    segments = spark.createDataFrame(_in_force(found, given), "place long, root string, file string, d long, names map<string,string>")
+    lines = _logical(spark, list(found.lines)) if found.lines else _logical(spark, [path])
+    rows = lines.where("text <> '' and not startswith(text, '#')").join(segments, ["file", "d"])
+    rows = rows.select(F.col("root").alias("file"), F.concat(F.format_string("%012d/", "place"), "block").alias("block"), "n", "names", "text").checkpoint()
     mark = F.when(F.col("text").rlike(r"^\[.*\]$"), F.lower(F.trim(F.regexp_replace("text", r"[\[\]]", ""))))
     rows = filled(rows.withColumn("mark", mark), section=F.col("mark")).where("mark is null")
     rows = _fields(rows.withColumn("line", F.col("text")))
-    if defines:
-        table = F.create_map(*(F.lit(x) for pair in defines.items() for x in pair))
-        rows = rows.withColumn("p", F.transform("p", lambda s: F.coalesce(F.element_at(table, s), s)))
+    rows = rows.withColumn("p", F.flatten(F.transform("p", lambda s: F.split(F.coalesce(F.element_at("names", s), s), r"\s+"))))
     rows = filled(rows, molecule=F.when(F.col("section") == "moleculetype", _p(0)))
     return rows.select("file", "block", "n", "section", "molecule", "p").checkpoint()
 
@@ -112,10 +195,13 @@ def system_atoms(rows: DataFrame) -> DataFrame:
 
 
 def system_groups(rows: DataFrame, kind: str = "bonds") -> DataFrame:
-    """(atom1 ..., function) of the whole system, as atom_index values; groups that name missing ids are left out."""
+    """(atom1 ..., function) of the whole system, as atom_index values; groups that name missing ids are left out. Settles are two bonds each."""
     atoms = itp_atoms(rows)
     found = itp_groups(rows, kind)
     names = [c for c in found.columns if c.startswith("atom")]
+    if kind == "bonds":  # rigid water: the oxygen and the two atoms after it
+        water = itp_groups(rows, "settles").select("molecule", "atom1", F.explode(F.array(F.col("atom1") + 1, F.col("atom1") + 2)).alias("atom2"), "function")
+        found = found.union(water.join(found, ["molecule", "atom1", "atom2"], "left_anti").select("molecule", "atom1", "atom2", "function"))
     index = atoms.select("molecule", "id", "atom_index")
     for c in names:
         found = found.join(index.withColumnsRenamed({"id": c, "atom_index": f"_{c}"}), ["molecule", c])

@@ -15,7 +15,7 @@ def source_file() -> Column:
     return F.when(F.col("_metadata.file_name").startswith("part-"), F.regexp_replace("_metadata.file_path", "/[^/]*$", "")).otherwise(F.col("_metadata.file_path"))
 
 
-def _raw(spark: SparkSession, path: str) -> DataFrame:
+def _raw(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, block, _at, line): ``_at`` orders the lines of a block."""
     meta = spark.read.text(path).select("value", source_file().alias("file"), "_metadata.file_name", "_metadata.file_block_start")
     block = F.concat("file_name", F.format_string("@%020d", "file_block_start"))
@@ -30,7 +30,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return raw.join(sizes.select("file", "block", "_first", begin.alias("_begin")), ["file", "block"]).select("file", "block", (F.col("_at") - F.col("_first") + F.col("_begin")).alias("n"), "line")
 
 
-def scan(spark: SparkSession, path: str, marks: dict[str, Column] | None = None, counts: dict[str, Column] | None = None, within: dict[str, tuple[str, tuple[str, ...], Column]] | None = None, heads: dict[str, tuple[Column, int]] | None = None, pieces: Column | None = None) -> DataFrame:
+def scan(spark: SparkSession, path: str | list[str], marks: dict[str, Column] | None = None, counts: dict[str, Column] | None = None, within: dict[str, tuple[str, tuple[str, ...], Column]] | None = None, heads: dict[str, tuple[Column, int]] | None = None, pieces: Column | None = None) -> DataFrame:
     """(file, block, n, line) of every line with running values of its file, all from one summary a block.
 
     ``marks``: the last value that is not null, at the line or above it, as a struct (value, n, and every count at that

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orbitframe.functions.vectors import Vec, lattice_angles
+from orbitframe.functions.vectors import Vec, cell_vectors, lattice_angles
 from orbitframe.sources.lines import fit, fixed, scan, source_file
 from orbitframe.sources.structures import CELL, _cut, _number, cells
 
@@ -131,21 +131,39 @@ def pdbqt_lines(atoms: DataFrame, order: str = "atom_index") -> DataFrame:
 
 def _lammps(spark: SparkSession, path: str) -> DataFrame:
     mark = F.when(F.col("line").rlike(r"^\s*[A-Z][a-z]+( [A-Z][a-z]+)*\s*(#.*)?$"), F.trim(F.regexp_replace("line", "#.*", "")))
-    return _fields(_scanned(spark, path, mark).where("at > 0"))  # the first line is a title
+    return _fields(_scanned(spark, path, mark, heads={"atoms_line": (F.col("line").rlike(r"^\s*Atoms\s*(#.*)?$"), 2)}).where("at > 0"))  # the first line is a title
 
 
-def read_lammps_data(spark: SparkSession, path: str, style: str = "full") -> DataFrame:
-    """Atoms of a data file by id, with masses by type and velocities by id; ``style`` is atomic, charge, molecular or full.
+#: The fields of the styles that have a name.
+ATOM_STYLES = {"atomic": "id type x y z", "charge": "id type q x y z", "molecular": "id mol type x y z", "full": "id mol type q x y z"}
 
-    Ids are sorted in one task a file: they may come in any order.
+
+def _style_fields(style: str | None) -> Column:
+    """The names of an atom line's fields: of a style, of the style named behind ``Atoms #``, or of one with so many fields."""
+    named = lambda text: F.split(F.coalesce(F.get(F.filter(F.array(*(F.when(text == k, F.lit(v)) for k, v in ATOM_STYLES.items())), lambda x: x.isNotNull()), 0), text), r"\s+")
+    whole = lambda names: F.forall(F.array(*map(F.lit, ("id", "type", "x", "y", "z"))), lambda x: F.array_contains(names, x))
+    if style is not None:
+        names = named(F.lit(style.strip().lower()))
+        return F.when(whole(names), names).otherwise(F.raise_error(F.lit(f"the style {style!r} lacks id, type, x, y or z")).cast("array<string>"))
+    said = named(F.lower(F.trim(F.regexp_extract(F.get(F.filter("atoms_line", lambda x: x["n"] > 0), 0)["line"], "#(.*)$", 1))))
+    size = F.size(F.split(F.trim(F.regexp_replace("line", "#.*", "")), r"\s+"))
+    guess = F.when(size.isin(5, 8), ATOM_STYLES["atomic"]).when(size.isin(6, 9), ATOM_STYLES["molecular"]).otherwise(ATOM_STYLES["full"])
+    return F.when(whole(said), said).otherwise(F.split(guess, " "))
+
+
+def read_lammps_data(spark: SparkSession, path: str, style: str | None = None) -> DataFrame:
+    """Atoms of a data file by id, with masses by type and velocities by id.
+
+    ``style`` is atomic, charge, molecular or full, or the names of an atom line's fields; where it is not given, the
+    file's own word behind ``Atoms #`` counts, else the number of fields. Ids are sorted in one task a file: they may come in any order.
     """
-    mol, kind, charge, x = {"atomic": (None, 1, None, 2), "charge": (None, 1, 2, 3), "molecular": (1, 2, None, 3), "full": (1, 2, 3, 4)}[style]
-    rows = _lammps(spark, path)
-    value = lambda i, t: F.lit(None).cast(t) if i is None else _p(i, t)
+    rows = _lammps(spark, path).withColumn("fields", _style_fields(style))
+    value = lambda name, t: F.get("p", F.nullif(F.array_position("fields", name), F.lit(0)).cast("int") - 1).try_cast(t)
     one = lambda section, *columns: F.max(F.when(F.col("section") == section, F.struct(*columns)))
-    atom = one("Atoms", "n", F.coalesce(value(mol, "int"), F.lit(1)).alias("resid"), _p(kind).alias("atom_type"), value(charge, "double").alias("charge"), *(_p(x + k, "double").alias(c) for k, c in enumerate("xyz")))
+    atom = one("Atoms", "n", F.coalesce(value("mol", "int"), F.lit(1)).alias("resid"), value("type", "string").alias("atom_type"), value("q", "double").alias("charge"), *(value(c, "double").alias(c) for c in "xyz"))
     speed = one("Velocities", "n", *(_p(1 + k, "double").alias(f"v{c}") for k, c in enumerate("xyz")))
-    found = rows.where(F.col("section").isin("Atoms", "Velocities")).groupBy("file", _p(0, "long").alias("id")).agg(atom.alias("a"), speed.alias("v")).where("a is not null")
+    key = F.when(F.col("section") == "Atoms", value("id", "long")).otherwise(_p(0, "long"))
+    found = rows.where(F.col("section").isin("Atoms", "Velocities")).groupBy("file", key.alias("id")).agg(atom.alias("a"), speed.alias("v")).where("a is not null")
     atoms = found.select("file", "id", "a.resid", "a.atom_type", "a.charge", *(f"a.{c}" for c in "xyz"), *(f"v.v{c}" for c in "xyz"))
     masses = rows.where("section = 'Masses'").select("file", _p(0).alias("atom_type"), _p(1, "double").alias("mass"))
     index = (F.row_number().over(Window.partitionBy("file").orderBy("id")) - 1).cast("long")
@@ -192,11 +210,12 @@ def _dump(spark: SparkSession, path: str) -> DataFrame:
     return held.withColumns(inner)
 
 
-def read_lammps_dump(spark: SparkSession, path: str, unwrap: bool = False, extra: tuple[str, ...] = ()) -> DataFrame:
+def read_lammps_dump(spark: SparkSession, path: str, unwrap: bool = False, extra: tuple[str, ...] = (), corner: bool = False) -> DataFrame:
     """(file, frame_index, step, id, atom_index, x, y, z, vx, vy, vz), sorted by id within frames; scaled xs, ys, zs are multiplied out, in tilted cells too.
 
     ``unwrap`` moves wrapped places by the cells that the image flags ix, iy, iz count; unwrapped columns stay. ``extra``
-    names further columns of numbers to keep. Missing columns give nulls.
+    names further columns of numbers to keep. ``corner`` takes the cell's lower corner off all places; products of
+    scaled ones are then counted from it to begin with. Missing columns give nulls.
     """
     held = _dump(spark, path).where("startswith(section, 'ATOMS')").withColumn("names", F.split(F.trim(F.substring("section", 6, 1000)), r"\s+"))
     named = lambda name: F.get("p", (F.array_position("names", name) - 1).cast("int")).try_cast("double")  # noqa: E731  (null for a name that is missing)
@@ -209,6 +228,8 @@ def read_lammps_dump(spark: SparkSession, path: str, unwrap: bool = False, extra
         i = {c: F.when(has(c) | has(f"{c}s"), named(f"i{c}")).otherwise(0.0) for c in "xyz"}
         moved = {"x": i["x"] * span("x") + i["y"] * F.col("xy") + i["z"] * F.col("xz"), "y": i["y"] * span("y") + i["z"] * F.col("yz"), "z": i["z"] * span("z")}
         place = {c: place[c] + moved[c] for c in "xyz"}
+    if corner:
+        place = {c: v - F.col(f"low_{c}") * F.when(has(c) | has(f"{c}u") & ~has(f"{c}s") & ~has(f"{c}su"), 1).otherwise(2) for c, v in place.items()}
     index = (F.row_number().over(Window.partitionBy("file", "frame").orderBy("id")) - 1).cast("long")
     held = held.withColumns({"id": named("id").cast("long"), **{f"_{c}": v for c, v in place.items()}})
     return held.select("file", F.col("frame").cast("int").alias("frame_index"), "step", "id", *(F.col(f"_{c}").alias(c) for c in "xyz"), *(named(f"v{c}").alias(f"v{c}") for c in "xyz"), *(named(c).alias(c) for c in extra), index.alias("atom_index"))
@@ -350,6 +371,29 @@ def read_dlpoly_history_box(spark: SparkSession, path: str) -> DataFrame:
     return _dlpoly_cells(_dlpoly(spark, path, True))
 
 
+def dlpoly_lines(frames: DataFrame, cells: DataFrame | None = None, history: bool = True, level: int = 0) -> DataFrame:
+    """(frame_index, part, n, value, entries): the lines below the header of a history, or of a configuration of one frame.
+
+    ``frames`` holds frame_index, atom_index, name, x, y, z and, from level 1 on, vx, vy, vz, at level 2 fx, fy, fz;
+    ``cells`` frame_index and a ... gamma. Above the lines belong a title, and level, 0 or 3 with cells, and the number
+    of atoms: the entries of the first frame.
+    """
+    three = lambda *c: F.format_string("%.12e %.12e %.12e", *(F.col(x) for x in c))
+    parts = [F.format_string("%-8s %8d", "name", F.col("atom_index") + 1), three(*"xyz"), *([three("vx", "vy", "vz")] if level else []), *([three("fx", "fy", "fz")] if level > 1 else [])]
+    least = frames.agg(F.min("frame_index").alias("_first"))  # one row
+    body = frames.join(F.broadcast(least)).select("frame_index", F.lit(2).alias("part"), F.col("atom_index").alias("n"), F.concat_ws("\n", *parts).alias("value"), (F.col("frame_index") == F.col("_first")).cast("long").alias("entries"))
+    out = body
+    none = F.lit(0).cast("long")
+    if history:
+        sizes = frames.groupBy("frame_index").agg(F.count("*").alias("_n"))
+        out = out.union(sizes.select("frame_index", F.lit(0), none, F.format_string(f"timestep %d %d {level} {0 if cells is None else 3} %.12e", "frame_index", "_n", F.col("frame_index").cast("double")), none))
+    if cells is not None:
+        v = cell_vectors(*(F.col(c) for c in CELL))
+        rows = cells.select("frame_index", F.posexplode(F.array(*(F.format_string("%.12e %.12e %.12e", *x) for x in v))).alias("k", "value"))
+        out = out.union(rows.select("frame_index", F.lit(1), F.col("k").cast("long"), "value", none))
+    return out
+
+
 def _hoomd(spark: SparkSession, path: str) -> DataFrame:
     """(file, frame, tag, i, word): the words of every element with their place in it, and the number of its configuration.
 

@@ -47,14 +47,17 @@ def _is_atom() -> Column:
 def _pdb(spark: SparkSession, path: str) -> DataFrame:
     """Lines with the model's number and, at atoms, the atom's in it."""
     begins = F.substring("line", 1, 5) == "MODEL"
-    lines = scan(spark, path, {"at": F.when(begins, F.lit(True))}, {"model": begins, "atom": _is_atom()})
+    serial = hybrid36(_cut(7, 5), 5)
+    lines = scan(spark, path, {"at": F.when(begins, F.lit(True)), "told": F.when(_is_atom(), serial)}, {"model": begins, "atom": _is_atom()})
+    # where a serial has run over into stars, numbers go on from the last one
+    lines = lines.withColumn("serial", F.when(_cut(7, 5).rlike(r"^\*+$"), F.col("told.value") + F.col("atom") - F.col("told.atom")).otherwise(serial))
     return lines.withColumns({"frame_index": (F.greatest("model", F.lit(1)) - 1).cast("int"), "atom_index": F.col("atom") - 1 - F.when(F.col("model") > 1, F.col("at.atom")).otherwise(0)})
 
 
 def read_pdb(spark: SparkSession, path: str) -> DataFrame:
     """ATOM and HETATM records, a frame a MODEL; later models repeat the atoms of the first.
 
-    Serials and residue numbers may be hybrid-36; residue numbers of five digits reach into the next column. Where
+    Serials and residue numbers may be hybrid-36; serials of stars follow the number before them; residue numbers of five digits reach into the next column. Where
     numbers start again after 9999, 10,000 is added for the rest of the model (taken model by model, in one task each).
     """
     rows = _pdb(spark, path).where(_is_atom())
@@ -64,7 +67,7 @@ def read_pdb(spark: SparkSession, path: str) -> DataFrame:
     rows = rows.withColumn("fell", F.col("number") - F.lag("number").over(model) < -5000)
     again = F.max(F.col("fell")).over(model.rowsBetween(Window.unboundedPreceding, 0))
     return rows.select(
-        "file", "frame_index", "atom_index", hybrid36(_cut(7, 5), 5).alias("serial"), _cut(13, 4).alias("name"), _cut(18, 4).alias("resname"), _cut(22, 1).alias("chain_id"),
+        "file", "frame_index", "atom_index", "serial", _cut(13, 4).alias("name"), _cut(18, 4).alias("resname"), _cut(22, 1).alias("chain_id"),
         (F.col("number") + F.when(F.coalesce(again, F.lit(False)) & ~F.col("wide"), 10_000).otherwise(0)).cast("int").alias("resid"), F.when(~F.col("wide"), _cut(27, 1)).alias("insertion_code"), _number(31, 8).alias("x"), _number(39, 8).alias("y"), _number(47, 8).alias("z"),
         _number(55, 6).alias("occupancy"), _number(61, 6).alias("temp_factor"), _cut(73, 4).alias("segid"), _cut(77, 2).alias("element"),
     )
@@ -85,13 +88,13 @@ def read_pdb_bonds(spark: SparkSession, path: str) -> DataFrame:
     cut = F.transform(F.sequence(F.lit(0), F.ceil(F.length(rest) / 5).cast("int") - 1), lambda k: F.trim(F.substr(rest, 5 * k + 1, F.lit(5))))
     fields = F.when(F.forall(free, lambda s: F.length(s) <= 5), free).otherwise(F.filter(cut, lambda s: s != ""))
     p = F.transform(fields, lambda s: hybrid36(s, 5))
-    entry = lambda serial, index, k: F.struct(serial.alias("serial"), index.alias("index"), k.cast("long").alias("k"))
+    entry = lambda serial, index, k: F.struct(serial.alias("end"), index.alias("index"), k.cast("long").alias("k"))
     none = F.lit(None).cast("long")
-    own = F.when(_is_atom() & (F.col("frame_index") == 0), F.array(entry(hybrid36(_cut(7, 5), 5), F.col("atom_index"), none)))
+    own = F.when(_is_atom() & (F.col("frame_index") == 0), F.array(entry(F.col("serial"), F.col("atom_index"), none)))
     ends = F.when(F.col("line").startswith("CONECT"), F.flatten(F.transform(F.slice(p, 2, 100), lambda s, k: F.array(entry(F.get(p, F.lit(0)), none, k), entry(s, none, k)))))
-    met = _pdb(spark, path).select("file", "n", F.inline(F.coalesce(own, ends))).where("serial is not null")
+    met = _pdb(spark, path).select("file", "n", F.inline(F.coalesce(own, ends))).where("end is not null")
     # the ends of a bond meet the atom of their serial, then each other
-    met = met.withColumn("atom", F.max("index").over(Window.partitionBy("file", "serial"))).where("k is not null and atom is not null")
+    met = met.withColumn("atom", F.max("index").over(Window.partitionBy("file", "end"))).where("k is not null and atom is not null")
     pairs = met.groupBy("file", "n", "k").agg(F.min("atom").alias("atom1"), F.max("atom").alias("atom2"), F.count("*").alias("ends"))
     return pairs.where("ends = 2 and atom1 < atom2").select("file", "atom1", "atom2").distinct()
 

@@ -132,7 +132,7 @@ def _box_lines(system: Universe, frame: int, form: str) -> DataFrame | None:
 def write_system(system: Universe, path: str, kind: str | None = None, frame: int = 0, title: str = "system") -> None:
     """One frame of a system as a folder of part files that this package's readers take for one file.
 
-    Kinds: pdb, gro, xyz, crd (extended), psf, mol2. Atoms come in the order of their numbers, bonds (pdb, psf, mol2) by
+    Kinds: pdb, gro, xyz, crd (extended), psf, mol2, config, and history, which holds all frames. Atoms come in the order of their numbers, bonds (pdb, psf, mol2) by
     both of theirs, the frame's cell (pdb, gro) where there is one. What has no room in its columns is an error.
     """
     spark, kind = system.atoms.sparkSession, kind or kind_of(path)
@@ -156,6 +156,11 @@ def write_system(system: Universe, path: str, kind: str | None = None, frame: in
     elif kind == "mol2":
         pairs = None if bonds is None else bonds.select(*both, F.concat_ws(" ", F.lit("1"), one(*both), F.lit("1")).alias("value"))
         parts = [Section(sections.mol2_lines(atoms), by, head=("@<TRIPOS>MOLECULE", title, "{n0} {n1}", "SMALL", "USER_CHARGES", "@<TRIPOS>ATOM")), Section(pairs, both, head=("@<TRIPOS>BOND",))]
+    elif kind in ("config", "history"):
+        chosen = system.coords if kind == "history" else system.coords.where(F.col("frame_index") == frame)
+        cells = None if system.boxes is None else system.boxes.join(chosen.select("frame_index").distinct(), "frame_index", "left_semi")
+        lines = sections.dlpoly_lines(chosen.join(system.atoms.select("atom_index", "name"), "atom_index"), cells, kind == "history")
+        parts = [Section(lines, ("frame_index", "part", "n"), head=(title, f"0 {0 if cells is None else 3} {{n}}"), entries="entries")]
     else:
         raise ValueError(f"{kind} files are not written")
     write_sections(spark, path, *parts)

@@ -76,9 +76,39 @@ def test_topology(spark, tmp_path):
     alone.write_text(TOP.split("[ system ]")[0])
     assert gromacs.system_atoms(gromacs.read_itp(spark, str(alone), {"HEAVY": "1"})).count() == 6
     deep = tmp_path / "c.itp"
-    deep.write_text("#ifdef A\n" * 5 + "[ atoms ]\n" + "#endif\n" * 5)
-    with pytest.raises(Exception, match="conditionals"):
-        gromacs.read_itp(spark, str(deep)).collect()
+    deep.write_text("#ifdef A\n" * 9 + "[ atoms ]\n 1 CT 1 ALA CA 1\n" + "#endif\n" * 9)
+    assert gromacs.read_itp(spark, str(deep)).count() == 0 and gromacs.read_itp(spark, str(deep), {"A": "0"}).count() == 1
+
+
+def test_includes_and_names(spark, tmp_path):
+    (tmp_path / "lib").mkdir()
+    (tmp_path / "ff").mkdir()
+    files = {
+        "a.top": '#define SIZE 0.25 7.5 ; of what follows\n#include "mol.itp"\n#include "lib/water.itp"\n#include "nowhere.itp"\n#ifdef SEEN\n#undef SIZE\n#endif\n[ moleculetype ]\nLast 1\n[ atoms ]\n 1 CT 1 L \\\n A 1 SIZE\n#include <shared.itp>\n[ system ]\nx\n[ molecules ]\nMol 1\nSOL 2\n',
+        "mol.itp": "[ moleculetype ]\nMol 3\n[ atoms ]\n#include \"lib/atoms.itp\"\n 2 CT 1 ALA CB 1 KEPT\n#include \"lib/atoms.itp\"\n",
+        "lib/atoms.itp": "#ifndef FIRST\n#define FIRST\n 1 CT 1 ALA CA 1 SIZE\n#else\n 3 CT 1 ALA CC 1 FIRST\n#endif\n#define SEEN\n#define KEPT 99\n",
+        "lib/water.itp": "#include \"../lib/more.itp\"\n[ moleculetype ]\nSOL 2\n[ atoms ]\n 1 OW 1 SOL OW 1\n 2 HW 1 SOL H1 1\n 3 HW 1 SOL H2 1\n#if WET\n 4 HW 1 SOL H3 1\n#endif\n[ bonds ]\n 1 2 1\n[ settles ]\n 1 1 0.1 0.16\n",
+        "lib/more.itp": "; nothing but\n#define WET false\n",
+        "ff/shared.itp": " 2 CT 1 L B 1 0.5\n",
+    }
+    for name, text in files.items():
+        (tmp_path / name).write_text(text)
+    rows = gromacs.read_itp(spark, str(tmp_path / "a.top"), {"KEPT": "0.75"}, include_dirs=(str(tmp_path / "ff"),))
+    got = sorted((r.molecule, r.atom_index, r.name, r.charge, r.mass) for r in gromacs.itp_atoms(rows).collect())
+    assert got == [("Last", 0, "A", None, None), ("Last", 1, "B", 0.5, None), ("Mol", 0, "CA", 0.25, 7.5), ("Mol", 1, "CB", 0.75, None), ("Mol", 2, "CC", 1.0, None)] + [("SOL", k, n, None, None) for k, n in enumerate(("OW", "H1", "H2"))]
+    assert {r.file.rsplit("/", 1)[1] for r in rows.select("file").distinct().collect()} == {"a.top"}
+    bonds = [(r.atom1, r.atom2, r.function) for r in gromacs.system_groups(rows).orderBy("atom1", "atom2").collect()]
+    assert bonds == [(3, 4, 1), (3, 5, 1), (6, 7, 1), (6, 8, 1)]
+    wet = gromacs.read_itp(spark, str(tmp_path / "a.top"), {"WET": "yes"})
+    assert gromacs.itp_atoms(wet).where("molecule = 'SOL'").count() == 4
+
+
+@pytest.mark.parametrize("text, why", [('#include "b.itp"\n', "includes itself"), ("#else\n", "conditionals"), ("#ifdef A\n#else\n#else\n#endif\n", "conditionals"), ("#ifdef A\n", "conditionals"), ("#endif\n", "conditionals"), ("#include b.itp\n", "quoted")])
+def test_directives_that_are_errors(spark, tmp_path, text, why):
+    (tmp_path / "a.itp").write_text(text)
+    (tmp_path / "b.itp").write_text('#include "a.itp"\n')
+    with pytest.raises(ValueError, match=why):
+        gromacs.read_itp(spark, str(tmp_path / "a.itp"))
 
 
 HEAD = """ INPUT CARD> $CONTRL RUNTYP=ENERGY $END
