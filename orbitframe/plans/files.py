@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbitframe.plans import views as V
-from orbitframe.sources import amber, sections, structures
+from orbitframe.sources import amber, gromacs, sections, structures
 from orbitframe.sources.checkpoints import scratch
 from orbitframe.sources.lines import write_lines
 from orbitframe.sources.sink import Section, write_sections
@@ -404,3 +404,37 @@ def hoomd_frames(spark, d):
     path = scratch(spark, "particles") + ".xml"
     write_sections(spark, path, Section(every, ("frame_index", "part", "n"), ('<?xml version="1.0"?><hoomd_xml>',), ("</hoomd_xml>",)))
     return _zero(sections.read_hoomd_xml(spark, path).select("frame_index", "atom_index", "name", *"xyz"))
+
+
+@query(f"select frame_index, atom_index, name, {_p(7)}, 7.0::double as c from coords join atoms using (atom_index)")
+def system_as_history(spark, d):
+    system, path = _system(spark, d), scratch(spark, "system")
+    write_system(system, f"{path}.history")
+    write_system(system, f"{path}.crd")
+    u = read_system(spark, f"{path}.crd", f"{path}.history")
+    met = u.coords.join(u.atoms.select("atom_index", "name"), "atom_index").join(u.boxes.select("frame_index", F.round("c", 6).alias("c")), "frame_index")
+    return _zero(met.select("frame_index", "atom_index", "name", *(F.round(c, 7).alias(c) for c in "xyz"), "c"))
+
+
+_TOP = ("#define COPIES 2", "#ifndef RIGID", '#include "molecule.itp"', "#endif", "[ system ]", "two of them", "[ molecules ]", "SYS COPIES")
+
+
+def _included(spark: SparkSession, d: str) -> DataFrame:
+    """A topology of two copies of all atoms, whose one molecule type stands in an included file."""
+    folder, atoms = scratch(spark, "topology"), V.atoms(spark, d)
+    line = F.concat_ws(" ", (F.col("atom_index") + 1).cast("string"), F.lit("X"), F.col("resid").cast("string"), "resname", "name", F.lit("1"), F.format_string("%.6f", "charge"), F.lit("WEIGHT"))
+    pairs = V.bonds(spark, d).select("atom1", "atom2", F.concat_ws(" ", (F.col("atom1") + 1).cast("string"), (F.col("atom2") + 1).cast("string"), F.lit("1")).alias("value"))
+    write_sections(spark, f"{folder}/molecule.itp", Section(atoms.select("atom_index", line.alias("value")), ("atom_index",), ("#define WEIGHT 12.5", "[ moleculetype ]", "SYS 3", "[ atoms ]")), Section(pairs, ("atom1", "atom2"), ("#undef WEIGHT", "[ bonds ]")))
+    write_sections(spark, f"{folder}/all.top", Section(None, head=_TOP))
+    return gromacs.read_itp(spark, f"{folder}/all.top")
+
+
+@query(f", n as (select count(*) as n, max(resid) as r from atoms), k as (select unnest(range(0, 2)) as k) select atom_index + k * n as atom_index, k + 1 as molecule_number, resname, name, resid + k * r as resid, 12.5::double as mass, {_p(6, 'charge')} from atoms, n, k")
+def topology_with_includes(spark, d):
+    got = gromacs.system_atoms(_included(spark, d))
+    return _zero(got.select("atom_index", F.col("molecule_number").cast("long").alias("molecule_number"), "resname", "name", F.col("resid").cast("long").alias("resid"), "mass", "charge"), "charge")
+
+
+@query(", n as (select count(*) as n from atoms), k as (select unnest(range(0, 2)) as k) select atom1 + k * n as atom1, atom2 + k * n as atom2 from bonds, n, k")
+def topology_bonds_with_includes(spark, d):
+    return gromacs.system_groups(_included(spark, d)).select("atom1", "atom2")

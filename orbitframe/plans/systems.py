@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from orbitframe.functions import chemistry, units
 from orbitframe.functions.vectors import cell_vectors, cell_volume, lattice_angles
-from orbitframe.operators import topology
+from orbitframe.operators import selection_text, topology
 from orbitframe.plans import views as V
 from orbitframe.universe import Universe
 
@@ -107,3 +107,18 @@ def unique_atoms(spark, d):
     """Atoms of bonds as they are first seen, bonds by their first atom modulo seven."""
     bonds = V.bonds(spark, d).withColumn("o", F.col("atom1") % 7)
     return topology.unique_atoms(bonds, ("atom1", "atom2"), ("o", "atom1", "atom2"))
+
+
+# atoms of nucleotides under names that such residues have
+_NUCLEOTIDE = ("P", "O5'", "C1'", "N9", "C4'")
+
+
+@query(", n as (select atom_index, ['P', 'O5''', 'C1''', 'N9', 'C4'''][atom_index % 5 + 1] as name from atoms where resname in ('ADE', 'GUA')) select atom_index, name in ('P', 'O5''') as backbone, name in ('C1''', 'C4''') as sugar, name = 'N9' as base from n")
+def nucleotide_parts(spark, d):
+    name = F.get(F.array(*map(F.lit, _NUCLEOTIDE)), (F.col("atom_index") % 5).cast("int"))
+    atoms = V.placed_atoms(spark, d).withColumn("name", name)
+    part = lambda text: selection_text.select(atoms, text).select("atom_index", F.lit(True).alias(text))
+    held = part("nucleic").select("atom_index")
+    for text, column in (("nucleicbackbone", "backbone"), ("nucleicsugar", "sugar"), ("nucleicbase", "base")):
+        held = held.join(part(text).withColumnRenamed(text, column), "atom_index", "left").withColumn(column, F.coalesce(column, F.lit(False)))
+    return held

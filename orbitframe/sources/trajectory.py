@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 CELL = ("a", "b", "c", "alpha", "beta", "gamma")
@@ -222,6 +222,33 @@ class _Reader(DataSourceReader):
             yield batch if among is None else batch.filter(pa.array(np.isin(np.arange(a, a + n), sorted(among))))
 
 
+class _Stream(DataSourceStreamReader):
+    """Frames of a folder as files come to it; the offset is the number of frames that have been read."""
+
+    def __init__(self, options: dict, cells: bool):
+        self.options, self.cells = options, cells
+
+    def initialOffset(self) -> dict:
+        return {"frames": 0}
+
+    def latestOffset(self) -> dict:
+        where, frames = located(self.options["path"])[0], 0
+        for info in data_files(self.options["path"]):
+            with where.open_input_file(info.path) as file:
+                frames += Layout.of(file, info.size).n_frames
+        return {"frames": frames}
+
+    def partitions(self, start: dict, end: dict) -> list[Run]:
+        if start["frames"] >= end["frames"]:
+            return []
+        reader = _Reader(self.options, self.cells)
+        reader.bounds["frame_index"] = start["frames"], end["frames"]
+        return reader.partitions()
+
+    def read(self, partition: Run) -> Iterator[pa.RecordBatch]:
+        return _Reader(self.options, self.cells).read(partition)
+
+
 @dataclass
 class Written(WriterCommitMessage):
     """Files of one task, with the first frame, the number of frames and of atoms of each."""
@@ -326,6 +353,9 @@ class FrameSource(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return _Reader(dict(self.options), self.options.get("cells") == "true")
 
+    def streamReader(self, schema: StructType) -> DataSourceStreamReader:
+        return _Stream(dict(self.options), self.options.get("cells") == "true")
+
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
         return _Writer(dict(self.options), overwrite)
 
@@ -346,6 +376,15 @@ def read_frames(spark: SparkSession, path: str, cells: bool = False, run_bytes:
     return spark.read.format("dcd").option("cells", str(cells).lower()).option("runBytes", str(run_bytes)).load(path)
 
 
+def stream_frames(spark: SparkSession, path: str, cells: bool = False) -> DataFrame:
+    """The frames of a folder as a stream: each trigger reads those of the files that came since, named behind the ones before.
+
+    Files must come whole, as ``write_frames`` and a move bring them.
+    """
+    register(spark)
+    return spark.readStream.format("dcd").option("cells", str(cells).lower()).load(path)
+
+
 def write_frames(coords: DataFrame, path: str, delta: float = 1.0, run_bytes: int = RUN_BYTES) -> None:
     """Frames (frame_index, atom_index, x, y, z and, if held, a ... gamma) as a folder of files that ``read_frames`` takes for one.
 

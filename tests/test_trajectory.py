@@ -106,3 +106,21 @@ def test_written_frames_come_back(spark, tmp_path):
     with pytest.raises(Exception, match="numbers of atoms"):
         R.write_frames(coords.where("frame_index > 20 or atom_index < 9"), str(tmp_path / "uneven"))
     assert R.read_frames(spark, str(tmp_path / "uneven")).count() == 0
+
+
+def test_a_growing_folder_as_a_stream(spark, tmp_path):
+    path, out = tmp_path / "in", str(tmp_path / "out")
+    os.makedirs(path)
+
+    def trigger():
+        query = R.stream_frames(spark, str(path)).select("frame_index", "atom_index", "x").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "log")).outputMode("append").trigger(availableNow=True).start(out)
+        query.awaitTermination()
+        return sorted((r.frame_index, r.atom_index, r.x) for r in spark.read.schema("frame_index int, atom_index long, x double").parquet(out).collect())
+
+    first = frame_file(path / "frames-0.dcd", 4, 3)
+    want = [(f, i, float(first[f, i, 0])) for f in range(4) for i in range(3)]
+    assert trigger() == want
+    second = frame_file(path / "frames-1.dcd", 2, 3, cell=False)
+    want += [(4 + f, i, float(second[f, i, 0])) for f in range(2) for i in range(3)]
+    assert trigger() == want
+    assert trigger() == want
