@@ -139,6 +139,11 @@ def contact_matrix(atoms: DataFrame, cutoff: float, by: tuple[str, ...] = ()) ->
     return met.select(*by, "atom_index", F.transform("_all", lambda k: F.array_contains(near, k)).alias("contacts"))
 
 
+def paired_atoms(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, atom_index): every atom that any pair (i, j) holds, once."""
+    return pairs.select(*by, F.explode(F.array("i", "j")).alias("atom_index")).distinct()
+
+
 def contact_bitmaps(atoms: DataFrame, cutoff: float, by: tuple[str, ...] = (), box: Box | None = None) -> DataFrame:
     """(*by, atom_index, bucket, contacts): the contacts of each atom as bitmaps, one for each run of 32,768 atoms that holds any.
 

@@ -438,3 +438,21 @@ def topology_with_includes(spark, d):
 @query(", n as (select count(*) as n from atoms), k as (select unnest(range(0, 2)) as k) select atom1 + k * n as atom1, atom2 + k * n as atom2 from bonds, n, k")
 def topology_bonds_with_includes(spark, d):
     return gromacs.system_groups(_included(spark, d)).select("atom1", "atom2")
+
+
+@query(f"select frame_index, atom_index, name, resname, {_SINGLE}, 5.0::double + frame_index as a from coords join atoms using (atom_index)")
+def system_of_gro_and_frames(spark, d):
+    path = scratch(spark, "system") + ".gro"
+    write_system(_system(spark, d), path)
+    u = read_system(spark, path, _binary(spark, d), frames_kind="dcd")
+    met = u.coords.join(u.atoms.select("atom_index", "name", "resname"), "atom_index").join(u.boxes.select("frame_index", "a"), "frame_index")
+    return met.select("frame_index", "atom_index", "name", "resname", *"xyz", "a")
+
+
+@query(f"select atom_index, atom_type, {_p(3)}, 6.0::double as b, 80.0::double as beta from placed")
+def system_as_pdbqt(spark, d):
+    path = scratch(spark, "system") + ".pdbqt"
+    atoms = V.placed_atoms(spark, d).withColumn("resid", F.col("resid") % 9999)
+    write_sections(spark, path, Section(sections.pdbqt_lines(atoms), ("atom_index",), (structures.pdb_box_line(V.TILTED),), ("END",)))
+    u = read_system(spark, path)
+    return _zero(u.frame(0).join(F.broadcast(u.boxes.select("b", "beta"))).select("atom_index", "atom_type", *"xyz", "b", "beta"))  # one box

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from orbitframe.functions import chemistry, units
 from orbitframe.functions.vectors import cell_vectors, cell_volume, lattice_angles
-from orbitframe.operators import selection_text, topology
+from orbitframe.operators import neighbors, selection_text, topology
 from orbitframe.plans import views as V
 from orbitframe.universe import Universe
 
@@ -122,3 +122,19 @@ def nucleotide_parts(spark, d):
     for text, column in (("nucleicbackbone", "backbone"), ("nucleicsugar", "sugar"), ("nucleicbase", "base")):
         held = held.join(part(text).withColumnRenamed(text, column), "atom_index", "left").withColumn(column, F.coalesce(column, F.lit(False)))
     return held
+
+
+@query("select atom_index, name, resid, round(x, 6) + 0.0 as x from atoms join coords using (atom_index) where frame_index = 3 and resid = 8")
+def atoms_of_a_residue(spark, d):
+    u = Universe(V.atoms(spark, d), V.coords(spark, d), V.bonds(spark, d))
+    return u.residue_atoms(7, frame=3).select("atom_index", "name", "resid", (F.round("x", 6) + F.lit(0.0)).alias("x"))
+
+
+@query("select atom_index, segid from atoms where segid = 'S1'")
+def atoms_of_a_segment(spark, d):
+    return Universe(V.atoms(spark, d), V.coords(spark, d)).segment_atoms(1).select("atom_index", "segid")
+
+
+@query("select distinct p.frame_index, unnest([p.atom_index, q.atom_index]) as atom_index from coords p join coords q on q.frame_index = p.frame_index and p.atom_index < q.atom_index where (p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2 <= 0.16")
+def atoms_in_pairs(spark, d):
+    return neighbors.paired_atoms(neighbors.self_pairs_within(V.coords(spark, d), 0.4, ("frame_index",)), ("frame_index",))

@@ -132,8 +132,8 @@ def _box_lines(system: Universe, frame: int, form: str) -> DataFrame | None:
 def write_system(system: Universe, path: str, kind: str | None = None, frame: int = 0, title: str = "system") -> None:
     """One frame of a system as a folder of part files that this package's readers take for one file.
 
-    Kinds: pdb, gro, xyz, crd (extended), psf, mol2, config, and history, which holds all frames. Atoms come in the order of their numbers, bonds (pdb, psf, mol2) by
-    both of theirs, the frame's cell (pdb, gro) where there is one. What has no room in its columns is an error.
+    Kinds: pdb, pdbqt, pqr (radius 0 where atoms have none), gro, xyz, crd (extended), psf, mol2, config, and history, which holds all frames. Atoms come in the order of their numbers, bonds (pdb, psf, mol2) by
+    both of theirs, the frame's cell (pdb, pdbqt, gro, config, history) where there is one. What has no room in its columns is an error.
     """
     spark, kind = system.atoms.sparkSession, kind or kind_of(path)
     atoms = system.frame(frame)
@@ -145,6 +145,11 @@ def write_system(system: Universe, path: str, kind: str | None = None, frame: in
     elif kind == "gro":
         cell = _box_lines(system, frame, "%10.5f%10.5f%10.5f")
         parts = [Section(structures.gro_lines(atoms), by, head=(title, "{n}")), Section(cell, tail=() if cell is not None else ("   0.00000   0.00000   0.00000",))]
+    elif kind == "pdbqt":
+        cell = _box_lines(system, frame, "CRYST1%9.3f%9.3f%9.3f%7.2f%7.2f%7.2f P 1           1")
+        parts = [Section(cell), Section(sections.pdbqt_lines(atoms), by, tail=("END",))]
+    elif kind == "pqr":
+        parts = [Section(structures.pqr_lines(atoms if "radius" in atoms.columns else atoms.withColumn("radius", F.lit(0.0))), by)]
     elif kind == "xyz":
         line = F.concat_ws(" ", "name", *(F.format_string("%.8f", F.col(c)) for c in "xyz"))
         parts = [Section(atoms.select("atom_index", line.alias("value")), by, head=("{n}", title))]

@@ -89,6 +89,16 @@ class Universe:
     def segments(self) -> DataFrame:
         return topology.segment_table(self.atoms)
 
+    def residue_atoms(self, index: int, frame: int | None = None) -> DataFrame:
+        """Atoms of a residue, by its number in the order of first atoms; with their places if a frame is named."""
+        atoms = topology.residue_atoms(self.atoms, index)
+        return atoms if frame is None else atoms.join(self.frame(frame).select("atom_index", *"xyz"), "atom_index")
+
+    def segment_atoms(self, index: int) -> DataFrame:
+        """Atoms of a segment, by its number in the order of first atoms."""
+        chosen = self.segments().where(F.col("segment_index") == index).select(F.col("segid").alias("_segid"))  # at most one row
+        return self.atoms.join(chosen, F.col("segid").eqNullSafe(F.col("_segid")), "left_semi")
+
     def with_frames(self, coords: DataFrame) -> Universe:
         """The system with more frames, numbered on from the last one."""
         last = self.coords.agg(F.coalesce(F.max("frame_index"), F.lit(-1)).alias("_last"))  # one row

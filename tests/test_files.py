@@ -29,7 +29,7 @@ def lines(path):
     return "".join(open(f"{path}/{f}").read() for f in sorted(os.listdir(path)) if not f.startswith("."))
 
 
-@pytest.mark.parametrize("kind", ["pdb", "gro", "xyz", "crd", "mol2", "config", "history"])
+@pytest.mark.parametrize("kind", ["pdb", "pdbqt", "pqr", "gro", "xyz", "crd", "mol2", "config", "history"])
 def test_systems_come_back(spark, tmp_path, kind):
     u, path = system(spark), str(tmp_path / f"s.{kind}")
     systems.write_system(u, path, frame=1)
@@ -47,7 +47,7 @@ def test_systems_come_back(spark, tmp_path, kind):
         assert {r.name for r in got.atoms.collect()} == {f"C{k}" for k in range(10)}
     if kind in ("pdb", "mol2"):
         assert {(r.atom1, r.atom2) for r in got.bonds.collect()} == {(k, k + 1) for k in range(39)}
-    if kind in ("pdb", "gro", "config", "history"):
+    if kind in ("pdb", "pdbqt", "gro", "config", "history"):
         assert {tuple(round(r[c], 4) for c in systems.CELL) for r in got.boxes.collect()} == {(10.0, 11.0, 12.0, 90.0, 90.0, 90.0)}
     os.listdir(path)
     assert not any(f.startswith("_parts") for f in os.listdir(path))
