@@ -16,19 +16,20 @@ from orbitframe.operators.aggregates import FRAME, placed, with_reference
 _OUT = "rotation array<array<double>>, translation array<double>, rmsd double"
 
 
-def _rotation(s: np.ndarray) -> np.ndarray:
-    """The proper rotation that takes the first point set onto the second, from their covariance, by Horn's quaternion."""
-    a, b, c = s
+def _rotations(s: np.ndarray) -> np.ndarray:
+    """The proper rotations that take first point sets onto second ones, from their covariances, by Horn's quaternions."""
+    t = s.transpose(1, 2, 0)
     k = np.array(
         [
-            [a[0] + b[1] + c[2], b[2] - c[1], c[0] - a[2], a[1] - b[0]],
-            [b[2] - c[1], a[0] - b[1] - c[2], a[1] + b[0], c[0] + a[2]],
-            [c[0] - a[2], a[1] + b[0], b[1] - a[0] - c[2], b[2] + c[1]],
-            [a[1] - b[0], c[0] + a[2], b[2] + c[1], c[2] - a[0] - b[1]],
+            [t[0, 0] + t[1, 1] + t[2, 2], t[1, 2] - t[2, 1], t[2, 0] - t[0, 2], t[0, 1] - t[1, 0]],
+            [t[1, 2] - t[2, 1], t[0, 0] - t[1, 1] - t[2, 2], t[0, 1] + t[1, 0], t[2, 0] + t[0, 2]],
+            [t[2, 0] - t[0, 2], t[0, 1] + t[1, 0], t[1, 1] - t[0, 0] - t[2, 2], t[1, 2] + t[2, 1]],
+            [t[0, 1] - t[1, 0], t[2, 0] + t[0, 2], t[1, 2] + t[2, 1], t[2, 2] - t[0, 0] - t[1, 1]],
         ]
     )
-    w, x, y, z = np.linalg.eigh(k)[1][:, -1]
-    return np.array([[w * w + x * x - y * y - z * z, 2 * (x * y - w * z), 2 * (x * z + w * y)], [2 * (x * y + w * z), w * w - x * x + y * y - z * z, 2 * (y * z - w * x)], [2 * (x * z - w * y), 2 * (y * z + w * x), w * w - x * x - y * y + z * z]])
+    w, x, y, z = np.linalg.eigh(k.transpose(2, 0, 1))[1][:, :, -1].T
+    turn = np.array([[w * w + x * x - y * y - z * z, 2 * (x * y - w * z), 2 * (x * z + w * y)], [2 * (x * y + w * z), w * w - x * x + y * y - z * z, 2 * (y * z - w * x)], [2 * (x * z - w * y), 2 * (y * z + w * x), w * w - x * x - y * y + z * z]])
+    return turn.transpose(2, 0, 1)
 
 
 def fit_to_reference(coords: DataFrame, reference: DataFrame, by: tuple[str, ...] = FRAME, weight: str | None = None) -> DataFrame:
@@ -41,17 +42,15 @@ def fit_to_reference(coords: DataFrame, reference: DataFrame, by: tuple[str, ...
 
     def solve(batches):
         for rows in batches:
-            rot, move, err = [], [], []
-            for r in rows.to_dict("records"):
-                if not r["n"] or r["n"] <= 0:
-                    rot.append(np.eye(3).tolist()), move.append([0.0] * 3), err.append(0.0)
-                    continue
-                s = np.array([[r[f"s{a}{b}"] for b in "xyz"] for a in "xyz"])
-                q = _rotation(s)
-                rot.append(q.tolist())
-                move.append((np.array([r[f"mr{c}"] for c in "xyz"]) - q @ np.array([r[f"m{c}"] for c in "xyz"])).tolist())
-                err.append(float(np.sqrt(max(0.0, (r["e"] - 2 * np.sum(q.T * s)) / r["n"]))))
-            yield pd.DataFrame({**{c: rows[c] for c in by}, "rotation": rot, "translation": move, "rmsd": err})
+            n = np.nan_to_num(rows["n"].to_numpy(float))
+            some = n > 0
+            held = np.nan_to_num(rows[[f"s{a}{b}" for a in "xyz" for b in "xyz"]].to_numpy(float)).reshape(-1, 3, 3)
+            turn = np.where(some[:, None, None], _rotations(held), np.eye(3))
+            first, second = (np.nan_to_num(rows[[f"m{p}{c}" for c in "xyz"]].to_numpy(float)) for p in ("", "r"))
+            move = np.where(some[:, None], second - np.einsum("nij,nj->ni", turn, first), 0.0)
+            left = np.nan_to_num(rows["e"].to_numpy(float)) - 2 * np.einsum("nji,nij->n", turn, held)
+            err = np.where(some, np.sqrt(np.maximum(0.0, left / np.where(some, n, 1.0))), 0.0)
+            yield pd.DataFrame({**{c: rows[c] for c in by}, "rotation": turn.tolist(), "translation": move.tolist(), "rmsd": err})
 
     keys = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in coords.select(*by).schema)
     return sums.mapInPandas(solve, keys + _OUT)  # a row a frame
@@ -76,14 +75,13 @@ def helix_axis(coords: DataFrame, by: tuple[str, ...] = FRAME, order: str = "ato
 
     def solve(batches):
         for rows in batches:
-            out = []
-            for r in rows.to_dict("records"):
-                c = np.array([[r["xx"], r["xy"], r["xz"]], [r["xy"], r["yy"], r["yz"]], [r["xz"], r["yz"], r["zz"]]])
-                span = np.array([r["dx"], r["dy"], r["dz"]])
-                axis = np.linalg.eigh(c)[1][:, -1] if r["n"] > 1 else np.zeros(3)
-                axis = -axis if (axis @ span < 0) != toward_first else axis
-                out.append((*axis, np.sqrt(max(0.0, (np.trace(c) - axis @ c @ axis) / r["n"])), abs(axis @ span)))
-            yield pd.DataFrame({**{k: rows[k] for k in by}, **dict(zip(("ax", "ay", "az", "rms", "length"), map(list, zip(*out)) if out else [[]] * 5))})
+            c = rows[["xx", "xy", "xz", "xy", "yy", "yz", "xz", "yz", "zz"]].to_numpy(float).reshape(-1, 3, 3)
+            n, span = rows["n"].to_numpy(float), rows[["dx", "dy", "dz"]].to_numpy(float)
+            axis = np.where((n > 1)[:, None], np.linalg.eigh(c)[1][:, :, -1], 0.0)
+            along = (axis * span).sum(1)
+            axis = np.where(((along < 0) != toward_first)[:, None], -axis, axis)
+            rest = np.trace(c, axis1=1, axis2=2) - np.einsum("ni,nij,nj->n", axis, c, axis)
+            yield pd.DataFrame({**{k: rows[k] for k in by}, **dict(zip(("ax", "ay", "az"), axis.T)), "rms": np.sqrt(np.maximum(0.0, rest / n)), "length": np.abs(along)})
 
     keys = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in coords.select(*by).schema)
     return sums.mapInPandas(solve, keys + "ax double, ay double, az double, rms double, length double")
