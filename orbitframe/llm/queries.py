@@ -120,6 +120,21 @@ e as (select a, b from l union select b, a from l),
 r as (select doc_id as id, doc_id as c from d union select e.b, r.c from r join e on e.a = r.id where r.c < e.b),
 m as (select id, min(c) as c from r group by 1)
 select d.doc_id, coalesce(n.n, 0) as n_shingles, m.c as component_id, m.c = d.doc_id as kept from d join m on m.id = d.doc_id left join n using (doc_id)
+""",
+    # every 50-byte string and the first document it starts in, runs of bytes that later ones cover, and what is left
+    "op1_suffix_dedup": """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+w as (select doc_id, unnest(range(0, greatest(0, strlen(h) // 2 - 49))) as i, h from d),
+g as (select doc_id, i, substr(h, (2 * i + 1)::bigint, 100) as g from w),
+m as (select g, min(doc_id) as first from g group by 1),
+c as (select doc_id, i from g join m using (g) where first < doc_id),
+n as (select *, case when i <= lag(i) over (partition by doc_id order by i) + 50 then 0 else 1 end as new from c),
+k as (select *, sum(new) over (partition by doc_id order by i) as k from n),
+r as (select doc_id, min(i) as a, max(i) + 50 as b from k group by doc_id, k),
+x as (select doc_id, b as a, lead(a) over (partition by doc_id order by a, b) as b from (select doc_id, a, b from r union all select doc_id, 0, 0 from d)),
+e as (select d.doc_id, string_agg(substr(h, (2 * a + 1)::bigint, (2 * (coalesce(b, strlen(h) // 2) - a))::bigint), '' order by a) as kept from x join d using (doc_id) group by 1)
+select d.doc_id, strlen(h) // 2 as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(kept)) as kept_sha256
+from d join e using (doc_id) left join (select doc_id, sum(b - a) as n_removed, count(*) as n_spans from r group by 1) s using (doc_id)
 """,
     "op8_top_inner_products": """
 with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e from embeddings
