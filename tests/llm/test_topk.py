@@ -27,7 +27,10 @@ def test_small_table(spark):
 def test_odd_vectors_and_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK", 64)
     monkeypatch.setattr(topk, "QUERY_BLOCK", 16)
-    monkeypatch.setattr(topk, "PIECE_BYTES", 8 * 24 * 5)
+    monkeypatch.setattr(topk, "PIECE_BYTES", 2 * 24 * 5)
+    monkeypatch.setattr(topk, "LANE_BYTES", 8 * 24 * 7)  # lanes of two pieces
+    monkeypatch.setattr(topk, "STRIP_BLOCKS", 3)
+    monkeypatch.setattr(topk, "TASKS", 5)  # several cells a task
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in rng.normal(size=24) * rng.lognormal(0, 0.7)]) for i in range(700)]
     rows += [(1000 + i, [0.5] * 24) for i in range(200)]  # one very common vector
