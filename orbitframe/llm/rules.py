@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orbitframe.llm import text as T
+from orbitframe.llm.storage import Workspace
 
 WINDOW = 8
 SYMBOLS = np.zeros(256, np.int64)
@@ -24,8 +25,21 @@ SYMBOLS[list(b"#*$%&|<>")] = 1
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_letters", "n_lines")
 _CHAR = np.ones(256, np.int64)
 _CHAR[0x80:0xC0] = 0
-_LETTER = np.zeros(256, np.int64)
-_LETTER[[*range(65, 91), *range(97, 123), *range(0xC3, 0xF5)]] = 1
+
+def _letter_starts() -> np.ndarray:
+    """1 at [first byte, second byte] of letters, told by their blocks: not punctuation, symbols, private use or emoji."""
+    starts = np.zeros((256, 256), np.int64)
+    starts[[*range(65, 91), *range(97, 123), *range(0xC3, 0xE2), *range(0xE3, 0xEE)]] = 1
+    starts[0xC3, [0x97, 0xB7]] = 0  # signs of multiplication and division
+    starts[0xE2, 0xB0:0xB8] = 1  # U+2C00 to U+2DFF; signs lie below
+    starts[0xE3, 0x80] = 0  # U+3000 to U+303F
+    starts[0xEF, 0xA4:0xBC] = 1  # U+F900 to U+FEFF
+    starts[0xF0, 0x90:] = 1
+    starts[0xF0, 0x9F] = 0  # U+1F000 to U+1FFFF
+    return starts.reshape(-1)
+
+
+_LETTER = _letter_starts()
 
 
 def _per_text(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -51,7 +65,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     starts, ends, first = T.words(data, offsets)
     count = np.diff(first)
     inside = ~T.SPACE[data]
-    out = {"n_words": count, "word_chars": _per_text(_CHAR[data] * inside, offsets), "n_symbols": _per_text(SYMBOLS[data], offsets), "n_letters": _per_text(_LETTER[data], offsets)}
+    out = {"n_words": count, "word_chars": _per_text(_CHAR[data] * inside, offsets), "n_symbols": _per_text(SYMBOLS[data], offsets), "n_letters": _per_text(_LETTER[(data.astype(np.uint16) << 8) | np.append(data[1:], np.uint8(0))[: len(data)]], offsets)}
     # lines: cut at \n and at the ends of texts
     newline = np.flatnonzero(data == 10)
     line_start = np.concatenate([offsets[:-1], newline + 1])
@@ -148,7 +162,8 @@ def weak_quality(docs: DataFrame, threshold: float = 0.5, rules: dict[str, Colum
     empty table gives an empty result. Input columns beyond the id and the text are ignored.
     """
     rules = rules or default_rules()
-    found = rule_features(docs).withColumns(rules | {"base_failed": (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))})
+    counts = Workspace(docs.sparkSession, "rules").save(rule_features(docs), "features")  # numbers alone; texts are read once
+    found = counts.withColumns(rules | {"base_failed": (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))})
     patterns = found.groupBy(*rules).count().collect()  # at most 3 ** rules rows
     votes = np.array([[r[k] for k in rules] for r in patterns], np.int64).reshape(-1, len(rules))
     table, good = fit_votes(votes, np.array([r["count"] for r in patterns], float))

@@ -114,8 +114,9 @@ def plain_features(text):
     lines = [x for x in raw.split(b"\n") if re.search(WORD, x)]
     windows = Counter(tuple(words[k : k + 8]) for k in range(len(words) - 7))
     inside = {j for k in range(len(words) - 7) if windows[tuple(words[k : k + 8])] > 1 for j in range(k, k + 8)}
-    letter = lambda c: 65 <= c < 91 or 97 <= c < 123 or 0xC3 <= c < 0xF5
-    return {"n_words": len(words), "word_chars": sum(len(w.decode()) for w in words), "n_symbols": sum(c in b"#*$%&|<>" for c in raw), "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": len(inside), "n_letters": sum(map(letter, raw)), "n_lines": len(lines)}
+    signs = [(0, 0x41), (0x5B, 0x61), (0x7B, 0xC0), (0xD7, 0xD8), (0xF7, 0xF8), (0x2000, 0x2C00), (0x2E00, 0x3040), (0xE000, 0xF900), (0xFF00, 0x10000), (0x1F000, 0x20000), (0x40000, 0x110000)]
+    letter = lambda c: not any(a <= ord(c) < b for a, b in signs)
+    return {"n_words": len(words), "word_chars": sum(len(w.decode()) for w in words), "n_symbols": sum(c in b"#*$%&|<>" for c in raw), "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": len(inside), "n_letters": sum(map(letter, raw.decode())), "n_lines": len(lines)}
 
 
 def test_quality_rules_verdict(docs, small):
@@ -163,7 +164,7 @@ def test_quality_scores(docs, small):
         raw = (r.text or "").encode()
         f = plain_features(r.text)
         n = max(f["n_words"], 1)
-        total = weights[-1] + sum(w * x for w, x in zip(weights[2 << quality.BITS : -1], (math.log1p(f["n_words"]) / 8, min(f["word_chars"] / n / 10, 3), min(f["n_symbols"] / n, 2), f["n_letters"] / max(f["word_chars"], 1), f["n_dup_lines"] / max(f["n_lines"], 1), f["n_repeat_words"] / n, f["n_words"] < 20)))
+        total = weights[-1] + sum(w * x for w, x in zip(weights[2 << quality.BITS : -1], (math.log1p(f["n_words"]) / 8, min(f["word_chars"] / n / 10, 3), min(f["n_symbols"] / n, 2), f["n_letters"] / max(f["word_chars"], 1), f["n_dup_lines"] / max(f["n_lines"], 1), f["n_repeat_words"] / n, f["n_words"] < 20, *(x / (x + 0.1) for x in (f["n_symbols"] / n, f["n_dup_lines"] / max(f["n_lines"], 1), f["n_repeat_words"] / n)))))
         hashed = 0.0
         for w in re.findall(WORD, raw):
             low = bytes(T.LOWER[np.frombuffer(w, np.uint8)])

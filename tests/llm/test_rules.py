@@ -30,6 +30,13 @@ def test_edge_cases(docs):
     assert rules.weak_quality(docs.where("doc_id < 0")).count() == 0
 
 
+def test_letters_are_no_signs():
+    """Letters of any script count; emoji, curly quotes, ideographic punctuation and private characters do not."""
+    for text, letters in {"aZ é ß ж 語 ひ 한 𐍈 𠀋": 10, "😀😃 “x” — × ÷ 、。 \ue000 \ufffd ½": 1, "é": 1, "": 0}.items():
+        raw = np.frombuffer(text.encode(), np.uint8)
+        assert rules.features(raw, np.array([0, len(raw)]))["n_letters"].tolist() == [letters], text
+
+
 def test_small_table_keeps_clean_documents(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = {r.doc_id: r for r in check(df)}
