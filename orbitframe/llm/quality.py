@@ -1,8 +1,9 @@
 """Operator 7: a quality classifier from weak labels.
 
 Heuristic labellers vote on every text (see ``rules``); expectation-maximisation over all documents' vote patterns
-estimates their accuracies. Posterior labels of a bounded sample train a linear scorer over hashed words, hashed
-word shapes and log counts, which then scores every whole text, also where all labellers abstain.
+estimates their accuracies. Posterior labels of a bounded sample (good or bad, whichever is likelier) train a linear
+scorer over hashed words, hashed word shapes, shares and log counts, which then scores every whole text, also where
+all labellers abstain.
 """
 
 from __future__ import annotations
@@ -23,14 +24,16 @@ LONGEST = 1 << 17
 _SHAPE = np.arange(256, dtype=np.uint8)
 _SHAPE[48:58] = 48
 _SHAPE[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 97
-DENSE = 7
+DENSE = 10
 
 
 def dense(found: dict[str, np.ndarray]) -> np.ndarray:
-    """Log counts and shares of the labellers' features, about unit size."""
+    """Log counts and shares of the labellers' features, about unit size; shares of defects once more on a scale that tells small ones apart."""
     n = np.maximum(found["n_words"], 1)
     share = lambda a, b: found[a] / np.maximum(b, 1)
-    return np.stack([np.log1p(found["n_words"]) / 8, np.minimum(share("word_chars", n) / 10, 3), np.minimum(share("n_symbols", n), 2), share("n_letters", found["word_chars"]), share("n_dup_lines", found["n_lines"]), share("n_repeat_words", n), (found["n_words"] < 20).astype(float)], 1)
+    symbols, lines, words = share("n_symbols", n), share("n_dup_lines", found["n_lines"]), share("n_repeat_words", n)
+    small = [x / (x + 0.1) for x in (symbols, lines, words)]
+    return np.stack([np.log1p(found["n_words"]) / 8, np.minimum(share("word_chars", n) / 10, 3), np.minimum(symbols, 2), share("n_letters", found["word_chars"]), lines, words, (found["n_words"] < 20).astype(float), *small], 1)
 
 
 def places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,10 +57,10 @@ def score(weights: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndar
     return 1 / (1 + np.exp(-(hashed + dense(R.features(data, offsets)) @ weights[2 << BITS : -1] + weights[-1])))
 
 
-def train(texts: list[str | None], posterior: list[float], rounds: int = 200, rate: float = 0.05) -> np.ndarray:
-    """Logistic regression on soft labels by Adam over all sampled texts; no text at all gives scores of one half."""
+def train(texts: list[str | None], labels: list[float], rounds: int = 200, rate: float = 0.05) -> np.ndarray:
+    """Logistic regression on labels from 0 to 1 by Adam over all sampled texts; no text at all gives scores of one half."""
     weights = np.zeros((2 << BITS) + DENSE + 1)
-    y = np.array(posterior, float)
+    y = np.array(labels, float)
     parts, solid = [], []
     base = 0
     for i, j, data, offsets in T.slices(pa.array(texts, pa.string())):
@@ -83,7 +86,12 @@ def train(texts: list[str | None], posterior: list[float], rounds: int = 200, ra
 
 
 def fit_quality(docs: DataFrame, labellers: dict[str, Column] | None = None, sample: int = 3000, longest: int = LONGEST) -> np.ndarray:
-    """Vote on all documents, estimate accuracies, and train the scorer on ``sample`` texts of at most ``longest`` bytes by the order of a hash."""
+    """Vote on all documents, estimate accuracies, and train the scorer on ``sample`` texts of at most ``longest`` bytes by the order of a hash.
+
+    A text is learned as good if its posterior probability is at least one half: soft labels near one half, which a
+    single vote leaves, would teach the scorer to be undecided. Null texts vote as texts without words; rows that
+    share id and text are learned once; an empty table gives weights that score everything one half.
+    """
     labellers = labellers or R.default_rules()
     voted = R.rule_features(docs).withColumns(labellers).select("doc_id", *labellers)
     patterns = voted.groupBy(*labellers).count().collect()  # at most 3 ** labellers rows
@@ -98,7 +106,8 @@ def fit_quality(docs: DataFrame, labellers: dict[str, Column] | None = None, sam
     pandas = {k: np.concatenate([f[k] for f in found]).tolist() for k in R.FEATURES}
     spark = docs.sparkSession
     small = spark.createDataFrame(list(zip(range(len(texts)), *pandas.values(), strict=True)), ["i", *R.FEATURES]).withColumns(labellers).orderBy("i").select(*labellers).collect()
-    return train(texts, R.posterior(np.array(small, np.int64).reshape(-1, len(labellers)), table, good).tolist())
+    likely = R.posterior(np.array(small, np.int64).reshape(-1, len(labellers)), table, good) >= 0.5
+    return train(texts, likely.astype(float).tolist())
 
 
 def score_quality(docs: DataFrame, weights: np.ndarray, text_col: str = "text") -> DataFrame:
