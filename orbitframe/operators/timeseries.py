@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,19 +14,77 @@ from orbitframe.functions.vectors import dihedral, vec
 from orbitframe.operators.numbering import numbered
 
 
+CHUNK = 1 << 12  # frames of an atom that one row holds
+
+
+def _spectra(places: pa.StructArray, size: int) -> np.ndarray:
+    """Transforms of count, sum of squares and sums of x, y, z by frame, from the first frame of the places on."""
+    at = places.field("at").to_numpy()
+    held = np.zeros((5, size))
+    for k, name in enumerate(("n", "square", "x", "y", "z")):
+        held[k, at - at.min()] = places.field(name).to_numpy()
+    return np.fft.rfft(held)
+
+
+def _lag_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lag, total, pairs) for rows (step, early, late) by rising step: chunks of one atom, ``step`` chunks apart.
+
+    Sums over all pairs at each lag are correlations: counts with squares, squares with counts, less twice places with places.
+    """
+    step, total, pairs = None, np.zeros(2 * CHUNK), np.zeros(2 * CHUNK)
+
+    def result() -> Iterator[pa.RecordBatch]:
+        at = np.flatnonzero(pairs)
+        yield pa.RecordBatch.from_arrays([pa.array(step * CHUNK + at - CHUNK), pa.array(total[at]), pa.array(pairs[at].astype(np.int64))], ["lag", "total", "pairs"])
+
+    for batch in batches:
+        for row in range(batch.num_rows):
+            if batch.column("step")[row].as_py() != step:
+                if step is not None:
+                    yield from result()
+                step = batch.column("step")[row].as_py()
+                total[:], pairs[:] = 0, 0
+            early, late = batch.column("early")[row].values, batch.column("late")[row].values
+            (a0, a1), (b0, b1) = ((x.min(), x.max()) for x in (early.field("at").to_numpy(), late.field("at").to_numpy()))
+            size = 1 << int(a1 - a0 + b1 - b0 + 1).bit_length()
+            a, b = _spectra(early, size).conj(), _spectra(late, size)
+            sums = np.fft.irfft(np.stack([a[0] * b[1] + a[1] * b[0] - 2 * (a[2:] * b[2:]).sum(0), a[0] * b[0]]), size)
+            shift = np.arange(a0 - a1, b1 - b0 + 1)  # from the first frames on
+            if step == 0:
+                shift = shift[shift >= 0]
+            count = np.rint(sums[1, shift % size])
+            total[CHUNK + b0 - a0 + shift] += np.where(count > 0, sums[0, shift % size], 0)
+            pairs[CHUNK + b0 - a0 + shift] += count
+    if step is not None:
+        yield from result()
+
+
 def msd_by_lag(coords: DataFrame, max_lag: int | None = None) -> DataFrame:
     """(lag, msd): displacement over all origins and atoms, up to ``max_lag`` frames apart.
 
-    Every frame of an atom meets those up to ``max_lag`` later, by equal frame numbers; without a bound, all later ones,
-    so the work then grows with the square of the frames. Null places count nowhere.
+    With a bound, every frame of an atom meets those up to ``max_lag`` later, by equal frame numbers. Without one, an
+    atom's frames are packed into chunks of ``CHUNK`` frames and pairs of chunks are correlated by Fourier transforms,
+    so a pair of chunks costs CHUNK log CHUNK and no row or task holds more than chunks. Repeated rows count each.
+    Places with a null component, and those that are not finite, count nowhere; a lag without pairs has no row.
     """
-    late = coords.select("atom_index", F.col("frame_index").alias("later"), *(F.col(c).alias(f"{c}2") for c in "xyz"))
-    if max_lag is None:
-        pairs = coords.join(late, "atom_index").where("later >= frame_index")
-    else:
-        early = coords.withColumn("later", F.explode(F.sequence("frame_index", F.col("frame_index") + max_lag)))
+    fine = reduce(lambda a, b: a & b, (F.abs(c) < float("inf") for c in "xyz"))
+    held = coords.where(fine & F.col("atom_index").isNotNull() & F.col("frame_index").isNotNull())
+    if max_lag is not None:
+        late = held.select("atom_index", F.col("frame_index").alias("later"), *(F.col(c).alias(f"{c}2") for c in "xyz"))
+        early = held.withColumn("later", F.explode(F.sequence("frame_index", F.col("frame_index") + max_lag)))
         pairs = early.join(late, ["atom_index", "later"])
-    return pairs.groupBy((F.col("later") - F.col("frame_index")).alias("lag")).agg(F.avg((vec(suffix="2") - vec()).norm_squared()).alias("msd"))
+        return pairs.groupBy((F.col("later") - F.col("frame_index")).alias("lag")).agg(F.avg((vec(suffix="2") - vec()).norm_squared()).alias("msd"))
+    # displacements do not depend on the origin: near an atom's own mean, squares stay small
+    means = held.groupBy("atom_index").agg(*(F.avg(c).alias(f"_{c}") for c in "xyz"))
+    about = held.select("atom_index", F.col("frame_index").cast("long").alias("frame_index"), *"xyz").join(means, "atom_index").withColumns({c: F.col(c) - F.col(f"_{c}") for c in "xyz"})
+    frames = about.groupBy("atom_index", "frame_index").agg(F.count("*").alias("n"), F.sum(vec().norm_squared()).alias("square"), *(F.sum(c).alias(c) for c in "xyz"))
+    chunk = F.floor(F.col("frame_index") / CHUNK)
+    at = F.col("frame_index") - chunk * CHUNK
+    packed = frames.groupBy("atom_index", chunk.alias("chunk")).agg(F.collect_list(F.struct(at.alias("at"), "n", "square", *"xyz")).alias("places"))
+    early = packed.select("atom_index", F.col("chunk").alias("_first"), F.col("places").alias("early"))
+    met = early.join(packed, "atom_index").where("chunk >= _first").select((F.col("chunk") - F.col("_first")).alias("step"), "early", F.col("places").alias("late"))
+    sums = met.sortWithinPartitions("step").mapInArrow(_lag_sums, "lag long, total double, pairs long")
+    return sums.groupBy(F.col("lag").cast(coords.schema["frame_index"].dataType).alias("lag")).agg((F.greatest(F.sum("total"), F.lit(0.0)) / F.sum("pairs")).alias("msd"))
 
 
 def fill_gaps(states: DataFrame, intermittency: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 
 from orbitframe.functions.vectors import Box
@@ -75,3 +76,23 @@ def test_empty_tables(coords):
     first = none.drop("frame_index", "mass")
     results = [A.center_of_mass(none), A.center_of_geometry(none), A.radius_of_gyration(none), A.bounding_box(none), A.rmsd(none, first), A.rmsf(none), fitting.fit_to_reference(none, first), fitting.helix_axis(none), transforms.wrap(none, Box(5, 5, 5)), transforms.unwrap(none, Box(5, 5, 5), ("atom_index",), "frame_index"), timeseries.msd_by_lag(none), timeseries.dihedral_series(none), neighbors.self_pairs_within(none, 1.0), topology.bond_lengths(bonds, none, ("frame_index",)), topology.angles(bonds, none, ("frame_index",)), topology.dihedrals(bonds, none, ("frame_index",)), topology.fragments(none, bonds), timeseries.survival(none.selectExpr("frame_index as frame", "atom_index as id"), 3), timeseries.frame_dt(none.selectExpr("frame_index", "x as time"))]
     assert [df.count() for df in results] == [0] * len(results)
+
+
+def test_displacement_by_lag_over_chunks(spark):
+    """Gaps in frames, repeated rows, negative frames, a far place and nulls, over several chunks; both ways agree with brute force."""
+    rng = np.random.default_rng(4)
+    rows = [(a, int(f), *(float(v) + 1000 * a for v in rng.normal(size=3).cumsum())) for a in range(3) for f in np.flatnonzero(rng.random(9000) < 0.02) - 100]
+    rows += [rows[5], rows[5], (1, 3, None, 1.0, 1.0), (1, 4, float("nan"), 1.0, 1.0), (None, 4, 1.0, 1.0, 1.0)]
+    want = {}
+    good = [r for r in rows if None not in r and np.isfinite(r[2])]
+    for a in good:
+        for b in good:
+            if a[0] == b[0] and b[1] >= a[1]:
+                total, n = want.get(b[1] - a[1], (0.0, 0))
+                want[b[1] - a[1]] = total + sum((p - q) ** 2 for p, q in zip(a[2:], b[2:], strict=True)), n + 1
+    coords = spark.createDataFrame(rows, "atom_index long, frame_index long, x double, y double, z double")
+    got = {r.lag: r.msd for r in timeseries.msd_by_lag(coords).collect()}
+    assert got.keys() == want.keys() and max(want) > 2 * timeseries.CHUNK
+    assert all(abs(got[k] - t / n) < 1e-6 for k, (t, n) in want.items())
+    near = {r.lag: r.msd for r in timeseries.msd_by_lag(coords, 50).collect()}
+    assert near.keys() == {k for k in want if k <= 50} and all(abs(near[k] - want[k][0] / want[k][1]) < 1e-6 for k in near)
