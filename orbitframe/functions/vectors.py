@@ -47,9 +47,9 @@ class Vec:
         return F.sqrt(self.norm_squared())
 
     def normalized(self) -> Vec:
-        """The unit vector; zero for the zero vector."""
+        """The unit vector; zero for the zero vector, null where a component is null."""
         n = self.norm()
-        unit = lambda c: F.when(n > 0, c / F.nullif(n, F.lit(0.0))).otherwise(0.0)
+        unit = lambda c: F.when(n > 0, c / F.nullif(n, F.lit(0.0))).when(n <= 0, 0.0)
         return Vec(unit(self.x), unit(self.y), unit(self.z))
 
     def to_array(self) -> Column:
@@ -66,10 +66,10 @@ def distance(a: Vec, b: Vec) -> Column:
 
 
 def angle(a: Vec, b: Vec) -> Column:
-    """Angle of two vectors in radians; 0 if either is zero."""
+    """Angle of two vectors in radians; 0 if either is zero, null if either has a null component."""
     length = a.norm() * b.norm()
     cosine = a.dot(b) / F.nullif(length, F.lit(0.0))
-    return F.when(length > 0, F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))).otherwise(0.0)
+    return F.when(length > 0, F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))).when(length <= 0, 0.0)
 
 
 def normal(a: Vec, b: Vec) -> Vec:
@@ -82,17 +82,17 @@ def triple(a: Vec, b: Vec, c: Vec) -> Column:
 
 
 def dihedral(ab: Vec, bc: Vec, cd: Vec) -> Column:
-    """Torsion with cis at 0: the angle of the plane normals, positive where ab . (bc x cd) <= 0; degenerate gives 0."""
+    """Torsion with cis at 0: the angle of the plane normals, positive where ab . (bc x cd) <= 0; degenerate gives 0, null gives null."""
     a = angle(normal(ab, bc), normal(bc, cd))
     return F.when(triple(ab, bc, cd) <= 0, a).otherwise(-a)
 
 
 def dihedral_atan2(a: Vec, b: Vec, c: Vec, d: Vec) -> Column:
-    """Torsion with cis at pi by atan2; NaN where the middle bond or a projected arm vanishes."""
+    """Torsion with cis at pi by atan2; NaN where the middle bond or a projected arm vanishes, null where a place is null."""
     first, middle, last = b - a, c - b, d - c
     p, q = first.cross(middle), last.cross(middle)
     ok = (middle.norm_squared() > 0) & (p.norm_squared() > 0) & (q.norm_squared() > 0)
-    return F.when(ok, F.atan2(middle.dot(p.cross(q)) / F.nullif(middle.norm(), F.lit(0.0)), p.dot(q))).otherwise(F.lit(float("nan")))
+    return F.when(ok, F.atan2(middle.dot(p.cross(q)) / F.nullif(middle.norm(), F.lit(0.0)), p.dot(q))).when(~ok, F.lit(float("nan")))
 
 
 def determinant(a: Vec, b: Vec, c: Vec) -> Column:

@@ -119,12 +119,15 @@ def same(atoms: DataFrame, attribute: str, inner: Column, others: DataFrame | No
 
 
 def by_residue(atoms: DataFrame, inner: Column) -> DataFrame:
-    """All atoms of residues (resid, segid, insertion_code) that an atom of ``inner`` is in."""
+    """All atoms of residues (resid, segid, insertion_code) that an atom of ``inner`` is in; null equals null in each of the three."""
     return same(atoms, "residue", inner)
 
 
 def bonded(atoms: DataFrame, bonds: DataFrame, inner: Column, others: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
-    """Atoms with a bond partner in ``inner`` (of ``others``, if given); none without bonds."""
+    """Atoms with a bond partner in ``inner`` (of ``others``, if given); none without bonds.
+
+    Bonds may stand in either order and more than once; those with a null end, or an end that is no atom, join nothing.
+    """
     ends = bonds.select(F.col("atom1").alias("a"), F.col("atom2").alias("b"))
     both = ends.union(ends.select("b", "a"))
     chosen = (atoms if others is None else others).where(inner).select(*by, F.col("atom_index").alias("b"))
@@ -133,7 +136,10 @@ def bonded(atoms: DataFrame, bonds: DataFrame, inner: Column, others: DataFrame
 
 
 def group(atoms: DataFrame, groups: dict[str, DataFrame], name: str) -> DataFrame:
-    """Atoms of a named group of atom_index values; unknown names are errors before anything runs."""
+    """Atoms of a named group of atom_index values; unknown names are errors before anything runs.
+
+    Values that are null, repeated or no atom's change nothing; an empty group selects nothing.
+    """
     if name not in groups:
         raise ValueError(f"unknown group {name!r}")
     return atoms.join(groups[name], "atom_index", "left_semi").select("atom_index")

@@ -88,10 +88,13 @@ def msd_by_lag(coords: DataFrame, max_lag: int | None = None) -> DataFrame:
 
 
 def fill_gaps(states: DataFrame, intermittency: int) -> DataFrame:
-    """(frame, id) with absences of at most ``intermittency`` frames between two appearances filled."""
+    """(frame, id) with absences of at most ``intermittency`` frames between two appearances filled.
+
+    Rows with a null frame or id take no part; repeated rows count once; an empty table gives an empty result.
+    """
     following = F.lead("frame").over(Window.partitionBy("id").orderBy("frame"))
     gap = F.col("next") - F.col("frame") - 1
-    held = states.select("frame", "id").distinct().withColumn("next", following)
+    held = states.select("frame", "id").dropna().distinct().withColumn("next", following)
     last = F.when(F.col("next").isNotNull() & gap.between(1, intermittency), F.col("next") - 1).otherwise(F.col("frame"))
     return held.select(F.explode(F.sequence("frame", last)).alias("frame"), "id")
 
@@ -100,10 +103,12 @@ def survival(states: DataFrame, tau_max: int, step: int = 1) -> DataFrame:
     """(tau, survival): mean share of an origin's ids that stay present in every frame up to origin + tau.
 
     Origins are frames 0, step, 2 step ... that hold any id; ids' runs of consecutive frames give how long each
-    stays, so every (origin, id) is one row whatever tau is.
+    stays, so every (origin, id) is one row whatever tau is. Rows with a null frame or id take no part; repeated rows
+    count once; an empty table gives an empty result.
     """
+    states = states.select("frame", "id").dropna()
     w = Window.partitionBy("id").orderBy("frame")
-    runs = states.select("frame", "id").distinct().withColumn("run", F.col("frame") - F.row_number().over(w))
+    runs = states.distinct().withColumn("run", F.col("frame") - F.row_number().over(w))
     stay = runs.withColumn("left", F.max("frame").over(Window.partitionBy("id", "run")) - F.col("frame"))
     last = F.broadcast(states.agg(F.max("frame").alias("_last")))  # one row
     origins = stay.where(F.col("frame") % step == 0).join(last)
@@ -113,9 +118,12 @@ def survival(states: DataFrame, tau_max: int, step: int = 1) -> DataFrame:
 
 
 def dihedral_series(coords: DataFrame, by: tuple[str, ...] = ("frame_index",), order: str = "atom_index") -> DataFrame:
-    """(*by, order, dihedral) of every four consecutive points."""
+    """(*by, order, dihedral) of every four consecutive points, one row for each that three more follow.
+
+    The angle is null where a component of one of the four is null; points of equal ``order`` stand in no certain order.
+    """
     w = Window.partitionBy(*by).orderBy(order)
-    held = coords.withColumns({f"{c}{k}": F.lead(c, k).over(w) for c in "xyz" for k in (1, 2, 3)}).where("x3 is not null")
+    held = coords.withColumns({f"{c}{k}": F.lead(c, k).over(w) for c in "xyz" for k in (1, 2, 3)}).withColumn("_more", F.lead(F.lit(True), 3).over(w)).where("_more")
     p = [vec(), *(vec(suffix=str(k)) for k in (1, 2, 3))]
     return held.select(*by, order, dihedral(p[1] - p[0], p[2] - p[1], p[3] - p[2]).alias("dihedral"))
 

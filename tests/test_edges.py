@@ -7,7 +7,7 @@ import pytest
 
 from orbitframe.functions.vectors import Box
 from orbitframe.operators import aggregates as A
-from orbitframe.operators import analysis, fitting, neighbors, timeseries, topology, transforms
+from orbitframe.operators import analysis, fitting, neighbors, selection, timeseries, topology, transforms
 
 ROWS = [(0, 0, 0.0, 0.0, 0.0, 1.0), (0, 1, 2.0, 0.0, 0.0, 1.0), (0, 2, None, 5.0, 5.0, 4.0), (0, 3, 0.0, 2.0, 0.0, None), (1, 0, 1.0, 1.0, 1.0, 1.0), (1, 1, 3.0, 1.0, 1.0, 1.0), (1, 3, 1.0, 3.0, 1.0, None), (2, 2, None, None, None, 1.0)]
 
@@ -96,3 +96,34 @@ def test_displacement_by_lag_over_chunks(spark):
     assert all(abs(got[k] - t / n) < 1e-6 for k, (t, n) in want.items())
     near = {r.lag: r.msd for r in timeseries.msd_by_lag(coords, 50).collect()}
     assert near.keys() == {k for k in want if k <= 50} and all(abs(near[k] - want[k][0] / want[k][1]) < 1e-6 for k in near)
+
+
+def test_presence_with_nulls_and_repeats(spark):
+    states = spark.createDataFrame([(0, 1), (0, 1), (3, 1), (0, 2), (1, 2), (None, 1), (2, None), (None, None)], "frame int, id int")
+    assert rows(timeseries.fill_gaps(states, 2)) == [(0, 1), (0, 2), (1, 1), (1, 2), (2, 1), (3, 1)]
+    assert rows(timeseries.fill_gaps(states, 1)) == [(0, 1), (0, 2), (1, 2), (3, 1)]
+    assert rows(timeseries.survival(states, 1)) == rows(timeseries.survival(states.dropna().distinct(), 1)) == [(0, 1.0), (1, 0.25)]
+    assert timeseries.fill_gaps(states.where("frame > 9"), 1).count() == timeseries.survival(states.where("frame > 9"), 1).count() == 0
+
+
+def test_dihedral_series_with_nulls(spark):
+    places = [(0.0, 1.0, 0.0), (0.0, 0.0, 0.0), (1.0, 0.0, 0.0), (1.0, 0.0, 1.0), (2.0, 0.0, 1.0), (None, 3.0, 1.0), (3.0, 3.0, 3.0)]
+    points = spark.createDataFrame([(0, k, *p) for k, p in enumerate(places)], "frame_index int, atom_index int, x double, y double, z double")
+    got = {r.atom_index: r.dihedral for r in timeseries.dihedral_series(points).collect()}
+    assert {k: v is None for k, v in got.items()} == {0: False, 1: False, 2: True, 3: True}
+    assert timeseries.dihedral_series(points.where("atom_index < 3")).count() == 0
+
+
+def test_selections_with_nulls_and_repeats(spark):
+    atoms = spark.createDataFrame([(0, 1, "A", None), (1, 1, "A", None), (2, 1, "A", "x"), (3, None, "A", None), (4, None, "A", None), (5, 1, None, None)], "atom_index long, resid int, segid string, insertion_code string")
+    first = selection.F.col("atom_index")
+    assert rows(selection.by_residue(atoms, first == 0)) == [(0,), (1,)]
+    assert rows(selection.by_residue(atoms, first == 3)) == [(3,), (4,)]
+    assert rows(selection.by_residue(atoms, first > 9)) == []
+    bonds = spark.createDataFrame([(1, 0), (0, 1), (0, 2), (0, 2), (0, None), (None, 3), (0, 77)], "atom1 long, atom2 long")
+    assert rows(selection.bonded(atoms, bonds, first == 0)) == [(1,), (2,)]
+    assert rows(selection.bonded(atoms, bonds.where("atom1 > 9"), first == 0)) == []
+    groups = {"some": spark.createDataFrame([(1,), (1,), (None,), (77,)], "atom_index long"), "none": spark.createDataFrame([], "atom_index long")}
+    assert rows(selection.group(atoms, groups, "some")) == [(1,)] and rows(selection.group(atoms, groups, "none")) == []
+    with pytest.raises(ValueError, match="unknown group"):
+        selection.group(atoms, groups, "other")
