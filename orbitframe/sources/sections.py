@@ -104,14 +104,23 @@ def read_crd(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("file", (F.col("k") - 1).alias("atom_index"), at((12, 4), (23, 8)).alias("resname"), at((17, 4), (33, 8)).alias("name"), *x, at((52, 4), (103, 8)).alias("segid"), resid.alias("resid"))
 
 
-def crd_lines(atoms: DataFrame, order: str = "atom_index", extended: bool = False) -> DataFrame:
+def crd_head(atoms: DataFrame, order: str = "atom_index") -> tuple[str, bool]:
+    """(count line, whether it asks for the extended layout): it does where the standard one has no room for the atoms."""
+    labels = F.greatest(*(F.length(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in ("resname", "name", "segid", "resid")))
+    n, top, longest, far = atoms.agg(F.count("*"), F.max(order), F.max(labels), F.max(F.greatest(*(F.length(F.format_string("%.5f", F.col(c))) for c in "xyz")))).first()
+    extended = bool(n) and (top >= 99_999 or longest > 4 or (far or 0) > 10)
+    return f"{n}  EXT" if extended else str(n), extended
+
+
+def crd_lines(atoms: DataFrame, order: str = "atom_index", extended: bool = False, digits: int | None = None) -> DataFrame:
     """(order, value): the standard layout holds 99,999 atoms, 9,999 residues and labels of four letters; the extended one more.
 
-    Values without room raise an error. Above the lines belong `*` titles and the count, followed by EXT if extended.
+    Values without room raise an error. Above the lines belong `*` titles and the count, followed by EXT if extended
+    (``crd_head``). Places have 5 decimals, extended 10, or ``digits``.
     """
     n, label, number, gap = (10, 8, 20, "  ") if extended else (5, 4, 10, " ")
     word = lambda c: fit(F.col(c), label, right=False)
-    parts = [fit(F.col(order) + 1, n), fit(F.col("resid"), n), F.lit(gap), word("resname"), F.lit(gap), word("name"), *(fixed(F.col(c), number, 10 if extended else 5) for c in "xyz"), F.lit(gap), word("segid"), F.lit(gap), word("resid"), F.lit("0.00000".rjust(number))]
+    parts = [fit(F.col(order) + 1, n), fit(F.col("resid"), n), F.lit(gap), word("resname"), F.lit(gap), word("name"), *(fixed(F.col(c), number, digits or (10 if extended else 5)) for c in "xyz"), F.lit(gap), word("segid"), F.lit(gap), word("resid"), F.lit("0.00000".rjust(number))]
     return atoms.select(order, F.concat(*parts).alias("value"))
 
 
