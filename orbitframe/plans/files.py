@@ -96,10 +96,8 @@ def gro_boxes(spark, d):
 
 def _pdb(spark, d):
     rows = _every(spark, d).drop("insertion_code")
-    lines = structures.pdb_lines(rows.withColumn("key", F.col("frame_index") * 100_000_000 + F.col("atom_index")), "key")
-    # serials follow the order column: take them from the atom's number
-    value = F.concat(F.substring("value", 1, 6), F.lpad((F.col("key") % 100_000_000 % 99_999 + 1).cast("string"), 5, " "), F.substring("value", 12, 100))
-    body = lines.select(F.floor(F.col("key") / 100_000_000).alias("frame_index"), F.lit(1).alias("part"), (F.col("key") % 100_000_000).alias("n"), value.alias("value"))
+    lines = structures.pdb_lines(rows.withColumn("key", F.col("frame_index") * 100_000_000 + F.col("atom_index")), "key", F.col("key") % 100_000_000 + 1)
+    body = lines.select(F.floor(F.col("key") / 100_000_000).alias("frame_index"), F.lit(1).alias("part"), (F.col("key") % 100_000_000).alias("n"), "value")
     ends = V.coords(spark, d).select(F.col("frame_index").cast("long").alias("frame_index")).distinct()
     heads = ends.select("frame_index", F.lit(0).alias("part"), F.lit(0).cast("long").alias("n"), F.format_string("MODEL     %d", F.col("frame_index") + 1).alias("value"))
     tails = ends.select("frame_index", F.lit(2).alias("part"), F.lit(0).cast("long").alias("n"), F.lit("ENDMDL").alias("value"))

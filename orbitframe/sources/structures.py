@@ -40,6 +40,19 @@ def hybrid36(value: Column, width: int) -> Column:
     return F.when(value.rlike(r"^-?\d+$"), value.try_cast("long")).when(whole & value.rlike("^[A-Z][0-9A-Z]*$"), upper).when(whole & value.rlike("^[a-z][0-9a-z]*$"), lower)
 
 
+def hybrid36_text(number: Column, width: int) -> Column:
+    """What ``hybrid36`` reads as this number: digits as far as they reach, then base 36; numbers without room raise an error."""
+    digits, letters = 10**width, 26 * 36 ** (width - 1)
+    coded = F.conv((number - F.when(number < digits + letters, 0).otherwise(letters) + (10 * 36 ** (width - 1) - digits)).cast("string"), 10, 36)
+    text = F.when(number < digits, number.cast("string")).when(number < digits + letters, coded).when(number < digits + 2 * letters, F.lower(coded)).otherwise(number.cast("string"))
+    return fit(text, width)
+
+
+def _segid() -> Column:
+    """Columns 73 to 76; a longer label ends there and reaches, without a blank, into the unused columns before."""
+    return F.when(F.substring("line", 72, 2).rlike(r"^\S\S$"), F.regexp_extract(F.rtrim(F.substring("line", 67, 10)), r"(\S+)$", 1)).otherwise(_cut(73, 4))
+
+
 def _is_atom() -> Column:
     return F.substring("line", 1, 6).isin("ATOM  ", "HETATM")
 
@@ -69,7 +82,7 @@ def read_pdb(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(
         "file", "frame_index", "atom_index", "serial", _cut(13, 4).alias("name"), _cut(18, 4).alias("resname"), _cut(22, 1).alias("chain_id"),
         (F.col("number") + F.when(F.coalesce(again, F.lit(False)) & ~F.col("wide"), 10_000).otherwise(0)).cast("int").alias("resid"), F.when(~F.col("wide"), _cut(27, 1)).alias("insertion_code"), _number(31, 8).alias("x"), _number(39, 8).alias("y"), _number(47, 8).alias("z"),
-        _number(55, 6).alias("occupancy"), _number(61, 6).alias("temp_factor"), _cut(73, 4).alias("segid"), _cut(77, 2).alias("element"),
+        _number(55, 6).alias("occupancy"), _number(61, 6).alias("temp_factor"), _segid().alias("segid"), _cut(77, 2).alias("element"),
     )
 
 
@@ -99,15 +112,20 @@ def read_pdb_bonds(spark: SparkSession, path: str) -> DataFrame:
     return pairs.where("ends = 2 and atom1 < atom2").select("file", "atom1", "atom2").distinct()
 
 
-def pdb_lines(atoms: DataFrame, order: str = "atom_index") -> DataFrame:
-    """(order, value): a line of 80 columns for each atom; serials start again after 99,999, residue numbers of five digits take the next column."""
+def pdb_lines(atoms: DataFrame, order: str = "atom_index", serial: Column | None = None) -> DataFrame:
+    """(order, value): a line of 80 columns for each atom; serials, the order and one if not given, go on in hybrid-36.
+
+    Residue numbers of five digits take the next column, larger ones are hybrid-36; segments of up to ten letters reach
+    into the unused columns before theirs.
+    """
     c = {f.name for f in atoms.schema}
     col = lambda name, default="": F.coalesce(F.col(name).cast("string"), F.lit(default)) if name in c else F.lit(default)
     full = (F.length(col("element")) == 2) | (F.length(col("name")) >= 4)
     name = fit(F.when(full, col("name")).otherwise(F.concat(F.lit(" "), col("name"))), 4, right=False)
     number = lambda n, w, d: fixed(F.col(n), w, d) if n in c else F.lit(" " * w)
-    resid = F.when(F.length(col("resid", "1")) > 4, fit(col("resid", "1"), 5)).otherwise(F.concat(fit(col("resid", "1"), 4), fit(col("insertion_code"), 1)))
-    parts = [F.lit("ATOM  "), fit(F.col(order) % 99999 + 1, 5), F.lit(" "), name, F.lit(" "), fit(col("resname"), 4, right=False), fit(col("chain_id"), 1), resid, F.lit("   "), number("x", 8, 3), number("y", 8, 3), number("z", 8, 3), number("occupancy", 6, 2), number("temp_factor", 6, 2), F.lit(" " * 6), fit(col("segid"), 4, right=False), fit(col("element"), 2), F.lit("  ")]
+    resid = F.when(F.length(col("resid", "1")) > 5, F.concat(hybrid36_text(F.col("resid"), 4) if "resid" in c else F.lit(""), fit(col("insertion_code"), 1))).when(F.length(col("resid", "1")) > 4, fit(col("resid", "1"), 5)).otherwise(F.concat(fit(col("resid", "1"), 4), fit(col("insertion_code"), 1)))
+    segid = F.when(F.length(col("segid")) > 4, fit(col("segid"), 10)).otherwise(F.concat(F.lit(" " * 6), fit(col("segid"), 4, right=False)))
+    parts = [F.lit("ATOM  "), hybrid36_text(F.col(order) + 1 if serial is None else serial, 5), F.lit(" "), name, F.lit(" "), fit(col("resname"), 4, right=False), fit(col("chain_id"), 1), resid, F.lit("   "), number("x", 8, 3), number("y", 8, 3), number("z", 8, 3), number("occupancy", 6, 2), number("temp_factor", 6, 2), segid, fit(col("element"), 2), F.lit("  ")]
     return atoms.select(order, F.concat(*parts).alias("value"))
 
 
@@ -116,8 +134,8 @@ def pdb_box_line(box: tuple[float, ...]) -> str:
 
 
 def conect_lines(bonds: DataFrame) -> DataFrame:
-    """(atom1, atom2, value): a CONECT record for each bond of zero-based atoms."""
-    return bonds.select("atom1", "atom2", F.concat(F.lit("CONECT"), fit(F.col("atom1") + 1, 5), fit(F.col("atom2") + 1, 5)).alias("value"))
+    """(atom1, atom2, value): a CONECT record for each bond of zero-based atoms, with the serials of ``pdb_lines``."""
+    return bonds.select("atom1", "atom2", F.concat(F.lit("CONECT"), *(hybrid36_text(F.col(c) + 1, 5) for c in ("atom1", "atom2"))).alias("value"))
 
 
 def read_xyz(spark: SparkSession, path: str) -> DataFrame:
