@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from orbitframe.functions.chemistry import element_mass
 from orbitframe.functions.vectors import Box, Vec, vec
+from orbitframe.operators.blocks import distance_histogram
 
 
 def _steps(reach: list[int], half: bool) -> list[tuple[int, ...]]:
@@ -161,6 +162,11 @@ def radial_counts(first: DataFrame, second: DataFrame, bin_width: float, max_rad
     """(*by, bin, edge, n): raw counts of distances below ``max_radius``; a set with itself counts each atom at 0; empty bins are 0."""
     spark = first.sparkSession
     bins = math.ceil(max_radius / bin_width)
-    hits = pairs_within(first, second, max_radius, by, strict=True).groupBy(*by, F.floor(F.col("distance") / bin_width).alias("bin")).agg(F.count("*").alias("n"))
+    if first is second and max_radius > 0:  # each pair once, counted from both ends, and each atom at 0
+        own = first.where("x is not null and y is not null and z is not null").groupBy(*by).agg(F.lit(0).cast("long").alias("bin"), F.count("*").alias("n")).where("n > 0")
+        ends = distance_histogram(first, bin_width, max_radius, by).withColumn("n", 2 * F.col("n")).unionByName(own)
+        hits = ends.groupBy(*by, "bin").agg(F.sum("n").alias("n"))
+    else:
+        hits = pairs_within(first, second, max_radius, by, strict=True).groupBy(*by, F.floor(F.col("distance") / bin_width).alias("bin")).agg(F.count("*").alias("n"))
     grid = first.select(*by).distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))) if by else spark.range(bins).withColumnRenamed("id", "bin")
     return grid.join(hits, [*by, "bin"], "left").select(*by, F.col("bin").cast("long").alias("bin"), (F.col("bin") * F.lit(bin_width)).alias("edge"), F.coalesce("n", F.lit(0)).alias("n"))
